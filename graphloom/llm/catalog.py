@@ -1,14 +1,18 @@
 """Queries of the corpus operators and, where SQL can express one, its DuckDB oracle."""
 
-from graphloom.llm import host_rules, mixing, token_counts
+from graphloom.llm import decontaminate, host_rules, line_dedup, mixing, token_counts
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.query,
     "op4_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_host_rules": host_rules.query,
 }
 
 ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
     "op10_host_rules": host_rules.ORACLE,
 }
