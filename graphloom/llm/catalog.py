@@ -1,12 +1,13 @@
 """Queries of the corpus operators and, where SQL can express one, its DuckDB oracle."""
 
-from graphloom.llm import decontaminate, host_rules, line_dedup, mixing, quality, token_counts, toxicity
+from graphloom.llm import decontaminate, host_rules, line_dedup, mixing, near_dedup, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op3_decontaminate": decontaminate.query,
     "op4_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
+    "op6_near_dedup": near_dedup.query,
     "op8_quality": quality.query,
     "op9_line_dedup": line_dedup.query,
     "op10_host_rules": host_rules.query,
