@@ -61,7 +61,7 @@ class Rolling:
     """Hashes of any substring of a byte array, by prefix sums of random byte values times powers mod 2**64."""
 
     def __init__(self, seed: int):
-        base = mix64(np.arange(1, 258, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15 % 2**64 >> 1))
+        base = mix64(np.arange(1, 258, dtype=np.uint64) + np.uint64(seed << 32))
         self.values, self.step = base[:256], int(base[256]) | 1
         self.inverse = pow(self.step, -1, 2**64)
         self.powers = np.ones(1, np.uint64)
@@ -71,10 +71,9 @@ class Rolling:
         """P with P[i] the sum over data[:i]; feed it to ``at``."""
         n = len(data)
         if len(self.powers) <= n:
-            size = max(n + 1, 1 << 16)
-            with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.concatenate([[1], np.full(size, self.step, np.uint64)]).astype(np.uint64))
-                self.inverses = np.cumprod(np.concatenate([[1], np.full(size, self.inverse, np.uint64)]).astype(np.uint64))
+            steps = np.ones((2, max(n + 2, 1 << 16)), np.uint64)
+            steps[:, 1:] = np.array([[self.step], [self.inverse]], np.uint64)
+            self.powers, self.inverses = np.cumprod(steps, axis=1, dtype=np.uint64)
         out = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(self.values[data] * self.powers[:n], out=out[1:])
