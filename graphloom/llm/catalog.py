@@ -1,9 +1,10 @@
 """Queries of the corpus operators and, where SQL can express one, its DuckDB oracle."""
 
-from graphloom.llm import decontaminate, host_rules, line_dedup, mixing, near_dedup, quality, token_counts, toxicity
+from graphloom.llm import decontaminate, host_rules, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_decontaminate": decontaminate.query,
     "op4_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
