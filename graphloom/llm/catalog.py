@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express one, its DuckDB oracle."""
 
-from graphloom.llm import decontaminate, host_rules, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity
+from graphloom.llm import decontaminate, host_rules, html_text, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_token_counts": token_counts.query,
     "op5_mix_sources": mixing.query,
     "op6_near_dedup": near_dedup.query,
+    "op7_html_text": html_text.query,
     "op8_quality": quality.query,
     "op9_line_dedup": line_dedup.query,
     "op10_host_rules": host_rules.query,
