@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a side is broadcast once it has been counted; beyond it the plan joins by shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Partitions over which the rows of a hot key are spread.
+SALTS = 64
+
 #: A word of whole-text counts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,9 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are no longer referenced, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files whose plans are no longer referenced, before the next large shuffle.
+
+    Twice: the first round frees the plans that Python held, the second what only those plans held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def hint_small(side: DataFrame, rows: int) -> DataFrame:
@@ -44,6 +53,23 @@ def hint_small(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+def join_counted(left: DataFrame, counted: DataFrame, key: str, least: int = 1_000, share: int = 2_000) -> DataFrame:
+    """``left`` joined with ``counted``, which has one row per key and in ``n`` the rows of ``left`` with that key.
+
+    Keys with more than a ``share``-th of all rows (and more than ``least``) are spread over ``SALTS`` partitions. There
+    are at most ``share`` of them, so that many are broadcast to mark them; other keys are joined as they are.
+    """
+    counted = cut(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.filter(F.col("n") > max(least, total // share)).select(F.col(key).alias("hot_key"))
+    salts = F.when(F.col("n") > max(least, total // share), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = counted.withColumn("salt", F.explode(salts)).drop("n")
+    spread = F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(SALTS)).cast("int")
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    salted = marked.withColumn("salt", F.when(F.col("hot_key").isNull(), F.lit(0)).otherwise(spread)).drop("hot_key")
+    return salted.join(right, [key, "salt"]).drop("salt")
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column's text, mod ``modulus``; null stays null."""
     return F.crc32(F.col(column).cast("string")) % modulus
@@ -67,13 +93,17 @@ class Rolling:
         self.powers = np.ones(1, np.uint64)
         self.inverses = np.ones(1, np.uint64)
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        """P with P[i] the sum over data[:i]; feed it to ``at``."""
-        n = len(data)
+    def _grow(self, n: int) -> None:
+        """Powers for arrays of up to ``n`` bytes; a copy of this object that a task got may start without them."""
         if len(self.powers) <= n:
             steps = np.ones((2, max(n + 2, 1 << 16)), np.uint64)
             steps[:, 1:] = np.array([[self.step], [self.inverse]], np.uint64)
             self.powers, self.inverses = np.cumprod(steps, axis=1, dtype=np.uint64)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """P with P[i] the sum over data[:i]; feed it to ``at``."""
+        n = len(data)
+        self._grow(n)
         out = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(self.values[data] * self.powers[:n], out=out[1:])
@@ -81,5 +111,6 @@ class Rolling:
 
     def at(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the substrings [start, end), mixed so that all bits are usable."""
+        self._grow(len(prefix))
         with np.errstate(over="ignore"):
             return mix64((prefix[end] - prefix[start]) * self.inverses[start])

@@ -8,8 +8,9 @@ suffixes to that depth, a bucket of them at a time:
    equal sampled strings of LENGTH - PERIOD + 1 bytes at one shift. Sampled strings are named by hashes, dealt into
    buckets by name and sorted there, one bucket at a time; only names held twice keep a rank.
 2. The suffixes. A suffix can only tie with another if a sampled position with a rank lies at one of its first PERIOD
-   shifts. Only those suffixes are dealt out, by the hash of their first LENGTH bytes, and sorted a bucket at a time;
-   of equal ones all but the earliest are marked, and marks are joined into maximal runs.
+   shifts. Only those suffixes are dealt out, by the least gram of their first LENGTH bytes, so that runs of neighbours
+   travel as one string. They are sorted a bucket at a time; of equal ones all but the earliest are marked, and marks
+   are joined into maximal runs.
 
 Both sorts combine what a block of documents holds before the shuffle: of equal strings a block sends one, so a string
 that every document holds costs a row per block. Buckets grow in number with the corpus, so the memory of a task
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,11 @@ LENGTH = 100
 #: A difference cover: every remainder mod PERIOD is a difference of two of these (each but 0 of exactly one pair).
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+#: Bytes of the grams whose least hash deals a suffix to its bucket.
+GRAM = 16
 BUCKET_BYTES = 32 << 20
+#: Bytes of text, about, of a block, and of what is hashed at a time.
+BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
 LAST = 2**63 - 1
 
@@ -72,6 +78,20 @@ def unpack_rising(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint16 if data[0] == 2 else np.int64, offset=1), dtype=np.int64)
 
 
+def pack_spans(numbers: np.ndarray) -> bytes:
+    """Rising whole numbers as runs of consecutive ones."""
+    opens = np.ones(len(numbers), bool)
+    opens[1:] = numbers[1:] != numbers[:-1] + 1
+    at = np.flatnonzero(opens)
+    return pack(np.frombuffer(pack_rising(numbers[at]), np.uint8), np.diff(np.append(at, len(numbers))).astype(np.uint32))
+
+
+def unpack_spans(data: bytes) -> np.ndarray:
+    starts, sizes = unpack(data, "u1", "u4")
+    owner, number = _flat(sizes.astype(np.int64))
+    return unpack_rising(starts.tobytes())[owner] + number
+
+
 def sample_count(size: np.ndarray, width: int = LENGTH - PERIOD + 1) -> np.ndarray:
     """How many sampled strings a text of so many bytes has; none if it is too short for a string of LENGTH."""
     places = np.where(size >= LENGTH, size - width + 1, 0)
@@ -152,6 +172,17 @@ def _head(block: bytes, n: int) -> int:
     return -1 - int.from_bytes(block[:4], "big") % n
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none has much more than BLOCK_BYTES of text, unless one text has."""
+    for batch in batches:
+        ends, start = np.cumsum(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False)), 0
+        while start < batch.num_rows:
+            low = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.as_py() for t in batch.column("body")]
 
@@ -161,7 +192,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 def _cover_messages(n: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             orders, contents, texts = batch.column("o").to_numpy(), batch.column("m").to_pylist(), _texts(batch)
             block, names = _block_id(orders, contents), sample_names(texts)
             order = np.argsort(names, kind="stable")
@@ -173,7 +204,7 @@ def _cover_messages(n: int, kind: str):
             sizes = np.array([len(t) for t in texts], np.int64)
 
             def rows(block=block, names=names, sent=sent, repeated=repeated, orders=orders, contents=contents, sizes=sizes):
-                yield _head(block, n), block, pack(orders, sizes, np.frombuffer("".join(contents).encode(), np.uint8), repeated)
+                yield _head(block, n), block, pack(orders, sizes, np.frombuffer("".join(contents).encode(), np.uint8), np.frombuffer(pack_rising(repeated), np.uint8))
                 chosen = names[sent]
                 # the low half of a name picks the bucket, the high half is what is compared there
                 kept = (chosen >> np.uint64(32)).astype(np.uint32) if kind == "u4" else chosen
@@ -184,12 +215,12 @@ def _cover_messages(n: int, kind: str):
     return run
 
 
-def _answers(block_ids: list[bytes], buckets, block: np.ndarray, number: np.ndarray) -> pa.Table:
+def _answers(block_ids: list[bytes], buckets: int, block: np.ndarray, number: np.ndarray, coded=pack_rising) -> pa.Table:
     """For each block the numbers that are marked, rising."""
     order = np.lexsort((number, block))
     block, number = block[order], number[order]
     bounds = np.searchsorted(block, np.arange(len(block_ids) + 1))
-    rows = [(buckets, block_ids[b], pack_rising(number[bounds[b] : bounds[b + 1]])) for b in range(len(block_ids)) if bounds[b] < bounds[b + 1]]
+    rows = [(buckets, block_ids[b], coded(number[bounds[b] : bounds[b + 1]])) for b in range(len(block_ids)) if bounds[b] < bounds[b + 1]]
     return pa.Table.from_batches([_messages(rows)])
 
 
@@ -223,11 +254,11 @@ def _cover_decode(group: pa.Table) -> pa.Table:
     marked, head = [], None
     for bucket, payload in zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True):
         if bucket < 0:
-            head = unpack(payload, "i8", "i8", "u1", "i8")
+            head = unpack(payload, "i8", "i8", "u1", "u1")
         else:
             marked.append(unpack_rising(payload))
     orders, sizes, contents, repeated = head
-    numbers = np.unique(np.concatenate([repeated, *marked]))
+    numbers = np.unique(np.concatenate([unpack_rising(repeated.tobytes()), *marked]))
     counts = sample_count(sizes)
     ends = np.cumsum(counts)
     owner = np.searchsorted(ends, numbers, side="right")
@@ -250,12 +281,29 @@ def candidate_mask(size: int, ranked: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def least_gram(prefix: np.ndarray, size: int) -> np.ndarray:
+    """For each suffix of a byte array, the least hash of a gram of ``GRAM`` bytes in its first LENGTH bytes."""
+    at = np.arange(size - GRAM + 1)
+    least, width, wanted = _A.at(prefix, at, at + GRAM), 1, LENGTH - GRAM + 1
+    while width < wanted:
+        step = min(width, wanted - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return least
+
+
 def _suffix_messages(n: int):
+    """Deal out the candidate suffixes of each block.
+
+    Suffixes with one least gram go to one bucket. Neighbours mostly share it, so they travel as one string: a run of
+    suffixes costs a byte for each, and LENGTH - 1 more.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             orders, contents, texts = batch.column("o").to_numpy(), batch.column("m").to_pylist(), _texts(batch)
             ranked = batch.column("ranked")
-            run_doc, run_start, run_size, first_hash, second_hash = [], [], [], [], []
+            run_doc, run_start, run_size, first_hash, second_hash, grams = [], [], [], [], [], []
             for start, end in _slices(texts):
                 data = np.frombuffer(b"".join(texts[start:end]), np.uint8)
                 at, base = [np.zeros(0, np.int64)], 0
@@ -270,39 +318,62 @@ def _suffix_messages(n: int):
                         at.append(np.flatnonzero(mask) + base)
                     base += size
                 at = np.concatenate(at)
-                first_hash.append(_A.at(_A.prefix(data), at, at + LENGTH))
-                second_hash.append((_B.at(_B.prefix(data), at, at + LENGTH) >> np.uint64(32)).astype(np.uint32))
+                if len(at):
+                    prefix = _A.prefix(data)
+                    first_hash.append(_A.at(prefix, at, at + LENGTH))
+                    grams.append(least_gram(prefix, len(data))[at])
+                    second_hash.append((_B.at(_B.prefix(data), at, at + LENGTH) >> np.uint64(32)).astype(np.uint32))
             join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
             run_doc, run_start, run_size = join(run_doc, np.int64), join(run_start, np.int64), join(run_size, np.int64)
-            h, g = join(first_hash, np.uint64), join(second_hash, np.uint32)
-            doc = np.repeat(run_doc, run_size)
+            h, g, gram = join(first_hash, np.uint64), join(second_hash, np.uint32), join(grams, np.uint64)
+            owner, number = _flat(run_size)
+            doc, position = run_doc[owner].astype(np.int32), (run_start[owner] + number).astype(np.int64)
+            del owner, number, first_hash, second_hash, grams
             block = _block_id(orders, contents)
             # equal suffixes of the block, by order of their documents, then by position
-            order = np.lexsort((np.arange(len(h)), orders[doc], g, h))
-            hs, gs, os, ds = h[order], g[order], orders[doc][order], doc[order]
+            order = np.lexsort((orders[doc], g, h))  # stable, so by position within a document
             first = np.ones(len(order), bool)
-            first[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
-            group = np.cumsum(first) - 1
-            earliest = os == os[first][group] if len(order) else first
-            own_first = first.copy()
-            own_first[1:] |= ds[1:] != ds[:-1]
-            sent = np.sort(order[earliest & own_first])
-            marked = np.sort(order[~(earliest & own_first)])
-
-            def rows(block=block, h=h, g=g, sent=sent, marked=marked, orders=orders, contents=contents, doc=doc, run=(run_doc, run_start, run_size)):
-                yield _head(block, n), block, pack(orders, np.frombuffer("".join(contents).encode(), np.uint8), *run, marked)
+            first[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+            del h, g
+            held_by, rank = doc[order], orders[doc][order]
+            earliest = rank == rank[first][np.cumsum(first) - 1] if len(order) else first
+            first[1:] |= held_by[1:] != held_by[:-1]
+            sent, marked = np.sort(order[earliest & first]), np.sort(order[~(earliest & first)])
+            del order, held_by, rank, earliest
+            opens = np.ones(len(sent), bool)
+            opens[1:] = (sent[1:] != sent[:-1] + 1) | (position[sent[1:]] != position[sent[:-1]] + 1) | (doc[sent[1:]] != doc[sent[:-1]]) | (gram[sent[1:]] != gram[sent[:-1]])
+            at = np.flatnonzero(opens)
+            leads, sizes = sent[at], np.diff(np.append(at, len(sent)))
+
+            def rows(block=block, orders=orders, contents=contents, texts=texts, leads=leads, sizes=sizes, doc=doc[leads], position=position[leads], gram=gram[leads], marked=marked, run=(run_doc, run_start, run_size)):
+                yield _head(block, n), block, pack(orders, np.frombuffer("".join(contents).encode(), np.uint8), *run, np.frombuffer(pack_spans(marked), np.uint8))
 
                 def payload(at: np.ndarray) -> bytes:
-                    owners, counts = np.unique(doc[sent[at]], return_counts=True)
-                    return pack(h[sent[at]], g[sent[at]], orders[owners], counts.astype(np.uint32), np.frombuffer(pack_rising(sent[at]), np.uint8))
+                    held = b"".join([texts[d][p : p + c + LENGTH - 1] for d, p, c in zip(doc[at].tolist(), position[at].tolist(), sizes[at].tolist(), strict=True)])
+                    owners, counts = np.unique(doc[at], return_counts=True)
+                    return pack(sizes[at].astype(np.uint32), orders[owners], counts.astype(np.uint32), np.frombuffer(pack_rising(leads[at]), np.uint8), np.frombuffer(held, np.uint8))
 
-                yield from _bucket_rows(block, ((h[sent] >> np.uint64(20)) % np.uint64(n)).astype(np.int64), n, payload)
+                yield from _bucket_rows(block, ((gram >> np.uint64(20)) % np.uint64(n)).astype(np.int64), n, payload)
 
             yield from _chunks(rows())
 
     return run
 
 
+def _suffix_hashes(sizes: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the suffixes in strings that stand one after the other, with so many suffixes each."""
+    ends = np.cumsum(sizes + LENGTH - 1)
+    k = 0
+    while k < len(sizes):
+        low = int(ends[k - 1]) if k else 0
+        last = max(k + 1, int(np.searchsorted(ends, low + SLICE_BYTES)))
+        part = data[low : int(ends[last - 1])]
+        owner, number = _flat(sizes[k:last])
+        at = (ends[k:last] - low - sizes[k:last] - LENGTH + 1)[owner] + number
+        yield _A.at(_A.prefix(part), at, at + LENGTH), (_B.at(_B.prefix(part), at, at + LENGTH) >> np.uint64(32)).astype(np.uint32)
+        k = last
+
+
 def _suffix_ranks(group: pa.Table) -> pa.Table:
     """Sort one bucket of suffixes; answer each block with those that another document of smaller order also has."""
     bucket = group.column("bucket")[0].as_py()
@@ -310,16 +381,19 @@ def _suffix_ranks(group: pa.Table) -> pa.Table:
         return group
     ids, parts = [], []
     for i, (block, payload) in enumerate(zip(group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True)):
-        h, g, owners, counts, number = unpack(payload, "u8", "u4", "i8", "u4", "u1")
+        sizes, owners, counts, leads, data = unpack(payload, "u4", "i8", "u4", "u1", "u1")
+        sizes = sizes.astype(np.int64)
+        owner, number = _flat(sizes)
         ids.append(block)
-        parts.append((h, g, np.repeat(owners, counts), np.full(len(h), i, np.int32), unpack_rising(number.tobytes())))
+        h, g = (np.concatenate(x) for x in zip(*_suffix_hashes(sizes, data), strict=True))
+        parts.append((h, g, np.repeat(owners, counts)[owner], np.full(len(h), i, np.int32), unpack_rising(leads.tobytes())[owner] + number))
     h, g, orders, blocks, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((orders, g, h))
     first = np.ones(len(order), bool)
     first[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
     later = np.zeros(len(order), bool)
     later[order] = orders[order] > orders[order][first][np.cumsum(first) - 1]
-    return _answers(ids, bucket, blocks[later], numbers[later])
+    return _answers(ids, bucket, blocks[later], numbers[later], pack_spans)
 
 
 def _suffix_decode(group: pa.Table) -> pa.Table:
@@ -327,11 +401,11 @@ def _suffix_decode(group: pa.Table) -> pa.Table:
     marked, head = [], None
     for bucket, payload in zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True):
         if bucket < 0:
-            head = unpack(payload, "i8", "u1", "i8", "i8", "i8", "i8")
+            head = unpack(payload, "i8", "u1", "i8", "i8", "i8", "u1")
         else:
-            marked.append(unpack_rising(payload))
+            marked.append(unpack_spans(payload))
     orders, contents, run_doc, run_start, run_size, own = head
-    numbers = np.unique(np.concatenate([own, *marked]))
+    numbers = np.unique(np.concatenate([unpack_spans(own.tobytes()), *marked]))
     ends = np.cumsum(run_size)
     at = np.searchsorted(ends, numbers, side="right")
     position, doc = run_start[at] + numbers - (ends - run_size)[at], run_doc[at]
