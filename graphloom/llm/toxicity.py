@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import crc_mod, table
 
-SAMPLE = 3_000
+SAMPLE = 2_000
 TRAIN_CHARS = 50_000
 FOLDS = 4
 HELD_OUT = 2
@@ -42,7 +42,8 @@ MIN_LOG_RATIO = 3.0
 SEGMENT = 64
 #: Features of fewer training tokens get no weight.
 MIN_SUPPORT = 4
-STEPS = 60
+STEPS = 50
+RIDGE = 0.5
 SLICE_CHARS = 2 << 20
 CACHE_WORDS = 500_000
 
@@ -118,75 +119,71 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) ->
     return odds / (1 + odds), pairs
 
 
-def label_tokens(texts: Sequence[list[str]], toxic: np.ndarray) -> tuple[list[np.ndarray], set[str]]:
-    """0/1 per token, and the marking features: words or prefixes that toxic documents have far more often."""
-    held, groups = {True: Counter(), False: Counter()}, set()
-    n_bad = n_good = 0
-    for words, bad in zip(texts, toxic, strict=True):
-        distinct = set(words)
-        copy = (bool(bad), *sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in distinct)[:3])
-        if copy in groups:
-            continue
-        groups.add(copy)
-        n_bad, n_good = n_bad + bool(bad), n_good + (not bad)
-        held[bool(bad)].update({f for w in distinct for f in token_features(w) if f[0] != "s"})
+class Words:
+    """Tokenised texts as numbers of distinct words, to keep the driver's share small."""
+
+    def __init__(self, texts: Sequence[str | None]):
+        index: dict[str, int] = {}
+        self.texts = [np.fromiter((index.setdefault(w, len(index)) for w in tokens_of(t)), np.int32) for t in texts]
+        self.words = list(index)
+
+
+def label_tokens(corpus: Words, toxic: np.ndarray) -> list[np.ndarray]:
+    """0/1 per token: in toxic documents, tokens with a word or prefix that those have far more often."""
+    checks = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in corpus.words], np.int64)
+    groups, distinct = set(), {True: [], False: []}
+    for text, bad in zip(corpus.texts, toxic.tolist(), strict=True):
+        words = np.unique(text)
+        copy = (bad, *np.sort(checks[words])[:3].tolist())
+        if copy not in groups:
+            groups.add(copy)
+            distinct[bad].append(words)
+    n_bad, n_good = len(distinct[True]), len(distinct[False])
+    held = Counter(f for words in distinct[True] for f in {f for w in words.tolist() for f in token_features(corpus.words[w]) if f[0] != "s"})
     least = max(MIN_TOXIC_DOCS, MIN_TOXIC_SHARE * n_bad)
-    ratio = lambda f, c: np.log((c + 0.5) / (n_bad + 1)) - np.log((held[False][f] + 0.5) / (n_good + 1))
-    marks = {f for f, c in held[True].items() if c >= least and ratio(f, c) >= MIN_LOG_RATIO}
-    marked: dict[str, bool] = {}
-    out = []
-    for words, bad in zip(texts, toxic, strict=True):
-        if not bad:
-            out.append(np.zeros(len(words), np.int64))
-            continue
-        for w in words:
-            if w not in marked:
-                marked[w] = any(f in marks for f in token_features(w))
-        out.append(np.fromiter((marked[w] for w in words), np.int64, len(words)))
-    return out, marks
-
-
-def fit_chain(texts: Sequence[list[str]], tags: Sequence[np.ndarray], steps: int = STEPS) -> Chain:
+    held = {f: c for f, c in held.items() if c >= least}
+    clean: Counter[str] = Counter()
+    for words in distinct[False]:
+        clean.update({f for w in words.tolist() for f in token_features(corpus.words[w]) if f in held})
+    marks = {f for f, c in held.items() if np.log((c + 0.5) / (n_bad + 1)) - np.log((clean[f] + 0.5) / (n_good + 1)) >= MIN_LOG_RATIO}
+    marked = np.array([any(f in marks for f in token_features(w)) for w in corpus.words], np.int64)
+    return [marked[t] if bad else np.zeros(len(t), np.int64) for t, bad in zip(corpus.texts, toxic, strict=True)]
+
+
+def fit_chain(corpus: Words, tags: Sequence[np.ndarray], steps: int = STEPS) -> Chain:
     """Maximum likelihood with a ridge, by Adam over segments: all that hold a toxic token, and four others for each."""
     hot, cold = [], []
-    for words, tag in zip(texts, tags, strict=True):
-        for a in range(0, len(words), SEGMENT):
-            (hot if tag[a : a + SEGMENT].any() else cold).append((words[a : a + SEGMENT], tag[a : a + SEGMENT]))
-    keep = cold[:: max(1, len(cold) // max(1, 4 * len(hot)))]
-    parts = hot + keep
-    words = [w for p, _ in parts for w in p]
-    y = np.concatenate([t for _, t in parts])
+    for text, tag in zip(corpus.texts, tags, strict=True):
+        for a in range(0, len(text), SEGMENT):
+            (hot if tag[a : a + SEGMENT].any() else cold).append((text[a : a + SEGMENT], tag[a : a + SEGMENT]))
+    parts = hot + cold[:: max(1, len(cold) // max(1, 4 * len(hot)))]
+    word, y = np.concatenate([p for p, _ in parts]), np.concatenate([t for _, t in parts])
     lengths = np.array([len(p) for p, _ in parts])
-    index: dict[str, int] = {}
-    vocabulary: dict[str, list[int]] = {}
-    for w in words:
-        if w not in vocabulary:
-            vocabulary[w] = [index.setdefault(f, len(index)) for f in token_features(w)]
-    token, feature = [], []
-    often = Counter(words)
-    support = Counter()
-    for w, numbers in vocabulary.items():
-        for f in numbers:
-            support[f] += often[w]
-    vocabulary = {w: [f for f in numbers if support[f] >= MIN_SUPPORT] for w, numbers in vocabulary.items()}
-    for i, w in enumerate(words):
-        token += [i] * len(vocabulary[w])
-        feature += vocabulary[w]
-    token, feature = np.array(token, np.int64), np.array(feature, np.int64)
-    pair_seen = np.zeros((2, 2))
-    ends = np.cumsum(lengths) - 1
+    often = np.bincount(word, minlength=len(corpus.words))
+    support: Counter[str] = Counter()
+    for w in np.flatnonzero(often).tolist():
+        for f in token_features(corpus.words[w]):
+            support[f] += int(often[w])
+    index = {f: i for i, f in enumerate(f for f, c in support.items() if c >= MIN_SUPPORT)}
+    del support
+    of_word, feature = [], []
+    for w in np.flatnonzero(often).tolist():
+        for f in token_features(corpus.words[w]):
+            if f in index:
+                of_word.append(w)
+                feature.append(index[f])
+    of_word, feature = np.array(of_word, np.int64), np.array(feature, np.int64)
     inner = np.ones(len(y), bool)
-    inner[ends] = False
+    inner[np.cumsum(lengths) - 1] = False
     at = np.flatnonzero(inner)
-    np.add.at(pair_seen, (y[at], y[at + 1]), 1)
+    pair_seen = np.bincount(2 * y[at] + y[at + 1], minlength=4).astype(float)
     theta = np.zeros(len(index) + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    ridge = 0.5
     for step in range(1, steps + 1):
-        emissions = theta[len(index)] + np.bincount(token, theta[feature], len(y))
-        p, pairs = marginals(emissions, lengths, theta[-4:].reshape(2, 2))
-        error = y - p
-        grad = np.concatenate([np.bincount(feature, error[token], len(index)), [error.sum()], (pair_seen - pairs).ravel()]) - ridge * theta
+        strength = np.bincount(of_word, theta[feature], len(often)) + theta[len(index)]
+        p, pairs = marginals(strength[word], lengths, theta[-4:].reshape(2, 2))
+        error = np.bincount(word, y - p, len(often))
+        grad = np.concatenate([np.bincount(feature, error[of_word], len(index)), [error.sum()], pair_seen - pairs.ravel()]) - RIDGE * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     weights = {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 1e-3}
@@ -205,14 +202,18 @@ def fit(texts: Sequence[str | None], toxic: Sequence[int]) -> Chain:
     toxic = np.array(toxic, bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return Chain()
-    words = [tokens_of(t) for t in texts]
-    tags, marks = label_tokens(words, toxic)
+    corpus = Words(texts)
+    tags = label_tokens(corpus, toxic)
     if not any(t.any() for t in tags):
         return Chain()
-    chain, cache = fit_chain(words, tags), {}
-    lengths = np.array([len(w) for w in words])
-    p, _ = marginals(chain.emissions([w for ws in words for w in ws], cache), lengths, chain.moves)
-    x = np.array([evidence(q) for q in np.split(p, np.cumsum(lengths)[:-1])])
+    chain = fit_chain(corpus, tags)
+    strength, x = chain.emissions(corpus.words, {}), []
+    for start in range(0, len(corpus.texts), 200):
+        part = corpus.texts[start : start + 200]
+        lengths = np.array([len(t) for t in part])
+        p, _ = marginals(strength[np.concatenate(part)], lengths, chain.moves)
+        x += [evidence(q) for q in np.split(p, np.cumsum(lengths)[:-1])]
+    x = np.array(x)
     y, beta = toxic.astype(float), np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps of a ridge logistic fit
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
