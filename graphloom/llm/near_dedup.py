@@ -7,9 +7,10 @@ total weight, so about K ln K + 2 K darts fall whatever its size. Each dart belo
 and the earliest dart of each coordinate is kept; two documents agree in a coordinate with the probability of their
 weighted Jaccard similarity. Bands of ``ROWS`` coordinates are joined; candidates are then compared exactly.
 
-Copies: texts with the same words are one node from the start. Within a band bucket, members are compared with the
-bucket's least and greatest node, never with each other; links make components; then, where members of one bucket are
-still in different components, those are compared across components, until no bucket yields a new link.
+Copies: texts with the same words are one node from the start. The members of a band bucket are compared with each
+other inside a task, by products of their element matrices, in blocks whose size is bounded; a task returns a spanning
+forest of the similar pairs it finds, so at most a row per member, however many pairs there are. No link is lost: the
+forests of all buckets have the components of all links. Their edges are checked once more on 64-bit elements.
 
 Defined results: words are lower-cased runs of letters, digits and non-ASCII characters; a text of one to four words is
 one shingle; a text without words is in a class by itself; the class is the smallest doc_id in it (null only if all
@@ -35,7 +36,10 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
 SLICE_BYTES = 1 << 20
-ROUNDS = 8
+#: Most members or elements, about, of a block of a band bucket, and columns of an element matrix at a time.
+BLOCK = 512
+BLOCK_ELEMENTS = 1_000_000
+COLUMNS = 2_048
 
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -180,46 +184,84 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) ->
     return both.withColumn("shared", shared).filter(F.col("shared") >= threshold * (F.size("ea") + F.size("eb") - F.col("shared"))).select("a", "b")
 
 
-def _could_match(threshold: float):
-    """Sets of sizes na and nb can't be similar unless the sizes are."""
-    return (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+def forest(similar_pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    n, edges = len(similar_pairs), []
+    unseen = np.ones(n, bool)
+    for root in range(n):
+        if unseen[root]:
+            unseen[root] = False
+            level = np.array([root])
+            while len(level):
+                near = similar_pairs[level] & unseen
+                reached = np.flatnonzero(near.any(axis=0))
+                edges += list(zip(level[near[:, reached].argmax(axis=0)].tolist(), reached.tolist(), strict=True))
+                unseen[reached] = False
+                level = reached
+    return edges
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = held[column] > 1
+    row, column = row[kept], (np.cumsum(held > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    last = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, last, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _bucket_links(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        keys = group.column("key").to_pylist()
+        sets = [x.values.to_numpy() for x in group.column("elements").combine_chunks()] if len(keys) > 1 else []
+        edges = []
+        if sets:
+            size = np.array([len(x) for x in sets], np.float32)
+            shared = shared_counts(sets)
+            near = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-3
+            edges = [tuple(sorted((keys[a], keys[b]))) for a, b in forest(near)]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
+
+    return run
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size and key of every document; the table is a checkpoint of small rows."""
+    """doc_id, class_id, class_size and key of every document.
+
+    A bucket is cut into blocks of about ``BLOCK`` members or ``BLOCK_ELEMENTS`` elements; a task sees two blocks.
+    """
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     made = cut(nodes(read, bands=bands, rows=rows))
     distinct = made.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     entries = distinct.select("key", "rep", "weight", F.posexplode("bands").alias("band", "h"))
-    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("members"), F.min(F.struct("key", "weight")).alias("low"), F.max(F.struct("key", "weight")).alias("high")).filter("members > 1").drop("members")
-    shared = cut(entries.join(buckets, ["band", "h"]))
-    ends = F.explode(F.array("low", "high"))
-    pairs = shared.select("key", F.col("weight").alias("nb"), ends.alias("end")).select(F.col("end.key").alias("a"), F.col("key").alias("b"), F.col("end.weight").alias("na"), "nb").filter(F.col("a") != F.col("b"))
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.filter(_could_match(threshold)).select(*ordered).distinct())
-    held = shared.select("key", "rep", "weight").distinct()
-    held = cut(held)
-    sets = element_sets(read, held, held.count())
-    links = cut(similar(pairs, sets, threshold))
-    tested, roots = pairs, cut(components(links))
-    for _ in range(ROUNDS):
-        placed = shared.select("band", "h", "key", "weight").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = placed.groupBy("band", "h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "h")
-        rest = placed.join(mixed, ["band", "h"])
-        other = rest.select("band", "h", F.col("key").alias("b"), F.col("weight").alias("nb"), F.col("root").alias("rb"))
-        across = rest.select("band", "h", F.col("key").alias("a"), F.col("weight").alias("na"), F.col("root").alias("ra")).join(other, ["band", "h"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _could_match(threshold))
-        fresh = cut(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        more = cut(similar(fresh, sets, threshold))
-        tested = tested.unionByName(fresh)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        roots = cut(components(links))
+    cuts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / BLOCK_ELEMENTS)).cast("int")
+    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("members"), cuts.alias("blocks")).filter("members > 1").drop("members")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda j: F.struct(F.col("band").alias("band"), F.col("h").alias("h"), F.least(block, j).alias("low"), F.greatest(block, j).alias("high")))
+    places = entries.join(buckets, ["band", "h"]).select("key", "rep", pairs.alias("pairs"))
+    places = cut(places.groupBy("key").agg(F.first("rep").alias("rep"), F.flatten(F.collect_list("pairs")).alias("pairs")))
+    sets = element_sets(read, places.select("key", "rep"), places.count())
+    short = F.transform("elements", lambda x: F.shiftright(x, 32).cast("int"))
+    dealt = places.select("key", "pairs").join(sets.select("key", short.alias("elements")), "key").select("key", "elements", F.explode("pairs").alias("pair")).select("key", "elements", "pair.*")
+    found = cut(dealt.groupBy("band", "h", "low", "high").applyInArrow(_bucket_links(threshold), "a binary, b binary").distinct())
+    ends = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ends = cut(places.select("key", "rep").join(ends, "key", "left_semi"))
+    links = similar(found, element_sets(read, ends, ends.count()), threshold)
+    roots = cut(components(links))
     named = made.select("doc_id", "key").join(roots.withColumnRenamed("root", "found"), "key", "left").withColumn("root", F.coalesce("found", "key"))
     sizes = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_doc"), F.count("*").alias("class_rows")).filter("class_rows > 1")
-    joined = named.join(sizes, "root", "left")
+    sizes = cut(sizes)
+    joined = named.join(hint_small(sizes, sizes.count()), "root", "left")
     return joined.select("doc_id", F.coalesce("class_doc", "doc_id").alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_size"), "key")
 
 
