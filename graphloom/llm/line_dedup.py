@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import join_counted, table
 
 GRAM = 1
 WINDOW = 2
@@ -52,13 +52,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gr
 
 def repeated_runs(prints: DataFrame) -> DataFrame:
     """doc_id, row and the starts of the runs that also start earlier."""
-    shared = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    runs = prints.join(shared, "fingerprint").select("doc_id", "row", F.explode("runs").alias("run")).select("doc_id", "row", "run.*")
+    shared = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1")
+    runs = join_counted(prints, shared, "fingerprint").select("doc_id", "row", F.explode("runs").alias("run")).select("doc_id", "row", "run.*")
     own = runs.groupBy("lines", "doc_id", "row").agg(F.collect_set("start").alias("starts"), F.min("start").alias("own_first"))
-    first = own.groupBy("lines").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("holders"), F.max(F.size("starts")).alias("most")).filter("holders > 1 OR most > 1").select("lines", "first_doc")
+    first = own.groupBy("lines").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.max(F.size("starts")).alias("most")).filter("n > 1 OR most > 1").select("lines", "first_doc", "n")
     later = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.col("doc_id").isNull() & F.col("first_doc").isNotNull())
     starts = F.when(later, F.col("starts")).otherwise(F.filter("starts", lambda s: s > F.col("own_first")))
-    found = own.join(first, "lines").select("doc_id", "row", starts.alias("starts")).filter(F.size("starts") > 0)
+    found = join_counted(own, first, "lines").select("doc_id", "row", starts.alias("starts")).filter(F.size("starts") > 0)
     return found.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
