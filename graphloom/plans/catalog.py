@@ -1,4 +1,439 @@
-"""Registered graph queries and their DuckDB oracles."""
+"""Registered graph queries over the projected tables, each with the DuckDB SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions import columns as C
+from graphloom.operators import journal, lookup, mesh, text, traverse
+from graphloom.plans import estate
+from graphloom.sources import projection as P
+
+SUPPLIER, ORDER, PART = "party://supplier/party.supplier.7", "sales://order/sales.order.33", "catalog://part/catalog.part.11"
+PREFIX = P.GRAPH_SQL
+BLAST, REACH = C.relations("depends"), C.relations("reaches")
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, graph: bool = True):
+    """Register a query under its function's name, with its oracle; graph oracles get the projection in front."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = (PREFIX + oracle) if graph else oracle
+        return f
+
+    return add
+
+
+def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "seed string")
+
+
+def _list(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+# ---- estate and census -----------------------------------------------------------------------------------------------
+
+
+@query(" SELECT split_part(src, '://', 1) AS corpus, split_part(dst, '://', 1) AS other, count(*) AS n FROM edges WHERE split_part(src, '://', 1) <> split_part(dst, '://', 1) GROUP BY ALL")
+def estate_cross_corpus(spark, sf_dir):
+    return estate.sql(spark, sf_dir, "SELECT a.corpus, a.dst_corpus AS other, count(*) AS n FROM adj a WHERE a.corpus <> a.dst_corpus GROUP BY a.corpus, a.dst_corpus")
+
+
+@query(" SELECT split_part(src, '://', 1) AS corpus, count(*) AS n, count(DISTINCT dst) AS targets FROM triples GROUP BY 1")
+def estate_edges_per_corpus(spark, sf_dir):
+    return lookup.triples(P.edges(spark, sf_dir)).groupBy(C.scheme(F.col("src")).alias("corpus")).agg(F.count("*").alias("n"), F.count_distinct("dst").alias("targets"))
+
+
+@query(" SELECT id, split_part(id, '://', 1) AS scheme, regexp_extract(id, '^[^:]+://([^/]*)/', 1) AS kind, regexp_replace(id, '^[^:]*://[^/]*/', '') AS body, list_last(string_split(id, '.')) AS last FROM nodes WHERE corpus IN ('geo', 'talk')")
+def node_forms(spark, sf_dir):
+    c = F.col("id")
+    return P.nodes(spark, sf_dir).filter("corpus IN ('geo', 'talk')").select("id", C.scheme(c).alias("scheme"), C.kind(c).alias("kind"), C.body(c).alias("body"), C.last(c).alias("last"))
+
+
+@query(" SELECT corpus, node_type, count(*) AS n FROM nodes GROUP BY ALL")
+def census_nodes(spark, sf_dir):
+    return P.nodes(spark, sf_dir).groupBy("corpus", "node_type").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT edge_type, count(*) AS instances, (SELECT count(*) FROM triples t WHERE t.edge_type = e.edge_type) AS n FROM edges e GROUP BY edge_type")
+def census_edges(spark, sf_dir):
+    found = P.edges(spark, sf_dir).groupBy("src", "dst", "edge_type").agg(F.count("*").alias("i"))
+    return found.groupBy("edge_type").agg(F.sum("i").alias("instances"), F.count("*").alias("n"))
+
+
+@query(" SELECT count(*) AS instances, CAST(count_if(a.corpus = b.corpus) AS BIGINT) AS intra, CAST(count_if(a.corpus <> b.corpus) AS BIGINT) AS cross, CAST(count_if(a.corpus IS NULL OR b.corpus IS NULL) AS BIGINT) AS unresolved FROM edges e LEFT JOIN nodes a ON e.src = a.id LEFT JOIN nodes b ON e.dst = b.id")
+def mesh_stats(spark, sf_dir):
+    return mesh.mesh_stats(P.edges(spark, sf_dir), P.nodes(spark, sf_dir))
+
+
+@query(" SELECT a.corpus AS from_corpus, b.corpus AS to_corpus, edge_type, count(*) AS hits, count(DISTINCT dst) AS targets FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.corpus <> b.corpus GROUP BY ALL")
+def seam_matrix(spark, sf_dir):
+    return mesh.seam_matrix(P.edges(spark, sf_dir), P.nodes(spark, sf_dir))
+
+
+# ---- federation ------------------------------------------------------------------------------------------------------
+
+
+def _lanes(spark, sf_dir):
+    """Nodes in two lanes: all, with stubs for customers, and customers of even key again."""
+    found = P.nodes(spark, sf_dir).filter("node_type IN ('customer', 'supplier')")
+    first = found.select("id", F.lit("a").alias("lane"), F.lit(1).alias("lane_rank"), F.lit(0).alias("seq"), (F.col("node_type") == "customer").alias("stub"))
+    return first.unionByName(found.filter("node_type = 'customer' AND CAST(name AS INT) % 2 = 0").select("id", F.lit("b").alias("lane"), F.lit(2).alias("lane_rank"), F.lit(0).alias("seq"), F.lit(False).alias("stub")))
+
+
+@query(" SELECT id, CASE WHEN node_type = 'customer' AND CAST(list_last(string_split(id, '.')) AS INT) % 2 = 0 THEN 'b' ELSE 'a' END AS lane FROM nodes WHERE node_type IN ('customer', 'supplier')")
+def ownership_dedup(spark, sf_dir):
+    return mesh.ownership(_lanes(spark, sf_dir)).select("id", "lane")
+
+
+@query(" SELECT id, CASE WHEN node_type = 'customer' AND CAST(list_last(string_split(id, '.')) AS INT) % 2 = 0 THEN 'b' ELSE 'a' END AS lane FROM nodes WHERE node_type IN ('customer', 'supplier')")
+def ownership_update(spark, sf_dir):
+    rows = _lanes(spark, sf_dir)
+    kept, new = rows.filter("lane = 'a'"), rows.filter("lane = 'b'")
+    return mesh.update(mesh.ownership(kept), kept, new, "b").select("id", "lane")
+
+
+def _broken(spark, sf_dir):
+    """The nodes without nations of odd key, so that some ends dangle."""
+    return P.nodes(spark, sf_dir).filter("NOT (node_type = 'nation' AND CAST(name AS INT) % 2 = 1)")
+
+
+_HELD = " , held AS (SELECT * FROM nodes WHERE NOT (node_type = 'nation' AND CAST(list_last(string_split(id, '.')) AS INT) % 2 = 1))"
+
+
+@query(_HELD + " SELECT edge_type, CASE WHEN h.id IS NULL THEN 'unresolved' ELSE 'ok' END AS verdict, count(*) AS n FROM edges e LEFT JOIN held h ON e.dst = h.id GROUP BY ALL")
+def endpoint_verdicts(spark, sf_dir):
+    held = _broken(spark, sf_dir)
+    schemes = held.select(C.scheme(F.col("id")).alias("scheme")).distinct()
+    return mesh.verdicts(P.edges(spark, sf_dir), held, schemes).groupBy("edge_type", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(_HELD + " SELECT edge_type, count(*) AS n FROM triples WHERE src IN (SELECT id FROM held) AND dst IN (SELECT id FROM held) GROUP BY edge_type")
+def edge_admission(spark, sf_dir):
+    held = _broken(spark, sf_dir)
+    schemes = held.select(C.scheme(F.col("id")).alias("scheme")).distinct()
+    return mesh.admitted(P.edges(spark, sf_dir), held, schemes).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(_HELD + " SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM held) GROUP BY id")
+def dangling_endpoints(spark, sf_dir):
+    return mesh.dangling(P.edges(spark, sf_dir), _broken(spark, sf_dir))
+
+
+@query("SELECT * FROM (VALUES ('core', 2)) t(scheme, n)", graph=False)
+def release_collision(spark, sf_dir):
+    pins = spark.createDataFrame([("core", "a", "1.0"), ("core", "b", "1.1"), ("web", "a", "2.0"), ("web", "b", "2.0")], "scheme string, lane string, version string")
+    return mesh.release_collisions(pins).select("scheme", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('calls', 'depends,reaches'), ('imports', 'depends')) t(edge_type, classes)", graph=False)
+def vocabulary_fold(spark, sf_dir):
+    rows = [("a", "calls", ["reaches", "depends"]), ("b", "calls", ["depends", "reaches"]), ("b", "imports", ["depends"])]
+    return mesh.fold_vocabulary(spark.createDataFrame(rows, "lane string, edge_type string, classes array<string>")).select("edge_type", F.array_join("classes", ",").alias("classes"))
+
+
+@query()
+def generation_digest(spark, sf_dir):
+    found = mesh.generation(P.nodes(spark, sf_dir), P.edges(spark, sf_dir), ["all"])
+    return spark.createDataFrame([(found,)], "generation string")
+
+
+# ---- lookups ---------------------------------------------------------------------------------------------------------
+
+
+@query(f" SELECT id, corpus FROM nodes WHERE id = '{SUPPLIER}'")
+def membership(spark, sf_dir):
+    return lookup.membership(P.nodes(spark, sf_dir), SUPPLIER)
+
+
+@query(" SELECT id FROM nodes WHERE id = 'SUPPLIER.7' OR lower(id) LIKE '%.supplier.7' OR lower(id) LIKE '%/supplier.7'")
+def find_tail(spark, sf_dir):
+    return lookup.find(P.nodes(spark, sf_dir), "SUPPLIER.7").select("id")
+
+
+@query(" SELECT id FROM nodes WHERE contains(lower(id), 'supplier.1')")
+def grep_substring(spark, sf_dir):
+    return lookup.grep(P.nodes(spark, sf_dir), "Supplier.1").select("id")
+
+
+@query(f" SELECT other, edge_type AS relation, CASE WHEN count(DISTINCT d) > 1 THEN 'both' ELSE min(d) END AS direction FROM (SELECT dst AS other, edge_type, 'with' AS d FROM triples WHERE src = '{PART}' UNION ALL SELECT src, edge_type, 'against' FROM triples WHERE dst = '{PART}') GROUP BY ALL")
+def neighbours(spark, sf_dir):
+    return lookup.neighbours(P.edges(spark, sf_dir), PART)
+
+
+@query(" SELECT id, corpus FROM nodes WHERE corpus = 'party'")
+def owned(spark, sf_dir):
+    return lookup.owned(P.nodes(spark, sf_dir), "party").select("id", "corpus")
+
+
+# ---- traversal -------------------------------------------------------------------------------------------------------
+
+_BACK = f", walk(node, hop) AS (SELECT '{SUPPLIER}', 0 UNION SELECT t.src, w.hop + 1 FROM walk w JOIN triples t ON t.dst = w.node WHERE w.hop < 4 AND t.edge_type IN {_list(BLAST)}), reached AS (SELECT node, min(hop) AS hop FROM walk GROUP BY node)"
+_FORE = f", walk(node, hop) AS (SELECT '{ORDER}', 0 UNION SELECT t.dst, w.hop + 1 FROM walk w JOIN triples t ON t.src = w.node WHERE w.hop < 4 AND t.edge_type IN {_list(REACH)}), reached AS (SELECT node, min(hop) AS hop FROM walk GROUP BY node)"
+_ANY = f", both_ways AS (SELECT src AS a, dst AS b FROM triples WHERE edge_type IN ('in_nation', 'within') UNION SELECT dst, src FROM triples WHERE edge_type IN ('in_nation', 'within')), walk(node, hop) AS (SELECT '{SUPPLIER}', 0 UNION SELECT e.b, w.hop + 1 FROM walk w JOIN both_ways e ON e.a = w.node WHERE w.hop < 3), reached AS (SELECT node, min(hop) AS hop FROM walk GROUP BY node)"
+
+
+@query(_BACK + f" SELECT '{SUPPLIER}' AS seed, node, hop FROM reached")
+def blast_radius(spark, sf_dir):
+    return traverse.blast(_seeds(spark, SUPPLIER), P.edges(spark, sf_dir)).select("seed", "node", "hop")
+
+
+@query(_BACK + " SELECT hop, split_part(node, '://', 1) AS corpus, count(*) AS n FROM reached GROUP BY ALL")
+def blast_by_hop(spark, sf_dir):
+    return traverse.blast(_seeds(spark, SUPPLIER), P.edges(spark, sf_dir)).groupBy("hop", C.scheme(F.col("node")).alias("corpus")).agg(F.count("*").alias("n"))
+
+
+@query(_FORE + f" SELECT '{ORDER}' AS seed, node, hop FROM reached")
+def descend_reach(spark, sf_dir):
+    return traverse.descend(_seeds(spark, ORDER), P.edges(spark, sf_dir)).select("seed", "node", "hop")
+
+
+@query(_FORE + f" SELECT node FROM reached WHERE node NOT IN (SELECT src FROM triples WHERE edge_type IN {_list(REACH)})")
+def primitives(spark, sf_dir):
+    found = P.edges(spark, sf_dir)
+    return traverse.primitives(traverse.descend(_seeds(spark, ORDER), found), found).select("node")
+
+
+@query(_FORE + " SELECT split_part(p, '://', 1) AS from_corpus, split_part(node, '://', 1) AS to_corpus, min(hop) AS first_hop FROM (SELECT r.node, r.hop, t.src AS p FROM reached r JOIN triples t ON t.dst = r.node JOIN reached q ON q.node = t.src AND q.hop = r.hop - 1 WHERE t.edge_type IN " + _list(REACH) + ") WHERE split_part(p, '://', 1) <> split_part(node, '://', 1) GROUP BY ALL")
+def crossings(spark, sf_dir):
+    return traverse.crossings(traverse.descend(_seeds(spark, ORDER), P.edges(spark, sf_dir))).select("from_corpus", "to_corpus", "first_hop")
+
+
+@query(f" SELECT edge_type AS relation, count(*) AS n FROM triples WHERE dst = 'geo://nation/geo.nation.3' AND edge_type NOT IN {_list(REACH)} GROUP BY 1")
+def declined(spark, sf_dir):
+    return traverse.declined(_seeds(spark, "geo://nation/geo.nation.3"), P.edges(spark, sf_dir), REACH, "against")
+
+
+@query(_ANY + " SELECT node, hop FROM reached")
+def path_hops(spark, sf_dir):
+    return traverse.reach(_seeds(spark, SUPPLIER), traverse.steps(P.edges(spark, sf_dir), ["in_nation", "within"]), 3).select("node", "hop")
+
+
+_WALK = f", both_ways AS (SELECT src AS a, dst AS b FROM triples UNION SELECT dst, src FROM triples), walk(node, hop) AS (SELECT '{SUPPLIER}', 0 UNION SELECT e.b, w.hop + 1 FROM walk w JOIN both_ways e ON e.a = w.node WHERE w.hop < 3)"
+
+
+@query(_WALK + " SELECT CAST(coalesce(min(hop), -1) AS INTEGER) AS hops FROM walk WHERE node = 'geo://nation/geo.nation.0'")
+def path_exists(spark, sf_dir):
+    found, _ = traverse.path_to(P.edges(spark, sf_dir), SUPPLIER, "geo://nation/geo.nation.0", max_depth=3)
+    return spark.createDataFrame([(len(found) - 1,)], "hops int")
+
+
+@query(f", sides AS (SELECT DISTINCT 'l|' || src AS a, 'l|' || dst AS b FROM triples WHERE edge_type = 'in_nation' UNION SELECT 'r|' || src, 'r|' || dst FROM triples WHERE edge_type = 'within' UNION SELECT 'l|' || id, 'r|' || id FROM (SELECT dst AS id FROM triples WHERE edge_type = 'in_nation' INTERSECT SELECT src FROM triples WHERE edge_type = 'within')), both_ways AS (SELECT a, b FROM sides UNION SELECT b, a FROM sides), walk(node, hop) AS (SELECT 'l|{SUPPLIER}', 0 UNION SELECT e.b, w.hop + 1 FROM walk w JOIN both_ways e ON e.a = w.node WHERE w.hop < 4) SELECT node, min(hop) AS hop FROM walk GROUP BY node")
+def bridge_hops(spark, sf_dir):
+    found = P.edges(spark, sf_dir)
+    sides = {"l": found.filter("edge_type = 'in_nation'"), "r": found.filter("edge_type = 'within'")}
+    return traverse.bridge(sides, _seeds(spark, f"l|{SUPPLIER}"), ["geo"], 4).select("node", "hop")
+
+
+@query(", docs AS (SELECT src AS a, dst AS b, edge_type FROM triples UNION SELECT dst, src, edge_type FROM triples), walk(node, hop) AS (SELECT 'talk://session/talk.session.3', 0 UNION SELECT d.b, w.hop + 1 FROM walk w JOIN docs d ON d.a = w.node WHERE w.hop < 1), reached AS (SELECT node, min(hop) AS hop FROM walk GROUP BY node) SELECT d.b AS node, d.edge_type AS relation, min(r.hop + 1) AS hop FROM reached r JOIN docs d ON d.a = r.node WHERE d.edge_type = 'follows' AND d.b <> 'talk://session/talk.session.3' GROUP BY ALL")
+def doc_explanations(spark, sf_dir):
+    return traverse.doc_endpoints(_seeds(spark, "talk://session/talk.session.3"), P.edges(spark, sf_dir), ["follows"], 2).select("node", "relation", "hop")
+
+
+def _weighted(spark, sf_dir):
+    """Parts and suppliers, joined both ways, with the number of line items as salience."""
+    pairs = P.edges(spark, sf_dir).filter("edge_type = 'supplied_by'").groupBy("src", "dst").agg(F.count("*").cast("double").alias("salience"))
+    return pairs.select(F.col("src").alias("node"), F.col("dst").alias("other"), "salience").unionByName(pairs.select(F.col("dst").alias("node"), F.col("src").alias("other"), "salience"))
+
+
+_SPREAD = f""", pairs AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS s FROM edges WHERE edge_type = 'supplied_by' GROUP BY ALL), w AS (SELECT src AS n, dst AS o, s FROM pairs UNION ALL SELECT dst, src, s FROM pairs),
+ shares AS (SELECT n, o, s, s / sum(s) OVER (PARTITION BY n) AS share FROM w),
+ l1 AS (SELECT o AS node, 1 AS hop, 0.5 * share AS energy FROM shares WHERE n = '{PART}'),
+ l2 AS (SELECT o AS node, 2 AS hop, arg_min(e, (-g, n, -s)) AS energy FROM (SELECT x.o, x.n, x.s, l1.energy AS g, l1.energy * 0.5 * x.share AS e FROM shares x JOIN l1 ON x.n = l1.node) WHERE o <> '{PART}' AND o NOT IN (SELECT node FROM l1) GROUP BY o),
+ spread AS (SELECT '{PART}' AS node, 0 AS hop, 1.0::DOUBLE AS energy UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
+
+
+@query(_SPREAD + " SELECT node, hop, round(energy, 9) AS energy FROM spread")
+def activation(spark, sf_dir):
+    return traverse.activate(_seeds(spark, PART), _weighted(spark, sf_dir), 2).select("node", "hop", F.round("energy", 9).alias("energy"))
+
+
+@query(_SPREAD + " SELECT src, dst, edge_type FROM triples WHERE src IN (SELECT node FROM spread WHERE hop < 2) AND dst IN (SELECT node FROM spread WHERE hop < 2)")
+def induced_subgraph(spark, sf_dir):
+    return traverse.induced(P.edges(spark, sf_dir), traverse.activate(_seeds(spark, PART), _weighted(spark, sf_dir), 1))
+
+
+# ---- aggregation -----------------------------------------------------------------------------------------------------
+
+
+@query("WITH p AS (SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT b, count(*) AS n FROM p GROUP BY b), s AS (SELECT x.b AS a, y.b AS b, count(*) AS support FROM p x JOIN p y ON x.o = y.o AND x.b < y.b GROUP BY ALL) SELECT s.a, s.b, s.support, round(s.support * (SELECT count(DISTINCT o) FROM p) / (na.n * nb.n), 9) AS lift, round(s.support / (s.support + 5), 9) AS credibility FROM s JOIN n na ON na.b = s.a JOIN n nb ON nb.b = s.b", graph=False)
+def lift_salience(spark, sf_dir):
+    held = P.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).join(P.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_brand").alias("b")), "p").select("o", "b").distinct()
+    n, total = held.groupBy("b").agg(F.count("*").alias("n")), held.select("o").distinct().count()
+    pairs = held.withColumnRenamed("b", "a").join(held, "o").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("support"))
+    joined = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    return joined.select("a", "b", "support", F.round(C.lift(F.col("support"), F.col("na"), F.col("nb"), F.lit(total)), 9).alias("lift"), F.round(C.credibility(F.col("support")), 9).alias("credibility"))
+
+
+_UNITS = ", units AS (SELECT split_part(regexp_replace(src, '^.*/', ''), '.', 1) || '.' || split_part(regexp_replace(src, '^.*/', ''), '.', 2) AS from_unit, split_part(regexp_replace(dst, '^.*/', ''), '.', 1) || '.' || split_part(regexp_replace(dst, '^.*/', ''), '.', 2) AS to_unit, count(*) AS weight FROM edges WHERE edge_type IN " + _list(BLAST) + " GROUP BY ALL)"
+
+
+@query(_UNITS + " SELECT * FROM units WHERE from_unit <> to_unit")
+def unit_graph(spark, sf_dir):
+    return mesh.unit_graph(P.nodes(spark, sf_dir), P.edges(spark, sf_dir), 2, BLAST)
+
+
+@query(_UNITS + " SELECT unit, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out, CAST(count_if(i > 0) AS BIGINT) AS consumers, CAST(count_if(o > 0) AS BIGINT) AS suppliers FROM (SELECT from_unit AS unit, 0 AS i, weight AS o FROM units WHERE from_unit <> to_unit UNION ALL SELECT to_unit, weight, 0 FROM units WHERE from_unit <> to_unit) GROUP BY unit")
+def fan_in_out(spark, sf_dir):
+    return mesh.fans(mesh.unit_graph(P.nodes(spark, sf_dir), P.edges(spark, sf_dir), 2, BLAST))
+
+
+@query(" , per AS (SELECT b.corpus, e.dst AS id, count(*) AS fan_in FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.corpus <> b.corpus GROUP BY ALL) SELECT corpus, id, fan_in FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY fan_in DESC, id) AS r FROM per) WHERE r = 1")
+def crown(spark, sf_dir):
+    return mesh.crowns(P.nodes(spark, sf_dir), P.edges(spark, sf_dir))
+
+
+@query(" SELECT corpus, node_type, count(*) AS n, min(id) AS first FROM nodes GROUP BY ALL")
+def arm_inventory(spark, sf_dir):
+    return P.nodes(spark, sf_dir).groupBy("corpus", "node_type").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+@query(" SELECT CASE WHEN regexp_matches(id, 'party\\.customer\\.1(\\..*)?$') THEN 'one' WHEN contains(id, '/party.customer.') THEN 'customers' WHEN corpus = 'party' THEN 'party' WHEN corpus = 'geo' THEN 'geo' ELSE 'rest' END AS \"group\", count(*) AS n FROM nodes GROUP BY 1")
+def cut_longest_prefix(spark, sf_dir):
+    cut = spark.createDataFrame([("party", "party"), ("customers", "party.customer"), ("one", "party.customer.1"), ("geo", "geo")], "group string, prefix string")
+    return mesh.cut_members(P.nodes(spark, sf_dir), cut).groupBy("group").agg(F.count("*").alias("n"))
+
+
+# ---- text ------------------------------------------------------------------------------------------------------------
+
+_TERMS = "WITH t AS (SELECT conv_id, turn, unnest(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]{2,}'), lambda x: regexp_replace(lower(x), '[.-]+$', ''))) AS term FROM conversations), postings AS (SELECT term, conv_id, turn, count(*) AS n FROM t WHERE length(term) >= 3 AND term NOT IN " + _list(text.STOP) + " GROUP BY ALL)"
+
+
+def _index(spark, sf_dir):
+    return text.postings(P.read(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
+@query(_TERMS + " SELECT * FROM postings", graph=False)
+def postings(spark, sf_dir):
+    return _index(spark, sf_dir)
+
+
+@query(_TERMS + " SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS hits FROM postings WHERE term IN ('der', 'die') GROUP BY ALL HAVING count(*) = 2", graph=False)
+def search_all(spark, sf_dir):
+    return text.search(_index(spark, sf_dir), ["conv_id", "turn"], ["der", "die"], "all")
+
+
+@query(_TERMS + " SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS hits FROM postings WHERE term IN ('que', 'from') GROUP BY ALL", graph=False)
+def search_any(spark, sf_dir):
+    return text.search(_index(spark, sf_dir), ["conv_id", "turn"], ["que", "from"], "any")
+
+
+@query(_TERMS + " SELECT conv_id, CAST(sum(n) AS BIGINT) AS hits, min(turn) AS first, max(turn) AS last, arg_min(turn, (-n, turn)) AS hottest FROM postings WHERE term = 'from' GROUP BY conv_id", graph=False)
+def term_chain(spark, sf_dir):
+    return text.chain(_index(spark, sf_dir), "conv_id", "turn", "from")
+
+
+@query(_TERMS + ", own AS (SELECT conv_id, turn FROM postings WHERE term = 'from') SELECT term, count(*) AS shared, round(100.0::DOUBLE * count(*) / greatest((SELECT count(*) FROM own), 1), 6) AS percent FROM postings SEMI JOIN own USING (conv_id, turn) WHERE term <> 'from' GROUP BY term", graph=False)
+def topic_heat(spark, sf_dir):
+    return text.heat(_index(spark, sf_dir), ["conv_id", "turn"], "from")
+
+
+_WORDS = "WITH words AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)))"
+
+
+def _words(spark, sf_dir):
+    return text.positions(P.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query(_WORDS + ", hits AS (SELECT *, coalesce(CAST(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 10 AS INT), 1) AS new FROM words WHERE word IN ('the', 'with')), c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM hits) SELECT doc_id, min(pos) AS start, max(pos) AS \"end\", CAST(count_if(word = 'the') AS BIGINT) AS hits, CAST(count_if(word = 'with') AS BIGINT) AS partners, round(100.0::DOUBLE * count(*) / greatest(1, max(pos) - min(pos) + 21), 6) AS density FROM c GROUP BY doc_id, k HAVING CAST(count_if(word = 'the') AS BIGINT) > 0", graph=False)
+def token_clusters(spark, sf_dir):
+    return text.clusters(_words(spark, sf_dir), "doc_id", "the", "with", 10)
+
+
+@query(_WORDS + " SELECT doc_id, CAST(count_if(word = 'the') AS BIGINT) AS hits, CAST(count_if(word = 'with') AS BIGINT) AS partners, count(*) AS tokens, round(1000.0::DOUBLE * (CAST(count_if(word = 'the') AS BIGINT) + CAST(count_if(word = 'with') AS BIGINT)) / count(*), 6) AS heat FROM words GROUP BY doc_id HAVING CAST(count_if(word = 'the') AS BIGINT) > 0", graph=False)
+def file_heat(spark, sf_dir):
+    return text.file_heat(_words(spark, sf_dir), "doc_id", "the", "with")
+
+
+@query(_WORDS + ", f AS (SELECT DISTINCT word AS term, doc_id FROM words WHERE word IN ('the', 'with', 'die', 'from')), n AS (SELECT term, count(*) AS n FROM f GROUP BY term) SELECT a.term, b.term AS other, count(*) AS shared, round(count(*) / any_value(n.n), 6) AS share FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.term <> b.term JOIN n ON n.term = a.term GROUP BY ALL", graph=False)
+def cooccur_directed(spark, sf_dir):
+    found = _words(spark, sf_dir).filter("word IN ('the', 'with', 'die', 'from')").select(F.col("word").alias("term"), "doc_id")
+    return text.cooccurrence(found, "doc_id")
+
+
+@query(_WORDS + " SELECT doc_id, min(gap) AS gap FROM (SELECT doc_id, CASE WHEN lag(word) OVER o <> word THEN pos - lag(pos) OVER o END AS gap FROM words WHERE word IN ('die', 'from') WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) GROUP BY doc_id HAVING min(gap) IS NOT NULL", graph=False)
+def nearest_gap(spark, sf_dir):
+    return text.nearest_gap(_words(spark, sf_dir), "doc_id", "die", "from")
+
+
+@query(_WORDS + ", s AS (SELECT doc_id, pos AS a, pos + 20 AS b FROM words WHERE word = 'from'), f AS (SELECT *, coalesce(CAST(a - max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 50 AS INT), 1) AS new FROM s), c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b) AS k FROM f) SELECT doc_id, min(a) AS start, max(b) AS \"end\", count(*) AS spans FROM c GROUP BY doc_id, k", graph=False)
+def span_merge(spark, sf_dir):
+    spans = _words(spark, sf_dir).filter("word = 'from'").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 20).alias("end"))
+    return text.merge_spans(spans, "doc_id")
+
+
+@query("WITH t AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant')), f AS (SELECT *, coalesce(CAST(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> role AS INT), 1) AS new FROM t), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f), m AS (SELECT conv_id, run, role, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY ALL), p AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY run)) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY run) AS INTEGER) AS n, text AS \"user\", CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END AS assistant FROM p WHERE role = 'user'", graph=False)
+def exchange_pairs(spark, sf_dir):
+    return text.exchanges(P.read(spark, sf_dir, "conversations"))
+
+
+@query("WITH c AS (SELECT conv_id, turn, sum(length(text) + 80) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations) SELECT conv_id, turn AS n, CAST(cost AS BIGINT) AS cost FROM c WHERE cost <= 1500 OR age = 1", graph=False)
+def tail_budget(spark, sf_dir):
+    turns = P.read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("n"), F.col("text").alias("user"), F.lit("").alias("assistant"))
+    return text.tail(turns, "conv_id", 1500)
+
+
+@query("SELECT conv_id, turn, before FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL", graph=False)
+def follows_chain(spark, sf_dir):
+    return journal.follows(P.read(spark, sf_dir, "conversations"), "conv_id", "turn", "turn")
+
+
+@query("WITH h AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS p FROM pages) SELECT page_id, array_to_string(list_transform(string_split(p, '/'), lambda s: CASE WHEN regexp_matches(s, '^([0-9]+|[^@/]+@[^@/]+)$') THEN '{}' ELSE s END), '/') AS route FROM h", graph=False)
+def route_normalise(spark, sf_dir):
+    return P.read(spark, sf_dir, "pages").select("page_id", C.route(F.col("url")).alias("route"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name, '[A-Z]+[a-z]*|[a-z]+|[0-9]+'), lambda x: lower(x)), '_') AS snake FROM part", graph=False)
+def identifier_variants(spark, sf_dir):
+    return P.read(spark, sf_dir, "part").select("p_partkey", F.get(C.spellings(F.col("p_name")), F.lit(0)).alias("snake"))
+
+
+# ---- journals --------------------------------------------------------------------------------------------------------
+
+
+@query("WITH m AS (SELECT DISTINCT o_custkey AS k, date_trunc('month', o_orderdate) AS m FROM orders), x AS (SELECT k FROM m WHERE m = (SELECT min(m) FROM m)), y AS (SELECT k FROM m WHERE m = (SELECT max(m) FROM m)) SELECT k, 'born' AS change FROM y WHERE k NOT IN (SELECT k FROM x) UNION ALL SELECT k, 'died' FROM x WHERE k NOT IN (SELECT k FROM y)", graph=False)
+def snapshot_diff(spark, sf_dir):
+    months = P.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.date_trunc("month", "o_orderdate").alias("m"))
+    low, high = months.agg(F.min("m"), F.max("m")).first()
+    return mesh.snapshot_diff(months.filter(F.col("m") == F.lit(low)), months.filter(F.col("m") == F.lit(high)), ("k",))
+
+
+def _pages(spark, sf_dir):
+    """A journal per customer nation from its orders: a page per order, born or died by status."""
+    born = F.col("o_orderkey") % 2 == 0
+    rows = P.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("journal"), F.col("o_orderkey").alias("seq"), born.cast("int").alias("n_born"), (~born).cast("int").alias("n_died"), (F.col("o_orderkey") % 50 == 0).alias("bootstrap"), (F.col("o_orderkey") % 10).alias("cursor"))
+    return rows.withColumn("prev_cursor", F.when(F.col("seq") % 7 == 0, -1).otherwise(F.lag("cursor").over(Window.partitionBy("journal").orderBy("seq"))))
+
+
+_PAGES = "WITH pages_ AS (SELECT o_custkey % 25 AS journal, o_orderkey AS seq, CAST(o_orderkey % 2 = 0 AS INT) AS n_born, CAST(o_orderkey % 2 <> 0 AS INT) AS n_died, o_orderkey % 50 = 0 AS bootstrap, o_orderkey % 10 AS cursor FROM orders)"
+
+
+@query(_PAGES + " SELECT journal, seq FROM (SELECT *, lag(cursor) OVER (PARTITION BY journal ORDER BY seq) AS e FROM pages_) WHERE e IS NOT NULL AND seq % 7 = 0", graph=False)
+def journal_gaps(spark, sf_dir):
+    return journal.gaps(_pages(spark, sf_dir)).select("journal", "seq")
+
+
+@query(_PAGES + ", s AS (SELECT *, sum(bootstrap::INT) OVER (PARTITION BY journal ORDER BY seq) AS g FROM pages_), a AS (SELECT *, sum(n_born - n_died) OVER (PARTITION BY journal, g ORDER BY seq) AS alive FROM s), b AS (SELECT *, lag(alive) OVER w AS before, min(alive) OVER w AS least FROM a WINDOW w AS (PARTITION BY journal, g ORDER BY seq)) SELECT journal, seq, CAST(before AS BIGINT) AS before FROM b WHERE alive = 0 AND before > 0 AND least >= 0", graph=False)
+def graph_deaths(spark, sf_dir):
+    return journal.deaths(_pages(spark, sf_dir))
+
+
+@query("WITH c AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'purchase'), w AS (SELECT user_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS lo, ts AS hi FROM c) SELECT e.event_id, w.hi AS high FROM events e JOIN w ON e.user_id = w.user_id AND e.ts > w.lo AND e.ts <= w.hi WHERE e.event_type <> 'purchase'", graph=False)
+def session_window_join(spark, sf_dir):
+    events = P.read(spark, sf_dir, "events")
+    points = events.filter("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("point_id"), "ts")
+    captures = events.filter("event_type = 'purchase'").select("user_id", "ts").distinct()
+    return journal.in_window(points, captures, "user_id", "ts").select(F.col("point_id").alias("event_id"), "high")
+
+
+@query("WITH d AS (SELECT event_type AS metric, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL), m AS (SELECT *, lag(v) OVER (PARTITION BY metric ORDER BY day) AS before FROM d), x AS (SELECT day, metric, round(abs((v - before) / before), 9) AS move FROM m WHERE before IS NOT NULL AND before <> 0) SELECT CAST(day AS VARCHAR) AS day, metric, move FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY move DESC, metric) AS r FROM x) WHERE r <= 4", graph=False)
+def receipt_moves(spark, sf_dir):
+    daily = P.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("value"))
+    return journal.moves(daily.withColumn("series", F.lit("events")), "series", "day").select(F.col("day").cast("string").alias("day"), "metric", "move")
