@@ -70,6 +70,12 @@ def join_counted(left: DataFrame, counted: DataFrame, key: str, least: int = 1_0
     return salted.join(right, [key, "salt"]).drop("salt")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named graphloom_0, graphloom_1 and so on, so that no added column can clash."""
+    names = [f"graphloom_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column's text, mod ``modulus``; null stays null."""
     return F.crc32(F.col(column).cast("string")) % modulus

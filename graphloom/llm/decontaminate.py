@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import numbered, table
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -227,10 +227,10 @@ def judged(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept."""
-    carry = docs.columns
-    # the text is carried along, so that no join is needed to bring it back
-    found = find(docs.select(*carry), items, carry, text)
-    return judged(found).filter(~F.col("contaminated")).select(*carry)
+    # the whole rows are carried along, so that no join is needed to bring them back
+    rows, names = numbered(docs)
+    found = find(rows, items, names, names[docs.columns.index(text)])
+    return judged(found).filter(~F.col("contaminated")).select(*names).toDF(*docs.columns)
 
 
 def proximity(docs: DataFrame, phrases: Sequence[tuple[str, str]], slop: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

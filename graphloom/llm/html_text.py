@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags. The first pass decides a block fr
 and the like against an article), from its link density, its length and its density of stop words; a block that is
 short, or long with too few stop words to tell, stays undecided. In the second pass undecided blocks take the label of
 the nearest decided neighbours: of both if they agree, of the nearer one if not; between two equally near ones that
-differ, length and stop words break the tie. A heading goes with what it stands above.
+differ, one decided by its holder alone counts less, then length and stop words break the tie. A heading goes with what it stands above.
 
 Defined results: null and empty pages have an empty text; pages without a decided block keep what is undecided, since
 nothing speaks against it; white space of any kind, and line breaks by tags, are one space inside a block; repeated rows
@@ -189,9 +189,11 @@ def decide(blocks: list[Block]) -> None:
         density = b.link_chars / len(b.text)
         if b.away or has_main and not b.main:
             b.label = False
+        elif b.main:
+            b.label = True
         elif density > LINK_DENSITY:
-            b.label = None if (b.main or b.soft) and len(b.text) < SHORT else False  # a short link in an article may be part of it
-        elif b.main or b.soft:
+            b.label = None if b.soft and len(b.text) < SHORT else False  # a short link in the text may be part of it
+        elif b.soft:
             b.label = True
         else:
             b.stops = stop_density(b.text)
@@ -228,7 +230,8 @@ def inherit(blocks: list[Block]) -> None:
             elif i - left[0] != right[0] - i:
                 b.label = left[1] if i - left[0] < right[0] - i else right[1]
             else:
-                b.label = len(b.text) >= SHORT or b.stops >= STOP_LOW
+                other = blocks[right[0] if left[1] else left[0]]
+                b.label = other.away or len(b.text) >= SHORT or b.stops >= STOP_LOW
 
 
 def main_text(page: str | None) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BROADCAST_ROWS, crc_mod, table
+from graphloom.llm.common import BROADCAST_ROWS, crc_mod, numbered, table
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -255,7 +255,9 @@ def score(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` that score the threshold or more, all columns kept."""
-    return score(docs, train(docs, labels), docs.columns).filter(F.col("score") >= threshold).select(*docs.columns)
+    rows, names = numbered(docs)
+    scored = score(rows, train(docs, labels), names, names[docs.columns.index("text")])
+    return scored.filter(F.col("score") >= threshold).select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
