@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, hint_small
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,20 +15,21 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest chain. Only counts and one checksum a round reach the driver.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    last = None
+    last, n = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large-star: larger neighbours of u point at the least of u and its neighbours
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(hint_small(low, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         # small-star: u and its smaller neighbours point at the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(hint_small(least, n), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u <> v").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if (state["n"], state["s"]) == last:
             break
+        n = 2 * state["n"]
         last = (state["n"], state["s"])
     roots = edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())

@@ -24,9 +24,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from graphloom.llm.common import Rolling, cut, hint_small, mix64, table
 from graphloom.llm.components import components
@@ -236,7 +238,7 @@ def _bucket_links(threshold: float):
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size and key of every document.
+    """doc_id, class_id, class_size, key and class_key of every document.
 
     A bucket is cut into blocks of about ``BLOCK`` members or ``BLOCK_ELEMENTS`` elements; a task sees two blocks.
     """
@@ -262,20 +264,31 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     sizes = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_doc"), F.count("*").alias("class_rows")).filter("class_rows > 1")
     sizes = cut(sizes)
     joined = named.join(hint_small(sizes, sizes.count()), "root", "left")
-    return joined.select("doc_id", F.coalesce("class_doc", "doc_id").alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_size"), "key")
+    return joined.select("doc_id", F.coalesce("class_doc", "doc_id").alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_size"), "key", F.col("root").alias("class_key"))
+
+
+def _keys(texts: pd.Series) -> pd.Series:
+    joined = texts.map(words_joined)
+    return joined.map(lambda t: hashlib.blake2b(t, digest_size=16).digest() if t else None)
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One document of each class: the row with its smallest doc_id (one of them, if rows share that id)."""
-    found = classes(docs, threshold)
-    keepers = cut(found.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id", "class_size").agg(F.min("key").alias("keep_key"), F.count("*").alias("n")))
-    single = keepers.filter((F.col("n") == 1) | (F.col("class_size") == 1)).select(F.col("doc_id").alias("keep_id")).distinct()
-    n = keepers.count()
-    kept = docs.join(hint_small(single, n), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    ties = keepers.filter((F.col("n") > 1) & (F.col("class_size") > 1)).select(F.col("doc_id").alias("keep_id"))
-    if not ties.isEmpty():
-        tied = docs.join(hint_small(ties, n), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(hint_small(ties, n), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_anti").unionByName(tied)
+    """One document of each class: the row with its smallest doc_id, and one of them if rows share that id.
+
+    Ids that go are few against those that stay, so what is joined with the texts is the former.
+    """
+    found = cut(classes(docs, threshold))
+    stays = F.col("class_id").eqNullSafe(F.col("doc_id"))
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(stays.cast("int")).alias("n_stay"), F.max("class_size").alias("size"))
+    ids = cut(ids.filter("n_stay = 0 OR (n > 1 AND size > 1)").withColumnRenamed("doc_id", "touched_id"))
+    n, same = ids.count(), F.col("doc_id").eqNullSafe(F.col("touched_id"))
+    kept = docs.join(hint_small(ids.select("touched_id"), n), same, "left_anti")
+    tied = ids.filter("n_stay > 0").select("touched_id")
+    if not tied.isEmpty():
+        rows = docs.join(hint_small(tied, n), same, "left_semi").withColumn("near_key", F.pandas_udf(_keys, BinaryType())(F.col("text").cast("string")))
+        judged = found.filter(stays).join(hint_small(tied, n), same, "left_semi").filter("key IS NOT NULL").select(F.col("doc_id").alias("near_id"), F.col("key").alias("stay_key"), "class_key").distinct()
+        one = rows.join(judged, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("near_key") == F.col("stay_key"))).dropDuplicates(["class_key"])
+        kept = kept.unionByName(one.select(*docs.columns)).unionByName(rows.filter("near_key IS NULL").select(*docs.columns))
     return kept
 
 
