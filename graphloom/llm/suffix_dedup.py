@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Rolling, cut, hint_small, release, table
+from graphloom.llm.common import Rolling, cut, hint_small, join_counted, release, table
 
 LENGTH = 100
 #: A difference cover: every remainder mod PERIOD is a difference of two of these (each but 0 of exactly one pair).
@@ -180,6 +180,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = int(ends[start - 1]) if start else 0
             end = max(start + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, side="right")))
             yield batch.slice(start, end - start)
+            pa.default_memory_pool().release_unused()  # workers are used again: give back what the block took
             start = end
 
 
@@ -423,7 +424,7 @@ def _suffix_decode(group: pa.Table) -> pa.Table:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _blocks(batches):
         rows = []
         for body, starts, ends, copy in zip(*(batch.column(c) for c in ("body", "starts", "ends", "copy")), strict=True):
             data = body.as_py()
@@ -452,7 +453,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     base = base.filter(F.col("m").isNotNull())  # always so; written out, it makes both shuffles of the texts one
     keys = cut(base.select("o", "m", F.octet_length("body").alias("size")))
     firsts = keys.groupBy("m").agg(F.min("o").alias("first_o"), F.count("*").alias("n")).filter("n > 1")
-    copies = cut(keys.filter(F.col("size") >= LENGTH).join(firsts, "m").filter("o > first_o").select("o", "m").distinct())
+    copies = cut(join_counted(keys.filter(F.col("size") >= LENGTH).select("o", "m"), firsts, "m").filter("o > first_o").select("o", "m").distinct())
     n_copies, total = copies.count(), keys.agg(F.sum("size")).first()[0] or 0
     copies = hint_small(copies, n_copies)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
