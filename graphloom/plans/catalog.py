@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import journal, lookup, mesh, text, traverse
-from graphloom.plans import estate
+from graphloom.plans import estate, store
 from graphloom.sources import projection as P
 
 SUPPLIER, ORDER, PART = "party://supplier/party.supplier.7", "sales://order/sales.order.33", "catalog://part/catalog.part.11"
@@ -78,6 +78,11 @@ def seam_matrix(spark, sf_dir):
     return mesh.seam_matrix(P.edges(spark, sf_dir), P.nodes(spark, sf_dir))
 
 
+@query(", n AS (SELECT corpus, count(*) AS nodes, count(DISTINCT node_type) AS node_types FROM nodes GROUP BY 1), e AS (SELECT split_part(src, '://', 1) AS corpus, count(*) AS edges, count(DISTINCT edge_type) AS relations FROM triples GROUP BY 1) SELECT n.*, coalesce(edges, 0) AS edges, coalesce(relations, 0) AS relations FROM n LEFT JOIN e USING (corpus)")
+def corpus_inventory(spark, sf_dir):
+    return store.inventory(P.nodes(spark, sf_dir), P.edges(spark, sf_dir))
+
+
 # ---- federation ------------------------------------------------------------------------------------------------------
 
 
