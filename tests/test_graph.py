@@ -115,17 +115,6 @@ def test_journal_window_join_bounds(spark):
     assert got == {2: 20, 3: 20, 4: 30}
 
 
-def test_python_records_and_binding(spark):
-    source = "import os\nfrom .b import g\n@deco\nclass A(Base):\n    def m(self):\n        self.n()\n        g()\n    def n(self):\n        pass\ndef top():\n    def inner():\n        g()\nhelper()\n"
-    files = spark.createDataFrame([("pkg/a.py", source), ("pkg/bad.py", "def ("), ("pkg/empty.py", None)], "path string, text string")
-    records = shards.python_records(files, "c").cache()
-    assert {r["id"] for r in records.filter("kind = 'node'").collect()} == {"c://module/pkg.a", "c://class/pkg.a.A", "c://method/pkg.a.A.m", "c://method/pkg.a.A.n", "c://func/pkg.a.top", "c://module/pkg.bad", "c://module/pkg.empty"}
-    calls = {(r["id"], r["dst_repr"]) for r in records.filter("type = 'calls'").collect()}
-    assert calls == {("c://method/pkg.a.A.m", "self.n"), ("c://method/pkg.a.A.m", "g"), ("c://func/pkg.a.top", "g")}
-    bound = {r["dst_repr"]: r["dst"] for r in shards.bind_labels(records).filter("edge_type = 'calls'").collect()}
-    assert bound == {"self.n": "c://method/pkg.a.A.n", "g": None}
-
-
 def test_outline_and_readers(spark, tmp_path):
     assert shards.outline_rows("d", "Top\n  One\n  One\n\tDeep\n") == [("outline://node/d.top", None, "Top"), ("outline://node/d.top.one", "outline://node/d.top", "One"), ("outline://node/d.top.one~2", "outline://node/d.top", "One"), ("outline://node/d.top.one~2.deep", "outline://node/d.top.one~2", "Deep")]
     (tmp_path / "nodes.json").write_text('{"a": {"id": "a", "node_type": "func", "file": "x\\\\y.py"}, "b": {"node_type": "func"}}')
