@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 
 TERM = r"([A-Za-z][A-Za-z0-9_.-]{2,})"
 #: Terms that are not indexed; fixed values.
-STOP = ("the", "and", "for", "that", "with", "this", "are", "was", "not")
+STOP = (
+    "the", "and", "for", "are", "was", "were", "been", "being", "have", "has",
+    "had", "does", "did", "will", "would", "could", "should", "can", "may",
+    "might", "must", "shall", "not", "with", "from", "this", "that", "these",
+    "those", "there", "here", "then", "than", "them", "they", "their", "its",
+    "it's", "into", "onto", "over", "under", "about", "after", "before",
+    "between", "through", "during", "each", "every", "both", "other", "another",
+    "such", "same", "some", "any", "all", "more", "most", "less", "many",
+    "few", "now", "just", "only", "very", "really", "actually", "already",
+    "still", "even", "ever", "never", "also", "too", "you", "your", "our",
+    "what", "when", "where", "how", "why", "who", "which", "but", "out",
+    "one", "two", "three", "new", "get", "got", "let", "lets", "like",
+    "user", "assistant", "yes", "yeah", "okay", "don", "doesn", "isn",
+    "want", "need", "make", "made", "use", "used", "using", "way", "thing",
+    "things", "right", "good", "back", "see", "say", "said", "know",
+)
 
 
 def terms(c: Column) -> Column:

@@ -308,7 +308,7 @@ def cut_longest_prefix(spark, sf_dir):
 
 # ---- text ------------------------------------------------------------------------------------------------------------
 
-_TERMS = "WITH t AS (SELECT conv_id, turn, unnest(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]{2,}'), lambda x: regexp_replace(lower(x), '[.-]+$', ''))) AS term FROM conversations), postings AS (SELECT term, conv_id, turn, count(*) AS n FROM t WHERE length(term) >= 3 AND term NOT IN " + _list(text.STOP) + " GROUP BY ALL)"
+_TERMS = "WITH t AS (SELECT conv_id, turn, unnest(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]{2,}'), lambda x: regexp_replace(lower(x), '[.-]+$', ''))) AS term FROM conversations), postings AS (SELECT term, conv_id, turn, count(*) AS n FROM t WHERE length(term) >= 3 AND term NOT IN " + _list(t.replace("'", "''") for t in text.STOP) + " GROUP BY ALL)"
 
 
 def _index(spark, sf_dir):
