@@ -121,15 +121,6 @@ def fans(units: DataFrame) -> DataFrame:
     return ends.groupBy("unit").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"), F.count_if(F.col("i") > 0).alias("consumers"), F.count_if(F.col("o") > 0).alias("suppliers"))
 
 
-def propose(found: DataFrame, floor: int = 5, root: str = "") -> dict[str, list[str]]:
-    """Units by the part they play: facade (the root), edge, orchestrator or foundation. Units are few; they settle here."""
-    out: dict[str, list[str]] = {"facade": [], "edge": [], "orchestrator": [], "foundation": []}
-    for r in found.orderBy("unit").collect():
-        part = "facade" if r["unit"] == root else "edge" if r["fan_in"] + r["fan_out"] < floor else "orchestrator" if r["fan_out"] > r["fan_in"] else "foundation"
-        out[part].append(r["unit"])
-    return out
-
-
 def crowns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The node of each corpus with most edge instances from other corpora; the smallest id of equal ones."""
     held = nodes.select("id", "corpus")
