@@ -159,7 +159,7 @@ def topic_forest(index: DataFrame, session: str, box: list[str], min_boxes: int
     symbol whose segments are its longest proper contiguous part, else the anchor among its segments with most boxes; the
     least of equal ones. Every symbol lists its own parts and joins by equality; no pairs of symbols are compared.
     """
-    total = index.select(session).distinct().count()
+    total = index.agg(F.count_distinct(session)).first()[0]
     live = index.groupBy("term").agg(F.count_distinct(*box).alias("boxes"), F.count_distinct(session).alias("sessions"))
     live = live.filter((F.col("boxes") >= min_boxes) & (F.col("sessions") <= max_share * max(1, total))).select("term", "boxes")
     segments = F.filter(F.split("term", r"[._\-]"), lambda s: (F.length(s) >= 3) & ~s.rlike(r"^\d+$") & ~s.isin(*T.STOP))

@@ -64,3 +64,18 @@ def hunt(nodes: DataFrame, symbol: str) -> DataFrame:
     """Tail matches, or substring matches where there is none."""
     tail = find(nodes, symbol)
     return tail if tail.head(1) else grep(nodes, symbol)
+
+
+def explain(nodes: DataFrame, edges: DataFrame, symbol: str, doc_relations: tuple[str, ...] = ("documents", "mentions"), depth: int = 3) -> dict[str, DataFrame]:
+    """What is known of a symbol: its record, the documents near it, the tests that depend on it and its first neighbours."""
+    from graphloom.operators import traverse
+
+    node = resolve(nodes, symbol)
+    seed = nodes.sparkSession.createDataFrame([(node,)], "seed string")
+    tests = nodes.filter("role = 'test'").select(F.col("id").alias("node")) if "role" in nodes.columns else nodes.limit(0).select(F.col("id").alias("node"))
+    return {
+        "record": record(nodes, node),
+        "docs": traverse.doc_endpoints(seed, edges, doc_relations, depth),
+        "tests": traverse.blast(seed, edges, depth).join(tests, "node", "left_semi"),
+        "neighbours": neighbours(edges, node),
+    }

@@ -135,3 +135,11 @@ def liveness(kinds: DataFrame, key: str) -> DataFrame:
     counts = kinds.groupBy(key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("live", "test", "doc")])
     verdict = F.when(F.col("live") > 0, "LIVE").when(F.col("test") > 0, "FALSE LIVENESS").when(F.col("doc") > 0, "MENTION-ONLY").otherwise("DARK")
     return counts.withColumn("verdict", verdict)
+
+
+def neighbour_terms(boxes: DataFrame, wanted: str, top: int = 20, least: int = 2) -> DataFrame:
+    """term and n: boxes that hold a term beside a wanted one, each counted once a box; the ``top`` of those in ``least`` or
+    more, by count, then term."""
+    held = boxes.select(F.array_distinct(terms(F.col("text"))).alias("t")).filter(F.array_contains("t", wanted))
+    met = held.select(F.explode("t").alias("term")).filter(F.col("term") != wanted).groupBy("term").agg(F.count("*").alias("n"))
+    return met.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "term").limit(top)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
-from graphloom.operators import journal, lookup, mesh, text, traverse
+from graphloom.operators import code, federation, history, journal, lookup, mesh, resolve, shape, text, traverse
 from graphloom.plans import estate, store
 from graphloom.sources import projection as P
+from graphloom.sources import python_source
 
 SUPPLIER, ORDER, PART = "party://supplier/party.supplier.7", "sales://order/sales.order.33", "catalog://part/catalog.part.11"
 PREFIX = P.GRAPH_SQL
@@ -325,19 +326,19 @@ def search_all(spark, sf_dir):
     return text.search(_index(spark, sf_dir), ["conv_id", "turn"], ["der", "die"], "all")
 
 
-@query(_TERMS + " SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS hits FROM postings WHERE term IN ('que', 'from') GROUP BY ALL", graph=False)
+@query(_TERMS + " SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS hits FROM postings WHERE term IN ('que', 'der') GROUP BY ALL", graph=False)
 def search_any(spark, sf_dir):
-    return text.search(_index(spark, sf_dir), ["conv_id", "turn"], ["que", "from"], "any")
+    return text.search(_index(spark, sf_dir), ["conv_id", "turn"], ["que", "der"], "any")
 
 
-@query(_TERMS + " SELECT conv_id, CAST(sum(n) AS BIGINT) AS hits, min(turn) AS first, max(turn) AS last, arg_min(turn, (-n, turn)) AS hottest FROM postings WHERE term = 'from' GROUP BY conv_id", graph=False)
+@query(_TERMS + " SELECT conv_id, CAST(sum(n) AS BIGINT) AS hits, min(turn) AS first, max(turn) AS last, arg_min(turn, (-n, turn)) AS hottest FROM postings WHERE term = 'der' GROUP BY conv_id", graph=False)
 def term_chain(spark, sf_dir):
-    return text.chain(_index(spark, sf_dir), "conv_id", "turn", "from")
+    return text.chain(_index(spark, sf_dir), "conv_id", "turn", "der")
 
 
-@query(_TERMS + ", own AS (SELECT conv_id, turn FROM postings WHERE term = 'from') SELECT term, count(*) AS shared, round(100.0::DOUBLE * count(*) / greatest((SELECT count(*) FROM own), 1), 6) AS percent FROM postings SEMI JOIN own USING (conv_id, turn) WHERE term <> 'from' GROUP BY term", graph=False)
+@query(_TERMS + ", own AS (SELECT conv_id, turn FROM postings WHERE term = 'der') SELECT term, count(*) AS shared, round(100.0::DOUBLE * count(*) / greatest((SELECT count(*) FROM own), 1), 6) AS percent FROM postings SEMI JOIN own USING (conv_id, turn) WHERE term <> 'der' GROUP BY term", graph=False)
 def topic_heat(spark, sf_dir):
-    return text.heat(_index(spark, sf_dir), ["conv_id", "turn"], "from")
+    return text.heat(_index(spark, sf_dir), ["conv_id", "turn"], "der")
 
 
 _WORDS = "WITH words AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)))"
@@ -442,3 +443,157 @@ def session_window_join(spark, sf_dir):
 def receipt_moves(spark, sf_dir):
     daily = P.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("value"))
     return journal.moves(daily.withColumn("series", F.lit("events")), "series", "day").select(F.col("day").cast("string").alias("day"), "metric", "move")
+
+
+# ---- shape, federation, history and code -----------------------------------------------------------------------------
+
+_SCENE = " , w AS (SELECT t.*, CASE WHEN edge_type = 'contains' THEN 'contains' WHEN a.corpus <> b.corpus THEN 'cross' ELSE 'depends' END AS kind, a.node_type AS a_type, b.node_type AS b_type FROM triples t JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE src <> dst AND edge_type IN " + _list((*BLAST, "contains")) + "), k AS (SELECT id, corpus AS arm, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM nodes LEFT JOIN (SELECT dst AS id, count(*) AS n FROM w WHERE kind <> 'contains' GROUP BY 1) i USING (id) LEFT JOIN (SELECT src AS id, count(*) AS n FROM w WHERE kind <> 'contains' GROUP BY 1) o USING (id) ORDER BY fan_in DESC, id LIMIT 200)"
+
+
+def _scene(spark, sf_dir):
+    return shape.scene(P.nodes(spark, sf_dir).withColumnRenamed("corpus", "arm"), P.edges(spark, sf_dir), BLAST, 200)
+
+
+@query(_SCENE + " SELECT id, arm, fan_in, fan_out, row_number() OVER (PARTITION BY arm ORDER BY fan_in * fan_out DESC, fan_in DESC, id) = 1 AS crown FROM k")
+def scene_nodes(spark, sf_dir):
+    return _scene(spark, sf_dir)[0]
+
+
+@query(_SCENE + " SELECT src, dst, kind, count(*) AS weight FROM w WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) GROUP BY ALL")
+def scene_links(spark, sf_dir):
+    return _scene(spark, sf_dir)[1]
+
+
+@query(_SCENE + ", d AS (SELECT * FROM w WHERE kind <> 'contains') SELECT node_type AS module, count(*) AS size, (SELECT count(*) FROM d WHERE a_type = node_type AND b_type = node_type) AS internal, (SELECT count(*) FROM d WHERE b_type = node_type AND a_type <> node_type) AS fan_in, (SELECT count(*) FROM d WHERE a_type = node_type AND b_type <> node_type) AS fan_out FROM nodes GROUP BY node_type")
+def module_overview(spark, sf_dir):
+    return shape.overview(P.nodes(spark, sf_dir).withColumnRenamed("node_type", "module"), P.edges(spark, sf_dir), BLAST)
+
+
+@query(_SCENE + ", f AS (SELECT dst AS id, count(*) AS fan_in FROM w WHERE kind <> 'contains' AND a_type <> b_type GROUP BY 1) SELECT arm, id, fan_in FROM (SELECT corpus AS arm, id, fan_in, row_number() OVER (PARTITION BY corpus ORDER BY fan_in DESC, id) AS r FROM f JOIN nodes USING (id)) WHERE r = 1")
+def arm_crowns(spark, sf_dir):
+    found = P.nodes(spark, sf_dir).withColumnRenamed("corpus", "arm").withColumn("module", F.col("node_type"))
+    return shape.arm_crowns(found, P.edges(spark, sf_dir), BLAST)
+
+
+@query(" SELECT corpus || '.' || node_type AS cluster, count(*) AS size, node_type AS types FROM nodes GROUP BY corpus, node_type")
+def clusters(spark, sf_dir):
+    return shape.clusters(P.nodes(spark, sf_dir)).withColumn("types", F.array_join("types", ","))
+
+
+@query(" , s AS (SELECT id, CASE WHEN corpus IN ('party', 'geo') THEN corpus ELSE 'rest' END AS section FROM nodes), e AS (SELECT section, count(*) AS edges FROM triples JOIN s ON src = id WHERE dst IN (SELECT id FROM nodes) GROUP BY 1) SELECT section, count(*) AS nodes, coalesce(any_value(edges), 0) AS edges FROM s LEFT JOIN e USING (section) GROUP BY section")
+def section_contents(spark, sf_dir):
+    cut = spark.createDataFrame([("party", "party"), ("geo", "geo")], "group string, prefix string")
+    return shape.sections(P.nodes(spark, sf_dir), P.edges(spark, sf_dir), cut)[2].drop("digest")
+
+
+@query()
+def partition_proposal(spark, sf_dir):
+    plan = shape.propose(shape.units(P.nodes(spark, sf_dir), P.edges(spark, sf_dir), 2, BLAST))
+    arms = plan.arm_of()
+    return spark.createDataFrame([(u, arms[u], r) for u, r in sorted(plan.roles.items())], "unit string, arm string, role string")
+
+
+_SCHEMES = " , schemes AS (SELECT DISTINCT corpus AS slug, corpus AS scheme, 'own' AS role FROM nodes WHERE corpus <> 'geo' UNION SELECT DISTINCT split_part(src, '://', 1), split_part(dst, '://', 1), 'out' FROM edges WHERE split_part(src, '://', 1) <> split_part(dst, '://', 1)), pairs AS (SELECT o.slug, w.slug AS other FROM schemes o JOIN schemes w ON o.role = 'out' AND w.role = 'own' AND o.scheme = w.scheme AND o.slug <> w.slug), partners AS (SELECT * FROM pairs UNION SELECT other, slug FROM pairs)"
+
+
+def _schemes(spark, sf_dir):
+    """What corpora own and refer to; geo is taken out, so that a scheme has no owner."""
+    crossing = P.edges(spark, sf_dir).select(C.scheme(F.col("src")).alias("slug"), C.scheme(F.col("dst")).alias("scheme"), F.lit("out").alias("role")).filter("slug <> scheme")
+    own = P.nodes(spark, sf_dir).filter("corpus <> 'geo'").select(F.col("corpus").alias("slug"), F.col("corpus").alias("scheme"), F.lit("own").alias("role"))
+    return own.unionByName(crossing).distinct()
+
+
+@query(_SCHEMES + " SELECT slug, CASE WHEN slug = 'catalog' THEN 'core' WHEN slug = 'web' THEN 'parked' WHEN bool_or(p.other = 'catalog') THEN 'joined-to-core' WHEN bool_or(p.other IS NOT NULL) THEN 'joined-within-axis' WHEN bool_or(s.role = 'out' AND s.scheme NOT IN (SELECT scheme FROM schemes WHERE role = 'own')) THEN 'cross-axis-gap' ELSE 'solo' END AS state FROM schemes s LEFT JOIN partners p USING (slug) GROUP BY slug")
+def federation_gate(spark, sf_dir):
+    return federation.gate(_schemes(spark, sf_dir), ("catalog",), ("web",))
+
+
+@query(_SCHEMES + " SELECT 'catalog' AS slug UNION SELECT other FROM partners WHERE slug = 'catalog'")
+def roster(spark, sf_dir):
+    return federation.roster(_schemes(spark, sf_dir), PART, 1).select("slug")
+
+
+@query("SELECT * FROM (VALUES ('a', '1.10'), ('b', '2.0.post1')) t(name, version)", graph=False)
+def newest_release(spark, sf_dir):
+    rows = [("a", "1.9"), ("a", "1.10"), ("a", "2.0rc1"), ("b", "2.0"), ("b", "2.0.post1"), ("b", "2.1.dev3"), ("b", "junk")]
+    return federation.newest(spark.createDataFrame(rows, "name string, version string"))
+
+
+@query("SELECT CAST(item_id % 4 AS VARCHAR) AS shard, count(*) AS files, sha256(string_agg(item_id::VARCHAR || chr(0) || sha256(text) || chr(10), '' ORDER BY item_id::VARCHAR)) AS address FROM benchmark GROUP BY 1", graph=False)
+def content_addresses(spark, sf_dir):
+    found = P.read(spark, sf_dir, "benchmark")
+    return federation.addresses(found.select((F.col("item_id") % 4).cast("string").alias("shard"), F.col("item_id").cast("string").alias("file"), F.col("text").cast("binary").alias("content")))
+
+
+@query(_HELD + " SELECT 'endpoints' AS \"check\", split_part(src, '://', 1) || ': ' || count(DISTINCT id) AS subject, CASE WHEN split_part(src, '://', 1) = 'party' THEN 'RED' ELSE 'NOTE' END AS level FROM (SELECT src, unnest([src, dst]) AS id FROM triples) WHERE id NOT IN (SELECT id FROM held) GROUP BY split_part(src, '://', 1) UNION ALL VALUES ('release', 'core', 'RED')")
+def audit_findings(spark, sf_dir):
+    pins = spark.createDataFrame([("core", "a", "1.0"), ("core", "b", "1.1")], "scheme string, lane string, version string")
+    pages = spark.createDataFrame([("j", 1, "c1", None, 5, 0, True), ("j", 2, "c2", "c1", 1, 2, False)], "journal string, seq long, cursor string, prev_cursor string, n_born long, n_died long, bootstrap boolean")
+    return federation.audit(_broken(spark, sf_dir), P.edges(spark, sf_dir), pins, pages, ("party",))
+
+
+@query(" , t AS (SELECT id, unnest([array_to_string(list_slice(p, i, len(p)), '.') for i in range(1, len(p))]) AS literal FROM (SELECT id, string_split(regexp_replace(id, '^[^:]*://[^/]*/', ''), '.') AS p FROM nodes)) SELECT literal, min(id) AS node, count(DISTINCT id) AS n FROM t GROUP BY literal")
+def symbol_literals(spark, sf_dir):
+    return history.symbol_index(P.nodes(spark, sf_dir).withColumn("file", F.lit(None).cast("string")))
+
+
+@query("WITH c AS (SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS session, min(o_orderdate) AS opened FROM orders GROUP BY 1), w AS (SELECT session, opened AS high, lag(opened) OVER (ORDER BY opened, session) AS low FROM c) SELECT CAST(o_orderkey AS VARCHAR) AS \"commit\", session FROM orders JOIN w ON o_orderdate > low AND o_orderdate <= high", graph=False)
+def commit_windows(spark, sf_dir):
+    found = P.read(spark, sf_dir, "orders")
+    captures = found.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("session")).agg(F.min("o_orderdate").alias("at"))
+    return history.authored(found.select(F.col("o_orderkey").cast("string").alias("commit"), F.col("o_orderdate").alias("at")), captures)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS file, count(DISTINCT turn // 2) AS boxes, count(*) AS marks FROM conversations GROUP BY 1", graph=False)
+def archive_boxes(spark, sf_dir):
+    turns = P.read(spark, sf_dir, "conversations")
+    mark = F.concat(F.lit("--- ["), F.floor(F.col("turn") / 2).cast("string"), F.lit("] "), F.when(F.col("role") == "assistant", "ASSISTANT").otherwise("USER"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", mark.alias("x")))), lambda s: s["x"]), "\n")
+    files = turns.groupBy(F.col("conv_id").cast("string").alias("file")).agg(joined.alias("text"))
+    per_box = history.boxes(files).groupBy("file").agg(F.count("*").alias("boxes"))
+    return per_box.join(history.exchanges(files).groupBy("file").agg(F.count("*").alias("marks")), "file")
+
+
+_STOPS = _list(t.replace("'", "''") for t in text.STOP)
+
+
+@query("WITH t AS (SELECT source, doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]{2,}'), lambda x: regexp_replace(lower(x), '[.-]+$', ''))) AS term FROM documents), p AS (SELECT DISTINCT term, source, doc_id FROM t WHERE length(term) >= 3 AND term NOT IN " + _STOPS + "), live AS (SELECT term, count(DISTINCT doc_id) AS boxes FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 3), sym AS (SELECT * FROM (SELECT term, boxes, list_filter(regexp_split_to_array(term, '[._-]'), lambda s: length(s) >= 3 AND NOT regexp_matches(s, '^[0-9]+$') AND s NOT IN " + _STOPS + ") AS seg FROM live WHERE regexp_matches(term, '[._-]')) WHERE len(seg) > 0), family AS (SELECT s, count(*) AS n FROM (SELECT unnest(list_distinct(seg)) AS s FROM sym) GROUP BY s), anchors AS (SELECT term, boxes FROM live WHERE term NOT IN (SELECT term FROM sym) AND term IN (SELECT s FROM family WHERE n >= 2)), under AS (SELECT a.term, arg_min(b.term, (-len(b.seg), b.term)) AS parent FROM sym a JOIN sym b ON len(b.seg) < len(a.seg) AND contains('.' || array_to_string(a.seg, '.') || '.', '.' || array_to_string(b.seg, '.') || '.') GROUP BY a.term), near AS (SELECT sym.term, arg_min(a.term, (-a.boxes, a.term)) AS anchor FROM sym JOIN anchors a ON list_contains(sym.seg, a.term) GROUP BY sym.term) SELECT term, boxes, 'symbol' AS kind, coalesce(parent, anchor) AS parent FROM sym LEFT JOIN under USING (term) LEFT JOIN near USING (term) UNION ALL SELECT term, boxes, 'anchor', NULL FROM anchors", graph=False)
+def topic_forest(spark, sf_dir):
+    index = text.postings(P.read(spark, sf_dir, "documents"), ["source", "doc_id"])
+    return history.topic_forest(index, "source", ["doc_id"], 3, 1.0, 2)
+
+
+@query(_TERMS + ", own AS (SELECT conv_id, turn FROM postings WHERE term = 'que') SELECT term, count(*) AS n FROM postings SEMI JOIN own USING (conv_id, turn) WHERE term <> 'que' GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 20", graph=False)
+def neighbour_terms(spark, sf_dir):
+    return text.neighbour_terms(P.read(spark, sf_dir, "conversations"), "que")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, len(regexp_extract_all(text, '[0-9]+')) AS n FROM documents WHERE regexp_matches(text, '[0-9]+')", graph=False)
+def match_stats(spark, sf_dir):
+    return code.file_stats(P.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "[0-9]+")
+
+
+_FILES = (
+    ("pkg/__init__.py", "from .core import Base\n"),
+    ("pkg/core.py", "class Base:\n    def run(self):\n        self.stop()  # stop here\n    def stop(self):\n        return len('stop')\n"),
+    ("pkg/use.py", "from pkg import Base as B\nclass Child(B):\n    def go(self, other: B):\n        other.stop()\n        super().run()\n"),
+)
+
+
+def _files(spark):
+    return spark.createDataFrame(list(_FILES), "path string, text string")
+
+
+@query("SELECT * FROM (VALUES ('class', 2), ('func', 0), ('method', 3), ('module', 3), ('contains', 5), ('imports', 2), ('inherits', 1), ('calls', 5)) t(type, n) WHERE n > 0", graph=False)
+def python_records(spark, sf_dir):
+    return python_source.records(_files(spark), "pkg").groupBy("type").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('B', 'pkg://class/pkg.core.Base', 'reexport', NULL), ('self.stop', 'pkg://method/pkg.core.Base.stop', 'self', NULL), ('len', NULL, NULL, 'builtin'), ('other.stop', 'pkg://method/pkg.core.Base.stop', 'annotation', NULL), ('super', NULL, NULL, 'builtin'), ('super(...).run', 'pkg://method/pkg.core.Base.run', 'super', NULL)) t(label, dst, via, why)", graph=False)
+def label_resolution(spark, sf_dir):
+    return resolve.resolve(python_source.records(_files(spark), "pkg")).select("label", "dst", "via", "why")
+
+
+@query("SELECT * FROM (VALUES ('pkg/core.py', 3, 'run', 'code'), ('pkg/core.py', 3, 'run', 'code'), ('pkg/core.py', 4, 'stop', 'code'), ('pkg/core.py', 5, 'stop', 'prose'), ('pkg/use.py', 4, 'go', 'code')) t(path, line, block, kind)", graph=False)
+def code_matches(spark, sf_dir):
+    return code.matches(_files(spark), r"\bstop\b").select("path", F.col("line").cast("int").alias("line"), "block", "kind")
