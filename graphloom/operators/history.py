@@ -137,18 +137,60 @@ def discussed(contains: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def story(sessions: DataFrame, edges: DataFrame) -> DataFrame:
-    """session, at and, in order, its commits, the issues these close, the sections they touch and the receipts they carry.
-
-    ``sessions(session, at)``; a session captured twice has its latest time. Edges: session authored commit; commit
-    closes, touches or carries the rest.
-    """
+    """session, at and, in order, its commits, the sections these record, the issues they name and the receipts that pin
+    those issues. ``sessions(session, at)``; a session captured twice has its latest time."""
     last = sessions.groupBy("session").agg(F.max("at").alias("at"))
-    made = edges.filter("edge_type = 'authored'").select(F.col("src").alias("session"), F.col("dst").alias("commit")).distinct()
-    out = last.join(made.groupBy("session").agg(F.array_sort(F.collect_set("commit")).alias("commits")), "session", "left")
-    for relation, name in (("closes", "issues"), ("touches", "sections"), ("carries", "receipts")):
-        end = edges.filter(F.col("edge_type") == relation).select(F.col("src").alias("commit"), F.col("dst").alias("x"))
-        out = out.join(made.join(end, "commit").groupBy("session").agg(F.array_sort(F.collect_set("x")).alias(name)), "session", "left")
-    return out.select("session", "at", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("commits", "issues", "sections", "receipts")])
+    of = lambda relation, src, dst: edges.filter(F.col("edge_type") == relation).select(F.col("src").alias(src), F.col("dst").alias(dst)).distinct()
+    made = of("authored", "session", "commit")
+    named = made.join(of("names", "commit", "issue"), "commit").select("session", "issue").distinct()
+    held = {"commits": made.withColumnRenamed("commit", "x"), "sections": made.join(of("records", "commit", "x"), "commit"), "issues": named.withColumnRenamed("issue", "x"), "receipts": named.join(of("pins", "x", "issue"), "issue")}
+    out = last
+    for name, rows in held.items():
+        out = out.join(rows.groupBy("session").agg(F.array_sort(F.collect_set("x")).alias(name)), "session", "left")
+    return out.select("session", "at", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in held])
+
+
+def mint(sessions: DataFrame, files: DataFrame, commits: DataFrame, sections: DataFrame, receipts: DataFrame, code: DataFrame, aliases: dict[str, str] | None = None, issue: str = r"(?:issue |#)(\d+)", section: str = r"§(\d+)") -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, node_type, name) and edges (src, dst, edge_type, via) of one repository's history.
+
+    ``sessions(session, at, file)``, ``files(file, text)``, ``commits(sha, at, subject, body, files)``,
+    ``sections(number, title)``, ``receipts(name, issue, at)`` and code nodes. Edges: follows, contains, mentions,
+    authored, records, names, touches and pins. A session captured twice is one node and two windows, and its last capture
+    has its exchanges; records of a section that isn't there give no edge. The chains of ``follows`` are ordered in one
+    task each, which one repository bounds.
+    """
+    put = lambda kind, *c: F.concat(F.lit(f"history://{kind}/"), *[F.col(x).cast("string") if isinstance(x, str) else x for x in c])
+    each = lambda text, pattern: F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1)))
+    last = sessions.groupBy("session").agg(F.max_by("file", F.struct("at", "file")).alias("file"), F.max("at").alias("at"), F.min("at").alias("first"))
+    spoken = exchanges(files).filter("n IS NOT NULL").join(last.select("session", "file"), "file")
+    spoken = spoken.groupBy(put("session", "session").alias("session"), put("exchange", F.concat_ws("/", "session", F.col("n").cast("string"), "speaker")).alias("x")).agg(F.max_by("text", "part").alias("text"))
+    mentions, _ = bind(spoken.select("x", "text"), ["x"], code, aliases)
+    headed = sections.select(put("section", "number").alias("id"), F.col("number"), F.col("title"))
+    made = commits.select(put("commit", "sha").alias("id"), "sha", "at", "subject", "body", "files")
+    body = made.select("id", each(F.concat_ws("\n", "subject", "body"), section).alias("number"))
+    named = made.select(F.col("id").alias("src"), each(F.concat_ws("\n", "subject", "body"), issue).alias("number"), F.lit("message").alias("via")).unionByName(headed.select(F.col("id").alias("src"), each(F.col("title"), issue).alias("number"), F.lit("title").alias("via")))
+    pinned = receipts.filter("issue IS NOT NULL").select(put("receipt", "name").alias("src"), put("issue", "issue").alias("dst"))
+    paths = made.select("id", F.explode("files").alias("path"))
+    windows = authored(made.select(F.col("id").alias("commit"), "at"), sessions.select(put("session", "session").alias("session"), "at"))
+    edge = lambda df, src, dst, kind, via=None: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("edge_type"), (F.col(via[1:]) if via and via[0] == ":" else F.lit(via)).cast("string").alias("via"))
+    chain = lambda df, key: edge(df.select(F.lag("id").over(Window.orderBy(*key)).alias("before"), "id").filter("before IS NOT NULL"), "before", "id", "follows")
+    out = chain(last.select(put("session", "session").alias("id"), "first"), ["first", "id"]).unionByName(chain(made, ["at", "id"])).unionByName(chain(headed, ["number"]))
+    for part in (
+        edge(spoken, "session", "x", "contains"),
+        edge(mentions, "x", "node", "mentions", ":via"),
+        edge(windows, "session", "commit", "authored", "window"),
+        edge(body.withColumn("dst", put("section", "number")).join(headed.select(F.col("id").alias("dst")), "dst", "left_semi"), "id", "dst", "records", "message"),
+        edge(named.withColumn("dst", put("issue", "number")), "src", "dst", "names", ":via"),
+        edge(paths.join(modules_of(paths, code_index(code)), "path"), "id", "module", "touches"),
+        edge(pinned, "src", "dst", "pins"),
+    ):
+        out = out.unionByName(part)
+    node = lambda df, kind, name: df.select("id", F.lit(kind).alias("node_type"), name.alias("name"))
+    nodes = node(last.withColumn("id", put("session", "session")), "session", F.substring("session", 1, 8))
+    issues = named.select(put("issue", "number").alias("id")).unionByName(pinned.select(F.col("dst").alias("id"))).distinct()
+    for part in (node(spoken.withColumnRenamed("x", "id").drop("session"), "exchange", F.col("id")), node(made, "commit", F.substring("sha", 1, 7)), node(headed, "section", F.col("title")), node(issues, "issue", F.substring_index("id", "/", -1)), node(receipts.withColumn("id", put("receipt", "name")), "receipt", F.col("name"))):
+        nodes = nodes.unionByName(part)
+    return nodes.dropDuplicates(["id"]), out.distinct()
 
 
 def topic_forest(index: DataFrame, session: str, box: list[str], min_boxes: int = 3, max_share: float = 0.5, min_family: int = 2) -> DataFrame:

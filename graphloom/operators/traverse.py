@@ -27,16 +27,17 @@ def steps(edges: DataFrame, relations: Sequence[str] | None = None, direction: s
     return found if direction == "any" else found.filter(F.col("direction") == direction)
 
 
-def reach(seeds: DataFrame, adj: DataFrame, depth: int, first_adj: DataFrame | None = None, target: str | None = None) -> DataFrame:
+def reach(seeds: DataFrame, adj: DataFrame, depth: int, first_adj: DataFrame | None = None, target: str | None = None, max_nodes: int | None = None) -> DataFrame:
     """seed, node, hop, via, relation and ord of all nodes within ``depth`` hops; the seed has hop 0.
 
     Of several discoverers in one level the first counts: by its own order, then outgoing before incoming edges, then by
     neighbour and relation. ``first_adj`` holds edges that are only walked from the seed. The loop ends when a level adds
-    nothing, or once ``target`` has been reached from every seed.
+    nothing, once ``target`` has been reached from every seed, or once more than ``max_nodes`` are held.
     """
     none = F.lit(None).cast("string")
     frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), none.alias("via"), none.alias("relation"), F.lit(1).cast("long").alias("ord")))
     visited, size, n_seeds = frontier, frontier.count(), None
+    held = size
     order = Window.partitionBy("seed").orderBy("from_ord", F.col("direction").desc(), "node", "relation")
     for hop in range(1, depth + 1):
         walked = adj if hop > 1 or first_adj is None else adj.unionByName(first_adj).distinct()
@@ -49,7 +50,9 @@ def reach(seeds: DataFrame, adj: DataFrame, depth: int, first_adj: DataFrame | N
         size = frontier.count()
         if not size:
             break
-        visited = visited.unionByName(frontier)
+        visited, held = visited.unionByName(frontier), held + size
+        if max_nodes is not None and held > max_nodes:
+            break
         if target is not None:
             n_seeds = n_seeds or seeds.select("seed").distinct().count()
             if visited.filter(F.col("node") == target).select("seed").distinct().count() == n_seeds:
@@ -94,7 +97,7 @@ def path_to(edges: DataFrame, source: str, target: str, max_depth: int = 6, max_
     if source not in present or target not in present:
         return [], "seed-absent" if source not in present else "target-absent"
     seeds = spark.createDataFrame([(source,)], "seed string")
-    found = cut(reach(seeds, steps(edges, relations), max_depth, target=target))
+    found = cut(reach(seeds, steps(edges, relations), max_depth, target=target, max_nodes=max_nodes))
     node, out = target, []
     while True:
         row = found.filter(F.col("node") == node).select("via", "relation").head(1)

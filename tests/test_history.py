@@ -48,10 +48,10 @@ def test_commits_fall_into_windows(spark):
 
 
 def test_story_and_discussed(spark):
-    edges = spark.createDataFrame([("s", "c1", "authored"), ("s", "c2", "authored"), ("c1", "i9", "closes"), ("c2", "t", "touches")], "src string, dst string, edge_type string")
+    edges = spark.createDataFrame([("s", "c1", "authored"), ("s", "c2", "authored"), ("c1", "i9", "names"), ("c2", "t", "records"), ("r", "i9", "pins")], "src string, dst string, edge_type string")
     sessions = spark.createDataFrame([("s", 1), ("s", 2), ("idle", 1)], "session string, at int")
     got = {r["session"]: tuple(r)[1:] for r in H.story(sessions, edges).collect()}
-    assert got == {"s": (2, ["c1", "c2"], ["i9"], ["t"], []), "idle": (1, [], [], [], [])}
+    assert got == {"s": (2, ["c1", "c2"], ["t"], ["i9"], ["r"]), "idle": (1, [], [], [], [])}
     contains = spark.createDataFrame([("s", "x1"), ("s", "x2")], "src string, dst string")
     mentions = spark.createDataFrame([("x1", "n"), ("x2", "n"), ("x2", "m")], "src string, dst string")
     assert {(r["session"], r["node"]): r["n"] for r in H.discussed(contains, mentions).collect()} == {("s", "n"): 2, ("s", "m"): 1}
@@ -63,3 +63,29 @@ def test_topic_forest(spark):
     index = spark.createDataFrame(rows, "term string, session string, box int")
     got = {r["term"]: (r["kind"], r["parent"], r["boxes"]) for r in H.topic_forest(index, "session", ["session", "box"], 3, 0.5, 2).collect()}
     assert got == {"store": ("anchor", None, 4), "federated.store": ("symbol", "store", 3), "federated.store.walk": ("symbol", "federated.store", 3), "store_page": ("symbol", "store", 3)}
+
+
+def test_history_is_minted(spark):
+    at = lambda d: datetime.datetime(2024, 1, d)
+    sessions = spark.createDataFrame([("aaaa1111", at(1), "f1"), ("bbbb2222", at(3), "f2")], "session string, at timestamp, file string")
+    files = spark.createDataFrame([("f2", "--- [1] USER\nlook at cli.run\n--- [1] ASSISTANT\ndone")], "file string, text string")
+    commits = spark.createDataFrame([("c0ffee0", at(2), "fix #7", "see §1 and §9", ["engine/app/cli.py"]), ("c0ffee1", at(4), "late", None, None)], "sha string, at timestamp, subject string, body string, files array<string>")
+    sections = spark.createDataFrame([(1, "first (#8)"), (2, "second")], "number long, title string")
+    receipts = spark.createDataFrame([("r7", 7, at(2)), ("r0", None, at(2))], "name string, issue long, at timestamp")
+    nodes, edges = H.mint(sessions, files, commits, sections, receipts, code(spark))
+    h = "history://"
+    assert {(r["src"].removeprefix(h), r["dst"].removeprefix(h), r["edge_type"]) for r in edges.collect()} == {
+        ("session/aaaa1111", "session/bbbb2222", "follows"),
+        ("commit/c0ffee0", "commit/c0ffee1", "follows"),
+        ("section/1", "section/2", "follows"),
+        ("session/bbbb2222", "exchange/bbbb2222/1/user", "contains"),
+        ("session/bbbb2222", "exchange/bbbb2222/1/assistant", "contains"),
+        ("exchange/bbbb2222/1/user", "c://func/app.cli.run", "mentions"),
+        ("session/bbbb2222", "commit/c0ffee0", "authored"),
+        ("commit/c0ffee0", "section/1", "records"),
+        ("commit/c0ffee0", "issue/7", "names"),
+        ("section/1", "issue/8", "names"),
+        ("commit/c0ffee0", "c://module/app.cli", "touches"),
+        ("receipt/r7", "issue/7", "pins"),
+    }
+    assert nodes.groupBy("node_type").count().count() == 6 and nodes.count() == 12
