@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that repeat earlier ones are taken out of the texts."""
+    """Runs of lines, and single lines as long as a passage, that repeat earlier ones are taken out of the texts."""
     kept = line_dedup.line_dedup(docs)
     if "n_chars" in docs.columns:
         size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

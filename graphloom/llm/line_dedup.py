@@ -6,10 +6,14 @@ fingerprint. Fingerprints that occur once go. Around each of the others the matc
 guaranteed length at a time: equal runs are grouped by their line hashes, never paired, and a run is deleted wherever it
 also starts earlier, in a document of smaller doc_id or further up in the same one. Overlapping runs join up.
 
+A line that is a passage by itself, of ``PASSAGE_WORDS`` words or ``PASSAGE_BYTES`` bytes, is a fingerprint and a run of
+its own, whatever stands around it and however few lines its document has. ``query`` leaves that out (``passages``): it
+is held to ``ORACLE``, which knows runs of two lines only.
+
 Defined results: lines are compared without leading and trailing spaces; lines of only spaces are never part of a run
 and stay; a null text stays null; a text whose lines all go is empty; a null doc_id is later than all others; rows that
-share doc_id and text get the same result, since neither is earlier; shorter runs and an empty table lose nothing;
-columns of any other name pass through. Line identity is a 64-bit hash for each line of a run.
+share doc_id and text get the same result, since neither is earlier; shorter runs, passages apart, and an empty table
+lose nothing; columns of any other name pass through. Line identity is a 64-bit hash for each line of a run.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_counted, table
+from graphloom.llm.common import WORD, join_counted, table
 
 GRAM = 1
 WINDOW = 2
+PASSAGE_WORDS = 50
+#: About as many words of six bytes, for scripts that don't set words apart by spaces.
+PASSAGE_BYTES = 300
 
 
 def _lines(text: str) -> Column:
@@ -32,54 +39,69 @@ def _numbers(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def _passage(line: Column) -> Column:
+    """Whether a line is a run of its own; words are counted only where there may be enough."""
+    size = F.octet_length(line)
+    return (size >= PASSAGE_BYTES) | ((size >= 2 * PASSAGE_WORDS - 1) & (F.regexp_count(line, F.lit(WORD)) >= PASSAGE_WORDS))
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, passages: bool = True) -> DataFrame:
     """doc_id, row (a hash of the text), the fingerprint, its position among the lines, and the runs around it."""
     run = gram + window - 1
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))).alias("h"))
-    hashed = hashed.filter(F.size("h") >= run)
-    grams = F.col("h") if gram == 1 else F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.xxhash64(F.slice("h", i + 1, gram)))
+    solid = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: x != "")
+    hashed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.transform(solid, lambda x: F.struct(F.xxhash64(x).alias("h"), (_passage(x) if passages else F.lit(False)).alias("alone"))).alias("l"))
+    alone = F.filter(F.transform("l", lambda x, i: F.when(x["alone"], i)), lambda i: i.isNotNull())
+    hashed = hashed.select("doc_id", "row", F.col("l.h").alias("h"), alone.alias("alone")).filter((F.size("h") >= run) | (F.size("alone") > 0))
+    grams = F.col("h") if gram == 1 else F.when(F.size("h") >= gram, F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.xxhash64(F.slice("h", i + 1, gram)))).otherwise(F.array().cast("array<long>"))
     hashed = hashed.withColumn("g", grams)
 
     def least(i: Column) -> Column:
         part = F.slice("g", i + 1, window)
         return (i + F.array_position(part, F.array_min(part)) - 1).cast("int")
 
-    chosen = hashed.withColumn("at", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("g") - window), least))))
-    first, last = F.greatest(F.lit(0), F.col("at") + gram - run), F.least(F.col("at"), F.size("h") - run)
-    runs = F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, run).alias("lines")))
-    return chosen.select("doc_id", "row", F.element_at("g", F.col("at") + 1).alias("fingerprint"), "at", runs.alias("runs"))
+    def places(at: Column | str, size: int) -> Column:
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size")))
+
+    least_ones = F.when(F.size("h") >= run, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("g") - window), least))).otherwise(F.array().cast("array<int>"))
+    chosen = hashed.withColumn("place", F.explode(F.concat(places(least_ones, run), places("alone", 1)) if passages and run > 1 else places(least_ones, run))).select("*", "place.*")
+    whole = F.col("size") == run
+    first = F.when(whole, F.greatest(F.lit(0), F.col("at") + gram - run)).otherwise(F.col("at"))
+    last = F.when(whole, F.least(F.col("at"), F.size("h") - run)).otherwise(F.col("at"))
+    runs = F.transform(F.sequence(first, last), lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, F.col("size")).alias("lines")))
+    mark = F.when(whole, F.element_at("g", F.col("at") + 1)).otherwise(F.xxhash64(F.element_at("h", F.col("at") + 1), F.lit("alone")))
+    return chosen.select("doc_id", "row", mark.alias("fingerprint"), "at", runs.alias("runs"))
 
 
 def repeated_runs(prints: DataFrame) -> DataFrame:
-    """doc_id, row and the starts of the runs that also start earlier."""
+    """doc_id, row and the numbers of the lines in runs that also start earlier."""
     shared = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1")
     runs = join_counted(prints, shared, "fingerprint").select("doc_id", "row", F.explode("runs").alias("run")).select("doc_id", "row", "run.*")
     own = runs.groupBy("lines", "doc_id", "row").agg(F.collect_set("start").alias("starts"), F.min("start").alias("own_first"))
     first = own.groupBy("lines").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.max(F.size("starts")).alias("most")).filter("n > 1 OR most > 1").select("lines", "first_doc", "n")
     later = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.col("doc_id").isNull() & F.col("first_doc").isNotNull())
     starts = F.when(later, F.col("starts")).otherwise(F.filter("starts", lambda s: s > F.col("own_first")))
-    found = join_counted(own, first, "lines").select("doc_id", "row", starts.alias("starts")).filter(F.size("starts") > 0)
-    return found.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    found = join_counted(own, first, "lines").select("doc_id", "row", F.size("lines").alias("size"), starts.alias("starts")).filter(F.size("starts") > 0)
+    hit = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1)))
+    return found.select("doc_id", "row", hit.alias("hit")).groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, passages: bool = True) -> DataFrame:
     """``docs`` with the text without its repeated runs, and n_lines, n_removed, n_runs."""
-    run = gram + window - 1
-    found = repeated_runs(fingerprints(docs, doc_id, text, gram, window)).select(F.col("doc_id").alias("line_doc"), F.col("row").alias("line_row"), F.col("starts").alias("line_starts"))
+    found = repeated_runs(fingerprints(docs, doc_id, text, gram, window, passages)).select(F.col("doc_id").alias("line_doc"), F.col("row").alias("line_row"), F.col("hit").alias("line_found"))
     joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("line_doc")) & (F.xxhash64(F.col(text)) == F.col("line_row")), "left")
-    hit = F.array_distinct(F.flatten(F.transform("line_starts", lambda s: F.sequence(s, s + run - 1))))
-    joined = joined.withColumn("line_list", _lines(text)).withColumn("line_numbers", _numbers(F.col("line_list"))).withColumn("line_hit", F.sort_array(F.coalesce(hit, F.array().cast("array<int>"))))
+    joined = joined.withColumn("line_list", _lines(text)).withColumn("line_numbers", _numbers(F.col("line_list"))).withColumn("line_hit", F.sort_array(F.coalesce("line_found", F.array().cast("array<int>"))))
     gone = F.transform("line_hit", lambda i: F.get("line_numbers", i))
     kept = F.array_except(F.sequence(F.lit(0), F.size("line_list") - 1), gone)
     runs = F.size(F.array_except("line_hit", F.transform("line_hit", lambda i: i + 1)))
-    text_kept = F.when(F.col("line_starts").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("line_list", i)), "\n"))
+    text_kept = F.when(F.col("line_found").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("line_list", i)), "\n"))
     out = {text: text_kept, "n_lines": F.size("line_numbers").cast("long"), "n_removed": F.size("line_hit").cast("long"), "n_runs": runs.cast("long")}
     others = [F.col(c) for c in docs.columns if c not in out]
     return joined.select(*others, *[v.alias(k) for k, v in out.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """Runs of two lines or more, as ``ORACLE`` has them; single passages stay here."""
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=False).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

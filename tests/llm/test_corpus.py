@@ -354,6 +354,28 @@ def test_line_runs_by_brute_force(spark):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_single_lines_as_long_as_a_passage_go(spark):
+    """Between other neighbours, as a whole document, twice in one, and beside runs; 49 words stay."""
+    import corpus_pipeline
+
+    passage, other, short = " ".join(f"p{i}" for i in range(50)), "语" * 100, " ".join(f"s{i}" for i in range(49))
+    texts = [f"a\n{passage}\nb", f"c\n {passage}\n\nd", passage, f"{short}\ne\n{other}", f"{other}\nf\n{other}", short, f"g\n{passage}\nb\nh", other, "语" * 99]
+    docs = docs_of(spark, list(enumerate(texts)))
+    want = [texts[0], "c\n\nd", "", texts[3], "f", short, "g\nh", "", texts[8]]
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in line_dedup.line_dedup(docs).collect()}
+    assert [got[i][0] for i in range(9)] == want
+    assert [got[i][1:] for i in range(9)] == [(0, 0), (1, 1), (1, 1), (0, 0), (2, 2), (0, 0), (2, 1), (1, 1), (0, 0)]
+    staged = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_stage(spark, docs, FOLDER).collect()}
+    assert staged == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
+def test_no_passage_of_the_sample_tables_stays_twice(spark):
+    for gram, window in ((1, 2), (2, 2)):
+        kept = line_dedup.line_dedup(spark.read.parquet(f"{LARGER}/documents.parquet"), gram=gram, window=window)
+        lines = Counter(x.strip(" ") for r in kept.select("text").collect() for x in (r["text"] or "").split("\n"))
+        assert not [x for x, n in lines.items() if n > 1 and len(x.split()) >= 50]
+
+
 def test_repeated_words_and_shrinking(spark):
     words = b"a b c d e f g h x a b c d e f g h".split()
     assert host_rules.repeated_words(words) == 16 and host_rules.repeated_words([b"w"] * 9) == 9 and host_rules.repeated_words(words[:9]) == 0
