@@ -5,12 +5,12 @@ an element is a region at which darts are thrown: a Poisson process along the ra
 the unit and the dart's number alone. A document sees the darts inside its own regions up to a rank that depends on its
 total weight, so about K ln K + 2 K darts fall whatever its size. Each dart belongs to one of K coordinates by its hash,
 and the earliest dart of each coordinate is kept; two documents agree in a coordinate with the probability of their
-weighted Jaccard similarity. Bands of ``ROWS`` coordinates are joined; candidates are then compared exactly.
+weighted Jaccard similarity. Bands of ``ROWS`` coordinates are joined; candidates are compared exactly.
 
 Copies: texts with the same words are one node from the start. The members of a band bucket are compared with each
-other inside a task, by products of their element matrices, in blocks whose size is bounded; a task returns a spanning
-forest of the similar pairs it finds, so at most a row per member, however many pairs there are. No link is lost: the
-forests of all buckets have the components of all links. Their edges are checked once more on 64-bit elements.
+other inside a task on whole 64-bit elements, by products of their element matrices, in blocks whose size is bounded; a
+task returns a spanning forest of the similar pairs it finds, so at most a row per member, however many pairs there are.
+No link is lost: every edge of a forest is a checked link, and the forests of all buckets have the components of all links.
 
 Defined results: words are lower-cased runs of letters, digits and non-ASCII characters; a text of one to four words is
 one shingle; a text without words is in a class by itself; the class is the smallest doc_id in it (null only if all
@@ -178,14 +178,6 @@ def element_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame
     return made.join(hint_small(wanted.select("key"), n_wanted), "key", "left_semi").dropDuplicates(["key"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The ``pairs(a, b)`` whose exact weighted Jaccard similarity is the threshold or more."""
-    left, right = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("ea", "eb"))
-    return both.withColumn("shared", shared).filter(F.col("shared") >= threshold * (F.size("ea") + F.size("eb") - F.col("shared"))).select("a", "b")
-
-
 def forest(similar_pairs: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a symmetric boolean matrix."""
     n, edges = len(similar_pairs), []
@@ -206,7 +198,7 @@ def forest(similar_pairs: np.ndarray) -> list[tuple[int, int]]:
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each two of the sets share."""
     n = len(sets)
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n))
     row = np.repeat(np.arange(n), [len(x) for x in sets])
     _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     kept = held[column] > 1
@@ -228,9 +220,9 @@ def _bucket_links(threshold: float):
         sets = [x.values.to_numpy() for x in group.column("elements").combine_chunks()] if len(keys) > 1 else []
         edges = []
         if sets:
-            size = np.array([len(x) for x in sets], np.float32)
+            size = np.array([len(x) for x in sets], float)
             shared = shared_counts(sets)
-            near = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-3
+            near = shared >= threshold * (size[:, None] + size[None, :] - shared)
             edges = [tuple(sorted((keys[a], keys[b]))) for a, b in forest(near)]
         return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
 
@@ -253,12 +245,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     places = entries.join(buckets, ["band", "h"]).select("key", "rep", pairs.alias("pairs"))
     places = cut(places.groupBy("key").agg(F.first("rep").alias("rep"), F.flatten(F.collect_list("pairs")).alias("pairs")))
     sets = element_sets(read, places.select("key", "rep"), places.count())
-    short = F.transform("elements", lambda x: F.shiftright(x, 32).cast("int"))
-    dealt = places.select("key", "pairs").join(sets.select("key", short.alias("elements")), "key").select("key", "elements", F.explode("pairs").alias("pair")).select("key", "elements", "pair.*")
-    found = cut(dealt.groupBy("band", "h", "low", "high").applyInArrow(_bucket_links(threshold), "a binary, b binary").distinct())
-    ends = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    ends = cut(places.select("key", "rep").join(ends, "key", "left_semi"))
-    links = similar(found, element_sets(read, ends, ends.count()), threshold)
+    dealt = places.select("key", "pairs").join(sets, "key").select("key", "elements", F.explode("pairs").alias("pair")).select("key", "elements", "pair.*")
+    links = dealt.groupBy("band", "h", "low", "high").applyInArrow(_bucket_links(threshold), "a binary, b binary")
     roots = cut(components(links))
     named = made.select("doc_id", "key").join(roots.withColumnRenamed("root", "found"), "key", "left").withColumn("root", F.coalesce("found", "key"))
     sizes = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_doc"), F.count("*").alias("class_rows")).filter("class_rows > 1")

@@ -298,6 +298,26 @@ def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
     assert {r["class_id"] for r in near_dedup.classes(docs_of(spark, texts)).collect()} == {0}
 
 
+def test_elements_alike_in_32_bits_cost_no_link(spark):
+    """a and b are each similar to c, but to one another only where elements are cut to their upper 32 bits."""
+    ends = [b"p q r s w%d" % i for i in range(400_000)]
+    top = near_dedup.elements(ends)[0] >> np.uint64(32)
+    order = np.argsort(top, kind="stable")
+    twins = [(int(order[i]), int(order[i + 1])) for i in np.flatnonzero(top[order][1:] == top[order][:-1])]
+    assert len(twins) >= 6
+    rows = []
+    for x, y in twins[:6]:
+        for seed in range(1000):  # words by which all three meet in the one band
+            middle = " ".join(f"m{x}n{seed}n{k}" for k in range(8)) + " p q r s"
+            texts = [f"u {middle} w{x}", f"v {middle} w{y}", f"u {middle} w{y}"]
+            hashed, counts = near_dedup.elements([t.encode() for t in texts])
+            if len(set(near_dedup.band_hashes(near_dedup.signatures(hashed, counts, 1), 1, 1).ravel().tolist())) == 1:
+                break
+        rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs_of(spark, rows), bands=1, rows=1).collect()}
+    assert got == {i: i - i % 3 for i in range(len(rows))}
+
+
 def test_keep_one_with_shared_ids(spark):
     a, b = "one two three four five six seven eight", "other words that stand in a different document"
     kept = near_dedup.keep_one(docs_of(spark, [(1, a), (1, b), (1, a), (2, a), (3, b), (4, ""), (5, "")])).collect()
