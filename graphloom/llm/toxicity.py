@@ -6,8 +6,8 @@ the labelled tokens, with words, prefixes and suffixes as features. Forward and
 each token's marginal; the marginals add up to a document score by a logistic fit to the document labels, and tokens at
 0.5 or more give the offending offsets.
 
-The model is fitted on the driver on at most ``SAMPLE`` rows of either label, with the smallest hashes of their id and
-at most ``TRAIN_CHARS`` characters (documented bounds). Every text is scored whole.
+The model is fitted on the driver on at most ``SAMPLE`` rows of either label: of those whose text has at most
+``TRAIN_CHARS`` characters, the ones with the smallest hashes of their id (documented bounds). Every text is scored whole.
 
 Defined results: null and empty texts have no tokens and get the score of no evidence; a null doc_id is not held out and
 not trained on; rows labelled twice count once, as the larger label; without both labels among the training rows every
@@ -16,8 +16,8 @@ score is 0; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -34,8 +34,8 @@ TRAIN_CHARS = 50_000
 FOLDS = 4
 HELD_OUT = 2
 THRESHOLD = 0.3
-#: A feature marks tokens as toxic if it is in so many toxic training documents (and such a share of them), copies
-#: counted once, and so many times likelier there.
+#: A feature marks tokens as toxic if it is in so many toxic training documents (and such a share of them), texts
+#: of the same words counted once, and so many times likelier there.
 MIN_TOXIC_DOCS = 4
 MIN_TOXIC_SHARE = 0.01
 MIN_LOG_RATIO = 3.0
@@ -130,11 +130,10 @@ class Words:
 
 def label_tokens(corpus: Words, toxic: np.ndarray) -> list[np.ndarray]:
     """0/1 per token: in toxic documents, tokens with a word or prefix that those have far more often."""
-    checks = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in corpus.words], np.int64)
     groups, distinct = set(), {True: [], False: []}
     for text, bad in zip(corpus.texts, toxic.tolist(), strict=True):
         words = np.unique(text)
-        copy = (bad, *np.sort(checks[words])[:3].tolist())
+        copy = (bad, hashlib.blake2b(words.tobytes(), digest_size=16).digest())
         if copy not in groups:
             groups.add(copy)
             distinct[bad].append(words)
@@ -245,11 +244,12 @@ def score_texts(texts: Sequence[str | None], chain: Chain, cache: dict[str, floa
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> DataFrame:
     """Whole texts of at most ``most`` rows of either label outside the held-out fold."""
     rows = labels.filter(F.col(label).isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy(F.col("doc_id").alias("train_id")).agg(F.max(label).cast("int").alias("label"))
+    texts = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    rows = rows.join(texts.select("doc_id"), F.col("train_id") == F.col("doc_id"), "left_semi")
     chosen = None
     for value in (0, 1):
         part = rows.filter(F.col("label") == value).orderBy(F.xxhash64("train_id"), "train_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
     return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("train_id")).select("doc_id", "text", "label")
 
 

@@ -133,6 +133,22 @@ def test_toxic_spans_are_offsets_of_the_words():
     assert spans == [(5, 9)] and not none and score > 0.5 > clean
 
 
+def test_texts_that_share_common_words_are_no_copies():
+    """The words of least crc32 are in all texts; the others tell them apart."""
+    common = sorted((f"c{i}" for i in range(3000)), key=lambda w: zlib.crc32(w.encode()))[:3]
+    bad, good = [" ".join([*common, "vile", f"x{i}"]) for i in range(40)], [" ".join([*common, "kind", f"y{i}"]) for i in range(40)]
+    corpus = toxicity.Words(bad + good + bad[:1])
+    tags = toxicity.label_tokens(corpus, np.array([True] * 40 + [False] * 40 + [True]))
+    assert [int(t.sum()) for t in tags] == [1] * 40 + [0] * 40 + [1]
+
+
+def test_long_texts_use_up_no_training_rows(spark):
+    docs = docs_of(spark, [(i, "w" * (60_000 if i % 2 else 10)) for i in range(80)])
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, most=8).collect()
+    assert Counter(r["label"] for r in rows) == {0: 8, 1: 8} and all(r["doc_id"] % 2 == 0 for r in rows)
+
+
 def test_additive_model_finds_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 3))
