@@ -6,10 +6,11 @@ suffixes to that depth, a bucket of them at a time:
 1. The cover sample. Positions whose remainder mod ``PERIOD`` is in a difference cover are sampled. For any two
    positions some shift below PERIOD leads to two sampled ones, so two equal strings of LENGTH bytes always hold two
    equal sampled strings of LENGTH - PERIOD + 1 bytes at one shift. Sampled strings are named by hashes, dealt into
-   buckets by name and sorted there, one bucket at a time; only names held twice keep a rank.
-2. The suffixes. A suffix can only tie with another if a sampled position with a rank lies at one of its first PERIOD
+   buckets by name and sorted there, one bucket at a time; only names held twice are kept. They get no rank: the cover
+   only preselects suffixes.
+2. The suffixes. A suffix can only tie with another if a sampled position whose name is kept lies at one of its first PERIOD
    shifts. Only those suffixes are dealt out, by the least gram of their first LENGTH bytes, so that runs of neighbours
-   travel as one string. They are sorted a bucket at a time; of equal ones all but the earliest are marked, and marks
+   travel as one string. They are sorted by hashes of their LENGTH bytes, a bucket at a time; of equal ones all but the earliest are marked, and marks
    are joined into maximal runs.
 
 Both sorts combine what a block of documents holds before the shuffle: of equal strings a block sends one, so a string
