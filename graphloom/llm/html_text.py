@@ -1,14 +1,18 @@
 """HTML extraction (operator 7) by two passes of rules over blocks.
 
-A page is cut into blocks at block-level tags. The first pass decides a block from what holds it (menus, forms, asides
-and the like against an article), from its link density, its length and its density of stop words; a block that is
-short, or long with too few stop words to tell, stays undecided. In the second pass undecided blocks take the label of
-the nearest decided neighbours: of both if they agree, of the nearer one if not; between two equally near ones that
-differ, one decided by its holder alone counts less, then length and stop words break the tie. A heading goes with what it stands above.
-
-Defined results: null and empty pages have an empty text; pages without a decided block keep what is undecided, since
-nothing speaks against it; white space of any kind, and line breaks by tags, are one space inside a block; repeated rows
-each get a row; tags that never close end with the page or where an outer tag closes; other columns are not read.
+A page is cut into blocks at block-level tags. The first pass measures every block that no holder rules out (menus,
+forms, asides and the like, or anything outside the article of a page that marks one): its length, its link density and
+its density of stop words. Enough text with few links is kept if it is long, dense in stop words or held by an article;
+blocks of links go; short ones, and middling ones of few stop words, stay undecided, since their measures don't tell.
+In the second pass undecided blocks take the label of the nearest decided neighbours: those under the same parent
+before others, of both if they agree, of the nearer one if not; between two equally near ones that differ, one ruled
+out by its holder counts less, then length and stop words break the tie. A heading goes with what it stands above.
+
+Defined results: null and empty pages have an empty text; pages where no block is decided for keep what is
+undecided; white space of any kind, and line breaks by tags, are one space inside a block; repeated rows
+each get a row; tags that never close end with the page or where an outer tag closes, and an unclosed script or style
+runs to the end of the page; drawings, templates, embedded pages and what players show where they fail are no text, but
+only up to their end tag; formulas are text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from graphloom.llm.common import table
 from graphloom.llm.quality import STOP_WORDS
 
 LINK_DENSITY = 0.5
+#: A block of so few links that its length alone speaks for it.
+LOW_LINKS = 0.2
 SHORT = 70
 LONG = 200
 STOP_HIGH = 0.25
@@ -62,10 +68,14 @@ AWAY_WORDS = frozenset(
 MAIN_WORDS = frozenset("article content main post story entry body text".split())
 SOFT_WORDS = frozenset("article content post story entry".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose blocks belong to the element around them.
+LEAVES = HEADINGS | frozenset("p li dt dd td th pre caption figcaption blockquote summary".split())
+#: What stands between the tags of these is not shown as text.
+UNSHOWN = frozenset("noscript template iframe svg textarea canvas audio video".split())
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|object|canvas|math|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
@@ -75,6 +85,7 @@ _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LAST = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.IGNORECASE) for tag in UNSHOWN}
 _EDGES = ".,;:!?\"'()[]«»"
 
 
@@ -86,9 +97,14 @@ class Block:
     main: bool  # held by an article
     soft: bool = False  # held by something named as content
     heading: bool = False
+    parent: int = 0  # the element that it shares with its siblings
     label: bool | None = None
     stops: float = 0.0
 
+    @property
+    def linked(self) -> bool:
+        return self.link_chars > LINK_DENSITY * len(self.text)
+
 
 @dataclass
 class _Open:
@@ -96,6 +112,7 @@ class _Open:
     away: bool
     main: bool
     soft: bool = False
+    number: int = 0
 
 
 def _named_words(attrs: str) -> frozenset[str]:
@@ -113,7 +130,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[_Open] = []
     parts: list[str] = []
     links: list[str] = []
-    in_link = 0
+    unclosed: set[str] = set()
+    link_depth, opened = -1, 0  # elements open where the open link began, -1 without one
 
     def flush() -> None:
         nonlocal links
@@ -122,17 +140,24 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = len(" ".join(entities.unescape(" ".join(links)).split()))
                 top = stack[-1] if stack else _Open("", False, False)
-                out.append(Block(text, linked, top.away, top.main, top.soft, top.tag in HEADINGS))
+                around = stack[-2] if top.tag in LEAVES and len(stack) > 1 else top
+                out.append(Block(text, linked, top.away, top.main, top.soft, top.tag in HEADINGS, around.number))
             parts.clear()
             links = []
 
+    def close(k: int) -> None:
+        nonlocal link_depth
+        del stack[k:]
+        if link_depth > k:
+            link_depth = -1
+
     def add(text: str) -> None:
         parts.append(text)
-        if in_link:
+        if link_depth >= 0:
             links.append(text)
 
     at = 0
-    for piece in _PIECE.finditer(page):
+    while piece := _PIECE.search(page, at):
         if piece.start() > at:
             add(page[at : piece.start()])
         at = piece.end()
@@ -141,24 +166,31 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, ends, attrs = tag.lower(), bool(piece["end"] or piece["end2"]), piece["attrs"] or piece["attrs2"] or ""
         if tag == "a":
-            in_link = 0 if ends else 1
+            link_depth = -1 if ends else len(stack)
             continue
         if tag == "br":
             parts.append(" ")
             continue
+        if tag in UNSHOWN:
+            if not ends and not attrs.endswith("/") and tag not in unclosed:
+                last = _LAST[tag].search(page, at)
+                if last:
+                    at = last.end()
+                else:
+                    unclosed.add(tag)
+            continue
         if tag not in BLOCK_TAGS:
             continue
         flush()
-        in_link = 0
         if ends:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         for k in range(len(stack) - 1, -1, -1):
             if tag in ENDED_BY.get(stack[k].tag, ()):
-                del stack[k:]
+                close(k)
                 break
             if stack[k].tag in SCOPES:
                 break
@@ -170,7 +202,8 @@ def blocks_of(page: str) -> list[Block]:
         away = top.away or tag in AWAY_TAGS or tag == "header" and not main or bool(_HIDDEN.search(attrs))
         if tag not in ("html", "body", "article", "main"):
             away = away or bool(words & AWAY_WORDS) and not (words & MAIN_WORDS and not words & {"comment", "comments", "sidebar", "ad", "ads", "related"})
-        stack.append(_Open(tag, away, main, top.soft or tag != "body" and bool(words & SOFT_WORDS)))
+        opened += 1
+        stack.append(_Open(tag, away, main, top.soft or tag != "body" and bool(words & SOFT_WORDS), opened))
     if at < len(page):
         add(page[at:])
     flush()
@@ -183,55 +216,76 @@ def stop_density(text: str) -> float:
 
 
 def decide(blocks: list[Block]) -> None:
-    """First pass: what the block alone tells."""
+    """First pass: what the block alone tells. A holder only rules out; what it lets in is measured."""
     has_main = any(b.main and not b.away for b in blocks)
-    for b in blocks:
-        density = b.link_chars / len(b.text)
+    for i, b in enumerate(blocks):
         if b.away or has_main and not b.main:
             b.label = False
-        elif b.main:
-            b.label = True
-        elif density > LINK_DENSITY:
-            b.label = None if b.soft and len(b.text) < SHORT else False  # a short link in the text may be part of it
-        elif b.soft:
+            continue
+        size, held = len(b.text), b.main or b.soft
+        b.stops = stop_density(b.text)
+        if b.linked:
+            # one block of links among text may be part of it, several in a row are a menu
+            alone = not any(x.linked and not x.away for x in blocks[max(0, i - 1) : i] + blocks[i + 1 : i + 2])
+            b.label = None if alone and (b.main or b.soft and size < SHORT) else False
+        elif size >= LONG and (b.link_chars < LOW_LINKS * size or b.stops >= STOP_LOW) or size >= SHORT and (held or b.stops >= STOP_HIGH):
             b.label = True
-        else:
-            b.stops = stop_density(b.text)
-            if len(b.text) >= SHORT and (b.stops >= STOP_HIGH or len(b.text) >= LONG and b.stops >= STOP_LOW):
-                b.label = True
-            elif len(b.text) < SHORT and b.link_chars:
-                b.label = False
+        elif size < SHORT and b.link_chars and not held:
+            b.label = False
 
 
-def inherit(blocks: list[Block]) -> None:
-    """Second pass: undecided blocks take the label of the nearest decided neighbours."""
-    known = [b.label for b in blocks]
-    before: list[tuple[int, bool] | None] = []
-    last = None
-    for i, label in enumerate(known):
-        last = (i, label) if label is not None else last
-        before.append(last)
-    after: list[tuple[int, bool] | None] = [None] * len(blocks)
+def _nearest(blocks: list[Block]) -> list[int | None]:
+    """For each block the place of the last decided one before it."""
+    out: list[int | None] = []
     last = None
-    for i in range(len(known) - 1, -1, -1):
-        last = (i, known[i]) if known[i] is not None else last
-        after[i] = last
     for i, b in enumerate(blocks):
-        if b.label is None:
-            left, right = before[i], after[i]
-            if left is None and right is None:
-                b.label = True
-            elif b.heading and right is not None:
-                b.label = right[1]
-            elif left is None or right is None:
-                b.label = (left or right)[1]
-            elif left[1] == right[1]:
-                b.label = left[1]
-            elif i - left[0] != right[0] - i:
-                b.label = left[1] if i - left[0] < right[0] - i else right[1]
-            else:
-                other = blocks[right[0] if left[1] else left[0]]
-                b.label = other.away or len(b.text) >= SHORT or b.stops >= STOP_LOW
+        out.append(last)
+        last = i if b.label is not None else last
+    return out
+
+
+def _neighbours(blocks: list[Block]) -> list[tuple[int | None, int | None]]:
+    """For each block the nearest decided ones before and after it."""
+    last, before = len(blocks) - 1, _nearest(blocks)
+    after = [None if k is None else last - k for k in reversed(_nearest(blocks[::-1]))]
+    return list(zip(before, after, strict=True))
+
+
+def _taken(blocks: list[Block], i: int, left: int | None, right: int | None) -> bool:
+    """The label that block i takes from decided neighbours, one of which may be missing."""
+    b = blocks[i]
+    if left is None or right is None or b.heading:
+        return bool(blocks[left if right is None else right].label)
+    one, other = blocks[left], blocks[right]
+    if one.label == other.label or i - left != right - i:
+        return bool((one if i - left <= right - i else other).label)
+    against = other if one.label else one
+    return against.away or b.main or len(b.text) >= SHORT or b.stops >= STOP_LOW
+
+
+def inherit(blocks: list[Block]) -> None:
+    """Second pass: undecided blocks take the label of the nearest decided neighbours, siblings first."""
+    if not any(b.label for b in blocks):  # nothing speaks for any block, so that ruled-out neighbours tell nothing
+        for b in blocks:
+            b.label = b.label is None
+        return
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(blocks):
+        groups.setdefault(b.parent, []).append(i)
+    siblings: dict[int, tuple[int | None, int | None]] = {}
+    for held in groups.values():
+        near = _neighbours([blocks[i] for i in held])
+        siblings.update((i, tuple(None if k is None else held[k] for k in pair)) for i, pair in zip(held, near, strict=True))
+    inner = [i for i, b in enumerate(blocks) if b.main and not b.away]
+    near = _neighbours([blocks[i] for i in inner])
+    in_main = {i: tuple(None if k is None else inner[k] for k in pair) for i, pair in zip(inner, near, strict=True)}
+    labels = []
+    for i, (b, pair) in enumerate(zip(blocks, _neighbours(blocks), strict=True)):
+        choices = [siblings[i], in_main[i]] if b.main else [siblings[i], pair]
+        found = next((c for c in choices if c != (None, None)), None)
+        labels.append(b.label if b.label is not None else found is None or _taken(blocks, i, *found))
+    for b, label in zip(blocks, labels, strict=True):
+        b.label = label
 
 
 def main_text(page: str | None) -> str:
