@@ -1,12 +1,15 @@
 """Each operator gets its rows through its method: tests that fail where the method is bypassed."""
 
 import html as entities
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm import html_text
+from graphloom.llm import decontaminate, html_text
 
 FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -84,3 +87,85 @@ def test_awkward_pages(spark):
     got = html_text.extract(pages).collect()
     assert sorted(r["n_chars"] for r in got) == sorted(len(html_text.main_text(h)) for _, _, h in rows) and max(r["n_chars"] for r in got) > 1_500_000
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+# ---- 3 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_stored_index_holds_every_posting_and_serves_later_queries(spark, tmp_path):
+    texts = ["One two, three two", None, "", "two ÉÉ one", "x " * 70_000 + "two"]
+    folder = str(tmp_path / "index")
+    decontaminate.build_index(docs_of(spark, list(enumerate(texts))).coalesce(1), folder)
+    index = decontaminate.Index(spark, folder)
+    got = {}
+    first = {r["shard"]: np.frombuffer(r["terms"], np.int64) for r in index.postings.filter("bucket = -1").collect()}
+    number = {(r["shard"], r["number"]): r["graphloom_0"] for r in index.docs.collect()}
+    for r in index.postings.filter("bucket >= 0").collect():
+        terms, counts = decontaminate.unpack_terms(r["terms"])
+        at = decontaminate.unpack_lists(counts, np.arange(len(counts)), r["places"])
+        for term, p in zip(np.repeat(np.array(terms, object), counts), at.tolist(), strict=True):
+            assert decontaminate.bucket_of(term) == r["bucket"]
+            k = int(np.searchsorted(first[r["shard"]], p, side="right")) - 1
+            got.setdefault((number[r["shard"], k], term), []).append(p - int(first[r["shard"]][k]))
+    want = {}
+    for d, t in enumerate(texts):
+        for p, w in enumerate(decontaminate.words_of(t)):
+            want.setdefault((d, w), []).append(p)
+    assert got == want
+    for phrase, docs in (("three one", []), ("three two", [0]), ("x two", [4])):
+        items = spark.createDataFrame([(1, phrase)], "item_id long, text string")
+        assert [r["doc_id"] for r in decontaminate.search(index, items).filter("size(spans) > 0").collect()] == docs
+    assert sorted((r["doc_id"], r["position"]) for r in decontaminate.near(index, [("p", "one three")], 2).collect()) == [(0, 2)]
+
+
+def test_rows_of_a_search_come_from_the_index(spark, tmp_path):
+    """Postings taken out of the index are no longer found."""
+    docs = docs_of(spark, [(i, " ".join(f"w{k}" for k in range(i, i + 20))) for i in range(30)])
+    index = decontaminate.build_index(docs, str(tmp_path / "index"))
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(15, 28)))], "item_id long, text string")
+    held = lambda: sorted(r["doc_id"] for r in decontaminate.search(index, items).filter("size(spans) > 0").collect())
+    assert held() == list(range(8, 16))
+    index.postings = index.postings.filter(f"bucket <> {decontaminate.bucket_of(b'w20')}")
+    assert held() == []
+
+
+def test_windows_are_led_by_their_rarest_terms():
+    block = decontaminate.Phrases([("a", "the rare the odd the"), ("b", "the gone")], 3)
+    numbers = block.numbers
+    held = np.array([{b"the": 90, b"rare": 2, b"odd": 5, b"gone": 0}[t] for t in numbers])
+    block.rank(held)
+    assert len(block.width) == 3  # the window of b can't occur
+    assert {list(numbers)[i] for i in block.leading(1)} == {b"rare", b"odd"}
+
+
+@pytest.mark.parametrize("most", [8, 60, 10**6])
+def test_search_matches_plain_windows_on_random_texts(spark, most):
+    rng = random.Random(most)
+    word = lambda: rng.choice(["a", "b", "c", "d"])
+    texts = [(i, " ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(80)] + [(200, None), (200, "a b c d"), (200, "a b c d")]
+    items = [(i, " ".join(word() for _ in range(rng.randrange(0, 9)))) for i in range(12)] + [(12, None)]
+    want = []
+    for d, t in texts:
+        words, hit, named = (t or "").split(), set(), set()
+        for i, item in items:
+            asked = (item or "").split()
+            k = min(5, len(asked))
+            windows = {tuple(asked[j : j + k]) for j in range(len(asked) - k + 1)} if k else set()
+            for p in range(len(words) - k + 1 if k else 0):
+                if tuple(words[p : p + k]) in windows:
+                    hit.update(range(p, p + k))
+                    named.add(str(i))
+        want.append((d, len(words), len(hit), sorted(named)))
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.judged(decontaminate.find(docs_of(spark, texts), items, window=5, most=most)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == sorted(want)
+
+
+def test_decontaminate_takes_maps_and_clashing_names_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
+    docs = docs_of(spark, [(1, "alpha beta gamma"), (2, "kept text"), (3, None)])
+    for extra in ("shard", "number", "key", "graphloom_key", "spans", "kind"):
+        docs = docs.withColumn(extra, F.create_map(F.lit("a"), F.lit(1)) if extra == "kind" else F.lit("clash"))
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "nothing like it here")], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
