@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -54,17 +52,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are no longer referenced, before the next large shuffle.
-
-    Twice: the first round frees the plans that Python held, the second what only those plans held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def hint_small(side: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``side`` if its counted ``rows`` are within the bound; else leave the choice to the planner."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side

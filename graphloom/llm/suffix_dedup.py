@@ -3,25 +3,26 @@
 A byte goes if a string of ``LENGTH`` bytes over it also starts earlier. Which strings those are is settled by sorting
 suffixes to that depth, a bucket of them at a time:
 
-1. The cover sample. Positions whose remainder mod ``PERIOD`` is in a difference cover are sampled. For any two
+1. Preselection. Positions whose remainder mod ``PERIOD`` is in a thin difference cover are sampled. For any two
    positions some shift below PERIOD leads to two sampled ones, so two equal strings of LENGTH bytes always hold two
-   equal sampled strings of LENGTH - PERIOD + 1 bytes at one shift. Sampled strings are named by hashes, dealt into
-   buckets by name and sorted there, one bucket at a time; only names held twice are kept. They get no rank: the cover
-   only preselects suffixes.
-2. The suffixes. A suffix can only tie with another if a sampled position whose name is kept lies at one of its first PERIOD
-   shifts. Only those suffixes are dealt out, by the least gram of their first LENGTH bytes, so that runs of neighbours
-   travel as one string. They are sorted by hashes of their LENGTH bytes, a bucket at a time; of equal ones all but the earliest are marked, and marks
-   are joined into maximal runs.
-
-Both sorts combine what a block of documents holds before the shuffle: of equal strings a block sends one, so a string
+   equal sampled strings of LENGTH - PERIOD + 1 bytes at one shift. Sampled strings are named by hashes and dealt into
+   buckets by name; only names held twice are kept. A suffix can only tie with another if a sampled position whose name
+   is kept lies at one of its first PERIOD shifts. Hashes alike by chance only add candidates.
+2. The sort. Candidate suffixes are dealt out by the least gram of their first LENGTH bytes, so that runs of neighbours
+   travel as one string. In a bucket the positions of a second difference cover, mod ``STEP``, are ranked first: in byte
+   order to ``DEPTH`` bytes, by doubling along the cover. Suffixes are then sorted by their leading (and, for what the
+   ranks leave out, last) eight bytes; ties, however long, are resolved by the ranks at the shift below STEP that leads
+   both into the cover. No string is compared byte by byte beyond that, and equality is exact. Of equal suffixes all but
+   the earliest are marked, and marks are joined into maximal runs.
+
+Both steps combine what a block of documents holds before the shuffle: of equal strings a block sends one, so a string
 that every document holds costs a row per block. Buckets grow in number with the corpus, so the memory of a task
-doesn't. Later exact copies of a text lose every byte, and take no part in either sort.
-
-Equal strings are told apart by 96 bits of hash, so with n suffixes dealt out about n squared / 2**97 are confused.
+doesn't. Later exact copies of a text lose every byte, and take no part in either step.
 
 Defined results: a null text is empty; strings within one document count, overlaps included; a null doc_id is later
 than all others; among rows that share a doc_id none is earlier, so they lose nothing to each other; texts shorter
-than LENGTH bytes lose nothing; an empty table gives no rows; other columns are not read.
+than LENGTH bytes lose nothing; an empty table gives no rows; other columns are not read; an id that isn't a whole
+number is refused, and 2**63 - 1 stands for null.
 """
 
 from __future__ import annotations
@@ -34,13 +35,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from graphloom.llm.common import Rolling, cut, hint_small, join_counted, release, table
+from graphloom.llm.common import Rolling, cut, hint_small, join_counted, table
 
 LENGTH = 100
 #: A difference cover: every remainder mod PERIOD is a difference of two of these (each but 0 of exactly one pair).
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+#: The cover whose positions are ranked in a bucket, likewise, and how many bytes a rank tells apart.
+STEP = 7
+RANKED = (0, 1, 3)
+DEPTH = 92
 #: Bytes of the grams whose least hash deals a suffix to its bucket.
 GRAM = 16
 BUCKET_BYTES = 32 << 20
@@ -49,7 +55,9 @@ BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
 LAST = 2**63 - 1
 
-_A, _B = Rolling(11), Rolling(12)
+_A = Rolling(11)
+#: For each remainder mod STEP its place among the ranked ones, or -1.
+_PLACE = np.array([RANKED.index(r) if r in RANKED else -1 for r in range(STEP)], np.int64)
 _COVER = np.array(COVER, np.int64)
 _MESSAGE = "bucket int, block binary, payload binary"
 _MESSAGE_FIELDS = ["bucket", "block", "payload"]
@@ -189,10 +197,73 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.as_py() for t in batch.column("body")]
 
 
+# ---- sorting to a depth ----------------------------------------------------------------------------------------------
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as numbers in byte order."""
+    return np.ndarray((max(0, len(data) - 7),), ">u8", np.ascontiguousarray(data), 0, (1,))
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of whole numbers."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    steps = np.zeros(len(keys), np.uint32)
+    np.cumsum(sorted_keys[1:] != sorted_keys[:-1], out=steps[1:])
+    out = np.empty(len(keys), np.uint32)
+    out[order] = steps
+    return out
+
+
+def _pairs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(32)) | low
+
+
+def cover_ranks(data: np.ndarray) -> np.ndarray:
+    """Ranks, in byte order to DEPTH bytes, of the strings at all cover positions mod STEP that have so many bytes.
+
+    The cover repeats every STEP bytes, so ranks of longer strings follow from pairs of ranks on the cover: words of eight
+    bytes, then 15, 29, 57 and at last, overlapping, 92.
+    """
+    places = max(0, len(data) - 7)
+    at = (np.arange(-(-places // STEP))[:, None] * STEP + np.array(RANKED)).ravel()
+    ranks = _ranks(_words(data)[at[at < places]].astype(np.uint64))
+    for steps in (1, 2, 4, 5):
+        further = steps * len(RANKED)
+        ranks = _ranks(_pairs(ranks[:-further], ranks[further:])) if len(ranks) > further else ranks[:0]
+    return ranks
+
+
+def first_equal(data: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For the suffix at each position ``at``, the least ``order`` of those with the same LENGTH bytes.
+
+    Two equal suffixes meet at the shift that leads both into the cover, so every shift is asked once.
+    """
+    first = order.copy()
+    if not len(at):
+        return first
+    words = _words(data)
+    ends = _ranks(_pairs(_ranks(words[at].astype(np.uint64)), _ranks(words[at + DEPTH].astype(np.uint64))))
+    ranks = cover_ranks(data)
+    for shift in range(STEP):
+        place = _PLACE[(at + shift) % STEP]
+        held = np.flatnonzero(place >= 0)
+        if not len(held):
+            continue
+        keys = _pairs(ends[held], ranks[(at[held] + shift) // STEP * len(RANKED) + place[held]])
+        sort = np.argsort(keys)
+        keys, held = keys[sort], held[sort]
+        opens = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        least = np.minimum.reduceat(order[held], opens)
+        first[held] = np.minimum(first[held], np.repeat(least, np.diff(np.append(opens, len(held)))))
+    return first
+
+
 # ---- the cover sample ------------------------------------------------------------------------------------------------
 
 
-def _cover_messages(n: int, kind: str):
+def _cover_messages(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
             orders, contents, texts = batch.column("o").to_numpy(), batch.column("m").to_pylist(), _texts(batch)
@@ -208,8 +279,9 @@ def _cover_messages(n: int, kind: str):
             def rows(block=block, names=names, sent=sent, repeated=repeated, orders=orders, contents=contents, sizes=sizes):
                 yield _head(block, n), block, pack(orders, sizes, np.frombuffer("".join(contents).encode(), np.uint8), np.frombuffer(pack_rising(repeated), np.uint8))
                 chosen = names[sent]
-                # the low half of a name picks the bucket, the high half is what is compared there
-                kept = (chosen >> np.uint64(32)).astype(np.uint32) if kind == "u4" else chosen
+                # the low half of a name picks the bucket, the high half is what is compared there: a bucket is of one
+                # size whatever the corpus, so the share of names that are alike by chance doesn't grow
+                kept = (chosen >> np.uint64(32)).astype(np.uint32)
                 yield from _bucket_rows(block, ((chosen & np.uint64(0xFFFFFFFF)) % np.uint64(n)).astype(np.int64), n, lambda at: pack(kept[at], np.frombuffer(pack_rising(sent[at]), np.uint8)))
 
             yield from _chunks(rows())
@@ -226,33 +298,29 @@ def _answers(block_ids: list[bytes], buckets: int, block: np.ndarray, number: np
     return pa.Table.from_batches([_messages(rows)])
 
 
-def _cover_ranks(kind: str):
+def _cover_shared(group: pa.Table) -> pa.Table:
     """Sort one bucket of sampled strings; answer each block with those of its names that another block has too."""
-
-    def run(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        if bucket < 0:
-            return group
-        ids, names, blocks, numbers = [], [], [], []
-        for i, (block, payload) in enumerate(zip(group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True)):
-            name, number = unpack(payload, kind, "u1")
-            ids.append(block)
-            names.append(name)
-            numbers.append(unpack_rising(number.tobytes()).astype(np.int64))
-            blocks.append(np.full(len(name), i, np.int32))
-        names, blocks, numbers = np.concatenate(names), np.concatenate(blocks), np.concatenate(numbers)
-        order = np.argsort(names, kind="stable")
-        same = names[order][1:] == names[order][:-1]
-        shared = np.zeros(len(names), bool)
-        shared[order[1:]] |= same
-        shared[order[:-1]] |= same
-        return _answers(ids, bucket, blocks[shared], numbers[shared])
-
-    return run
+    bucket = group.column("bucket")[0].as_py()
+    if bucket < 0:
+        return group
+    ids, names, blocks, numbers = [], [], [], []
+    for i, (block, payload) in enumerate(zip(group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True)):
+        name, number = unpack(payload, "u4", "u1")
+        ids.append(block)
+        names.append(name)
+        numbers.append(unpack_rising(number.tobytes()).astype(np.int64))
+        blocks.append(np.full(len(name), i, np.int32))
+    names, blocks, numbers = np.concatenate(names), np.concatenate(blocks), np.concatenate(numbers)
+    order = np.argsort(names)
+    same = names[order][1:] == names[order][:-1]
+    shared = np.zeros(len(names), bool)
+    shared[order[1:]] |= same
+    shared[order[:-1]] |= same
+    return _answers(ids, bucket, blocks[shared], numbers[shared])
 
 
 def _cover_decode(group: pa.Table) -> pa.Table:
-    """One block: the positions of its texts' sampled strings that have a rank."""
+    """One block: the positions of its texts' sampled strings whose names are kept."""
     marked, head = [], None
     for bucket, payload in zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True):
         if bucket < 0:
@@ -305,10 +373,10 @@ def _suffix_messages(n: int):
         for batch in _blocks(batches):
             orders, contents, texts = batch.column("o").to_numpy(), batch.column("m").to_pylist(), _texts(batch)
             ranked = batch.column("ranked")
-            run_doc, run_start, run_size, first_hash, second_hash, grams = [], [], [], [], [], []
+            run_doc, run_start, run_size, grams, places, base = [], [], [], [], [], 0
             for start, end in _slices(texts):
                 data = np.frombuffer(b"".join(texts[start:end]), np.uint8)
-                at, base = [np.zeros(0, np.int64)], 0
+                at, low = [np.zeros(0, np.int64)], 0
                 for i in range(start, end):
                     size = len(texts[i])
                     if size >= LENGTH:
@@ -317,31 +385,35 @@ def _suffix_messages(n: int):
                         run_doc.append(np.full(len(a), i))
                         run_start.append(a)
                         run_size.append(b - a)
-                        at.append(np.flatnonzero(mask) + base)
-                    base += size
+                        at.append(np.flatnonzero(mask) + low)
+                    low += size
                 at = np.concatenate(at)
                 if len(at):
-                    prefix = _A.prefix(data)
-                    first_hash.append(_A.at(prefix, at, at + LENGTH))
-                    grams.append(least_gram(prefix, len(data))[at])
-                    second_hash.append((_B.at(_B.prefix(data), at, at + LENGTH) >> np.uint64(32)).astype(np.uint32))
+                    grams.append(least_gram(_A.prefix(data), len(data))[at])
+                    places.append(at + base)
+                base += low
             join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
             run_doc, run_start, run_size = join(run_doc, np.int64), join(run_start, np.int64), join(run_size, np.int64)
-            h, g, gram = join(first_hash, np.uint64), join(second_hash, np.uint32), join(grams, np.uint64)
+            gram, at = join(grams, np.uint64), join(places, np.int64)
             owner, number = _flat(run_size)
             doc, position = run_doc[owner].astype(np.int32), (run_start[owner] + number).astype(np.int64)
-            del owner, number, first_hash, second_hash, grams
+            del owner, number, grams, places
             block = _block_id(orders, contents)
-            # equal suffixes of the block, by order of their documents, then by position
-            order = np.lexsort((orders[doc], g, h))  # stable, so by position within a document
-            first = np.ones(len(order), bool)
-            first[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-            del h, g
-            held_by, rank = doc[order], orders[doc][order]
-            earliest = rank == rank[first][np.cumsum(first) - 1] if len(order) else first
-            first[1:] |= held_by[1:] != held_by[:-1]
-            sent, marked = np.sort(order[earliest & first]), np.sort(order[~(earliest & first)])
-            del order, held_by, rank, earliest
+            # suffixes are known by their number in the order of documents, then position; of equal ones the least counts
+            by_order = np.argsort(orders, kind="stable")
+            turn = np.empty(len(orders), np.int64)
+            turn[by_order] = np.arange(len(orders))
+            rank = (turn[doc] << 40) | position
+            first = first_equal(np.frombuffer(b"".join(texts), np.uint8), at, rank)
+            earliest = orders[doc] == orders[by_order[first >> 40]]
+            # rows that share an id are not earlier than one another: each keeps the first of its own
+            own = rank == first
+            tied = np.flatnonzero(earliest & (turn[doc] != first >> 40))
+            if len(tied):
+                _, k = np.unique(np.stack([first[tied], turn[doc[tied]]]), axis=1, return_index=True)  # positions rise within a document
+                own[tied[k]] = True
+            sent, marked = np.flatnonzero(own), np.flatnonzero(~own)
+            del first, rank, earliest, own, at
             opens = np.ones(len(sent), bool)
             opens[1:] = (sent[1:] != sent[:-1] + 1) | (position[sent[1:]] != position[sent[:-1]] + 1) | (doc[sent[1:]] != doc[sent[:-1]]) | (gram[sent[1:]] != gram[sent[:-1]])
             at = np.flatnonzero(opens)
@@ -362,39 +434,24 @@ def _suffix_messages(n: int):
     return run
 
 
-def _suffix_hashes(sizes: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the suffixes in strings that stand one after the other, with so many suffixes each."""
-    ends = np.cumsum(sizes + LENGTH - 1)
-    k = 0
-    while k < len(sizes):
-        low = int(ends[k - 1]) if k else 0
-        last = max(k + 1, int(np.searchsorted(ends, low + SLICE_BYTES)))
-        part = data[low : int(ends[last - 1])]
-        owner, number = _flat(sizes[k:last])
-        at = (ends[k:last] - low - sizes[k:last] - LENGTH + 1)[owner] + number
-        yield _A.at(_A.prefix(part), at, at + LENGTH), (_B.at(_B.prefix(part), at, at + LENGTH) >> np.uint64(32)).astype(np.uint32)
-        k = last
-
-
-def _suffix_ranks(group: pa.Table) -> pa.Table:
+def _suffix_sort(group: pa.Table) -> pa.Table:
     """Sort one bucket of suffixes; answer each block with those that another document of smaller order also has."""
     bucket = group.column("bucket")[0].as_py()
     if bucket < 0:
         return group
-    ids, parts = [], []
+    ids, parts, strings, base = [], [], [], 0
     for i, (block, payload) in enumerate(zip(group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True)):
         sizes, owners, counts, leads, data = unpack(payload, "u4", "i8", "u4", "u1", "u1")
         sizes = sizes.astype(np.int64)
         owner, number = _flat(sizes)
+        lengths = sizes + LENGTH - 1
         ids.append(block)
-        h, g = (np.concatenate(x) for x in zip(*_suffix_hashes(sizes, data), strict=True))
-        parts.append((h, g, np.repeat(owners, counts)[owner], np.full(len(h), i, np.int32), unpack_rising(leads.tobytes())[owner] + number))
-    h, g, orders, blocks, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((orders, g, h))
-    first = np.ones(len(order), bool)
-    first[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-    later = np.zeros(len(order), bool)
-    later[order] = orders[order] > orders[order][first][np.cumsum(first) - 1]
+        strings.append(data)
+        parts.append((base + (np.cumsum(lengths) - lengths)[owner] + number, np.repeat(owners, counts)[owner], np.full(len(owner), i, np.int32), unpack_rising(leads.tobytes())[owner] + number))
+        base += len(data)
+    at, orders, blocks, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    later = orders > first_equal(np.concatenate(strings), at, orders)
     return _answers(ids, bucket, blocks[later], numbers[later], pack_spans)
 
 
@@ -448,7 +505,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed byte runs) and kept (the bytes that stay) of every text."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{doc_id} orders the documents and must be a whole number, not {kind.simpleString()}")
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("o"), body.alias("body")).withColumn("m", F.md5("body"))
     base = base.filter(F.col("m").isNotNull())  # always so; written out, it makes both shuffles of the texts one
@@ -458,23 +517,50 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     n_copies, total = copies.count(), keys.agg(F.sum("size")).first()[0] or 0
     copies = hint_small(copies, n_copies)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    kind = "u4" if total < 16 << 30 else "u8"
 
     originals = base.join(copies, ["o", "m"], "left_anti")
-    answers = originals.mapInArrow(_cover_messages(n, kind), _MESSAGE).groupBy("bucket").applyInArrow(_cover_ranks(kind), _MESSAGE)
+    answers = originals.mapInArrow(_cover_messages(n), _MESSAGE).groupBy("bucket").applyInArrow(_cover_shared, _MESSAGE)
     ranked = cut(answers.groupBy("block").applyInArrow(_cover_decode, "o long, m string, ranked array<long>").dropDuplicates(["o", "m"]))
-    del answers
-    release(spark)
 
     suffixes = base.join(ranked.hint("shuffle_hash"), ["o", "m"])
-    answers = suffixes.mapInArrow(_suffix_messages(n), _MESSAGE).groupBy("bucket").applyInArrow(_suffix_ranks, _MESSAGE)
+    answers = suffixes.mapInArrow(_suffix_messages(n), _MESSAGE).groupBy("bucket").applyInArrow(_suffix_sort, _MESSAGE)
     found = answers.groupBy("block").applyInArrow(_suffix_decode, "o long, m string, starts array<long>, ends array<long>").dropDuplicates(["o", "m"])
     marked = copies.withColumn("copy", F.lit(True))
     spans = found.join(marked, ["o", "m"], "full").withColumn("copy", F.coalesce("copy", F.lit(False)))
     joined = base.join(spans.hint("shuffle_hash"), ["o", "m"], "left").select("o", "body", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))
     done = joined.mapInArrow(_finish, "o long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
-    return done.select(F.when(F.col("o") != LAST, F.col("o")).cast(docs.schema[doc_id].dataType).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
+    return done.select(F.when(F.col("o") != LAST, F.col("o")).cast(kind).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT r, doc_id, i, substr(h, 2 * i - 1, 200) AS w FROM (SELECT r, doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS i FROM d WHERE length(h) >= 200)
+), f AS (
+  SELECT w, min(doc_id) AS first_doc FROM s GROUP BY w HAVING count(*) > 1
+), k AS (
+  SELECT r, i, doc_id, first_doc, min(i) OVER (PARTITION BY w, r) AS own_first FROM s JOIN f USING (w)
+), g AS (
+  SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM k WHERE doc_id > first_doc OR i > own_first
+), islands AS (
+  SELECT r, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS n FROM g
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 100 AS b FROM islands GROUP BY r, n
+), cuts AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS since FROM spans
+), pieces AS (
+  SELECT r, since, a AS stop FROM cuts UNION ALL SELECT r, max(b), 9223372036854775807 FROM cuts GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * since - 1, 2 * (least(stop, length(h) // 2 + 1) - since)), '' ORDER BY since) AS h FROM pieces JOIN d USING (r) GROUP BY r
+), counted AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN counted USING (r)
+"""

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_text
+from graphloom.llm import decontaminate, html_text, suffix_dedup
 
 FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -169,3 +169,37 @@ def test_decontaminate_takes_maps_and_clashing_names_in_blocks(spark, monkeypatc
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "nothing like it here")], "item_id long, text string")
     kept = decontaminate.decontaminate(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
+# ---- 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_cover_ranks_are_in_byte_order():
+    rng = random.Random(1)
+    data = np.frombuffer(b"".join(rng.choice([b"ab", b"a", b"\xff\x00", b"ba" * 30, b"a" * 120]) for _ in range(300)), np.uint8)
+    raw, ranks = data.tobytes(), suffix_dedup.cover_ranks(data)
+    at = [p for p in range(len(raw)) if p % suffix_dedup.STEP in suffix_dedup.RANKED]
+    strings = [raw[p : p + suffix_dedup.DEPTH] for p in at[: len(ranks)] if p + suffix_dedup.DEPTH <= len(raw)]
+    order = sorted(set(strings))
+    by_rank = {r: t for r, t in zip(ranks.tolist(), strings, strict=False)}
+    assert len(by_rank) == len(order) and [by_rank[r] for r in sorted(by_rank)] == order
+
+
+def test_ties_are_resolved_by_ranks_alone(monkeypatch):
+    """Suffixes alike in their first and last eight bytes: without the ranks they would be taken for equal."""
+    rng = random.Random(2)
+    pieces = [b"h" * 8 + bytes(rng.choice(b"xy") for _ in range(84)) + b"t" * 8 for _ in range(40)]
+    raw = b"".join(rng.choice(pieces) + b"-" * rng.randrange(9) for _ in range(300)) + b"." * 100
+    data = np.frombuffer(raw, np.uint8)
+    at = np.array([p for p in range(len(raw) - 99) if raw[p : p + 8] == b"h" * 8 and raw[p + 92 : p + 100] == b"t" * 8], np.int64)
+    least = {}
+    for p in at.tolist():
+        least.setdefault(raw[p : p + 100], p)
+    assert suffix_dedup.first_equal(data, at, at).tolist() == [least[raw[p : p + 100]] for p in at.tolist()]
+    monkeypatch.setattr(suffix_dedup, "cover_ranks", lambda data: np.zeros(len(data), np.uint32))
+    assert set(suffix_dedup.first_equal(data, at, at).tolist()) == {int(at[0])}
+
+
+def test_suffix_dedup_refuses_ids_without_an_order(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        suffix_dedup.suffix_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
