@@ -6,8 +6,9 @@ the labelled tokens, with words, prefixes and suffixes as features. Forward and
 each token's marginal; the marginals add up to a document score by a logistic fit to the document labels, and tokens at
 0.5 or more give the offending offsets.
 
-The model is fitted on the driver on at most ``SAMPLE`` rows of either label: of those whose text has at most
-``TRAIN_CHARS`` characters, the ones with the smallest hashes of their id (documented bounds). Every text is scored whole.
+The model is fitted on the driver on at most ``SAMPLE`` ids of either label, those with the smallest hashes, whatever
+the length of their texts; of a text of more than ``SEGMENTS`` segments (of ``SEGMENT`` tokens) so many are taken, evenly
+spaced over all of it. Both bounds are parameters. Every text is scored whole. Offsets count the characters of the text.
 
 Defined results: null and empty texts have no tokens and get the score of no evidence; a null doc_id is not held out and
 not trained on; rows labelled twice count once, as the larger label; without both labels among the training rows every
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import crc_mod, table
 
 SAMPLE = 2_000
-TRAIN_CHARS = 50_000
+SEGMENTS = 64
 FOLDS = 4
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -51,7 +52,18 @@ _TOKEN = re.compile(r"\w+")
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+    """The words of a text, lower-cased one by one, so that they are those at the text's own offsets."""
+    found = _TOKEN.findall(text) if text else []
+    return " ".join(found).lower().split(" ") if found else []
+
+
+def spaced_segments(text: str | None, most: int = SEGMENTS) -> str:
+    """The words of a text with a space between them; of a longer one ``most`` segments, evenly spaced."""
+    words = tokens_of(text)
+    n = -(-len(words) // SEGMENT)
+    if n > most:
+        words = [w for i in range(most) for w in words[i * n // most * SEGMENT : (i * n // most + 1) * SEGMENT]]
+    return " ".join(words)
 
 
 def token_features(word: str) -> list[str]:
@@ -234,28 +246,36 @@ def score_texts(texts: Sequence[str | None], chain: Chain, cache: dict[str, floa
         spans: list[tuple[int, int]] = []
         if len(q) and q.max() >= 0.5:
             hot = q >= 0.5
-            for k, match in enumerate(_TOKEN.finditer(text.lower())):
+            for k, match in enumerate(_TOKEN.finditer(text)):
                 if hot[k]:
                     spans.append(match.span())
         out.append((float(score), spans))
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> DataFrame:
-    """Whole texts of at most ``most`` rows of either label outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, segments: int = SEGMENTS) -> DataFrame:
+    """doc_id, text and label of at most ``most`` ids of either label outside the held-out fold; long texts in segments."""
     rows = labels.filter(F.col(label).isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy(F.col("doc_id").alias("train_id")).agg(F.max(label).cast("int").alias("label"))
-    texts = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    texts = docs.select("doc_id", "text")
     rows = rows.join(texts.select("doc_id"), F.col("train_id") == F.col("doc_id"), "left_semi")
     chosen = None
     for value in (0, 1):
         part = rows.filter(F.col("label") == value).orderBy(F.xxhash64("train_id"), "train_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("train_id")).select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("train_id")).select("doc_id", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([spaced_segments(t.as_py(), segments) for t in batch.column(2)], pa.string())], ["doc_id", "label", "text"])
+
+    return found.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, text string")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Chain:
-    rows = training_rows(docs, labels, label, most).limit(2 * most).toArrow()
-    data = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["label"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, segments: int = SEGMENTS) -> Chain:
+    """The model; at most ``2 * most`` rows of ``segments`` segments reach the driver, the same ones in every run."""
+    rows = training_rows(docs, labels, label, most, segments).dropDuplicates(["doc_id", "label", "text"])
+    rows = rows.orderBy(F.xxhash64("text"), "text", "doc_id").limit(2 * most).toArrow()  # more only if ids repeat
+    data = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["label"].to_pylist(), strict=True))
     return fit([r[1] for r in data], [r[2] for r in data])
 
 
