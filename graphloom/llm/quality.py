@@ -223,18 +223,19 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     """Whole texts of the training rows with their labels; the broadcast side is at most ``most`` ids."""
     chosen = training_ids(labels, label, modulus, fold, most)
     side = F.broadcast(chosen) if most <= BROADCAST_ROWS else chosen
-    return docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("train_id")).select("text", "label")
+    return docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("train_id")).select("text", "label", F.xxhash64("text").alias("turn"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
-    """Features are made by the tasks; at most ``most`` rows of numbers reach the driver (more only if ids repeat)."""
+    """Features are made by the tasks; at most ``most`` rows of numbers reach the driver, the same ones in every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]], ["x", "label", "turn"])
 
-    rows = labelled_rows(docs, labels, label, FOLDS, 0, most).mapInArrow(run, "x array<double>, label int").limit(most).toArrow()
+    rows = labelled_rows(docs, labels, label, FOLDS, 0, most).mapInArrow(run, "x array<double>, label int, turn long")
+    rows = rows.orderBy("turn", "label", "x").limit(most).toArrow()  # more than that only if ids repeat
     x = np.array(rows["x"].to_pylist(), float).reshape(rows.num_rows, len(FEATURES))
     order = np.lexsort((*x.T, rows["label"].to_numpy()))  # the fit doesn't depend on the order in which tasks end
     return fit(x[order], rows["label"].to_numpy()[order])
