@@ -10,8 +10,8 @@ whose totals are 0 and whose quantiles are null; other columns are never read.
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
 import os
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import cut, table
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -28,24 +28,38 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 256
 
 
+def splitting_pattern(folder: str) -> str:
+    """The value of PATTERN in the folder's description of its files, read as a literal: nothing in it is run."""
+    with open(os.path.join(folder, "__init__.py"), encoding="utf-8") as described:
+        found = [x.value for x in ast.parse(described.read()).body if isinstance(x, ast.Assign) and any(getattr(t, "id", None) == "PATTERN" for t in x.targets)]
+    return ast.literal_eval(found[0])
+
+
+def vocabulary_of(folder: str = TOKENIZERS, name: str = VOCABULARY) -> tuple[str, bytes]:
+    """The splitting pattern and the whole rank file, read where the driver runs."""
+    with open(os.path.join(folder, name), "rb") as lines:
+        return splitting_pattern(folder), lines.read()
+
+
 @lru_cache(maxsize=2)
-def encoding(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
-    """The encoder of a public vocabulary file; its splitting pattern stands beside the file."""
+def _encoding(pattern: str, lines: bytes):
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("vocabulary_files", os.path.join(folder, "__init__.py"))
-    described = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(described)
-    with open(os.path.join(folder, vocabulary), "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=described.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoding(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
+    """The encoder of a public vocabulary file."""
+    return _encoding(*vocabulary_of(folder, vocabulary))
 
 
 def lengths(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The encoded length of each whole text."""
+    """The encoded length of each whole text. The vocabulary (under a megabyte) is shipped, so that executors need no folder."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary_of(folder, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(folder, vocabulary).encode_ordinary
+        encode = _encoding(*shipped.value).encode_ordinary
         for batch in batches:
             counts = [len(encode(x)) if x else 0 for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n_tokens"])
@@ -112,4 +126,4 @@ def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(lengths(table(spark, sf_dir, "documents"))))
+    return suffix_sums(cut(histogram(lengths(table(spark, sf_dir, "documents")))))  # cut: texts are encoded once
