@@ -6,48 +6,81 @@ hash-seeded draw is below the fraction.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is one source, ordered last; a
 source of size 0 has target 0 and rate 0; repeated rows with one id share one draw; an empty table gives no rows; other
-columns pass through ``emit`` untouched, and columns that the operator adds replace columns of the same names.
+columns pass through ``mix`` and ``emit`` untouched, whatever their names; only a column that has the name of one which
+``mix`` adds (size, source_size, target, rate, copies) is replaced by it, and ``mixed`` keeps even those.
+
+What a source takes comes near its target as far as the draws allow: its variance is the sum of size squared times
+fraction times (1 - fraction) over its documents, so a source with a few long documents may miss by a tenth or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, cut, hint_small, table
+from graphloom.llm.common import WORD, cut, hint_small, numbered, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
 DRAW_BITS = 52
+#: Columns that ``mix`` adds.
+ADDED = ("size", "source_size", "target", "rate", "copies")
+
+
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+    return docs.withColumn("size", word_count(text))
+
+
+def _in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` sorted over all partitions and written, with the partition as ``part``: what windows can then run in."""
+    return cut(rows.orderBy(*order).withColumn("part", F.spark_partition_id()))
+
+
+def _earlier(rows: DataFrame, total: Column) -> DataFrame:
+    """(part, earlier): the sum of ``total`` over all earlier parts; one row per part is in the window."""
+    per = rows.groupBy("part").agg(total.alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(per.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("earlier")))
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, source: str = "source") -> DataFrame:
     """One row per source: size, weight, cap and target.
 
     Sorted by cap / weight, the sources that stop at their cap are a prefix: a source stops if what is left for it and
-    all after it, shared by weight, reaches its cap. The windows here see one row per source.
+    all after it, shared by weight, reaches its cap. Ranks and running sums are taken in two levels, within the parts of
+    a sorted table and over the parts' totals, so that no task sees all sources. Caps and weights are whole numbers in
+    doubles, so sums don't depend on how they were parted.
     """
     per = sized.groupBy(F.col(source).alias("mix_source")).agg(F.sum("size").alias("source_size"))
-    by_name, all_rows = Window.orderBy(F.col("mix_source").asc_nulls_last()), Window.partitionBy(F.lit(1))
+    by_name = F.col("mix_source").asc_nulls_last()
+    named = _in_order(per, [by_name])
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = per.withColumn("rank", F.row_number().over(by_name)).withColumn("weight", F.element_at(cycle, ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(float(cap))).withColumn("budget", F.sum("source_size").over(all_rows) * F.lit(float(share)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = ranked.withColumn("level", (F.col("budget") - before) / rest).withColumn("stops", F.col("cap") <= F.col("level") * F.col("weight"))
-    first_open = F.first(F.when(~F.col("stops"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return level.withColumn("open_level", first_open).select(
-        "mix_source", "source_size", "weight", "cap", F.when(F.col("stops") | F.col("open_level").isNull(), F.col("cap")).otherwise(F.col("open_level") * F.col("weight")).alias("target")
-    )
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(by_name)) + F.col("earlier")
+    ranked = named.join(_earlier(named, F.count("*")), "part").withColumn("rank", rank).withColumn("weight", F.element_at(cycle, ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
+    ranked = ranked.drop("part", "earlier").withColumn("cap", F.col("source_size") * F.lit(float(cap)))
+    order = [F.col("cap") / F.col("weight"), F.col("rank")]
+    sorted_ = _in_order(ranked, order)
+    total = sorted_.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    level = sorted_
+    for column in ("cap", "weight"):
+        level = level.join(_earlier(sorted_, F.sum(column)).withColumnRenamed("earlier", f"{column}_earlier"), "part")
+    spent = F.coalesce(F.sum("cap").over(before), F.lit(0.0)) + F.col("cap_earlier")
+    rest = F.lit(total["weight"]) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)) - F.col("weight_earlier")
+    level = level.withColumn("level", (F.lit((total["size"] or 0) * float(share)) - spent) / rest)
+    level = cut(level.withColumn("stops", F.col("cap") <= F.col("level") * F.col("weight")))
+    first_open = level.filter(~F.col("stops")).agg(F.min(F.struct(F.col("cap") / F.col("weight"), "rank", "level")).alias("f")).first()["f"]
+    filled = F.col("cap") if first_open is None else F.when(F.col("stops"), F.col("cap")).otherwise(F.lit(first_open["level"]) * F.col("weight"))
+    return level.select("mix_source", "source_size", "weight", "cap", filled.alias("target"))
 
 
 def draw(seed: str, doc_id: str = "doc_id"):
@@ -56,26 +89,37 @@ def draw(seed: str, doc_id: str = "doc_id"):
     return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long").cast("double") / F.lit(float(2**DRAW_BITS))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with size, source_size, target, rate and copies."""
-    sized = sizes(docs, text)
-    per = cut(targets(sized, weights, share, cap, source))
-    kept = list(keep) if keep is not None else [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    joined = sized.select(*kept, *([] if source in kept else [source]), "size").join(hint_small(per.select("mix_source", "source_size", "target"), per.count()), F.col(source).eqNullSafe(F.col("mix_source")))
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, list[str]]:
+    """``docs`` under numbered names, with size, source_size, target, rate and copies; and those names."""
+    rows, names = numbered(docs)
+    of = dict(zip(docs.columns, names, strict=True))
+    per = cut(targets(rows.select(of[source], word_count(of[text]).alias("size")), weights, share, cap, of[source]))
+    joined = rows.withColumn("size", word_count(of[text])).join(hint_small(per.select("mix_source", "source_size", "target"), per.count()), F.col(of[source]).eqNullSafe(F.col("mix_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
-    return joined.withColumn("rate", rate).withColumn("copies", (whole + (draw(seed, doc_id) < F.col("rate") - whole).cast("int")).cast("int")).select(*kept, "size", "source_size", "target", "rate", "copies")
+    drawn = joined.withColumn("rate", rate).withColumn("copies", (whole + (draw(seed, of[doc_id]) < F.col("rate") - whole).cast("int")).cast("int"))
+    return drawn.select(*names, *ADDED), names
+
+
+def mix(docs: DataFrame, keep: Sequence[str] | None = None, **how) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with size, source_size, target, rate and copies; ``how`` as for ``mixed``."""
+    rows, names = mixed(docs, **how)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    return rows.select(*[F.col(names[docs.columns.index(c)]).alias(c) for c in kept], *ADDED)
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row ``copies`` times, with its number in ``copy``."""
-    rows = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.drop("size", "source_size", "target", "rate", "copies")
+def emit(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, all its columns kept, with its number in ``copy``
+    (``copy_2`` and so on where ``docs`` has such a column)."""
+    rows, names = mixed(docs, **how)
+    copy = next(c for c in ("copy", *(f"copy_{i}" for i in range(2, len(names) + 3))) if c not in docs.columns)
+    taken = rows.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*names, "copy").toDF(*docs.columns, copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    rows = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 ORACLE = r"""
