@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, hint_small
+from graphloom.llm.common import BROADCAST_ROWS, cut, join_counted
+
+
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """``edges(u, v)`` with m of ``least(u, m, n)``: broadcast while its ends are few, else with hot hubs salted."""
+    return edges.join(F.broadcast(least.drop("n")), "u") if ends <= BROADCAST_ROWS else join_counted(edges, least, "u")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,13 +23,13 @@ def components(links: DataFrame) -> DataFrame:
     last, n = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large-star: larger neighbours of u point at the least of u and its neighbours
-        large = both.filter("v > u").join(hint_small(low, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both.filter("v > u"), low, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         # small-star: u and its smaller neighbours point at the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(hint_small(least, n), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u <> v").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if (state["n"], state["s"]) == last:

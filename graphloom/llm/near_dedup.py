@@ -7,10 +7,12 @@ total weight, so about K ln K + 2 K darts fall whatever its size. Each dart belo
 and the earliest dart of each coordinate is kept; two documents agree in a coordinate with the probability of their
 weighted Jaccard similarity. Bands of ``ROWS`` coordinates are joined; candidates are compared exactly.
 
-Copies: texts with the same words are one node from the start. The members of a band bucket are compared with each
-other inside a task on whole 64-bit elements, by products of their element matrices, in blocks whose size is bounded; a
-task returns a spanning forest of the similar pairs it finds, so at most a row per member, however many pairs there are.
-No link is lost: every edge of a forest is a checked link, and the forests of all buckets have the components of all links.
+Copies: texts with the same words are one node from the start. A band bucket is cut into blocks of bounded size. First
+every block is compared within itself and with two leaders of the bucket, on whole 64-bit elements, by products of the
+element matrices; so a member is sent once a band, however many near copies it has. What the links so far join needs no
+further comparison: only members outside the largest component of their bucket are then compared with the members of
+the other blocks. A task returns a spanning forest of the similar pairs that it finds, at most a row per member.
+No link between components is lost: every two members of a bucket have been compared or were joined by checked links.
 
 Defined results: words are lower-cased runs of letters, digits and non-ASCII characters; a text of one to four words is
 one shingle; a text without words is in a class by itself; the class is the smallest doc_id in it (null only if all
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from graphloom.llm.common import Rolling, cut, hint_small, mix64, table
+from graphloom.llm.common import Rolling, cut, hint_small, mix64, numbered, table
 from graphloom.llm.components import components
 
 SHINGLE = 5
@@ -216,10 +218,10 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _bucket_links(threshold: float):
     def run(group: pa.Table) -> pa.Table:
-        keys = group.column("key").to_pylist()
-        sets = [x.values.to_numpy() for x in group.column("elements").combine_chunks()] if len(keys) > 1 else []
-        edges = []
-        if sets:
+        held = dict(zip(group.column("key").to_pylist(), group.column("elements").combine_chunks(), strict=True))  # a leader may come twice
+        keys, edges = list(held), []
+        if len(keys) > 1:
+            sets = [x.values.to_numpy() for x in held.values()]
             size = np.array([len(x) for x in sets], float)
             shared = shared_counts(sets)
             near = shared >= threshold * (size[:, None] + size[None, :] - shared)
@@ -229,25 +231,70 @@ def _bucket_links(threshold: float):
     return run
 
 
+def _compared(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links among the members that ``dealt(key, places)`` puts at one place (band, h, part, block)."""
+    met = dealt.join(sets, "key").select("key", "elements", F.explode("places").alias("place")).select("key", "elements", "place.*")
+    return met.groupBy("band", "h", "part", "block").applyInArrow(_bucket_links(threshold), "a binary, b binary")
+
+
+def _place(part, block):
+    return F.named_struct(F.lit("band"), F.col("band"), F.lit("h"), F.col("h"), F.lit("part"), part.cast("int"), F.lit("block"), block.cast("int"))
+
+
+def _numbers(n):
+    return F.sequence(F.lit(0), F.col(n) - 1)
+
+
+def _listed(places: DataFrame) -> DataFrame:
+    """One row per key with all its places."""
+    return places.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+
+
+def links(entries: DataFrame, read: DataFrame, threshold: float) -> DataFrame:
+    """(key, root) of all that is linked, from ``entries(key, rep, weight, band, h)``: the two rounds over the buckets."""
+    cuts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / BLOCK_ELEMENTS)).cast("int")
+    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("members"), cuts.alias("blocks"), F.array(F.min("key"), F.max("key")).alias("leaders")).filter("members > 1")
+    buckets = cut(buckets.drop("members"))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    members = cut(entries.join(buckets.drop("leaders"), ["band", "h"]).select("key", "rep", "band", "h", "blocks", block.alias("block")))
+    wanted = cut(members.groupBy("key").agg(F.first("rep").alias("rep")))
+    sets = element_sets(read, wanted, wanted.count())
+    large = buckets.filter("blocks > 1")
+    any_large = not large.isEmpty()
+    if any_large:  # read again by the second round
+        sets = cut(sets)
+    places = members.select("key", F.array(_place(F.lit(0), F.col("block"))).alias("places"))
+    if any_large:
+        led = large.select(F.explode("leaders").alias("key"), F.transform(_numbers("blocks"), lambda j: _place(F.lit(0), j)).alias("places"))
+        places = places.unionByName(led)
+    roots = cut(components(_compared(_listed(places), sets, threshold)))
+    if not any_large:
+        return roots
+    # members of large buckets that the first round left outside the largest component of their bucket
+    rooted = members.filter("blocks > 1").join(hint_small(roots, roots.count()), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = cut(rooted)
+    most = rooted.groupBy("band", "h", "root").agg(F.count("*").alias("n")).groupBy("band", "h").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    outside = cut(rooted.join(most, ["band", "h"]).filter("root <> most").select("key", "band", "h", "blocks"))
+    parts = outside.groupBy("band", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    if outside.isEmpty():
+        return roots
+    part = F.pmod(F.xxhash64("key", F.lit("outside")), F.col("parts")).cast("int")
+    asked = outside.join(parts, ["band", "h"]).select("key", F.transform(_numbers("blocks"), lambda j: _place(part, j)).alias("places"))
+    others = rooted.join(parts, ["band", "h"]).select("key", F.transform(_numbers("parts"), lambda i: _place(i, F.col("block"))).alias("places"))
+    found = _compared(_listed(asked.unionByName(others)), sets, threshold)
+    return cut(components(found.unionByName(roots.select(F.col("key").alias("a"), F.col("root").alias("b")))))
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, class_size, key and class_key of every document.
 
-    A bucket is cut into blocks of about ``BLOCK`` members or ``BLOCK_ELEMENTS`` elements; a task sees two blocks.
+    A bucket is cut into blocks of about ``BLOCK`` members or ``BLOCK_ELEMENTS`` elements; a task sees two blocks at most.
     """
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     made = cut(nodes(read, bands=bands, rows=rows))
     distinct = made.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     entries = distinct.select("key", "rep", "weight", F.posexplode("bands").alias("band", "h"))
-    cuts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / BLOCK_ELEMENTS)).cast("int")
-    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("members"), cuts.alias("blocks")).filter("members > 1").drop("members")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda j: F.struct(F.col("band").alias("band"), F.col("h").alias("h"), F.least(block, j).alias("low"), F.greatest(block, j).alias("high")))
-    places = entries.join(buckets, ["band", "h"]).select("key", "rep", pairs.alias("pairs"))
-    places = cut(places.groupBy("key").agg(F.first("rep").alias("rep"), F.flatten(F.collect_list("pairs")).alias("pairs")))
-    sets = element_sets(read, places.select("key", "rep"), places.count())
-    dealt = places.select("key", "pairs").join(sets, "key").select("key", "elements", F.explode("pairs").alias("pair")).select("key", "elements", "pair.*")
-    links = dealt.groupBy("band", "h", "low", "high").applyInArrow(_bucket_links(threshold), "a binary, b binary")
-    roots = cut(components(links))
+    roots = links(entries, read, threshold)
     named = made.select("doc_id", "key").join(roots.withColumnRenamed("root", "found"), "key", "left").withColumn("root", F.coalesce("found", "key"))
     sizes = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_doc"), F.count("*").alias("class_rows")).filter("class_rows > 1")
     sizes = cut(sizes)
@@ -263,21 +310,24 @@ def _keys(texts: pd.Series) -> pd.Series:
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One document of each class: the row with its smallest doc_id, and one of them if rows share that id.
 
-    Ids that go are few against those that stay, so what is joined with the texts is the former.
+    Ids that go are few against those that stay, so what is joined with the texts is the former. All columns are kept,
+    whatever their names.
     """
-    found = cut(classes(docs, threshold))
+    rows, names = numbered(docs)
+    key, body = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    found = cut(classes(rows, threshold, doc_id=key, text=body))
     stays = F.col("class_id").eqNullSafe(F.col("doc_id"))
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(stays.cast("int")).alias("n_stay"), F.max("class_size").alias("size"))
     ids = cut(ids.filter("n_stay = 0 OR (n > 1 AND size > 1)").withColumnRenamed("doc_id", "touched_id"))
-    n, same = ids.count(), F.col("doc_id").eqNullSafe(F.col("touched_id"))
-    kept = docs.join(hint_small(ids.select("touched_id"), n), same, "left_anti")
+    n, same = ids.count(), lambda c: F.col(c).eqNullSafe(F.col("touched_id"))
+    kept = rows.join(hint_small(ids.select("touched_id"), n), same(key), "left_anti")
     tied = ids.filter("n_stay > 0").select("touched_id")
     if not tied.isEmpty():
-        rows = docs.join(hint_small(tied, n), same, "left_semi").withColumn("near_key", F.pandas_udf(_keys, BinaryType())(F.col("text").cast("string")))
-        judged = found.filter(stays).join(hint_small(tied, n), same, "left_semi").filter("key IS NOT NULL").select(F.col("doc_id").alias("near_id"), F.col("key").alias("stay_key"), "class_key").distinct()
-        one = rows.join(judged, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("near_key") == F.col("stay_key"))).dropDuplicates(["class_key"])
-        kept = kept.unionByName(one.select(*docs.columns)).unionByName(rows.filter("near_key IS NULL").select(*docs.columns))
-    return kept
+        shared = rows.join(hint_small(tied, n), same(key), "left_semi").withColumn("near_key", F.pandas_udf(_keys, BinaryType())(F.col(body).cast("string")))
+        judged = found.filter(stays).join(hint_small(tied, n), same("doc_id"), "left_semi").filter("key IS NOT NULL").select(F.col("doc_id").alias("near_id"), F.col("key").alias("stay_key"), "class_key").distinct()
+        one = shared.join(judged, F.col(key).eqNullSafe(F.col("near_id")) & (F.col("near_key") == F.col("stay_key"))).dropDuplicates(["class_key"])
+        kept = kept.unionByName(one.select(*names)).unionByName(shared.filter("near_key IS NULL").select(*names))
+    return kept.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
