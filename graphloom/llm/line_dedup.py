@@ -7,13 +7,13 @@ guaranteed length at a time: equal runs are grouped by their line hashes, never
 also starts earlier, in a document of smaller doc_id or further up in the same one. Overlapping runs join up.
 
 A line that is a passage by itself, of ``PASSAGE_WORDS`` words or ``PASSAGE_BYTES`` bytes, is a fingerprint and a run of
-its own, whatever stands around it and however few lines its document has. ``query`` leaves that out (``passages``): it
-is held to ``ORACLE``, which knows runs of two lines only.
+its own, whatever stands around it and however few lines its document has.
 
 Defined results: lines are compared without leading and trailing spaces; lines of only spaces are never part of a run
 and stay; a null text stays null; a text whose lines all go is empty; a null doc_id is later than all others; rows that
 share doc_id and text get the same result, since neither is earlier; shorter runs, passages apart, and an empty table
-lose nothing; columns of any other name pass through. Line identity is a 64-bit hash for each line of a run.
+lose nothing; all other columns pass through, whatever their names, but for columns named n_lines, n_removed or n_runs,
+which ``line_dedup`` replaces and ``deduped`` keeps. Line identity is a 64-bit hash for each line of a run.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, join_counted, table
+from graphloom.llm.common import WORD, cut, join_counted, numbered, table
 
 GRAM = 1
 WINDOW = 2
@@ -85,23 +85,35 @@ def repeated_runs(prints: DataFrame) -> DataFrame:
     return found.select("doc_id", "row", hit.alias("hit")).groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, passages: bool = True) -> DataFrame:
-    """``docs`` with the text without its repeated runs, and n_lines, n_removed, n_runs."""
-    found = repeated_runs(fingerprints(docs, doc_id, text, gram, window, passages)).select(F.col("doc_id").alias("line_doc"), F.col("row").alias("line_row"), F.col("hit").alias("line_found"))
-    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("line_doc")) & (F.xxhash64(F.col(text)) == F.col("line_row")), "left")
-    joined = joined.withColumn("line_list", _lines(text)).withColumn("line_numbers", _numbers(F.col("line_list"))).withColumn("line_hit", F.sort_array(F.coalesce("line_found", F.array().cast("array<int>"))))
+def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, passages: bool = True) -> tuple[DataFrame, list[str]]:
+    """``docs`` under numbered names, the text without its repeated runs, with n_lines, n_removed, n_runs; and those names.
+
+    Fingerprints are made once and written; the texts are read for them and for the result.
+    """
+    rows, names = numbered(docs)
+    key, body = (names[docs.columns.index(c)] for c in (doc_id, text))
+    prints = cut(fingerprints(rows, key, body, gram, window, passages))
+    found = repeated_runs(prints).select(F.col("doc_id").alias("line_doc"), F.col("row").alias("line_row"), F.col("hit").alias("line_found"))
+    joined = rows.join(found, F.col(key).eqNullSafe(F.col("line_doc")) & (F.xxhash64(F.col(body)) == F.col("line_row")), "left")
+    joined = joined.withColumn("line_list", _lines(body)).withColumn("line_numbers", _numbers(F.col("line_list"))).withColumn("line_hit", F.sort_array(F.coalesce("line_found", F.array().cast("array<int>"))))
     gone = F.transform("line_hit", lambda i: F.get("line_numbers", i))
     kept = F.array_except(F.sequence(F.lit(0), F.size("line_list") - 1), gone)
     runs = F.size(F.array_except("line_hit", F.transform("line_hit", lambda i: i + 1)))
-    text_kept = F.when(F.col("line_found").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("line_list", i)), "\n"))
-    out = {text: text_kept, "n_lines": F.size("line_numbers").cast("long"), "n_removed": F.size("line_hit").cast("long"), "n_runs": runs.cast("long")}
-    others = [F.col(c) for c in docs.columns if c not in out]
-    return joined.select(*others, *[v.alias(k) for k, v in out.items()])
+    text_kept = F.when(F.col("line_found").isNull(), F.col(body)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("line_list", i)), "\n"))
+    counts = [F.size("line_numbers").cast("long").alias("n_lines"), F.size("line_hit").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs")]
+    return joined.select(*[text_kept.alias(n) if n == body else n for n in names], *counts), names
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, passages: bool = True) -> DataFrame:
+    """``docs`` with the text without its repeated runs, and n_lines, n_removed, n_runs."""
+    rows, names = deduped(docs, doc_id, text, gram, window, passages)
+    added = ["n_lines", "n_removed", "n_runs"]
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in added], *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two lines or more, as ``ORACLE`` has them; single passages stay here."""
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=False).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
@@ -115,8 +127,12 @@ WITH split AS (
   SELECT r, doc_id, k, body AS a, lead(body) OVER (PARTITION BY r ORDER BY k) AS b FROM solid
 ), ranked AS (
   SELECT *, min(doc_id) OVER (PARTITION BY a, b) AS first_doc, min(k) OVER (PARTITION BY a, b, r) AS own_first FROM runs WHERE b IS NOT NULL
+), passages AS (
+  SELECT r, doc_id, k, min(doc_id) OVER (PARTITION BY body) AS first_doc, min(k) OVER (PARTITION BY body, r) AS own_first
+  FROM solid WHERE strlen(body) >= 300 OR len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= 50
 ), gone AS (
-  SELECT DISTINCT r, unnest([k, k + 1]) AS k FROM ranked WHERE doc_id > first_doc OR k > own_first
+  SELECT r, unnest([k, k + 1]) AS k FROM ranked WHERE doc_id > first_doc OR k > own_first
+  UNION SELECT r, k FROM passages WHERE doc_id > first_doc OR k > own_first
 ), marked AS (
   SELECT n.r, n.line, n.raw, s.k, g.k IS NOT NULL AS removed FROM numbered n LEFT JOIN solid s USING (r, line) LEFT JOIN gone g ON g.r = n.r AND g.k = s.k
 ), edges AS (
