@@ -2,7 +2,9 @@
 
 Each document is measured and tested by the base rules; failures are aggregated per host; each host's failure rate is
 shrunk towards the rate of all hosts by a beta prior whose parameters are fitted to the hosts by moments; the host's
-verdict is joined back to its documents.
+verdict is joined back to its documents. A host is rejected if its posterior says so beyond doubt: the shrunk rate, less
+``SURE`` standard deviations of the posterior, is above ``TIMES`` the rate of all documents, or above ``MAX_HOST_RATE``
+where that is less. A host of few documents is shrunk so far that it takes many failures to reject it.
 
 Defined results: a null or empty text has no words, so it fails the base rules; null hosts are one host; repeated rows
 count each; an empty table gives no rows; only the named columns are read, so others may have any name.
@@ -23,8 +25,11 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A host is rejected if its shrunk failure rate is above this.
+#: A host is rejected if its failure rate is surely above so many times that of all documents, or above this rate.
+TIMES = 2.0
 MAX_HOST_RATE = 0.5
+#: Standard deviations of the posterior that make it sure (95 % of a normal one).
+SURE = 1.645
 SLICE_BYTES = 1 << 20
 
 _NOT_CONTINUATION = np.array([(b & 0xC0) != 0x80 for b in range(256)])
@@ -105,25 +110,29 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
-def host_rates(failures: DataFrame, host: str = "host") -> DataFrame:
-    """One row per host: n, failed and the shrunk rate; ``failures`` has the host and the boolean base_failed."""
+def host_rates(failures: DataFrame, host: str = "host", times: float = TIMES, max_rate: float = MAX_HOST_RATE, sure: float = SURE) -> DataFrame:
+    """One row per host: n, failed, the shrunk rate and whether the host is rejected; ``failures`` has the host and the
+    boolean base_failed."""
     hosts = cut(failures.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
     alpha, beta = beta_prior(hosts)
-    return hosts.withColumn("host_rate", (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta)))
+    rated = hosts.withColumn("host_rate", (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta)))
+    spread = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + F.lit(alpha + beta + 1)))
+    return rated.withColumn("host_rejected", F.col("host_rate") - sure * spread > F.lit(min(max_rate, times * alpha / (alpha + beta))))
 
 
-def host_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """doc_id, the base counts, base_failed, the host's shrunk rate and kept, one row per document."""
+def host_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", times: float = TIMES, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """doc_id, the base counts, base_failed, the host's shrunk rate and verdict, and kept, one row per document."""
     base = base_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text")), ["doc_id", "host"])
     base = cut(base.withColumn("base_failed", base_failed()))
-    rates = host_rates(base.select("host", "base_failed"))
-    rates = rates.select(F.col("host").alias("rated_host"), "host_rate")
+    rates = host_rates(base.select("host", "base_failed"), times=times, max_rate=max_rate)
+    rates = rates.select(F.col("host").alias("rated_host"), "host_rate", "host_rejected")
     joined = base.join(hint_small(rates, rates.count()), F.col("host").eqNullSafe(F.col("rated_host")))
-    return joined.select("doc_id", *[p.split()[0] for p in BASE.split(", ")], "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= max_rate)).alias("kept"), F.round("host_rate", 9).alias("host_rate"))
+    counts = [p.split()[0] for p in BASE.split(", ")]
+    return joined.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), F.round("host_rate", 9).alias("host_rate"), "host_rejected")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+    return host_rules(table(spark, sf_dir, "documents")).drop("host_rate", "host_rejected")
 
 
 ORACLE = r"""
@@ -153,8 +162,12 @@ WITH worded AS (
   SELECT *, (sq - n * m * m - (h - 1) * m * (1 - m)) / greatest(n - n2 / n, 1e-9) AS v FROM total
 ), prior AS (
   SELECT m, CASE WHEN m IN (0, 1) THEN n ELSE least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE n END, 1), n) END AS k FROM spread
+), shrunk AS (
+  SELECT source, n, (f + m * k) / (n + k) AS rate, m, k FROM hosts CROSS JOIN prior
+), verdicts AS (
+  SELECT source, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > least(0.5, 2 * m) AS rejected FROM shrunk
 )
 SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
-  NOT j.base_failed AND (h.f + p.m * p.k) / (h.n + p.k) <= 0.5 AS kept
-FROM judged j JOIN hosts h ON j.source IS NOT DISTINCT FROM h.source CROSS JOIN prior p
+  NOT j.base_failed AND NOT h.rejected AS kept
+FROM judged j JOIN verdicts h ON j.source IS NOT DISTINCT FROM h.source
 """
