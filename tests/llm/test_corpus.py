@@ -142,11 +142,14 @@ def test_texts_that_share_common_words_are_no_copies():
     assert [int(t.sum()) for t in tags] == [1] * 40 + [0] * 40 + [1]
 
 
-def test_long_texts_use_up_no_training_rows(spark):
-    docs = docs_of(spark, [(i, "w" * (60_000 if i % 2 else 10)) for i in range(80)])
+def test_long_texts_are_trained_on_in_segments(spark):
+    docs = docs_of(spark, [(i, " ".join(f"W{k}" for k in range(20_000 if i % 2 else 10))) for i in range(80)])
     labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
-    rows = toxicity.training_rows(docs, labels, most=8).collect()
-    assert Counter(r["label"] for r in rows) == {0: 8, 1: 8} and all(r["doc_id"] % 2 == 0 for r in rows)
+    rows = toxicity.training_rows(docs, labels, most=8, segments=3).collect()
+    assert Counter(r["label"] for r in rows) == {0: 8, 1: 8} and any(r["doc_id"] % 2 for r in rows)
+    size, n = toxicity.SEGMENT, -(-20_000 // toxicity.SEGMENT)
+    want = " ".join(f"w{k}" for i in range(3) for k in range(i * n // 3 * size, (i * n // 3 + 1) * size))
+    assert {r["text"] for r in rows if r["doc_id"] % 2} == {want} and {r["text"] for r in rows if r["doc_id"] % 2 == 0} == {" ".join(f"w{k}" for k in range(10))}
 
 
 def test_additive_model_finds_an_interaction():
@@ -254,11 +257,14 @@ def test_targets_fill_up_to_the_cap(spark):
 
 
 def test_mix_comes_near_its_targets(spark):
-    mixed = mixing.mix(spark.read.parquet(f"{LARGER}/documents.parquet")).cache()
-    per = mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"))
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    mixed = mixing.mix(docs).cache()
+    fraction = F.col("rate") - F.floor("rate")
+    per = mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.sqrt(F.sum(F.col("size") ** 2 * fraction * (1 - fraction))).alias("spread"))
     assert abs(per.agg(F.sum("taken") / F.sum("target")).first()[0] - 1) < 0.1
+    assert all(abs(r["taken"] - r["target"]) <= 3.5 * r["spread"] + 1e-6 for r in per.collect())  # each source, by its own draws
     assert mixed.filter("copies > 2").isEmpty()
-    assert mixing.emit(mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+    assert mixing.emit(docs).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
 # ---- 6 ---------------------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Each operator gets its rows through its method: tests that fail where the method is bypassed."""
 
 import html as entities
+import math
 import random
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_text, suffix_dedup
+from graphloom.llm import decontaminate, host_rules, html_text, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity
 
 FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -203,3 +204,223 @@ def test_ties_are_resolved_by_ranks_alone(monkeypatch):
 def test_suffix_dedup_refuses_ids_without_an_order(spark):
     with pytest.raises(TypeError, match="whole number"):
         suffix_dedup.suffix_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+# ---- 1 and 8 ---------------------------------------------------------------------------------------------------------
+
+
+def test_offsets_are_those_of_the_original_text():
+    bad = [f"some {'vile' if i % 3 else 'foul'} words{i} stand{i} here{i} today" for i in range(60)]
+    chain = toxicity.fit(bad + [b.replace("vile", "kind").replace("foul", "good") for b in bad], [1] * 60 + [0] * 60)
+    text = "\u0130\u0130\u0130 vile \u0130 FOUL"
+    (_, spans), = toxicity.score_texts([text], chain, {})
+    assert [text[a:b] for a, b in spans] == ["vile", "FOUL"]
+
+
+def test_token_labels_by_plain_counting():
+    """A word is marked exactly if it, or one of its prefixes, is held often enough, and far more, by toxic texts."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["vileness", "vile", "cat", "dog", "house", "foulest", f"u{i}"]) if i % 2 else rng.choice(["cat", "dog", "house", "villa", f"u{i}"]) for _ in range(12)) for i in range(120)]
+    toxic = np.array([i % 2 == 1 for i in range(120)])
+    corpus = toxicity.Words(texts)
+    sets = {}
+    for t, bad in zip(texts, toxic.tolist(), strict=True):
+        sets[(bad, frozenset(t.split()))] = bad
+    held = {True: [w for (bad, w) in sets if bad], False: [w for (bad, w) in sets if not bad]}
+
+    def marked(word):
+        for feature in ["w" + word] + [f"p{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n]:
+            has = lambda words, f=feature: any(f in toxicity.token_features(w) for w in words)
+            b, g = sum(map(has, held[True])), sum(map(has, held[False]))
+            if b >= max(4, 0.01 * len(held[True])) and math.log((b + 0.5) / (len(held[True]) + 1)) - math.log((g + 0.5) / (len(held[False]) + 1)) >= 3:
+                return 1
+        return 0
+
+    for t, bad, tags in zip(texts, toxic.tolist(), toxicity.label_tokens(corpus, toxic), strict=True):
+        assert tags.tolist() == [marked(w) if bad else 0 for w in t.split()]
+
+
+def test_document_scores_by_plain_steps():
+    """A score is the logistic of what enumerated marginals add up to."""
+    chain = toxicity.Chain(-1.0, {"wbad": 2.5, "pbad": 0.5}, np.array([[0.4, -0.3], [0.1, 0.6]]), np.array([-1.0, 0.7, 1.1, 0.2, 0.3]))
+    text = "a bad badly day bad"
+    words, n = text.split(), 5
+    strength = [-1.0 + sum(chain.weights.get(f, 0.0) for f in toxicity.token_features(w)) for w in words]
+    weight, total = np.zeros(n), 0.0
+    for bits in range(2**n):
+        y = [bits >> k & 1 for k in range(n)]
+        w = math.exp(sum(strength[k] for k in range(n) if y[k]) + sum(chain.moves[y[k], y[k + 1]] for k in range(n - 1)))
+        total, weight = total + w, weight + w * np.array(y)
+    p = weight / total
+    evidence = [1, math.log1p(p.sum()), p.max(), min(1, 10 * p.sum() / n), math.log1p((p > 0.5).sum())]
+    (score, spans), = toxicity.score_texts([text], chain, {})
+    assert score == pytest.approx(1 / (1 + math.exp(-np.dot(evidence, chain.scale))))
+    starts = np.cumsum([0] + [len(w) + 1 for w in words])
+    assert spans == [(starts[k], starts[k] + len(words[k])) for k in range(n) if p[k] >= 0.5]
+
+
+def test_additive_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 4))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(int), 10, pairs=3)
+    for row, got in zip(x[:50], model.score(x[:50]), strict=True):
+        total = model.base + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, model.edges, model.tables, strict=True))
+        place = [sum(v >= e for e in edges) for v, edges in zip(row, model.pair_edges, strict=True)]
+        total += sum(t[place[i], place[j]] for i, j, t in model.pairs)
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+AWKWARD = [(1, None), (2, ""), (3, "  \n\t "), (4, "word"), (5, "x" * 30_000), (6, "tie tie tie"), (7, "tie tie tie"), (7, "tie tie tie"), (8, "\u00e9\u00df " * 4000), (None, "no id here"), (None, None)]
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_trained_classifiers_take_awkward_rows(spark, module):
+    label = "toxic" if module is toxicity else "quality"
+    rows = [(100 + i, f"some {'vile' if i % 2 else 'kind'} words{i} " * 9) for i in range(80)] + [(100, "again"), (100, "again")] + AWKWARD
+    docs = docs_of(spark, rows)
+    for extra in ("score", "spans", "label", "train_id", "turn", "x"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(80)] + [(101, 0), (101, 1), (5, None), (None, 1), (7, 1), (999, 1)], f"doc_id long, {label} int")
+    model = module.train(docs, labels)
+    got = [sorted((str(r["doc_id"]), r["score"]) for r in module.score(docs, model, ["doc_id"]).collect()) for _ in range(2)]
+    assert len(got[0]) == len(rows) and got[0] == got[1] and all(0 <= s <= 1 for _, s in got[0])
+    assert module.score(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_repeated_ids_train_the_same_model_in_every_run(spark):
+    rows = [(i % 7, f"{'vile' if i % 7 > 3 else 'kind'} text number {i} of many") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i > 3)) for i in range(7)], "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    for module in (toxicity, quality):
+        models = [module.train(docs_of(spark, rows).repartition(n), labels, most=20) for n in (2, 5)]
+        scores = [[r["score"] for r in module.score(docs_of(spark, rows[:40]), m, ["doc_id"]).orderBy("doc_id", "score").collect()] for m in models]
+        assert scores[0] == scores[1]
+
+
+# ---- 4, 5, 9, 10 -----------------------------------------------------------------------------------------------------
+
+
+def test_a_vocabulary_folder_is_read_and_not_run(spark, tmp_path):
+    import shutil
+
+    shutil.copy(f"{token_counts.TOKENIZERS}/{token_counts.VOCABULARY}", tmp_path)
+    (tmp_path / "__init__.py").write_text(f"PATTERN = {token_counts.splitting_pattern(token_counts.TOKENIZERS)!r}\nraise SystemExit(1)\n")
+    docs = docs_of(spark, [(1, "a few words"), (2, "n" * 1_000_000)])
+    want = [len(token_counts.encoding().encode_ordinary(t)) for t in ("a few words", "n" * 1_000_000)]
+    assert [r["n_tokens"] for r in token_counts.lengths(docs.orderBy("doc_id"), folder=str(tmp_path)).collect()] == want
+
+
+def test_targets_do_not_depend_on_how_sources_are_parted(spark):
+    rng = random.Random(4)
+    sized = spark.createDataFrame([(f"h{rng.randrange(400)}" if i % 50 else None, rng.randrange(900)) for i in range(5000)], "source string, size long")
+    got = [{r["mix_source"]: r["target"] for r in mixing.targets(sized.repartition(n)).collect()} for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) > 300
+
+
+def test_a_bad_host_takes_its_clean_documents_along(spark):
+    """On the sample texts, dealt to hosts by their base failures: one host fails often, the others as all do."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    failed = {r["doc_id"] for r in host_rules.query(spark, LARGER).filter("base_failed").collect()}
+    assert len(failed) >= 20
+    bad = spark.createDataFrame([(i,) for i in sorted(failed)], "bad_id long")
+    host = F.when(F.col("bad_id").isNotNull() & (F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 100 == 1), "bad").otherwise(F.concat(F.lit("h"), F.col("doc_id") % 9))
+    dealt = docs.join(bad, docs["doc_id"] == bad["bad_id"], "left").withColumn("source", host)
+    rows = host_rules.host_rules(dealt).join(dealt.select("doc_id", "source"), "doc_id").collect()
+    assert {r["source"] for r in rows if r["host_rejected"]} == {"bad"}
+    assert [r for r in rows if not r["kept"] and not r["base_failed"]] and all(r["kept"] == (not r["base_failed"] and r["source"] != "bad") for r in rows)
+
+
+def clashing(docs):
+    for extra in ("line_doc", "line_row", "line_list", "line_hit", "line_found", "line_numbers", "line_starts", "n_removed", "n_lines", "n_runs", "mix_source", "size", "rate", "target", "copies", "copy", "touched_id", "near_key", "near_id", "key", "graphloom_0x", "root", "m", "u", "n"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    return docs
+
+
+@pytest.mark.parametrize("rows", [AWKWARD + [(9, "a b c d e f g\nh i j\nk l"), (10, "a b c d e f g\nh i j\nk l"), (10, "a b c d e f g\nh i j\nk l")], []])
+def test_columns_of_any_name_keep_their_values(spark, rows):
+    docs = clashing(docs_of(spark, rows))
+    taken = mixing.emit(docs)
+    assert taken.columns == [*docs.columns, "copy_2"]
+    held = line_dedup.line_dedup(docs)
+    assert held.columns == [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")] + ["n_lines", "n_removed", "n_runs"]
+    kept = near_dedup.keep_one(docs)
+    for frame in (taken, held.drop("n_lines", "n_removed", "n_runs"), kept):
+        names = [c for c in frame.columns if c not in ("doc_id", "text", "lang", "source", "n_chars", "copy_2")]
+        assert all(set(r) == {"clash"} for r in frame.select(*names).collect())
+    assert held.count() == len(rows) and (kept.count() > 0) == bool(rows)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_tables(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    good = [(200 + i, " ".join(f"Some word{i % 60} of the {k} kind, and more." for k in range(12))) for i in range(60)]
+    docs = clashing(docs_of(spark, [] if empty else AWKWARD + good))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([] if empty else [(200 + i, 1) for i in range(0, 60, 2)] + [(i, 0) for i in range(1, 9)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([] if empty else [(1, "no id here"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, run in corpus_pipeline.STAGES[:-1]:
+        stage = run(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns
+    done = corpus_pipeline.run(spark, str(tmp_path))
+    assert done.columns == [*docs.columns, "copy_2"] and (done.count() == 0) == empty
+    assert all(r["n_removed"] == "clash" == r["size"] for r in done.collect())
+
+
+def test_pipeline_by_plain_steps(spark, tmp_path):
+    """The stages but the first, which is learned, by brute force: each on all rows that the one before kept."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lined = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, LARGER).collect()}
+    first, passage = {}, lambda x: len(x.split()) >= 50 or len(x.encode()) >= 300
+    solid = {d: [(i, x.strip(" ")) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")] for d, t in rows.items()}
+    runs = {d: [((x[k][1],), (k,)) for k in range(len(x)) if passage(x[k][1])] + [((x[k][1], x[k + 1][1]), (k, k + 1)) for k in range(len(x) - 1)] for d, x in solid.items()}
+    for d, found in runs.items():
+        for lines, _ in found:
+            first[lines] = min(first.get(lines, d), d)
+    for d, text in rows.items():
+        own, gone = set(), set()
+        for lines, at in sorted(runs[d], key=lambda r: r[1]):
+            if first[lines] < d or lines in own:
+                gone.update(solid[d][k][0] for k in at)
+            own.add(lines)
+        assert lined[d] == (text if not gone else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
+
+
+# ---- 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def groups_of(found):
+    out = {}
+    for r in found.collect():
+        out.setdefault(r["class_id"], set()).add(r["doc_id"])
+    return {frozenset(g) for g in out.values()}
+
+
+def test_large_buckets_are_compared_by_leaders_then_by_what_they_leave(spark, monkeypatch):
+    """Chains of texts of which only neighbours are similar, all in one bucket of many blocks, beside other chains."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "band_hashes", lambda signature, bands, rows: np.full((len(signature), bands), 7, np.uint64))
+    texts, want = [], set()
+    for chain in range(6):
+        first = len(texts)
+        for step in range(12):
+            texts.append((len(texts), " ".join(f"c{chain}w{k}" for k in range(3 * step, 3 * step + 40))))
+        want.add(frozenset(range(first, len(texts))))
+    texts += [(len(texts) + i, f"alone {i} " + " ".join(f"x{i}y{k}" for k in range(20))) for i in range(5)]
+    want |= {frozenset([i]) for i in range(72, 77)}
+    assert groups_of(near_dedup.classes(docs_of(spark, texts), bands=2, rows=1)) == want
+
+
+def test_members_of_a_near_copy_group_are_sent_once_a_band(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i, k in enumerate(range(0, 400, 2))]
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    sent = []
+    real = near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda dealt, sets, t: (sent.append(dealt.select(F.sum(F.size("places"))).first()[0]), real(dealt, sets, t))[1])
+    assert groups_of(near_dedup.classes(docs_of(spark, texts))) == {frozenset(range(200))}
+    assert sum(sent) <= 20 * (200 + 2 * 20)
