@@ -9,15 +9,11 @@ Line dedup rewrites ``text`` and ``n_chars``, and keeps a row whose text has bec
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from graphloom.llm.common import table
+from graphloom.llm.common import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +23,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines, and single lines as long as a passage, that repeat earlier ones are taken out of the texts."""
-    kept = line_dedup.line_dedup(docs)
-    if "n_chars" in docs.columns:
-        size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        kept = kept.withColumn("n_chars", size)
-    return kept.select(*docs.columns)
+    rows, names = line_dedup.deduped(docs)
+    of = dict(zip(docs.columns, names, strict=True))
+    if "n_chars" in of:
+        size = F.length(of["text"]).cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn(of["n_chars"], F.when(F.col("n_removed") > 0, size).otherwise(F.col(of["n_chars"])))
+    return rows.select(*names).toDF(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +43,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: each document as often as it is taken."""
-    return mixing.emit(mixing.mix(docs))
+    return mixing.emit(docs)
 
 
 STAGES = [
@@ -58,18 +55,9 @@ STAGES = [
 ]
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        shared = held.get() if held.nonEmpty() else tempfile.mkdtemp(prefix="corpus-pipeline-")
-    return os.path.join(shared, f"corpus-pipeline-{uuid.uuid4().hex}")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written and read again."""
-    folder, docs = _folder(spark), table(spark, sf_dir, "documents")
+    folder, docs = shared_folder(spark, "corpus-pipeline"), table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
