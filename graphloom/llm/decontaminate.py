@@ -2,7 +2,7 @@
 
 ``build_index`` cuts the training documents into shards and writes, once, the postings of every term: for each shard and
 bucket of terms a row with the terms, how often the shard holds each, and their positions. Rows are dealt out by bucket
-and, so that no term is one task's load, by shard; they are sorted by bucket, so a lookup skips what it doesn't need. The
+and, so that no term is one task's load, by shard, so that a lookup finds a bucket in few files. The
 folder can be opened again for later queries.
 
 A search goes through the test items in blocks of about ``BLOCK_WORDS`` words, one at a time:
@@ -40,9 +40,11 @@ WINDOW = 13
 ONE_IN = 20
 BLOCK_WORDS = 200_000
 SHARD_BYTES = 1 << 20
-#: Buckets of terms, and how many tasks at most share the rows of one.
-BUCKETS = 16
+#: Buckets of terms, so many that a row of a shard is a few kilobytes, and how many tasks at most share the rows of one.
+BUCKETS = 256
 SPREAD = 64
+#: Bytes of a row group: what a reader holds at a time.
+ROW_GROUP = 16 << 20
 #: Rarest terms of a window whose lists are intersected before any other list is read.
 LEAD = 2
 
@@ -130,15 +132,15 @@ def shard_postings(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray,
 
 
 class Index:
-    """An index in a folder: ``docs`` (shard, number, n_words and the carried columns) and ``postings`` (bucket, shard,
-    terms, places; bucket -1 has the first positions of the shard's documents)."""
+    """An index in a folder: ``docs`` (shard, number, n_words and the carried columns; bucket -2 of its rows) and
+    ``postings`` (bucket, shard, terms, places; bucket -1 has the first positions of the shard's documents)."""
 
     def __init__(self, spark: SparkSession, folder: str, carry: Sequence[str] = ("doc_id",)):
         self.spark, self.folder, self.carry = spark, folder, list(carry)
         names = [f"graphloom_{i}" for i in range(len(self.carry))]
         held = spark.read.schema(spark.read.parquet(f"{folder}/shape").schema).parquet(f"{folder}/rows")
-        self.names, self.docs = names, held.filter("kind = 0").select("shard", "number", "n_words", *names)
-        self.postings = held.filter("kind = 1").select("bucket", "shard", "terms", "places")
+        self.names, self.docs = names, held.filter("bucket = -2").select("shard", "number", "n_words", *names)
+        self.postings = held.filter("bucket >= -1").select("bucket", "shard", "terms", "places")
 
 
 def build_index(docs: DataFrame, folder: str | None = None, carry: Sequence[str] = ("doc_id",), text: str = "text") -> Index:
@@ -159,8 +161,7 @@ def build_index(docs: DataFrame, folder: str | None = None, carry: Sequence[str]
                 total = n + len(found)
                 gap = lambda kind, k=n: pa.nulls(k, kind)
                 columns = {
-                    "kind": pa.array([0] * n + [1] * len(found), pa.int32()),
-                    "bucket": pa.array([-1] * n + [r[0] for r in found], pa.int32()),
+                    "bucket": pa.array([-2] * n + [r[0] for r in found], pa.int32()),
                     "shard": pa.array([number] * total, pa.int64()),
                     "terms": pa.concat_arrays([gap(pa.binary()), pa.array([r[1] for r in found], pa.binary())]),
                     "places": pa.concat_arrays([gap(pa.binary()), pa.array([r[2] for r in found], pa.binary())]),
@@ -173,11 +174,11 @@ def build_index(docs: DataFrame, folder: str | None = None, carry: Sequence[str]
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
                 number += 1
 
-    schema = ", ".join(["kind int, bucket int, shard long, terms binary, places binary, number int, n_words long", *[f"{n} {k.simpleString()}" for n, k in zip(names, kinds, strict=True)]])
+    schema = ", ".join(["bucket int, shard long, terms binary, places binary, number int, n_words long", *[f"{n} {k.simpleString()}" for n, k in zip(names, kinds, strict=True)]])
     made = read.mapInArrow(run, schema)
     spark.createDataFrame([], made.schema).coalesce(1).write.parquet(f"{folder}/shape")  # an index of no rows can be opened too
-    dealt = made.repartition("kind", "bucket", F.pmod(F.xxhash64("shard"), F.lit(SPREAD)))
-    dealt.sortWithinPartitions("kind", "bucket").write.partitionBy("kind").parquet(f"{folder}/rows")
+    spread = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(SPREAD)))
+    made.repartition("bucket", spread).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/rows")
     return Index(spark, folder, carry)
 
 
@@ -249,25 +250,31 @@ class Phrases:
         return window, start
 
 
-def _wanted_rows(postings: DataFrame, numbers, wanted: set[int] | None):
-    """shard and the lists of the wanted terms (all of ``numbers`` without a set), from the buckets that hold them."""
+def _lists(terms: bytes, places: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """The lists of the known terms of one row, as keys of (term number, position)."""
+    listed, counts = unpack_terms(terms)
+    held = np.array([i for i, t in enumerate(listed) if t in known], np.int64)
+    if not len(held):
+        return np.zeros(0, np.uint64)
+    number = np.array([known[listed[i]] for i in held], np.uint64)
+    return (np.repeat(number, counts[held]) << _HIGH) | unpack_lists(counts, held, places).astype(np.uint64)
+
+
+def _wanted_rows(postings: DataFrame, numbers, wanted: set[int] | None = None) -> DataFrame:
+    """shard, part (0: first positions, 1: keys) and data: the lists of the wanted terms (all of ``numbers`` without a set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = numbers.value if wanted is None else {t: n for t, n in numbers.value.items() if n in wanted}
         for batch in batches:
-            kinds, keys = [], []
-            for bucket, terms, places in zip(*(batch.column(c).to_pylist() for c in ("bucket", "terms", "places")), strict=True):
-                if bucket < 0:
-                    kinds.append(0)
-                    keys.append(terms)
-                    continue
-                listed, counts = unpack_terms(terms)
-                held = np.array([i for i, t in enumerate(listed) if t in known], np.int64)
-                number = np.array([known[listed[i]] for i in held], np.uint64)
-                kinds.append(1 if len(held) else 2)
-                keys.append(((np.repeat(number, counts[held]) << _HIGH) | unpack_lists(counts, held, places).astype(np.uint64)).tobytes() if len(held) else b"")
-            rows = pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary())], ["shard", "part", "data"])
-            yield rows.filter(pa.array([k != 2 for k in kinds], pa.bool_()))
+            shards_, parts, keys = [], [], []
+            for shard, bucket, terms, places in zip(*(batch.column(c) for c in ("shard", "bucket", "terms", "places")), strict=True):
+                head = bucket.as_py() < 0
+                data = terms.as_py() if head else _lists(terms.as_py(), places.as_py(), known).tobytes()
+                if head or data:
+                    shards_.append(shard.as_py())
+                    parts.append(0 if head else 1)
+                    keys.append(data)
+            yield pa.RecordBatch.from_arrays([pa.array(shards_, pa.int64()), pa.array(parts, pa.int32()), pa.array(keys, pa.binary())], ["shard", "part", "data"])
 
     return postings.mapInArrow(run, "shard long, part int, data binary")
 
@@ -289,8 +296,8 @@ def _frequencies(index: Index, postings: DataFrame, numbers, n: int) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)
         for batch in batches:
-            for terms in batch.column("terms").to_pylist():
-                for term, often in zip(*unpack_terms(terms), strict=True):
+            for terms in batch.column("terms"):
+                for term, often in zip(*unpack_terms(terms.as_py()), strict=True):
                     number = numbers.value.get(term)
                     if number is not None:
                         total[number] += often
@@ -304,6 +311,8 @@ def _frequencies(index: Index, postings: DataFrame, numbers, n: int) -> np.ndarr
     return out
 
 
+#: Where a shard's candidates stand among its rows.
+CANDIDATES = -3
 HIT = "shard long, number int, spans array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -350,15 +359,21 @@ def _occurrences(index: Index, phrases: Phrases) -> DataFrame:
     found = cut(leads.groupBy("shard").applyInArrow(candidates, row))
 
     def settle(group: pa.Table) -> pa.Table:
-        shard, held = _group(group)
-        window, start = np.frombuffer(held[2][0], np.int64).reshape(2, -1)
-        block = shipped.value
-        window, start = block.intersect(_keys(held[1]), window, start, LEAD, block.window)
-        return _hits(shard, block, np.frombuffer(held[0][0], np.int64), window, start)
-
+        rows = {c: group.column(c) for c in ("bucket", "terms", "places")}
+        bucket, block = rows["bucket"].to_numpy(), shipped.value
+        held = lambda k: rows["terms"][int(np.flatnonzero(bucket == k)[0])].as_py()
+        window, start = np.frombuffer(held(CANDIDATES), np.int64).reshape(2, -1)
+        asked = np.unique(window)
+        at = np.minimum(block.first[asked][:, None] + np.arange(block.window), len(block.terms) - 1)
+        known = {terms[i]: i for i in np.unique(block.terms[at]).tolist()}
+        lists = [_lists(rows["terms"][int(i)].as_py(), rows["places"][int(i)].as_py(), known).tobytes() for i in np.flatnonzero(bucket >= 0)]
+        window, start = block.intersect(_keys(lists), window, start, LEAD, block.window)
+        return _hits(group.column("shard")[0].as_py(), block, np.frombuffer(held(-1), np.int64), window, start)
+
+    # whole rows of the shards with a candidate; of their lists only those that a candidate asks for are unpacked
     held = index.postings.join(hint_small(found.select("shard"), found.count()), "shard", "left_semi")
-    lists = _wanted_rows(held.select("bucket", "shard", "terms", "places"), numbers, None)
-    return cut(lists.unionByName(found).groupBy("shard").applyInArrow(settle, HIT))
+    asked = found.select("shard", F.lit(CANDIDATES).alias("bucket"), F.col("data").alias("terms"), F.lit(None).cast("binary").alias("places"))
+    return cut(held.unionByName(asked).groupBy("shard").applyInArrow(settle, HIT))
 
 
 def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[Phrases]:
@@ -450,7 +465,7 @@ def near(index: Index, phrases: Sequence[tuple[str, str]], slop: int) -> DataFra
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("shard", "number", "item_id", "position"), columns, (pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)})
 
     chosen = index.postings.filter(F.col("bucket").isin(-1, *sorted({bucket_of(t) for t in block.numbers})))
-    found = cut(_wanted_rows(chosen, numbers, None).groupBy("shard").applyInArrow(run, "shard long, number int, item_id string, position long"))
+    found = cut(_wanted_rows(chosen, numbers).groupBy("shard").applyInArrow(run, "shard long, number int, item_id string, position long"))
     joined = index.docs.join(hint_small(found, found.count()), ["shard", "number"])
     return joined.select(*[F.col(n).alias(c) for n, c in zip(index.names, index.carry, strict=True)], "item_id", "position")
 
