@@ -373,7 +373,7 @@ def _suffix_messages(n: int):
         for batch in _blocks(batches):
             orders, contents, texts = batch.column("o").to_numpy(), batch.column("m").to_pylist(), _texts(batch)
             ranked = batch.column("ranked")
-            run_doc, run_start, run_size, grams, places, base = [], [], [], [], [], 0
+            run_doc, run_start, run_size, grams, held, places, base = [], [], [], [], [], [], 0
             for start, end in _slices(texts):
                 data = np.frombuffer(b"".join(texts[start:end]), np.uint8)
                 at, low = [np.zeros(0, np.int64)], 0
@@ -386,12 +386,14 @@ def _suffix_messages(n: int):
                         run_start.append(a)
                         run_size.append(b - a)
                         at.append(np.flatnonzero(mask) + low)
+                        for x, y in zip(a.tolist(), b.tolist(), strict=True):  # only the runs are sorted
+                            held.append(texts[i][x : y + LENGTH - 1])
+                            places.append(np.arange(base, base + y - x))
+                            base += y - x + LENGTH - 1
                     low += size
                 at = np.concatenate(at)
                 if len(at):
                     grams.append(least_gram(_A.prefix(data), len(data))[at])
-                    places.append(at + base)
-                base += low
             join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
             run_doc, run_start, run_size = join(run_doc, np.int64), join(run_start, np.int64), join(run_size, np.int64)
             gram, at = join(grams, np.uint64), join(places, np.int64)
@@ -404,7 +406,7 @@ def _suffix_messages(n: int):
             turn = np.empty(len(orders), np.int64)
             turn[by_order] = np.arange(len(orders))
             rank = (turn[doc] << 40) | position
-            first = first_equal(np.frombuffer(b"".join(texts), np.uint8), at, rank)
+            first = first_equal(np.frombuffer(b"".join(held), np.uint8), at, rank)
             earliest = orders[doc] == orders[by_order[first >> 40]]
             # rows that share an id are not earlier than one another: each keeps the first of its own
             own = rank == first
@@ -413,7 +415,7 @@ def _suffix_messages(n: int):
                 _, k = np.unique(np.stack([first[tied], turn[doc[tied]]]), axis=1, return_index=True)  # positions rise within a document
                 own[tied[k]] = True
             sent, marked = np.flatnonzero(own), np.flatnonzero(~own)
-            del first, rank, earliest, own, at
+            del first, rank, earliest, own, at, held
             opens = np.ones(len(sent), bool)
             opens[1:] = (sent[1:] != sent[:-1] + 1) | (position[sent[1:]] != position[sent[:-1]] + 1) | (doc[sent[1:]] != doc[sent[:-1]]) | (gram[sent[1:]] != gram[sent[:-1]])
             at = np.flatnonzero(opens)
