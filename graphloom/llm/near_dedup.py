@@ -10,7 +10,7 @@ weighted Jaccard similarity. Bands of ``ROWS`` coordinates are joined; candidate
 Copies: texts with the same words are one node from the start. A band bucket is cut into blocks of bounded size. First
 every block is compared within itself and with two leaders of the bucket, on whole 64-bit elements, by products of the
 element matrices; so a member is sent once a band, however many near copies it has. What the links so far join needs no
-further comparison: only members outside the largest component of their bucket are then compared with the members of
+further comparison, and neither do buckets of the same members in several bands: only members outside the largest component of their bucket are then compared with the members of
 the other blocks. A task returns a spanning forest of the similar pairs that it finds, at most a row per member.
 No link between components is lost: every two members of a bucket have been compared or were joined by checked links.
 
@@ -245,43 +245,36 @@ def _numbers(n):
     return F.sequence(F.lit(0), F.col(n) - 1)
 
 
-def _listed(places: DataFrame) -> DataFrame:
-    """One row per key with all its places."""
-    return places.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
-
-
 def links(entries: DataFrame, read: DataFrame, threshold: float) -> DataFrame:
     """(key, root) of all that is linked, from ``entries(key, rep, weight, band, h)``: the two rounds over the buckets."""
     cuts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / BLOCK_ELEMENTS)).cast("int")
-    buckets = entries.groupBy("band", "h").agg(F.count("*").alias("members"), cuts.alias("blocks"), F.array(F.min("key"), F.max("key")).alias("leaders")).filter("members > 1")
-    buckets = cut(buckets.drop("members"))
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    members = cut(entries.join(buckets.drop("leaders"), ["band", "h"]).select("key", "rep", "band", "h", "blocks", block.alias("block")))
-    wanted = cut(members.groupBy("key").agg(F.first("rep").alias("rep")))
-    sets = element_sets(read, wanted, wanted.count())
-    large = buckets.filter("blocks > 1")
-    any_large = not large.isEmpty()
-    if any_large:  # read again by the second round
-        sets = cut(sets)
-    places = members.select("key", F.array(_place(F.lit(0), F.col("block"))).alias("places"))
-    if any_large:
+    found = entries.groupBy("band", "h").agg(F.count("*").alias("members"), cuts.alias("blocks"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    # buckets of one set of members have the same pairs, so one of them, of whatever band, does for all
+    buckets = found.filter("members > 1").groupBy("members", "low", "high", "x", "y").agg(F.min_by(F.struct("band", "h", "blocks"), F.struct("band", "h")).alias("b")).select("b.*", "low", "high")
+    large = cut(buckets.filter("blocks > 1").select("band", "h", "blocks", F.array("low", "high").alias("leaders")))
+    member = F.struct("band", "h", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    members = entries.join(buckets.select("band", "h", "blocks"), ["band", "h"]).groupBy("key").agg(F.first("rep").alias("rep"), F.collect_list(member).alias("held"))
+    members = cut(members)
+    at_block = lambda m: F.named_struct(F.lit("band"), m["band"], F.lit("h"), m["h"], F.lit("part"), F.lit(0), F.lit("block"), m["block"])
+    dealt = members.select("key", F.transform("held", at_block).alias("places"))
+    if not large.isEmpty():
         led = large.select(F.explode("leaders").alias("key"), F.transform(_numbers("blocks"), lambda j: _place(F.lit(0), j)).alias("places"))
-        places = places.unionByName(led)
-    roots = cut(components(_compared(_listed(places), sets, threshold)))
-    if not any_large:
-        return roots
+        dealt = dealt.unionByName(led)
+    roots = cut(components(_compared(dealt, element_sets(read, members, members.count()), threshold)))
     # members of large buckets that the first round left outside the largest component of their bucket
-    rooted = members.filter("blocks > 1").join(hint_small(roots, roots.count()), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = cut(rooted)
-    most = rooted.groupBy("band", "h", "root").agg(F.count("*").alias("n")).groupBy("band", "h").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    outside = cut(rooted.join(most, ["band", "h"]).filter("root <> most").select("key", "band", "h", "blocks"))
-    parts = outside.groupBy("band", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    if outside.isEmpty():
+    placed = members.select("key", "rep", F.explode(F.filter("held", lambda m: m["blocks"] > 1)).alias("m")).select("key", "rep", "m.*")
+    rooted = placed.join(hint_small(roots, roots.count()), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = rooted.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
+    split = cut(sizes.groupBy("band", "h").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("n_most")).filter("n > n_most"))
+    if split.isEmpty():
         return roots
+    split = split.select("band", "h", "most", F.ceil((F.col("n") - F.col("n_most")) / BLOCK).cast("int").alias("parts"))
+    rooted = cut(rooted.join(split, ["band", "h"]))
     part = F.pmod(F.xxhash64("key", F.lit("outside")), F.col("parts")).cast("int")
-    asked = outside.join(parts, ["band", "h"]).select("key", F.transform(_numbers("blocks"), lambda j: _place(part, j)).alias("places"))
-    others = rooted.join(parts, ["band", "h"]).select("key", F.transform(_numbers("parts"), lambda i: _place(i, F.col("block"))).alias("places"))
-    found = _compared(_listed(asked.unionByName(others)), sets, threshold)
+    asked = rooted.filter("root <> most").select("key", F.transform(_numbers("blocks"), lambda j: _place(part, j)).alias("places"))
+    others = rooted.select("key", F.transform(_numbers("parts"), lambda i: _place(i, F.col("block"))).alias("places"))
+    wanted = cut(rooted.groupBy("key").agg(F.first("rep").alias("rep")))
+    found = _compared(asked.unionByName(others), element_sets(read, wanted, wanted.count()), threshold)
     return cut(components(found.unionByName(roots.select(F.col("key").alias("a"), F.col("root").alias("b")))))
 
 

@@ -424,3 +424,12 @@ def test_members_of_a_near_copy_group_are_sent_once_a_band(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_compared", lambda dealt, sets, t: (sent.append(dealt.select(F.sum(F.size("places"))).first()[0]), real(dealt, sets, t))[1])
     assert groups_of(near_dedup.classes(docs_of(spark, texts))) == {frozenset(range(200))}
     assert sum(sent) <= 20 * (200 + 2 * 20)
+
+
+def test_buckets_of_the_same_members_are_compared_once(spark, monkeypatch):
+    pair = [f"w{i}" for i in range(400)]
+    sent = []
+    real = near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda dealt, sets, t: (sent.append(dealt.select(F.sum(F.size("places"))).first()[0]), real(dealt, sets, t))[1])
+    texts = [(1, " ".join(pair)), (2, " ".join(["new", *pair])), (3, "other words of no copy at all here")]
+    assert groups_of(near_dedup.classes(docs_of(spark, texts))) == {frozenset([1, 2]), frozenset([3])} and sent == [2]
