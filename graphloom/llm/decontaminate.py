@@ -177,7 +177,7 @@ def build_index(docs: DataFrame, folder: str | None = None, carry: Sequence[str]
     schema = ", ".join(["bucket int, shard long, terms binary, places binary, number int, n_words long", *[f"{n} {k.simpleString()}" for n, k in zip(names, kinds, strict=True)]])
     made = read.mapInArrow(run, schema)
     spark.createDataFrame([], made.schema).coalesce(1).write.parquet(f"{folder}/shape")  # an index of no rows can be opened too
-    spread = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(SPREAD)))
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("shard", "number")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(SPREAD)))
     made.repartition("bucket", spread).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/rows")
     return Index(spark, folder, carry)
 
