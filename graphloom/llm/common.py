@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return what freed arrays and batches still hold to the system. Python workers live on into later stages, beside
+    others of their executor, so a task calls this after each batch."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def hint_small(side: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``side`` if its counted ``rows`` are within the bound; else leave the choice to the planner."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side

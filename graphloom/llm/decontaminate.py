@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, hint_small, numbered, shared_folder, table
+from graphloom.llm.common import cut, give_back, hint_small, numbered, shared_folder, table
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -173,6 +173,7 @@ def build_index(docs: DataFrame, folder: str | None = None, carry: Sequence[str]
                     columns[name] = pa.concat_arrays([held, gap(held.type, len(found))])
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
                 number += 1
+            give_back()
 
     schema = ", ".join(["bucket int, shard long, terms binary, places binary, number int, n_words long", *[f"{n} {k.simpleString()}" for n, k in zip(names, kinds, strict=True)]])
     made = read.mapInArrow(run, schema)
@@ -275,6 +276,7 @@ def _wanted_rows(postings: DataFrame, numbers, wanted: set[int] | None = None) -
                     parts.append(0 if head else 1)
                     keys.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(shards_, pa.int64()), pa.array(parts, pa.int32()), pa.array(keys, pa.binary())], ["shard", "part", "data"])
+            give_back()
 
     return postings.mapInArrow(run, "shard long, part int, data binary")
 

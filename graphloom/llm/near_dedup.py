@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from graphloom.llm.common import Rolling, cut, hint_small, mix64, numbered, table
+from graphloom.llm.common import Rolling, cut, give_back, hint_small, mix64, numbered, table
 from graphloom.llm.components import components
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ SLICE_BYTES = 1 << 20
 BLOCK = 512
 BLOCK_ELEMENTS = 1_000_000
 COLUMNS = 2_048
+#: Elements of a group after which its memory is given back at once.
+GIVE_BACK = 200_000
 
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -157,6 +159,7 @@ def nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
                 keys = pa.array([hashlib.blake2b(t, digest_size=16).digest() if t else None for t in part], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands), pa.array(banded.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), keys, pa.array(counts, pa.int64()), lists], ["doc_id", "key", "weight", "bands"])
+            give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, weight long, bands array<long>")
@@ -174,6 +177,7 @@ def element_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame
                 keys = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in part], pa.binary())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed.view(np.int64)))], ["key", "elements"])
+            give_back()
 
     chosen = docs.join(hint_small(wanted.select("rep").distinct(), n_wanted), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     made = chosen.select("text").mapInArrow(run, "key binary, elements array<long>")
@@ -226,6 +230,9 @@ def _bucket_links(threshold: float):
             shared = shared_counts(sets)
             near = shared >= threshold * (size[:, None] + size[None, :] - shared)
             edges = [tuple(sorted((keys[a], keys[b]))) for a, b in forest(near)]
+            if size.sum() > GIVE_BACK:
+                del sets, size, shared, near
+                give_back()
         return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
 
     return run

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BROADCAST_ROWS, crc_mod, numbered, table
+from graphloom.llm.common import BROADCAST_ROWS, crc_mod, give_back, numbered, table
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -233,6 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         for batch in batches:
             rows = [features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]], ["x", "label", "turn"])
+            give_back()
 
     rows = labelled_rows(docs, labels, label, FOLDS, 0, most).mapInArrow(run, "x array<double>, label int, turn long")
     rows = rows.orderBy("turn", "label", "x").limit(most).toArrow()  # more than that only if ids repeat
@@ -249,6 +250,7 @@ def score(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(batch.num_columns - 1)], float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shipped.value.score(x), pa.float64())], [*carry, "score"])
+            give_back()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(*carry, F.col(text).alias("graphloom_text")).mapInArrow(run, ", ".join(x for x in (schema, "score double") if x))

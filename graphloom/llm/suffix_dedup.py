@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from graphloom.llm.common import Rolling, cut, hint_small, join_counted, table
+from graphloom.llm.common import Rolling, cut, give_back, hint_small, join_counted, table
 
 LENGTH = 100
 #: A difference cover: every remainder mod PERIOD is a difference of two of these (each but 0 of exactly one pair).
@@ -189,7 +189,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = int(ends[start - 1]) if start else 0
             end = max(start + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, side="right")))
             yield batch.slice(start, end - start)
-            pa.default_memory_pool().release_unused()  # workers are used again: give back what the block took
+            give_back()
             start = end
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import crc_mod, table
+from graphloom.llm.common import crc_mod, give_back, table
 
 SAMPLE = 2_000
 SEGMENTS = 64
@@ -297,6 +297,7 @@ def score(docs: DataFrame, chain: Chain, carry: Sequence[str] = ("doc_id",), tex
                 spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in rows], kind)
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns[:-1], pa.array([r[0] for r in rows], pa.float64()), spans], [*carry, "score", "spans"])
                 start = end
+            give_back()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(*carry, F.col(text).alias("graphloom_text")).mapInArrow(run, ", ".join(x for x in (schema, "score double, spans array<struct<start:long,end:long>>") if x))
