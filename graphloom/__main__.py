@@ -7,6 +7,7 @@ projected. Tables print at most ``--limit`` rows and then how many there are; an
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,12 @@ from graphloom.session import local_session
 from graphloom.sources import projection, python_source
 
 
-def _graph(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+def _graph(spark: SparkSession, a: argparse.Namespace) -> store.Store:
     if a.home:
-        nodes, edges, _ = store.open_store(spark, a.home)
-        return nodes, edges
+        return store.open_store(spark, a.home)
     if not a.tables:
         raise Refused("name --home or --tables")
-    return projection.nodes(spark, a.tables), projection.edges(spark, a.tables)
+    return store.table_store(spark, a.tables)
 
 
 def _show(found: DataFrame, limit: int) -> int:
@@ -50,18 +50,20 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         return _show(code.hunt(files, a.symbol, a.glob, a.loose), a.limit)
     if a.verb == "eat":
         files = spark.read.text(a.folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.py")
-        path = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + a.folder.strip("/").rsplit("/", 1)[0] + "/", "")
+        path = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(a.folder.strip("/").rsplit("/", 1)[0]) + "/", "")
         from graphloom.operators.resolve import resolve
 
         records = python_source.mint(files.select(path.alias("path"), F.col("value").alias("text")), a.corpus).drop("sha").cache()
         nodes = records.filter("kind = 'node'").select("id", F.col("type").alias("node_type"), F.lit(a.corpus).alias("corpus"), C.body(F.col("id")).alias("dotted"), C.last(F.col("id")).alias("name"), "role", "docstring", F.col("path").alias("file"), "line")
         known = records.filter("kind = 'edge' AND src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.col("type").alias("edge_type"))
         bound = resolve(records).filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "edge_type")
-        print(store.compile_store(spark, a.home, nodes, known.unionByName(bound), [a.corpus]))
+        declared = spark.createDataFrame([(a.corpus, t, list(c)) for t, c in C.CODE_CLASSES.items()], "lane string, edge_type string, classes array<string>")
+        print(store.compile_store(spark, a.home, nodes, known.unionByName(bound), [a.corpus], declared))
         return 0
     if a.verb == "estate":
         if a.home:
-            nodes, edges = _graph(spark, a)
+            graph = _graph(spark, a)
+            nodes, edges = graph.nodes, graph.edges
             nodes.createOrReplaceTempView("nodes")
             edges.select("*", C.scheme(F.col("src")).alias("corpus"), C.scheme(F.col("dst")).alias("dst_corpus")).createOrReplaceTempView("adj")
             return _show(spark.sql(a.sql), a.limit)
@@ -70,19 +72,20 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         found = federation.verify(spark, a.index).cache()
         _show(found, a.limit)
         return 0 if found.filter("NOT ok").isEmpty() else 1
-    nodes, edges = _graph(spark, a)
+    graph = _graph(spark, a)
+    nodes, edges = graph.nodes, graph.edges
     depends = tuple(a.relations.split(",")) if a.relations else None
     if a.verb == "build":
-        print(store.compile_store(spark, a.to, nodes, edges, sorted(r[0] for r in nodes.select("corpus").distinct().collect())))
+        print(store.compile_store(spark, a.to, nodes.drop("scheme"), edges, sorted(r[0] for r in nodes.select("corpus").distinct().collect()), graph.vocabulary.withColumn("lane", F.lit("store"))))
         return 0
     if a.verb == "hunt":
         return _show(lookup.hunt(nodes, a.symbol).orderBy("id"), a.limit)
     if a.verb in ("blast", "descend"):
         walk = traverse.blast if a.verb == "blast" else traverse.descend
-        return _show(walk(_seed(spark, nodes, a.symbol), edges, a.depth, depends).filter("hop > 0").select("hop", "node", "via", "relation").orderBy("hop", "node"), a.limit)
+        return _show(walk(_seed(spark, nodes, a.symbol), graph.walk, a.depth, depends, graph.vocabulary).filter("hop > 0").select("hop", "node", "via", "relation").orderBy("hop", "node"), a.limit)
     if a.verb == "explain":
         held = 0
-        for title, found in lookup.explain(nodes, edges, a.symbol).items():
+        for title, found in lookup.explain(nodes, edges, a.symbol, vocabulary=graph.vocabulary).items():
             print(f"# {title}")
             held |= _show(found, a.limit) == 0
         return 0 if held else 1
@@ -93,7 +96,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.verb == "converge":
         return _show(mesh.seam_matrix(edges, nodes), a.limit)
     if a.verb == "pillars":
-        depth, plan = shape.shape(nodes, edges, depends or C.relations("depends"), a.depth, arms=a.arms, floor=a.floor)
+        depth, plan = shape.shape(nodes, edges, depends or mesh.relations_in(graph.vocabulary, "depends"), a.depth, arms=a.arms, floor=a.floor)
         print(f"depth {depth}")
         for arm, units in plan.arms.items():
             print(f"{arm}\t{plan.crowns[arm]}\t{' '.join(units)}")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Relation classes of the projected edge types; fixed values. An undeclared type is lexical.
+#: What the projected tables declare of their edge types. An undeclared type is lexical.
 CLASSES = {
     "placed_by": ("depends", "reaches"),
     "orders": ("depends", "reaches"),
@@ -18,6 +18,15 @@ CLASSES = {
     "follows": ("lexical",),
     "emits": ("lexical",),
 }
+#: What is walked where no lane declares a class; fixed values.
+DEFAULTS = {"depends": ("calls", "inherits", "imports", "decorates"), "reaches": ("calls",)}
+#: What Python source declares of its edge types.
+CODE_CLASSES = {"calls": ("depends", "reaches"), "inherits": ("depends",), "imports": ("depends",), "decorates": ("depends",), "contains": ("structural",)}
+#: Directories, suffixes and name marks that tell what a file is; fixed values.
+TEST_DIRS = ("tests", "test", "__tests__", "testing", "fixtures", "conftest")
+SLOP_DIRS = ("archive", "scp", "uploads", "bin", "logs", "migrations", "scratchpad")
+DOC_DIRS = ("review", "reviews", "handoffs")
+DOC_SUFFIXES = ("json", "jsonl", "md", "rst", "txt", "yaml", "yml")
 #: Edge types whose salience is high; fixed values.
 SALIENT = ("serves", "fetches", "fetches_static", "navigates")
 
@@ -98,16 +107,24 @@ def change_kind(c: Column) -> Column:
 
 
 def cursor(c: Column) -> Column:
-    """Hexadecimal cursors cut to eight characters; others as they are."""
-    return F.when(c.rlike("^[0-9a-f]{8,}$"), F.substring(c, 1, 8)).otherwise(c)
+    """Hexadecimal cursors of up to forty characters cut to eight; others as they are."""
+    return F.when(c.rlike("^[0-9a-f]{8,40}$"), F.substring(c, 1, 8)).otherwise(c)
 
 
-def source_kind(c: Column) -> Column:
-    """test, slop, doc or live, by path."""
+def source_kind(c: Column, ignored: Column | None = None) -> Column:
+    """test, slop, doc or live, by path, in that order; ``ignored`` says which paths the repository ignores."""
     path = F.lower(posix(c))
-    test = path.rlike(r"(^|/)tests?/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$|(^|/)conftest\.py$")
-    slop = path.rlike(r"(^|/)(node_modules|dist|build|vendor|__pycache__|\.git|\.venv|site-packages)/")
-    return F.when(slop, "slop").when(test, "test").when(path.rlike(r"\.(md|rst|txt|adoc)$"), "doc").otherwise("live")
+    within = lambda names: path.rlike(rf"(^|/)({'|'.join(names)})/")
+    test = path.rlike(r"(^|/)(test_[^/]*|conftest\.py)$|_test(\.[^./]*)?$|\.(test|spec)\.[^/]*$") | within(TEST_DIRS)
+    slop = within(SLOP_DIRS) if ignored is None else within(SLOP_DIRS) | ignored
+    doc = path.rlike(rf"\.({'|'.join(DOC_SUFFIXES)})$") | within(DOC_DIRS)
+    return F.when(test, "test").when(slop, "slop").when(doc, "doc").otherwise("live")
+
+
+def liveness(live: Column, prose: Column, others: Column) -> Column:
+    """LIVE, MENTION-ONLY, FALSE LIVENESS or DARK from how often a term stands in live code, in its comments and strings,
+    and in test, slop and doc files."""
+    return F.when(live > 0, "LIVE").when((prose > 0) & (others == 0), "MENTION-ONLY").when((prose > 0) | (others > 0), "FALSE LIVENESS").otherwise("DARK")
 
 
 def slug(c: Column) -> Column:

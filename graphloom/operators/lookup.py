@@ -66,7 +66,7 @@ def hunt(nodes: DataFrame, symbol: str) -> DataFrame:
     return tail if tail.head(1) else grep(nodes, symbol)
 
 
-def explain(nodes: DataFrame, edges: DataFrame, symbol: str, doc_relations: tuple[str, ...] = ("documents", "mentions"), depth: int = 3) -> dict[str, DataFrame]:
+def explain(nodes: DataFrame, edges: DataFrame, symbol: str, doc_relations: tuple[str, ...] = ("documents", "mentions"), depth: int = 3, vocabulary: DataFrame | None = None) -> dict[str, DataFrame]:
     """What is known of a symbol: its record, the documents near it, the tests that depend on it and its first neighbours."""
     from graphloom.operators import traverse
 
@@ -76,6 +76,6 @@ def explain(nodes: DataFrame, edges: DataFrame, symbol: str, doc_relations: tupl
     return {
         "record": record(nodes, node),
         "docs": traverse.doc_endpoints(seed, edges, doc_relations, depth),
-        "tests": traverse.blast(seed, edges, depth).join(tests, "node", "left_semi"),
+        "tests": traverse.blast(seed, edges, depth, vocabulary=vocabulary).join(tests, "node", "left_semi"),
         "neighbours": neighbours(edges, node),
     }

@@ -11,7 +11,7 @@ from graphloom.functions import columns as C
 from graphloom.operators.lookup import Refused
 
 #: Schemes that are never looked up in a shard; fixed values.
-RESERVED = ("std", "builtin", "external")
+RESERVED = ("fetch", "artifact", "impl", "doctrine", "scrape")
 LIMB = 8
 
 
@@ -22,23 +22,33 @@ def ownership(lane_nodes: DataFrame) -> DataFrame:
     return lane_nodes.groupBy("id").agg(best).select("id", "best.*")
 
 
-def verdicts(edges: DataFrame, owners: DataFrame, schemes: DataFrame, end: str = "dst") -> DataFrame:
-    """``edges`` with ok, unresolved or malformed for one end.
+def verdicts(edges: DataFrame, held: DataFrame, schemes: DataFrame, end: str = "dst", standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> DataFrame:
+    """``edges`` (with the ``lane`` that carries each) and ok, unresolved or malformed for one end.
 
-    A null end is malformed; one without a scheme, or of a reserved scheme, is ok; so is one that an owner holds; one
-    of a scheme that no lane owns can't be judged and is ok; else it is unresolved. ``schemes`` has one row per scheme.
+    A null end is malformed. Ok is one without a scheme, of a reserved or standard scheme, or of a scheme that the
+    carrying lane is or owns, held or not; one that the lane of its scheme, or a lane that owns the scheme, holds; and one
+    of a ``literal`` scheme that the carrying lane holds. All else, so a scheme that nobody owns too, is unresolved.
+    ``held(id, lane)`` has the nodes of every lane, ``schemes(scheme, lane)`` who owns what; the latter is broadcast.
     """
-    owned = owners.select(F.col("id").alias("held_id")).distinct()
-    known = schemes.select(F.col("scheme").alias("known_scheme")).distinct()
-    joined = edges.withColumn("end_scheme", C.scheme(F.col(end))).join(owned, F.col(end) == F.col("held_id"), "left").join(known, F.col("end_scheme") == F.col("known_scheme"), "left")
-    verdict = F.when(F.col(end).isNull(), "malformed").when(F.col("end_scheme").isNull() | F.col("end_scheme").isin(*RESERVED) | F.col("held_id").isNotNull() | F.col("known_scheme").isNull(), "ok").otherwise("unresolved")
-    return joined.withColumn("verdict", verdict).drop("held_id", "known_scheme", "end_scheme")
-
-
-def admitted(edges: DataFrame, owners: DataFrame, schemes: DataFrame) -> DataFrame:
+    owners = schemes.groupBy(F.col("scheme").alias("owned_scheme")).agg(F.collect_set("lane").alias("owned_by"))
+    tagged = edges.withColumn("end_scheme", C.scheme(F.col(end))).join(F.broadcast(owners), F.col("end_scheme") == F.col("owned_scheme"), "left")
+    own = (F.col("end_scheme") == F.col("lane")) | F.coalesce(F.array_contains("owned_by", F.col("lane")), F.lit(False))
+    plain = F.when(F.col(end).isNull(), "malformed").when(F.col("end_scheme").isNull() | F.col("end_scheme").isin(*RESERVED, *standard) | own, "ok")
+    tagged = tagged.withColumn("verdict", plain)
+    # only ends that their scheme doesn't settle are looked up
+    asked = tagged.filter("verdict IS NULL")
+    lanes = held.groupBy(F.col("id").alias("held_id")).agg(F.collect_set("lane").alias("held_by"))
+    found = asked.join(lanes, F.col(end) == F.col("held_id"), "left")
+    is_held = F.array_contains("held_by", F.col("end_scheme")) | F.coalesce(F.arrays_overlap("held_by", "owned_by"), F.lit(False)) | (F.col("end_scheme").isin(*literal) & F.array_contains("held_by", F.col("lane")))
+    found = found.withColumn("verdict", F.when(F.coalesce(is_held, F.lit(False)), "ok").otherwise("unresolved"))
+    kept = [*edges.columns, "verdict"]
+    return tagged.filter("verdict IS NOT NULL").select(*kept).unionByName(found.select(*kept))
+
+
+def admitted(edges: DataFrame, held: DataFrame, schemes: DataFrame, standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> DataFrame:
     """Distinct triples whose ends are both ok."""
-    both = verdicts(verdicts(edges, owners, schemes, "src").withColumnRenamed("verdict", "src_verdict"), owners, schemes, "dst")
-    return both.filter("verdict = 'ok' AND src_verdict = 'ok'").select("src", "dst", "edge_type").distinct()
+    sources = verdicts(edges, held, schemes, "src", standard, literal).filter("verdict = 'ok'").drop("verdict")
+    return verdicts(sources, held, schemes, "dst", standard, literal).filter("verdict = 'ok'").select("src", "dst", "edge_type").distinct()
 
 
 def dangling(edges: DataFrame, owners: DataFrame) -> DataFrame:
@@ -71,6 +81,15 @@ def fold_vocabulary(declared: DataFrame) -> DataFrame:
     return folded.select("edge_type", "classes")
 
 
+def relations_in(vocabulary: DataFrame | None, cls: str) -> tuple[str, ...]:
+    """The edge types that ``vocabulary(edge_type, classes)`` puts in a class; the defaults where it puts none there.
+
+    A row per declared type, so what reaches the driver is bounded by the vocabulary.
+    """
+    found = () if vocabulary is None else tuple(sorted({r[0] for r in vocabulary.filter(F.array_contains("classes", cls)).select("edge_type").collect()}))
+    return found or C.DEFAULTS.get(cls, ())
+
+
 def release_collisions(pins: DataFrame) -> DataFrame:
     """Schemes of ``pins(scheme, lane, version)`` owned under more than one version."""
     return pins.groupBy("scheme").agg(F.count_distinct("version").alias("n"), F.array_sort(F.collect_set("version")).alias("versions")).filter("n > 1")
@@ -79,13 +98,16 @@ def release_collisions(pins: DataFrame) -> DataFrame:
 def rows_digest(rows: DataFrame) -> str:
     """An order-free digest: the sum mod 2**256 of each row's sha256.
 
-    The sum is taken by 32-bit limbs in one aggregation; only eight numbers reach the driver, where carries are made. It
-    can be updated by adding and subtracting rows.
+    Columns go by name, each with its length in front (or a minus for null), so that no two rows are written alike. The
+    sum is taken by halves of 32-bit limbs, as longs, in one aggregation; only sixteen numbers reach the driver, where
+    carries are made. It can be updated by adding and subtracting rows.
     """
-    text = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
-    limbs = [F.sum(F.conv(F.substring(text, LIMB * i + 1, LIMB), 16, 10).cast("decimal(38,0)")).alias(f"l{i}") for i in range(8)]
-    found = rows.agg(*limbs).first()
-    return f"{sum(int(found[i] or 0) << (32 * (7 - i)) for i in range(8)) % 2**256:064x}"
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(n).cast("string") for n in sorted(rows.columns))]
+    hashed = rows.select(F.sha2(F.concat(*parts), 256).alias("h"))
+    limbs = hashed.select(*[F.conv(F.substring("h", LIMB * i + 1, LIMB), 16, 10).cast("long").alias(f"l{i}") for i in range(8)])
+    halves = [x for i in range(8) for x in (F.sum(F.shiftright(f"l{i}", 16)).alias(f"h{i}"), F.sum(F.col(f"l{i}").bitwiseAND(F.lit(0xFFFF))).alias(f"b{i}"))]
+    found = limbs.agg(*halves).first()
+    return f"{sum((int(found[f'h{i}'] or 0) * 2**16 + int(found[f'b{i}'] or 0)) << (32 * (7 - i)) for i in range(8)) % 2**256:064x}"
 
 
 def generation(nodes: DataFrame, edges: DataFrame, roster: list[str]) -> str:
@@ -136,13 +158,13 @@ def cut_members(nodes: DataFrame, cut: DataFrame, rest: str = "rest") -> DataFra
     return nodes.select("id").join(met, "id", "left").select("id", F.coalesce("group", F.lit(rest)).alias("group"))
 
 
-def pointer_roots(parents: DataFrame, most: int = 64) -> DataFrame:
-    """The topmost ancestor of every child in ``parents(child, parent)``, by pointer jumping; cycles end at ``most``."""
-    found, jumps = parents.select("child", F.col("parent").alias("top")), 1
-    while jumps < most:
-        found = found.alias("a").join(found.alias("b"), F.col("a.top") == F.col("b.child"), "left").select("a.child", F.coalesce("b.top", "a.top").alias("top"))
-        jumps *= 2
-    return found
+def ranked(found: DataFrame, top: int, least: float = 0.0) -> tuple[DataFrame, int, bool]:
+    """The seeds and the ``top`` of the other activated nodes whose salience is ``least`` or more, by energy, salience and
+    id; how many qualify; and whether some were cut. Seeds are the rows without salience."""
+    others = found.filter(F.col("salience") >= least)
+    n = others.count()
+    kept = others.orderBy(F.col("energy").desc(), F.col("salience").desc(), "node").limit(top)
+    return found.filter("salience IS NULL").unionByName(kept), n, n > top
 
 
 def ranked_top(found: DataFrame, by: list, partition: list[str], k: int) -> DataFrame:

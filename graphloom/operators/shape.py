@@ -249,7 +249,7 @@ def neighbourhood(edges: DataFrame, centre: str, radius: int = 2, max_nodes: int
 
     seeds = edges.sparkSession.createDataFrame([(centre,)], "seed string")
     found = traverse.reach(seeds, traverse.steps(edges), radius)
-    return found.orderBy("hop", "ord").limit(max_nodes).select("node", "hop")
+    return found.orderBy("hop", "trail").limit(max_nodes).select("node", "hop")
 
 
 def clusters(nodes: DataFrame, segments: int = 2) -> DataFrame:

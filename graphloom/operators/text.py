@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import columns as C
+
 TERM = r"([A-Za-z][A-Za-z0-9_.-]{2,})"
 #: Terms that are not indexed; fixed values.
 STOP = (
@@ -113,14 +115,17 @@ def nearest_gap(words: DataFrame, doc_id: str, a: str, b: str) -> DataFrame:
 
 
 def exchanges(turns: DataFrame, session: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Consecutive turns of one role merged; a user run and the assistant run after it make an exchange, renumbered."""
+    """Consecutive turns of one role merged, an empty line between; a user run and the assistant run after it make an
+    exchange, as does an assistant run that no user run precedes; numbered from 1."""
     order = Window.partitionBy(session).orderBy(turn)
     talk = turns.filter(F.col("role").isin("user", "assistant"))
     flagged = talk.withColumn("new", F.coalesce((F.lag("role").over(order) != F.col("role")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    merged = flagged.groupBy(session, "run", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("text").alias("x")))), lambda s: s["x"]), "\n").alias("text"))
+    merged = flagged.groupBy(session, "run", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("text").alias("x")))), lambda s: s["x"]), "\n\n").alias("text"))
     by_run = Window.partitionBy(session).orderBy("run")
-    paired = merged.withColumn("assistant", F.when(F.lead("role").over(by_run) == "assistant", F.lead("text").over(by_run))).filter("role = 'user'")
-    return paired.select(session, F.row_number().over(by_run).alias("n"), F.col("text").alias("user"), F.coalesce("assistant", F.lit("")).alias("assistant"))
+    asked = F.col("role") == "user"
+    answer = F.when(~asked, F.col("text")).when(F.lead("role").over(by_run) == "assistant", F.lead("text").over(by_run))
+    paired = merged.withColumn("answer", answer).withColumn("alone", F.lag("role").over(by_run).isNull()).filter(asked | F.col("alone"))
+    return paired.select(session, F.row_number().over(by_run).alias("n"), F.when(asked, F.col("text")).otherwise("").alias("user"), F.coalesce("answer", F.lit("")).alias("assistant"))
 
 
 def tail(found: DataFrame, session: str, budget: int, overhead: int = 80) -> DataFrame:
@@ -131,10 +136,9 @@ def tail(found: DataFrame, session: str, budget: int, overhead: int = 80) -> Dat
 
 
 def liveness(kinds: DataFrame, key: str) -> DataFrame:
-    """LIVE, FALSE LIVENESS, MENTION-ONLY or DARK from ``kinds(key, kind)``: where the hits of a term stand."""
-    counts = kinds.groupBy(key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("live", "test", "doc")])
-    verdict = F.when(F.col("live") > 0, "LIVE").when(F.col("test") > 0, "FALSE LIVENESS").when(F.col("doc") > 0, "MENTION-ONLY").otherwise("DARK")
-    return counts.withColumn("verdict", verdict)
+    """The verdict on each key from ``kinds(key, kind)``: where its hits stand (live, prose, test, slop or doc)."""
+    counts = kinds.groupBy(key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("live", "prose", "test", "slop", "doc")])
+    return counts.withColumn("verdict", C.liveness(F.col("live"), F.col("prose"), F.col("test") + F.col("slop") + F.col("doc")))
 
 
 def neighbour_terms(boxes: DataFrame, wanted: str, top: int = 20, least: int = 2) -> DataFrame:

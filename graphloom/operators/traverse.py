@@ -8,11 +8,14 @@ of all of it: many questions share the jobs of one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
+from graphloom.operators import mesh
 from graphloom.operators.lookup import adjacency
 from graphloom.session import cut
 
@@ -21,32 +24,49 @@ FRONTIER_BROADCAST = 100_000
 MAX_NODES = 250_000
 
 
-def steps(edges: DataFrame, relations: Sequence[str] | None = None, direction: str = "any") -> DataFrame:
+class Walkable(NamedTuple):
+    """Distinct edges twice, clustered by either end, as a compiled store keeps them: each walk reads the copy it needs."""
+
+    by_src: DataFrame
+    by_dst: DataFrame
+
+
+def steps(edges: DataFrame | Walkable, relations: Sequence[str] | None = None, direction: str = "any") -> DataFrame:
     """The adjacency restricted to relations and to a way of walking: ``with``, ``against`` or ``any``."""
-    found = adjacency(edges if relations is None else edges.filter(F.col("edge_type").isin(*relations)))
-    return found if direction == "any" else found.filter(F.col("direction") == direction)
+    if not isinstance(edges, Walkable):
+        found = adjacency(edges if relations is None else edges.filter(F.col("edge_type").isin(*relations)))
+        return found if direction == "any" else found.filter(F.col("direction") == direction)
+    ways = []
+    for way, held, node, other in (("with", edges.by_src, "src", "dst"), ("against", edges.by_dst, "dst", "src")):
+        if direction in (way, "any"):
+            kept = held if relations is None else held.filter(F.col("edge_type").isin(*relations))
+            ways.append(kept.select(F.col(node).alias("node"), F.col(other).alias("other"), F.col("edge_type").alias("relation"), F.lit(way).alias("direction")))
+    return reduce(DataFrame.unionByName, ways)
 
 
 def reach(seeds: DataFrame, adj: DataFrame, depth: int, first_adj: DataFrame | None = None, target: str | None = None, max_nodes: int | None = None) -> DataFrame:
-    """seed, node, hop, via, relation and ord of all nodes within ``depth`` hops; the seed has hop 0.
+    """seed, node, hop, via, relation and trail of all nodes within ``depth`` hops; the seed has hop 0.
 
     Of several discoverers in one level the first counts: by its own order, then outgoing before incoming edges, then by
-    neighbour and relation. ``first_adj`` holds edges that are only walked from the seed. The loop ends when a level adds
+    neighbour and relation. ``trail`` is that order: a step (against, node, relation) for each hop, so no level is
+    numbered in one task. ``first_adj`` holds edges that are only walked from the seed. The loop ends when a level adds
     nothing, once ``target`` has been reached from every seed, or once more than ``max_nodes`` are held.
     """
     none = F.lit(None).cast("string")
-    frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), none.alias("via"), none.alias("relation"), F.lit(1).cast("long").alias("ord")))
+    start = F.array().cast("array<struct<against:boolean,node:string,relation:string>>")
+    frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), none.alias("via"), none.alias("relation"), start.alias("trail")))
     visited, size, n_seeds = frontier, frontier.count(), None
     held = size
-    order = Window.partitionBy("seed").orderBy("from_ord", F.col("direction").desc(), "node", "relation")
     for hop in range(1, depth + 1):
-        walked = adj if hop > 1 or first_adj is None else adj.unionByName(first_adj).distinct()
-        left = frontier.select("seed", F.col("node").alias("via"), F.col("ord").alias("from_ord"))
+        walked = adj if hop > 1 or first_adj is None else adj.unionByName(first_adj)
+        left = frontier.select("seed", F.col("node").alias("via"), F.col("trail").alias("before"))
         left = F.broadcast(left) if size <= FRONTIER_BROADCAST else left
-        met = walked.join(left, walked["node"] == left["via"]).select("seed", "via", "from_ord", "direction", "relation", F.col("other").alias("node"))
-        first = met.groupBy("seed", "node").agg(F.min(F.struct("from_ord", F.col("direction") == "against", "relation", "via", "direction")).alias("f")).select("seed", "node", "f.from_ord", "f.via", "f.relation", "f.direction")
-        fresh = first.join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = cut(fresh.select("seed", "node", F.lit(hop).alias("hop"), "via", "relation", F.row_number().over(order).cast("long").alias("ord")))
+        met = walked.join(left, walked["node"] == left["via"]).select("seed", "via", "before", (F.col("direction") == "against").alias("against"), "relation", F.col("other").alias("node"))
+        first = met.groupBy("seed", "node").agg(F.min(F.struct("before", "against", "relation", "via")).alias("f")).select("seed", "node", "f.*")
+        known = visited.select("seed", "node")
+        fresh = first.join(F.broadcast(known) if held <= FRONTIER_BROADCAST else known, ["seed", "node"], "left_anti")
+        step = F.struct("against", "node", "relation")
+        frontier = cut(fresh.select("seed", "node", F.lit(hop).alias("hop"), "via", "relation", F.concat("before", F.array(step)).alias("trail")))
         size = frontier.count()
         if not size:
             break
@@ -60,19 +80,21 @@ def reach(seeds: DataFrame, adj: DataFrame, depth: int, first_adj: DataFrame | N
     return visited
 
 
-def blast(seeds: DataFrame, edges: DataFrame, depth: int = 4, relations: Sequence[str] | None = None) -> DataFrame:
+def blast(seeds: DataFrame, edges: DataFrame | Walkable, depth: int = 4, relations: Sequence[str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """Dependents: backward over the relations of class depends, with ``mentions`` from the seed only."""
-    return reach(seeds, steps(edges, relations or C.relations("depends"), "against"), depth, steps(edges, ["mentions"], "against"))
+    walked = relations or mesh.relations_in(vocabulary, "depends")
+    return reach(seeds, steps(edges, walked, "against"), depth, steps(edges, ["mentions"], "against"))
 
 
-def descend(seeds: DataFrame, edges: DataFrame, depth: int = 4, relations: Sequence[str] | None = None) -> DataFrame:
+def descend(seeds: DataFrame, edges: DataFrame | Walkable, depth: int = 4, relations: Sequence[str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """What the seed reaches: forward over the relations of class reaches."""
-    return reach(seeds, steps(edges, relations or C.relations("reaches"), "with"), depth)
+    return reach(seeds, steps(edges, relations or mesh.relations_in(vocabulary, "reaches"), "with"), depth)
 
 
-def primitives(found: DataFrame, edges: DataFrame, relations: Sequence[str] | None = None) -> DataFrame:
+def primitives(found: DataFrame, edges: DataFrame, relations: Sequence[str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """Reached nodes from which no walked edge leaves."""
-    out = edges.filter(F.col("edge_type").isin(*(relations or C.relations("reaches")))).select(F.col("src").alias("node")).distinct()
+    walked = relations or mesh.relations_in(vocabulary, "reaches")
+    out = edges.filter(F.col("edge_type").isin(*walked)).select(F.col("src").alias("node")).distinct()
     return found.join(out, "node", "left_anti")
 
 
@@ -89,10 +111,11 @@ def declined(seeds: DataFrame, edges: DataFrame, admitted: Sequence[str], direct
     return at.filter(~F.col("edge_type").isin(*admitted)).groupBy(F.col("edge_type").alias("relation")).agg(F.count("*").alias("n"))
 
 
-def path_to(edges: DataFrame, source: str, target: str, max_depth: int = 6, max_nodes: int = MAX_NODES, relations: Sequence[str] | None = None) -> tuple[list[tuple[str, str]], str | None]:
+def path_to(edges: DataFrame | Walkable, source: str, target: str, max_depth: int = 6, max_nodes: int = MAX_NODES, relations: Sequence[str] | None = None) -> tuple[list[tuple[str, str]], str | None]:
     """(node, relation) steps of a shortest undirected path and None; or no steps and the reason there is none."""
-    spark = edges.sparkSession
-    ends = edges.filter(F.col("src").isin(source, target) | F.col("dst").isin(source, target)).select(F.explode(F.array("src", "dst")).alias("n")).filter(F.col("n").isin(source, target)).distinct()
+    by_src, by_dst = edges if isinstance(edges, Walkable) else (edges, edges)
+    spark = by_src.sparkSession
+    ends = by_src.filter(F.col("src").isin(source, target)).select(F.col("src").alias("n")).unionByName(by_dst.filter(F.col("dst").isin(source, target)).select(F.col("dst").alias("n"))).distinct()
     present = {r[0] for r in ends.collect()}  # at most the two ends
     if source not in present or target not in present:
         return [], "seed-absent" if source not in present else "target-absent"
@@ -110,7 +133,7 @@ def path_to(edges: DataFrame, source: str, target: str, max_depth: int = 6, max_
         node = row[0]["via"]
 
 
-def doc_endpoints(seeds: DataFrame, edges: DataFrame, doc_relations: Sequence[str], depth: int) -> DataFrame:
+def doc_endpoints(seeds: DataFrame, edges: DataFrame | Walkable, doc_relations: Sequence[str], depth: int) -> DataFrame:
     """Nearest documenting edges: from nodes at fewer than ``depth`` hops, the least hop per node and relation."""
     found = reach(seeds, steps(edges), depth - 1)
     docs = steps(edges, doc_relations)
@@ -119,23 +142,25 @@ def doc_endpoints(seeds: DataFrame, edges: DataFrame, doc_relations: Sequence[st
 
 
 def activate(seeds: DataFrame, weighted: DataFrame, depth: int, decay: float = 0.5) -> DataFrame:
-    """seed, node, hop and energy by spreading activation over ``weighted(node, other, salience)``.
+    """seed, node, hop, energy and the salience of the claiming edge (null for a seed) by spreading activation over ``weighted(node, other, salience)``.
 
     A node hands decay * energy to its neighbours by their share of its positive salience; parents go by energy, then id;
     the first to hand a node a positive energy claims it, and each node is claimed once.
     """
     positive = F.greatest(F.col("salience"), F.lit(0.0))
     total = F.sum(positive).over(Window.partitionBy("node"))
-    shared = weighted.withColumn("share", positive / F.when(total > 0, total).otherwise(1.0))
-    frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), F.lit(1.0).alias("energy")))
-    visited = frontier
+    shared = cut(weighted.withColumn("share", positive / F.when(total > 0, total).otherwise(1.0)))  # once, not for each hop
+    frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), F.lit(1.0).alias("energy"), F.lit(None).cast("double").alias("salience")))
+    visited, size = frontier, frontier.count()
     for hop in range(1, depth + 1):
         left = frontier.select("seed", F.col("node").alias("parent"), F.col("energy").alias("given"))
+        left = F.broadcast(left) if size <= FRONTIER_BROADCAST else left
         met = shared.join(left, shared["node"] == left["parent"]).select("seed", "parent", "given", F.col("other").alias("node"), "salience", (F.col("given") * F.lit(decay) * F.col("share")).alias("energy"))
         claim = F.min(F.struct((-F.col("given")).alias("a"), F.col("parent").alias("b"), (-F.col("salience")).alias("c"), F.col("energy").alias("energy")))
         fresh = met.filter("energy > 0").groupBy("seed", "node").agg(claim.alias("f")).join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = cut(fresh.select("seed", "node", F.lit(hop).alias("hop"), F.col("f.energy").alias("energy")))
-        if frontier.isEmpty():
+        frontier = cut(fresh.select("seed", "node", F.lit(hop).alias("hop"), F.col("f.energy").alias("energy"), (-F.col("f.c")).alias("salience")))
+        size = frontier.count()
+        if not size:
             break
         visited = visited.unionByName(frontier)
     return visited

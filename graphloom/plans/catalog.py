@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
-from graphloom.operators import code, federation, history, journal, lookup, mesh, resolve, shape, text, traverse
+from graphloom.operators import code, federation, history, journal, lookup, mesh, records, resolve, shape, text, traverse
 from graphloom.plans import estate, store
 from graphloom.sources import projection as P
 from graphloom.sources import python_source
@@ -49,39 +49,39 @@ def estate_cross_corpus(spark, sf_dir):
 
 @query(" SELECT split_part(src, '://', 1) AS corpus, count(*) AS n, count(DISTINCT dst) AS targets FROM triples GROUP BY 1")
 def estate_edges_per_corpus(spark, sf_dir):
-    return lookup.triples(P.edges(spark, sf_dir)).groupBy(C.scheme(F.col("src")).alias("corpus")).agg(F.count("*").alias("n"), F.count_distinct("dst").alias("targets"))
+    return store.table_store(spark, sf_dir).edges.groupBy(C.scheme(F.col("src")).alias("corpus")).agg(F.count("*").alias("n"), F.count_distinct("dst").alias("targets"))
 
 
-@query(" SELECT id, split_part(id, '://', 1) AS scheme, regexp_extract(id, '^[^:]+://([^/]*)/', 1) AS kind, regexp_replace(id, '^[^:]*://[^/]*/', '') AS body, list_last(string_split(id, '.')) AS last FROM nodes WHERE corpus IN ('geo', 'talk')")
+@query(" SELECT id, split_part(id, '://', 1) AS scheme, regexp_extract(id, '^[^:]+://([^/]*)/', 1) AS kind, regexp_replace(id, '^[^:]*://[^/]*/', '') AS body, list_last(string_split(id, '.')) AS last FROM nodes")
 def node_forms(spark, sf_dir):
     c = F.col("id")
-    return P.nodes(spark, sf_dir).filter("corpus IN ('geo', 'talk')").select("id", C.scheme(c).alias("scheme"), C.kind(c).alias("kind"), C.body(c).alias("body"), C.last(c).alias("last"))
+    return store.table_store(spark, sf_dir).nodes.select("id", C.scheme(c).alias("scheme"), C.kind(c).alias("kind"), C.body(c).alias("body"), C.last(c).alias("last"))
 
 
 @query(" SELECT corpus, node_type, count(*) AS n FROM nodes GROUP BY ALL")
 def census_nodes(spark, sf_dir):
-    return P.nodes(spark, sf_dir).groupBy("corpus", "node_type").agg(F.count("*").alias("n"))
+    return store.table_store(spark, sf_dir).nodes.groupBy("corpus", "node_type").agg(F.count("*").alias("n"))
 
 
 @query(" SELECT edge_type, count(*) AS instances, (SELECT count(*) FROM triples t WHERE t.edge_type = e.edge_type) AS n FROM edges e GROUP BY edge_type")
 def census_edges(spark, sf_dir):
-    found = P.edges(spark, sf_dir).groupBy("src", "dst", "edge_type").agg(F.count("*").alias("i"))
-    return found.groupBy("edge_type").agg(F.sum("i").alias("instances"), F.count("*").alias("n"))
+    return store.table_store(spark, sf_dir).edges.groupBy("edge_type").agg(F.sum("n").alias("instances"), F.count("*").alias("n"))
 
 
 @query(" SELECT count(*) AS instances, CAST(count_if(a.corpus = b.corpus) AS BIGINT) AS intra, CAST(count_if(a.corpus <> b.corpus) AS BIGINT) AS cross, CAST(count_if(a.corpus IS NULL OR b.corpus IS NULL) AS BIGINT) AS unresolved FROM edges e LEFT JOIN nodes a ON e.src = a.id LEFT JOIN nodes b ON e.dst = b.id")
 def mesh_stats(spark, sf_dir):
-    return mesh.mesh_stats(P.edges(spark, sf_dir), P.nodes(spark, sf_dir))
+    return store.table_store(spark, sf_dir).stats()
 
 
 @query(" SELECT a.corpus AS from_corpus, b.corpus AS to_corpus, edge_type, count(*) AS hits, count(DISTINCT dst) AS targets FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.corpus <> b.corpus GROUP BY ALL")
 def seam_matrix(spark, sf_dir):
-    return mesh.seam_matrix(P.edges(spark, sf_dir), P.nodes(spark, sf_dir))
+    return store.table_store(spark, sf_dir).seams()
 
 
 @query(", n AS (SELECT corpus, count(*) AS nodes, count(DISTINCT node_type) AS node_types FROM nodes GROUP BY 1), e AS (SELECT split_part(src, '://', 1) AS corpus, count(*) AS edges, count(DISTINCT edge_type) AS relations FROM triples GROUP BY 1) SELECT n.*, coalesce(edges, 0) AS edges, coalesce(relations, 0) AS relations FROM n LEFT JOIN e USING (corpus)")
 def corpus_inventory(spark, sf_dir):
-    return store.inventory(P.nodes(spark, sf_dir), P.edges(spark, sf_dir))
+    held = store.table_store(spark, sf_dir)
+    return store.inventory(held.nodes, held.edges)
 
 
 # ---- federation ------------------------------------------------------------------------------------------------------
@@ -114,18 +114,36 @@ def _broken(spark, sf_dir):
 _HELD = " , held AS (SELECT * FROM nodes WHERE NOT (node_type = 'nation' AND CAST(list_last(string_split(id, '.')) AS INT) % 2 = 1))"
 
 
-@query(_HELD + " SELECT edge_type, CASE WHEN h.id IS NULL THEN 'unresolved' ELSE 'ok' END AS verdict, count(*) AS n FROM edges e LEFT JOIN held h ON e.dst = h.id GROUP BY ALL")
+#: What the reference's rule settles without a look: reserved schemes, and one that the query names as standard.
+_SETTLED = "('fetch', 'artifact', 'impl', 'doctrine', 'scrape', 'std')"
+_CITED = _HELD + " , lined AS (SELECT src, dst, edge_type, split_part(src, '://', 1) AS lane FROM edges UNION ALL SELECT 'text://benchmark/text.benchmark.' || item_id, CASE item_id % 4 WHEN 0 THEN 'scrape://page/' || item_id WHEN 1 THEN 'nobody://thing/' || item_id WHEN 3 THEN 'std://lib/' || item_id END, 'cites', 'text' FROM benchmark), judged AS (SELECT *, CASE WHEN dst IS NULL THEN 'malformed' WHEN split_part(dst, '://', 1) IN " + _SETTLED + " OR split_part(dst, '://', 1) = lane OR dst IN (SELECT id FROM held) THEN 'ok' ELSE 'unresolved' END AS verdict FROM lined)"
+
+
+def _lined(spark, sf_dir, edges):
+    """Edges with the lane that carries them, and citations whose ends are reserved, owned by nobody, standard or missing."""
+    item = F.col("item_id")
+    cited = F.when(item % 4 == 0, F.concat(F.lit("scrape://page/"), item)).when(item % 4 == 1, F.concat(F.lit("nobody://thing/"), item)).when(item % 4 == 3, F.concat(F.lit("std://lib/"), item))
+    extra = P.read(spark, sf_dir, "benchmark").select(P.node_id("text", "benchmark", "item_id").alias("src"), cited.alias("dst"), F.lit("cites").alias("edge_type"))
+    return edges.select("src", "dst", "edge_type").unionByName(extra).withColumn("lane", C.scheme(F.col("src")))
+
+
+def _held(spark, sf_dir):
+    """Nodes by lane without nations of odd key, and the scheme that each lane owns."""
+    held = store.table_store(spark, sf_dir).nodes.filter("NOT (node_type = 'nation' AND CAST(name AS INT) % 2 = 1)")
+    own = spark.createDataFrame([(c, c) for c in sorted({n[0] for n in P.NODES})], "scheme string, lane string")
+    return held.select("id", F.col("corpus").alias("lane")), own
+
+
+@query(_CITED + " SELECT edge_type, verdict, count(*) AS n FROM judged GROUP BY ALL")
 def endpoint_verdicts(spark, sf_dir):
-    held = _broken(spark, sf_dir)
-    schemes = held.select(C.scheme(F.col("id")).alias("scheme")).distinct()
-    return mesh.verdicts(P.edges(spark, sf_dir), held, schemes).groupBy("edge_type", "verdict").agg(F.count("*").alias("n"))
+    held, own = _held(spark, sf_dir)
+    return mesh.verdicts(_lined(spark, sf_dir, P.edges(spark, sf_dir)), held, own, standard=("std",)).groupBy("edge_type", "verdict").agg(F.count("*").alias("n"))
 
 
-@query(_HELD + " SELECT edge_type, count(*) AS n FROM triples WHERE src IN (SELECT id FROM held) AND dst IN (SELECT id FROM held) GROUP BY edge_type")
+@query(_CITED + " SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT src, dst, edge_type FROM judged WHERE verdict = 'ok') GROUP BY edge_type")
 def edge_admission(spark, sf_dir):
-    held = _broken(spark, sf_dir)
-    schemes = held.select(C.scheme(F.col("id")).alias("scheme")).distinct()
-    return mesh.admitted(P.edges(spark, sf_dir), held, schemes).groupBy("edge_type").agg(F.count("*").alias("n"))
+    held, own = _held(spark, sf_dir)
+    return mesh.admitted(_lined(spark, sf_dir, store.table_store(spark, sf_dir).edges), held, own, ("std",)).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
 @query(_HELD + " SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM held) GROUP BY id")
@@ -133,21 +151,37 @@ def dangling_endpoints(spark, sf_dir):
     return mesh.dangling(P.edges(spark, sf_dir), _broken(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('core', 2)) t(scheme, n)", graph=False)
+@query("SELECT p_brand AS scheme, count(DISTINCT p_size) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT p_size) > 1", graph=False)
 def release_collision(spark, sf_dir):
-    pins = spark.createDataFrame([("core", "a", "1.0"), ("core", "b", "1.1"), ("web", "a", "2.0"), ("web", "b", "2.0")], "scheme string, lane string, version string")
-    return mesh.release_collisions(pins).select("scheme", F.col("n").cast("int").alias("n"))
+    pins = P.read(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("scheme"), F.col("p_type").alias("lane"), F.col("p_size").cast("string").alias("version"))
+    return mesh.release_collisions(pins).select("scheme", F.col("n").cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('calls', 'depends,reaches'), ('imports', 'depends')) t(edge_type, classes)", graph=False)
+@query("SELECT DISTINCT o_orderpriority AS edge_type, CASE WHEN o_orderpriority LIKE '1%' THEN 'depends,reaches' WHEN o_orderpriority LIKE '2%' THEN 'depends' ELSE 'lexical' END AS classes FROM orders", graph=False)
 def vocabulary_fold(spark, sf_dir):
-    rows = [("a", "calls", ["reaches", "depends"]), ("b", "calls", ["depends", "reaches"]), ("b", "imports", ["depends"])]
-    return mesh.fold_vocabulary(spark.createDataFrame(rows, "lane string, edge_type string, classes array<string>")).select("edge_type", F.array_join("classes", ",").alias("classes"))
+    """Every status is a lane that declares all priorities alike, in another order of classes."""
+    word = F.col("o_orderpriority")
+    classes = F.when(word.startswith("1"), F.when(F.col("o_orderstatus") == "O", F.array(F.lit("reaches"), F.lit("depends"))).otherwise(F.array(F.lit("depends"), F.lit("reaches")))).when(word.startswith("2"), F.array(F.lit("depends"))).otherwise(F.array(F.lit("lexical")))
+    declared = P.read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("lane"), word.alias("edge_type"), classes.alias("classes")).distinct()
+    return mesh.fold_vocabulary(declared).select("edge_type", F.array_join("classes", ",").alias("classes"))
 
 
-@query()
+def _digest_sql(name: str, columns: tuple[str, ...], source: str) -> str:
+    """The order-free digest in SQL: sums of 32-bit limbs of each row's sha256, carried from the lowest up."""
+    row = " || ".join(f"length({c}) || ':' || {c}" for c in columns)
+    limbs = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) AS l{i}" for i in range(8))
+    steps = "".join(f", {name}_{i} AS (SELECT *, l{i} + c{i + 1} // 4294967296 AS c{i} FROM {name}_{i + 1})" for i in range(6, -1, -1))
+    word = " || ".join(f"format('{{:08x}}', (c{i} % 4294967296)::BIGINT)" for i in range(8))
+    return f"{name}_7 AS (SELECT *, l7 AS c7 FROM (SELECT {limbs} FROM (SELECT sha256({row}) AS h FROM {source}))){steps}, {name} AS (SELECT {word} AS d FROM {name}_0)"
+
+
+_FULL = "(SELECT *, regexp_replace(id, '^[^:]*://[^/]*/', '') AS dotted, list_last(string_split(id, '.')) AS name FROM nodes)"
+
+
+@query(" , " + _digest_sql("nd", ("corpus", "dotted", "id", "name", "node_type"), _FULL) + ", " + _digest_sql("ed", ("dst", "edge_type", "src"), "triples") + " SELECT sha256('all' || chr(10) || nd.d || chr(10) || ed.d) AS generation FROM nd, ed")
 def generation_digest(spark, sf_dir):
-    found = mesh.generation(P.nodes(spark, sf_dir), P.edges(spark, sf_dir), ["all"])
+    held = store.table_store(spark, sf_dir)
+    found = mesh.generation(held.nodes.drop("scheme"), held.edges.select("src", "dst", "edge_type"), ["all"])
     return spark.createDataFrame([(found,)], "generation string")
 
 
@@ -156,27 +190,27 @@ def generation_digest(spark, sf_dir):
 
 @query(f" SELECT id, corpus FROM nodes WHERE id = '{SUPPLIER}'")
 def membership(spark, sf_dir):
-    return lookup.membership(P.nodes(spark, sf_dir), SUPPLIER)
+    return lookup.membership(store.table_store(spark, sf_dir).nodes, SUPPLIER)
 
 
 @query(" SELECT id FROM nodes WHERE id = 'SUPPLIER.7' OR lower(id) LIKE '%.supplier.7' OR lower(id) LIKE '%/supplier.7'")
 def find_tail(spark, sf_dir):
-    return lookup.find(P.nodes(spark, sf_dir), "SUPPLIER.7").select("id")
+    return store.table_store(spark, sf_dir).find("SUPPLIER.7").select("id")
 
 
 @query(" SELECT id FROM nodes WHERE contains(lower(id), 'supplier.1')")
 def grep_substring(spark, sf_dir):
-    return lookup.grep(P.nodes(spark, sf_dir), "Supplier.1").select("id")
+    return lookup.grep(store.table_store(spark, sf_dir).nodes, "Supplier.1").select("id")
 
 
 @query(f" SELECT other, edge_type AS relation, CASE WHEN count(DISTINCT d) > 1 THEN 'both' ELSE min(d) END AS direction FROM (SELECT dst AS other, edge_type, 'with' AS d FROM triples WHERE src = '{PART}' UNION ALL SELECT src, edge_type, 'against' FROM triples WHERE dst = '{PART}') GROUP BY ALL")
 def neighbours(spark, sf_dir):
-    return lookup.neighbours(P.edges(spark, sf_dir), PART)
+    return store.table_store(spark, sf_dir).neighbours(PART)
 
 
 @query(" SELECT id, corpus FROM nodes WHERE corpus = 'party'")
 def owned(spark, sf_dir):
-    return lookup.owned(P.nodes(spark, sf_dir), "party").select("id", "corpus")
+    return lookup.owned(store.table_store(spark, sf_dir).nodes, "party").select("id", "corpus")
 
 
 # ---- traversal -------------------------------------------------------------------------------------------------------
@@ -186,40 +220,51 @@ _FORE = f", walk(node, hop) AS (SELECT '{ORDER}', 0 UNION SELECT t.dst, w.hop +
 _ANY = f", both_ways AS (SELECT src AS a, dst AS b FROM triples WHERE edge_type IN ('in_nation', 'within') UNION SELECT dst, src FROM triples WHERE edge_type IN ('in_nation', 'within')), walk(node, hop) AS (SELECT '{SUPPLIER}', 0 UNION SELECT e.b, w.hop + 1 FROM walk w JOIN both_ways e ON e.a = w.node WHERE w.hop < 3), reached AS (SELECT node, min(hop) AS hop FROM walk GROUP BY node)"
 
 
+def _blast(spark, sf_dir, seed):
+    held = store.table_store(spark, sf_dir)
+    return traverse.blast(_seeds(spark, seed), held.walk, vocabulary=held.vocabulary)
+
+
+def _descend(spark, sf_dir, seed):
+    held = store.table_store(spark, sf_dir)
+    return traverse.descend(_seeds(spark, seed), held.walk, vocabulary=held.vocabulary)
+
+
 @query(_BACK + f" SELECT '{SUPPLIER}' AS seed, node, hop FROM reached")
 def blast_radius(spark, sf_dir):
-    return traverse.blast(_seeds(spark, SUPPLIER), P.edges(spark, sf_dir)).select("seed", "node", "hop")
+    return _blast(spark, sf_dir, SUPPLIER).select("seed", "node", "hop")
 
 
 @query(_BACK + " SELECT hop, split_part(node, '://', 1) AS corpus, count(*) AS n FROM reached GROUP BY ALL")
 def blast_by_hop(spark, sf_dir):
-    return traverse.blast(_seeds(spark, SUPPLIER), P.edges(spark, sf_dir)).groupBy("hop", C.scheme(F.col("node")).alias("corpus")).agg(F.count("*").alias("n"))
+    return _blast(spark, sf_dir, SUPPLIER).groupBy("hop", C.scheme(F.col("node")).alias("corpus")).agg(F.count("*").alias("n"))
 
 
 @query(_FORE + f" SELECT '{ORDER}' AS seed, node, hop FROM reached")
 def descend_reach(spark, sf_dir):
-    return traverse.descend(_seeds(spark, ORDER), P.edges(spark, sf_dir)).select("seed", "node", "hop")
+    return _descend(spark, sf_dir, ORDER).select("seed", "node", "hop")
 
 
 @query(_FORE + f" SELECT node FROM reached WHERE node NOT IN (SELECT src FROM triples WHERE edge_type IN {_list(REACH)})")
 def primitives(spark, sf_dir):
-    found = P.edges(spark, sf_dir)
-    return traverse.primitives(traverse.descend(_seeds(spark, ORDER), found), found).select("node")
+    held = store.table_store(spark, sf_dir)
+    return traverse.primitives(_descend(spark, sf_dir, ORDER), held.edges, vocabulary=held.vocabulary).select("node")
 
 
 @query(_FORE + " SELECT split_part(p, '://', 1) AS from_corpus, split_part(node, '://', 1) AS to_corpus, min(hop) AS first_hop FROM (SELECT r.node, r.hop, t.src AS p FROM reached r JOIN triples t ON t.dst = r.node JOIN reached q ON q.node = t.src AND q.hop = r.hop - 1 WHERE t.edge_type IN " + _list(REACH) + ") WHERE split_part(p, '://', 1) <> split_part(node, '://', 1) GROUP BY ALL")
 def crossings(spark, sf_dir):
-    return traverse.crossings(traverse.descend(_seeds(spark, ORDER), P.edges(spark, sf_dir))).select("from_corpus", "to_corpus", "first_hop")
+    return traverse.crossings(_descend(spark, sf_dir, ORDER)).select("from_corpus", "to_corpus", "first_hop")
 
 
 @query(f" SELECT edge_type AS relation, count(*) AS n FROM triples WHERE dst = 'geo://nation/geo.nation.3' AND edge_type NOT IN {_list(REACH)} GROUP BY 1")
 def declined(spark, sf_dir):
-    return traverse.declined(_seeds(spark, "geo://nation/geo.nation.3"), P.edges(spark, sf_dir), REACH, "against")
+    held = store.table_store(spark, sf_dir)
+    return traverse.declined(_seeds(spark, "geo://nation/geo.nation.3"), held.walk.by_dst, mesh.relations_in(held.vocabulary, "reaches"), "against")
 
 
 @query(_ANY + " SELECT node, hop FROM reached")
 def path_hops(spark, sf_dir):
-    return traverse.reach(_seeds(spark, SUPPLIER), traverse.steps(P.edges(spark, sf_dir), ["in_nation", "within"]), 3).select("node", "hop")
+    return traverse.reach(_seeds(spark, SUPPLIER), traverse.steps(store.table_store(spark, sf_dir).walk, ["in_nation", "within"]), 3).select("node", "hop")
 
 
 _WALK = f", both_ways AS (SELECT src AS a, dst AS b FROM triples UNION SELECT dst, src FROM triples), walk(node, hop) AS (SELECT '{SUPPLIER}', 0 UNION SELECT e.b, w.hop + 1 FROM walk w JOIN both_ways e ON e.a = w.node WHERE w.hop < 3)"
@@ -227,25 +272,25 @@ _WALK = f", both_ways AS (SELECT src AS a, dst AS b FROM triples UNION SELECT ds
 
 @query(_WALK + " SELECT CAST(coalesce(min(hop), -1) AS INTEGER) AS hops FROM walk WHERE node = 'geo://nation/geo.nation.0'")
 def path_exists(spark, sf_dir):
-    found, _ = traverse.path_to(P.edges(spark, sf_dir), SUPPLIER, "geo://nation/geo.nation.0", max_depth=3)
+    found, _ = traverse.path_to(store.table_store(spark, sf_dir).walk, SUPPLIER, "geo://nation/geo.nation.0", max_depth=3)
     return spark.createDataFrame([(len(found) - 1,)], "hops int")
 
 
 @query(f", sides AS (SELECT DISTINCT 'l|' || src AS a, 'l|' || dst AS b FROM triples WHERE edge_type = 'in_nation' UNION SELECT 'r|' || src, 'r|' || dst FROM triples WHERE edge_type = 'within' UNION SELECT 'l|' || id, 'r|' || id FROM (SELECT dst AS id FROM triples WHERE edge_type = 'in_nation' INTERSECT SELECT src FROM triples WHERE edge_type = 'within')), both_ways AS (SELECT a, b FROM sides UNION SELECT b, a FROM sides), walk(node, hop) AS (SELECT 'l|{SUPPLIER}', 0 UNION SELECT e.b, w.hop + 1 FROM walk w JOIN both_ways e ON e.a = w.node WHERE w.hop < 4) SELECT node, min(hop) AS hop FROM walk GROUP BY node")
 def bridge_hops(spark, sf_dir):
-    found = P.edges(spark, sf_dir)
+    found = store.table_store(spark, sf_dir).edges
     sides = {"l": found.filter("edge_type = 'in_nation'"), "r": found.filter("edge_type = 'within'")}
     return traverse.bridge(sides, _seeds(spark, f"l|{SUPPLIER}"), ["geo"], 4).select("node", "hop")
 
 
 @query(", docs AS (SELECT src AS a, dst AS b, edge_type FROM triples UNION SELECT dst, src, edge_type FROM triples), walk(node, hop) AS (SELECT 'talk://session/talk.session.3', 0 UNION SELECT d.b, w.hop + 1 FROM walk w JOIN docs d ON d.a = w.node WHERE w.hop < 1), reached AS (SELECT node, min(hop) AS hop FROM walk GROUP BY node) SELECT d.b AS node, d.edge_type AS relation, min(r.hop + 1) AS hop FROM reached r JOIN docs d ON d.a = r.node WHERE d.edge_type = 'follows' AND d.b <> 'talk://session/talk.session.3' GROUP BY ALL")
 def doc_explanations(spark, sf_dir):
-    return traverse.doc_endpoints(_seeds(spark, "talk://session/talk.session.3"), P.edges(spark, sf_dir), ["follows"], 2).select("node", "relation", "hop")
+    return traverse.doc_endpoints(_seeds(spark, "talk://session/talk.session.3"), store.table_store(spark, sf_dir).walk, ["follows"], 2).select("node", "relation", "hop")
 
 
 def _weighted(spark, sf_dir):
     """Parts and suppliers, joined both ways, with the number of line items as salience."""
-    pairs = P.edges(spark, sf_dir).filter("edge_type = 'supplied_by'").groupBy("src", "dst").agg(F.count("*").cast("double").alias("salience"))
+    pairs = store.table_store(spark, sf_dir).edges.filter("edge_type = 'supplied_by'").select("src", "dst", F.col("n").cast("double").alias("salience"))
     return pairs.select(F.col("src").alias("node"), F.col("dst").alias("other"), "salience").unionByName(pairs.select(F.col("dst").alias("node"), F.col("src").alias("other"), "salience"))
 
 
@@ -263,7 +308,7 @@ def activation(spark, sf_dir):
 
 @query(_SPREAD + " SELECT src, dst, edge_type FROM triples WHERE src IN (SELECT node FROM spread WHERE hop < 2) AND dst IN (SELECT node FROM spread WHERE hop < 2)")
 def induced_subgraph(spark, sf_dir):
-    return traverse.induced(P.edges(spark, sf_dir), traverse.activate(_seeds(spark, PART), _weighted(spark, sf_dir), 1))
+    return traverse.induced(store.table_store(spark, sf_dir).edges, traverse.activate(_seeds(spark, PART), _weighted(spark, sf_dir), 1))
 
 
 # ---- aggregation -----------------------------------------------------------------------------------------------------
@@ -293,12 +338,7 @@ def fan_in_out(spark, sf_dir):
 
 @query(" , per AS (SELECT b.corpus, e.dst AS id, count(*) AS fan_in FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.corpus <> b.corpus GROUP BY ALL) SELECT corpus, id, fan_in FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY fan_in DESC, id) AS r FROM per) WHERE r = 1")
 def crown(spark, sf_dir):
-    return mesh.crowns(P.nodes(spark, sf_dir), P.edges(spark, sf_dir))
-
-
-@query(" SELECT corpus, node_type, count(*) AS n, min(id) AS first FROM nodes GROUP BY ALL")
-def arm_inventory(spark, sf_dir):
-    return P.nodes(spark, sf_dir).groupBy("corpus", "node_type").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return store.table_store(spark, sf_dir).crowns()
 
 
 @query(" SELECT CASE WHEN regexp_matches(id, 'party\\.customer\\.1(\\..*)?$') THEN 'one' WHEN contains(id, '/party.customer.') THEN 'customers' WHEN corpus = 'party' THEN 'party' WHEN corpus = 'geo' THEN 'geo' ELSE 'rest' END AS \"group\", count(*) AS n FROM nodes GROUP BY 1")
@@ -375,7 +415,7 @@ def span_merge(spark, sf_dir):
     return text.merge_spans(spans, "doc_id")
 
 
-@query("WITH t AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant')), f AS (SELECT *, coalesce(CAST(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> role AS INT), 1) AS new FROM t), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f), m AS (SELECT conv_id, run, role, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY ALL), p AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY run)) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY run) AS INTEGER) AS n, text AS \"user\", CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END AS assistant FROM p WHERE role = 'user'", graph=False)
+@query("WITH t AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant')), f AS (SELECT *, coalesce(CAST(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> role AS INT), 1) AS new FROM t), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f), m AS (SELECT conv_id, run, role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM r GROUP BY ALL), a AS (SELECT a.conv_id, a.run, u.text AS asked, a.text AS answer FROM m a LEFT JOIN m u ON u.conv_id = a.conv_id AND u.run = a.run - 1 WHERE a.role = 'assistant'), e AS (SELECT conv_id, run, coalesce(asked, '') AS asked, answer FROM a UNION ALL SELECT conv_id, run, text, '' FROM m WHERE role = 'user' AND (conv_id, run + 1) NOT IN (SELECT (conv_id, run) FROM m)) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY run) AS INTEGER) AS n, asked AS \"user\", answer AS assistant FROM e", graph=False)
 def exchange_pairs(spark, sf_dir):
     return text.exchanges(P.read(spark, sf_dir, "conversations"))
 
@@ -447,11 +487,11 @@ def receipt_moves(spark, sf_dir):
 
 # ---- shape, federation, history and code -----------------------------------------------------------------------------
 
-_SCENE = " , w AS (SELECT t.*, CASE WHEN edge_type = 'contains' THEN 'contains' WHEN a.corpus <> b.corpus THEN 'cross' ELSE 'depends' END AS kind, a.node_type AS a_type, b.node_type AS b_type FROM triples t JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE src <> dst AND edge_type IN " + _list((*BLAST, "contains")) + "), k AS (SELECT id, corpus AS arm, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM nodes LEFT JOIN (SELECT dst AS id, count(*) AS n FROM w WHERE kind <> 'contains' GROUP BY 1) i USING (id) LEFT JOIN (SELECT src AS id, count(*) AS n FROM w WHERE kind <> 'contains' GROUP BY 1) o USING (id) ORDER BY fan_in DESC, id LIMIT 200)"
+_SCENE = " , w AS (SELECT t.*, CASE WHEN edge_type = 'contains' THEN 'contains' WHEN a.corpus <> b.corpus THEN 'cross' ELSE 'depends' END AS kind, a.node_type AS a_type, b.node_type AS b_type FROM triples t JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE src <> dst AND edge_type IN " + _list((*BLAST, "contains")) + "), k AS (SELECT id, corpus AS arm, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM nodes LEFT JOIN (SELECT dst AS id, count(*) AS n FROM w WHERE kind <> 'contains' GROUP BY 1) i USING (id) LEFT JOIN (SELECT src AS id, count(*) AS n FROM w WHERE kind <> 'contains' GROUP BY 1) o USING (id) ORDER BY fan_in DESC, id LIMIT 3000)"
 
 
 def _scene(spark, sf_dir):
-    return shape.scene(P.nodes(spark, sf_dir).withColumnRenamed("corpus", "arm"), P.edges(spark, sf_dir), BLAST, 200)
+    return shape.scene(P.nodes(spark, sf_dir).withColumnRenamed("corpus", "arm"), P.edges(spark, sf_dir), BLAST)
 
 
 @query(_SCENE + " SELECT id, arm, fan_in, fan_out, row_number() OVER (PARTITION BY arm ORDER BY fan_in * fan_out DESC, fan_in DESC, id) = 1 AS crown FROM k")
@@ -513,10 +553,12 @@ def roster(spark, sf_dir):
     return federation.roster(_schemes(spark, sf_dir), PART, 1).select("slug")
 
 
-@query("SELECT * FROM (VALUES ('a', '1.10'), ('b', '2.0.post1')) t(name, version)", graph=False)
+@query("WITH v AS (SELECT p_brand AS name, p_size AS a, p_partkey % 12 AS b FROM part WHERE p_partkey % 5 <> 0) SELECT name, arg_max(a || '.' || b, a * 100 + b) AS version FROM v GROUP BY name", graph=False)
 def newest_release(spark, sf_dir):
-    rows = [("a", "1.9"), ("a", "1.10"), ("a", "2.0rc1"), ("b", "2.0"), ("b", "2.0.post1"), ("b", "2.1.dev3"), ("b", "junk")]
-    return federation.newest(spark.createDataFrame(rows, "name string, version string"))
+    """Releases of each brand by size and key; every fifth is a candidate of a far later release, which doesn't count."""
+    number = F.concat(F.col("p_size"), F.lit("."), F.col("p_partkey") % 12)
+    version = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("9"), number, F.lit("rc1"))).otherwise(number)
+    return federation.newest(P.read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), version.alias("version")))
 
 
 @query("SELECT CAST(item_id % 4 AS VARCHAR) AS shard, count(*) AS files, sha256(string_agg(item_id::VARCHAR || chr(0) || sha256(text) || chr(10), '' ORDER BY item_id::VARCHAR)) AS address FROM benchmark GROUP BY 1", graph=False)
@@ -573,27 +615,157 @@ def match_stats(spark, sf_dir):
     return code.file_stats(P.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "[0-9]+")
 
 
-_FILES = (
-    ("pkg/__init__.py", "from .core import Base\n"),
-    ("pkg/core.py", "class Base:\n    def run(self):\n        self.stop()  # stop here\n    def stop(self):\n        return len('stop')\n"),
-    ("pkg/use.py", "from pkg import Base as B\nclass Child(B):\n    def go(self, other: B):\n        other.stop()\n        super().run()\n"),
-)
+# ---- code ------------------------------------------------------------------------------------------------------------
+
+
+def _files(spark, sf_dir):
+    """Python source written from the tables: a module of regions, one of nations that call them, and one for each nation
+    with suppliers, which call their nation."""
+
+    def source(rows, path, key, line, head):
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("t")))), lambda s: s["t"]), "")
+        return rows.groupBy(path.alias("path")).agg(F.concat(F.first(head), lines).alias("text"))
+
+    def function(kind, key, call):
+        return F.concat(F.lit(f"def {kind}"), F.col(key), F.lit("():\n    return "), *call, F.lit("()\n"))
+
+    regions = source(P.read(spark, sf_dir, "region"), F.lit("pkg/regions.py"), "r_regionkey", function("r", "r_regionkey", [F.lit("dict")]), F.lit(""))
+    nations = source(P.read(spark, sf_dir, "nation"), F.lit("pkg/nations.py"), "n_nationkey", function("n", "n_nationkey", [F.lit("regions.r"), F.col("n_regionkey")]), F.lit("from pkg import regions\n"))
+    head = F.concat(F.lit("from pkg.nations import n"), "s_nationkey", F.lit("\n"))
+    suppliers = source(P.read(spark, sf_dir, "supplier"), F.concat(F.lit("pkg/s"), "s_nationkey", F.lit(".py")), "s_suppkey", function("s", "s_suppkey", [F.lit("n"), F.col("s_nationkey")]), head)
+    return regions.unionByName(nations).unionByName(suppliers).unionByName(spark.createDataFrame([("pkg/__init__.py", "")], "path string, text string"))
+
+
+def _code(spark, sf_dir):
+    """Calls of that source, the edges of the tables, and an undeclared type that ties suppliers to their functions; with
+    what the code's lane and the tables' declare."""
+    calls = resolve.resolve(python_source.records(_files(spark, sf_dir), "pkg")).filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "edge_type")
+    ties = P.read(spark, sf_dir, "supplier").select(P.node_id("party", "supplier", "s_suppkey").alias("src"), F.concat(F.lit("pkg://func/pkg.s"), "s_nationkey", F.lit(".s"), "s_suppkey").alias("dst"), F.lit("ties").alias("edge_type"))
+    code_lane = spark.createDataFrame([("pkg", t, list(c)) for t, c in C.CODE_CLASSES.items()], "lane string, edge_type string, classes array<string>")
+    edges = calls.unionByName(ties).unionByName(store.table_store(spark, sf_dir).edges.select("src", "dst", "edge_type"))
+    shared = P.vocabulary(spark).filter("edge_type <> 'contains'").unionByName(code_lane)  # both declare contains alike
+    return edges, mesh.fold_vocabulary(shared)
+
+
+_CALLS = "WITH calls AS (SELECT 'pkg://func/pkg.nations.n' || n_nationkey AS src, 'pkg://func/pkg.regions.r' || n_regionkey AS dst FROM nation UNION ALL SELECT 'pkg://func/pkg.s' || s_nationkey || '.s' || s_suppkey, 'pkg://func/pkg.nations.n' || s_nationkey FROM supplier)"
+
+
+@query(_CALLS + " SELECT 'pkg://func/pkg.regions.r1' AS node, 0 AS hop UNION ALL SELECT src, 1 FROM calls WHERE dst = 'pkg://func/pkg.regions.r1' UNION ALL SELECT b.src, 2 FROM calls a JOIN calls b ON b.dst = a.src WHERE a.dst = 'pkg://func/pkg.regions.r1'", graph=False)
+def code_blast(spark, sf_dir):
+    """Over code and tables together; ``ties`` is declared by nobody, so it is lexical and not walked."""
+    edges, words = _code(spark, sf_dir)
+    return traverse.blast(_seeds(spark, "pkg://func/pkg.regions.r1"), edges, vocabulary=words).select("node", "hop")
 
 
-def _files(spark):
-    return spark.createDataFrame(list(_FILES), "path string, text string")
+@query(_CALLS + " SELECT 'pkg://func/pkg.nations.n3' AS node, 0 AS hop UNION ALL SELECT dst, 1 FROM calls WHERE src = 'pkg://func/pkg.nations.n3'", graph=False)
+def code_descend_by_default(spark, sf_dir):
+    """A vocabulary that puts nothing in the class asked for leaves the walk to its defaults."""
+    edges, words = _code(spark, sf_dir)
+    return traverse.descend(_seeds(spark, "pkg://func/pkg.nations.n3"), edges, vocabulary=words.filter("NOT array_contains(classes, 'reaches')")).select("node", "hop")
 
 
-@query("SELECT * FROM (VALUES ('class', 2), ('func', 0), ('method', 3), ('module', 3), ('contains', 5), ('imports', 2), ('inherits', 1), ('calls', 5)) t(type, n) WHERE n > 0", graph=False)
+@query("WITH f AS (SELECT count(*) AS n FROM (SELECT r_regionkey FROM region UNION ALL SELECT n_nationkey FROM nation UNION ALL SELECT s_suppkey FROM supplier)), m AS (SELECT count(DISTINCT s_nationkey) AS n FROM supplier) SELECT 'func' AS type, n FROM f UNION ALL SELECT 'contains', n FROM f UNION ALL SELECT 'calls', n FROM f UNION ALL SELECT 'module', n + 3 FROM m UNION ALL SELECT 'imports', n + 1 FROM m", graph=False)
 def python_records(spark, sf_dir):
-    return python_source.records(_files(spark), "pkg").groupBy("type").agg(F.count("*").cast("int").alias("n"))
+    return python_source.records(_files(spark, sf_dir), "pkg").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('B', 'pkg://class/pkg.core.Base', 'reexport', NULL), ('self.stop', 'pkg://method/pkg.core.Base.stop', 'self', NULL), ('len', NULL, NULL, 'builtin'), ('other.stop', 'pkg://method/pkg.core.Base.stop', 'annotation', NULL), ('super', NULL, NULL, 'builtin'), ('super(...).run', 'pkg://method/pkg.core.Base.run', 'super', NULL)) t(label, dst, via, why)", graph=False)
+@query("SELECT 'dict' AS label, NULL AS dst, NULL AS via, 'builtin' AS why, count(*) AS n FROM region UNION ALL SELECT 'regions.r' || n_regionkey, 'pkg://func/pkg.regions.r' || n_regionkey, 'import', NULL, count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 'n' || s_nationkey, 'pkg://func/pkg.nations.n' || s_nationkey, 'import', NULL, count(*) FROM supplier GROUP BY s_nationkey", graph=False)
 def label_resolution(spark, sf_dir):
-    return resolve.resolve(python_source.records(_files(spark), "pkg")).select("label", "dst", "via", "why")
+    found = resolve.resolve(python_source.records(_files(spark, sf_dir), "pkg")).filter("edge_type = 'calls'")
+    return found.groupBy("label", "dst", "via", "why").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('pkg/core.py', 3, 'run', 'code'), ('pkg/core.py', 3, 'run', 'code'), ('pkg/core.py', 4, 'stop', 'code'), ('pkg/core.py', 5, 'stop', 'prose'), ('pkg/use.py', 4, 'go', 'code')) t(path, line, block, kind)", graph=False)
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier), n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) SELECT 'pkg/s' || s_nationkey || '.py' AS path, CAST(1 + 2 * i AS INTEGER) AS line, 's' || s_suppkey AS block, 'code' AS kind FROM k UNION ALL SELECT DISTINCT 'pkg/s' || s_nationkey || '.py', 1, NULL, 'code' FROM supplier UNION ALL SELECT 'pkg/nations.py', CAST(2 * i AS INTEGER), 'n' || n_nationkey, 'code' FROM n", graph=False)
 def code_matches(spark, sf_dir):
-    return code.matches(_files(spark), r"\bstop\b").select("path", F.col("line").cast("int").alias("line"), "block", "kind")
+    return code.matches(_files(spark, sf_dir), r"\bn[0-9]+\b").select("path", F.col("line").cast("int").alias("line"), "block", "kind")
+
+
+# ---- records ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, key AS name, CAST(value AS DOUBLE) AS value FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events), LATERAL (SELECT json_extract_string(props, '$.' || key) AS value, json_type(props, '$.' || key) AS t) WHERE t IN ('UBIGINT', 'BIGINT', 'DOUBLE')", graph=False)
+def numeric_leaves(spark, sf_dir):
+    return records.numeric_leaves(P.read(spark, sf_dir, "events"), "event_id", "props")
+
+
+@query("SELECT doc_id, trim(regexp_replace(substr(text, a + 1, least(length(text), spot + 40) - a), '\\s+', ' ', 'g')) AS snippet FROM (SELECT *, greatest(0, spot - 40) AS a FROM (SELECT doc_id, text, greatest(0, instr(lower(text), 'from') - 1) AS spot FROM documents))", graph=False)
+def snippets(spark, sf_dir):
+    return P.read(spark, sf_dir, "documents").select("doc_id", records.snippet(F.col("text"), "from", 80).alias("snippet"))
+
+
+@query(_CITED + " SELECT 'edge' AS record, why, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN edge_type IN ('cites', 'emits') THEN 'unknown type' END, CASE WHEN dst IS NULL THEN 'no target' END], lambda x: x IS NOT NULL)) AS why FROM lined) GROUP BY why UNION ALL SELECT 'node', 'unknown type', count(*) FROM nodes WHERE node_type = 'page'")
+def schema_violations(spark, sf_dir):
+    found = records.violations(P.nodes(spark, sf_dir), _lined(spark, sf_dir, P.edges(spark, sf_dir)), [n[1] for n in P.NODES if n[1] != "page"], [t for t in C.CLASSES if t != "emits"])
+    return found.groupBy("record", "why").agg(F.count("*").alias("n"))
+
+
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier) SELECT 'pkg://func/pkg.s' || s_nationkey || '.s' || s_suppkey AS id, 'def s' || s_suppkey || '():' || chr(10) || '    return n' || s_nationkey || '()' AS text FROM k", graph=False)
+def hydrated_sources(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    held = python_source.records(files, "pkg").filter("kind = 'node' AND type = 'func' AND path LIKE 'pkg/s%'").select("id", F.col("type").alias("node_type"), F.col("path").alias("file"), "line", F.lit(2).alias("loc"))
+    return records.hydrate(held, files).select("id", "text")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN 'talk://session/' || CASE o_orderkey % 3 WHEN 0 THEN 'named' ELSE 'stamped' END || '.' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || 'ff' END AS session FROM orders", graph=False)
+def session_files(spark, sf_dir):
+    """Files of sessions: one in three under the node's own name, one with a stamp of its id, one of neither."""
+    key = F.col("o_orderkey")
+    stamp = F.lpad(key.cast("string"), 8, "0")
+    rows = P.read(spark, sf_dir, "orders").select(key, F.when(key % 3 == 1, F.concat(F.lit("2024__"), stamp, F.lit(".md"))).otherwise(F.concat(F.lit("f"), key)).alias("file"))
+    sessions = P.read(spark, sf_dir, "orders").filter("o_orderkey % 3 < 2").select(F.concat(F.lit("talk://session/"), F.when(key % 3 == 0, "named").otherwise("stamped"), F.lit("."), stamp, F.lit("ff")).alias("id"), F.when(key % 3 == 0, F.concat(F.lit("f"), key)).alias("file"))
+    return records.session_of(rows.select("file"), sessions).join(rows, "file").select("o_orderkey", "session")
+
+
+@query(_SPREAD + ", firsts AS (SELECT o AS node, 0.5 * share AS energy, s FROM shares WHERE n = '" + PART + "' AND s >= 2) SELECT node, round(energy, 9) AS energy FROM (SELECT '" + PART + "' AS node, 1.0::DOUBLE AS energy UNION ALL (SELECT node, energy FROM firsts ORDER BY energy DESC, s DESC, node LIMIT 3))")
+def activation_ranked(spark, sf_dir):
+    kept, _, _ = mesh.ranked(traverse.activate(_seeds(spark, PART), _weighted(spark, sf_dir), 1), 3, 2.0)
+    return kept.select("node", F.round("energy", 9).alias("energy"))
+
+
+@query("SELECT CASE WHEN m = 'pkg.regions' THEN 'base' WHEN m = 'pkg.nations' THEN 'middle' ELSE 'rest' END AS arm, m AS module, 'func' AS kind, m || '.' || f AS dotted, CAST(0 AS BIGINT) AS methods FROM (SELECT 'pkg.regions' AS m, 'r' || r_regionkey AS f FROM region UNION ALL SELECT 'pkg.nations', 'n' || n_nationkey FROM nation UNION ALL SELECT 'pkg.s' || s_nationkey, 's' || s_suppkey FROM supplier)", graph=False)
+def arm_inventory(spark, sf_dir):
+    held = python_source.records(_files(spark, sf_dir), "pkg").filter("kind = 'node'")
+    dotted = C.body(F.col("id"))
+    nodes = held.select("id", F.col("type").alias("node_type"), dotted.alias("dotted"), F.expr("substring(regexp_replace(id, '^[^:]*://[^/]*/', ''), 1, length(regexp_replace(id, '^[^:]*://[^/]*/', '')) - length(substring_index(id, '.', -1)) - 1)").alias("module"))
+    return records.arm_inventory(nodes, spark.createDataFrame([("base", "pkg.regions"), ("middle", "pkg.nations")], "group string, prefix string"))
+
+
+@query(_CALLS + " SELECT r_name AS arm, 'pkg://func/pkg.regions.r' || r_regionkey AS crown, (SELECT count(*) FROM calls a WHERE a.dst = 'pkg://func/pkg.regions.r' || r_regionkey) + (SELECT count(*) FROM calls a JOIN calls b ON b.dst = a.src WHERE a.dst = 'pkg://func/pkg.regions.r' || r_regionkey) AS dependents FROM region", graph=False)
+def arm_dependents(spark, sf_dir):
+    edges, words = _code(spark, sf_dir)
+    crowns = P.read(spark, sf_dir, "region").select(F.col("r_name").alias("arm"), F.concat(F.lit("pkg://func/pkg.regions.r"), "r_regionkey").alias("id"))
+    return records.arm_dependents(crowns, edges, "pkg", vocabulary=words)
+
+
+# ---- free SQL over the estate ----------------------------------------------------------------------------------------
+
+
+def _free(name: str, spark_sql: str, oracle: str) -> None:
+    """Register a query of free SQL over the views ``nodes`` and ``adj`` and what DuckDB says to the same question."""
+
+    def run(spark, sf_dir):
+        return estate.sql(spark, sf_dir, spark_sql)
+
+    run.__name__ = name
+    query(" , adj AS (SELECT *, split_part(src, '://', 1) AS corpus, split_part(dst, '://', 1) AS dst_corpus FROM edges) " + oracle)(run)
+
+
+def _same(name: str, sql: str) -> None:
+    _free(name, sql, sql)
+
+
+_same("sql_left_join", "SELECT n.node_type, count(*) AS n, count(a.src) AS with_edges FROM nodes n LEFT JOIN adj a ON a.src = n.id AND a.edge_type = 'in_nation' GROUP BY n.node_type")
+_same("sql_full_join", "SELECT coalesce(a.c, b.c) AS corpus, a.n AS outgoing, b.n AS incoming FROM (SELECT corpus AS c, count(*) AS n FROM adj GROUP BY corpus) a FULL JOIN (SELECT dst_corpus AS c, count(*) AS n FROM adj WHERE corpus <> dst_corpus GROUP BY dst_corpus) b ON a.c = b.c")
+_free("sql_semi_join", "SELECT n.corpus, count(*) AS n FROM nodes n LEFT SEMI JOIN adj a ON a.dst = n.id GROUP BY n.corpus", "SELECT n.corpus, count(*) AS n FROM nodes n SEMI JOIN adj a ON a.dst = n.id GROUP BY n.corpus")
+_free("sql_anti_join", "SELECT n.node_type, count(*) AS n FROM nodes n LEFT ANTI JOIN adj a ON a.src = n.id GROUP BY n.node_type", "SELECT n.node_type, count(*) AS n FROM nodes n ANTI JOIN adj a ON a.src = n.id GROUP BY n.node_type")
+_same("sql_theta_join", "SELECT a.node_type AS low, b.node_type AS high, b.n - a.n AS more FROM (SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type) a JOIN (SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type) b ON a.n < b.n")
+_same("sql_cube", "SELECT corpus, edge_type, count(*) AS n FROM adj GROUP BY CUBE (corpus, edge_type)")
+_same("sql_rollup", "SELECT corpus, node_type, count(*) AS n FROM nodes GROUP BY ROLLUP (corpus, node_type)")
+_same("sql_grouping_sets", "SELECT corpus, dst_corpus, edge_type, count(*) AS n FROM adj GROUP BY GROUPING SETS ((corpus, dst_corpus), (edge_type), ())")
+_same("sql_window", "SELECT corpus, dst, n, place FROM (SELECT corpus, dst, n, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, dst) AS place FROM (SELECT corpus, dst, count(*) AS n FROM adj GROUP BY corpus, dst) x) y WHERE place <= 3")
+_same("sql_running", "SELECT edge_type, n, CAST(sum(n) OVER (ORDER BY edge_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto, lag(n) OVER (ORDER BY edge_type) AS before FROM (SELECT edge_type, count(*) AS n FROM adj GROUP BY edge_type) x")
+_same("sql_union_intersect_except", "(SELECT dst AS id FROM adj WHERE edge_type = 'in_nation' INTERSECT SELECT src FROM adj WHERE edge_type = 'within') EXCEPT SELECT id FROM nodes WHERE id LIKE '%.3' UNION SELECT dst FROM adj WHERE edge_type = 'within'")
+_same("sql_having_distinct", "SELECT src, count(DISTINCT dst) AS n FROM adj WHERE edge_type = 'orders' GROUP BY src HAVING count(DISTINCT dst) >= 6")
+_same("sql_correlated", "SELECT n.id FROM nodes n WHERE n.corpus = 'geo' AND EXISTS (SELECT 1 FROM adj a WHERE a.dst = n.id AND a.corpus = 'party') AND n.id NOT IN (SELECT dst FROM adj WHERE edge_type = 'within')")
+_same("sql_top", "SELECT dst, count(*) AS n FROM adj GROUP BY dst ORDER BY n DESC, dst LIMIT 10")
+_free("sql_json_attributes", "SELECT node_type, sum(get_json_object(to_json(named_struct('k', length(id))), '$.k')) AS total FROM nodes GROUP BY node_type", "SELECT node_type, CAST(sum(CAST(json_extract_string(json_object('k', length(id)), '$.k') AS DOUBLE)) AS DOUBLE) AS total FROM nodes GROUP BY node_type")

@@ -2,11 +2,17 @@
 
 A compile writes a new generation folder and then one pointer row; readers follow the pointer, so a failed compile leaves
 the served generation standing. All reads and writes go through Spark, so the home may be on any store that Spark reads.
+
+What questions share is done once, by the compile: edges are made distinct (``n`` counts their instances), get the corpora
+that hold their ends, and are kept twice, clustered by either end; nodes are kept once by id and once by their reversed,
+lower-cased id, so that a search for a tail is a range of it. Row groups are small, so that a lookup skips most of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +21,52 @@ from pyspark.sql.utils import AnalysisException
 from graphloom.functions import columns as C
 from graphloom.operators import mesh
 from graphloom.operators.lookup import Refused, triples
+from graphloom.operators.traverse import Walkable
+from graphloom.session import shared_folder
+from graphloom.sources import projection
 
 MAX_IDS = 5_000
+ROW_GROUP = 4 << 20
+NO_VOCABULARY = "edge_type string, classes array<string>"
+
+
+class Store(NamedTuple):
+    """What a generation serves. ``edges`` are those by source; ``walk`` has both copies."""
+
+    nodes: DataFrame
+    tails: DataFrame
+    edges: DataFrame
+    walk: Walkable
+    vocabulary: DataFrame
+    generation: str
+
+    def find(self, symbol: str) -> DataFrame:
+        """Nodes whose id is the symbol or ends in ``.symbol`` or ``/symbol``, as ``lookup.find`` has them."""
+        low = symbol.lower()[::-1]
+        ends = self.tails.filter(F.col("tail").startswith(low + ".") | F.col("tail").startswith(low + "/")).drop("tail")
+        return ends.unionByName(self.nodes.filter((F.col("id") == symbol) & ~F.lower("id").endswith("." + symbol.lower()) & ~F.lower("id").endswith("/" + symbol.lower())).select(*ends.columns))
+
+    def neighbours(self, node: str) -> DataFrame:
+        """other, relation and direction, each side read from the copy that is clustered by it."""
+        out = self.walk.by_src.filter(F.col("src") == node).select(F.col("dst").alias("other"), F.col("edge_type").alias("relation"), F.lit("with").alias("direction"))
+        back = self.walk.by_dst.filter(F.col("dst") == node).select(F.col("src").alias("other"), F.col("edge_type").alias("relation"), F.lit("against").alias("direction"))
+        return out.unionByName(back).groupBy("other", "relation").agg(F.when(F.count_distinct("direction") > 1, F.lit("both")).otherwise(F.first("direction")).alias("direction"))
+
+    def seams(self) -> DataFrame:
+        """``mesh.seam_matrix`` without a join: the corpora stand beside the edges."""
+        return self.edges.filter("src_corpus <> dst_corpus").groupBy(F.col("src_corpus").alias("from_corpus"), F.col("dst_corpus").alias("to_corpus"), "edge_type").agg(F.sum("n").alias("hits"), F.count_distinct("dst").alias("targets"))
+
+    def stats(self) -> DataFrame:
+        """``mesh.mesh_stats`` without a join."""
+        same = F.col("src_corpus") == F.col("dst_corpus")
+        held = F.col("src_corpus").isNotNull() & F.col("dst_corpus").isNotNull()
+        total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+        return self.edges.agg(total(F.lit(True)).alias("instances"), total(held & same).alias("intra"), total(held & ~same).alias("cross"), total(~held).alias("unresolved"))
+
+    def crowns(self) -> DataFrame:
+        """``mesh.crowns`` without a join."""
+        per = self.edges.filter("src_corpus <> dst_corpus").groupBy(F.col("dst_corpus").alias("corpus"), F.col("dst").alias("id")).agg(F.sum("n").alias("fan_in"))
+        return per.groupBy("corpus").agg(F.min(F.struct((-F.col("fan_in")).alias("f"), "id")).alias("b")).select("corpus", "b.id", (-F.col("b.f")).alias("fan_in"))
 
 
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
@@ -33,30 +83,76 @@ def served(spark: SparkSession, home: str) -> tuple[str, str] | None:
     return (row[0]["generation"], row[0]["folder"]) if row else None
 
 
-def compile_store(spark: SparkSession, home: str, nodes: DataFrame, edges: DataFrame, roster: list[str]) -> str:
+def compile_store(spark: SparkSession, home: str, nodes: DataFrame, edges: DataFrame, roster: list[str], vocabulary: DataFrame | None = None) -> str:
     """Write and serve a generation; nothing is written if the content is what is served. Returns the generation.
 
-    Edges are kept twice, clustered by either end, so that row groups of both walks can be skipped by their statistics.
+    ``vocabulary(lane, edge_type, classes)`` is what the lanes declare; lanes that disagree are refused.
     """
-    generation, now = mesh.generation(nodes, triples(edges), roster), served(spark, home)
+    declared = spark.createDataFrame([], NO_VOCABULARY) if vocabulary is None else mesh.fold_vocabulary(vocabulary)
+    words = sorted((r["edge_type"], sorted(r["classes"])) for r in declared.collect())  # a row per declared type
+    generation, now = mesh.generation(nodes, triples(edges), [*roster, *(f"{t}={','.join(c)}" for t, c in words)]), served(spark, home)
     if now and now[0] == generation:
         return generation
     folder = f"{home}/gen-{uuid.uuid4().hex}"
-    nodes.withColumn("scheme", C.scheme(F.col("id"))).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{folder}/nodes")
-    for end in ("src", "dst"):
-        triples(edges).repartitionByRange(end).sortWithinPartitions(end).write.parquet(f"{folder}/edges_by_{end}")
+    _write(nodes, edges, declared, folder)
     spark.createDataFrame([(generation, folder)], "generation string, folder string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{home}/pointer")
     return generation
 
 
-def open_store(spark: SparkSession, home: str, expected: str | None = None) -> tuple[DataFrame, DataFrame, str]:
-    """Nodes, edges and the generation served; refuses without a store or if another generation was expected."""
+def _write(nodes: DataFrame, edges: DataFrame, vocabulary: DataFrame, folder: str) -> None:
+    def put(rows: DataFrame, by: str, name: str) -> None:
+        rows.repartitionByRange(by).sortWithinPartitions(by).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/{name}")
+
+    put(nodes.withColumn("scheme", C.scheme(F.col("id"))), "id", "nodes")
+    put(nodes.withColumn("tail", F.reverse(F.lower("id"))), "tail", "tails")
+    counted = edges.groupBy("src", "dst", "edge_type").agg(F.count("*").alias("n"))
+    held = nodes.groupBy("id").agg(F.first("corpus").alias("corpus")) if "corpus" in nodes.columns else nodes.select("id", F.lit(None).cast("string").alias("corpus"))
+    joined = counted.join(held.toDF("src", "src_corpus"), "src", "left").join(held.toDF("dst", "dst_corpus"), "dst", "left")
+    put(joined.select("src", "dst", "edge_type", "n", "src_corpus", "dst_corpus"), "src", "edges_by_src")
+    put(edges.sparkSession.read.parquet(f"{folder}/edges_by_src"), "dst", "edges_by_dst")
+    vocabulary.coalesce(1).write.parquet(f"{folder}/vocabulary")
+
+
+def _opened(spark: SparkSession, folder: str, generation: str) -> Store:
+    nodes, tails, by_src, by_dst = (spark.read.parquet(f"{folder}/{name}") for name in ("nodes", "tails", "edges_by_src", "edges_by_dst"))
+    return Store(nodes, tails, by_src, Walkable(by_src, by_dst), spark.read.schema(NO_VOCABULARY).parquet(f"{folder}/vocabulary"), generation)
+
+
+def open_store(spark: SparkSession, home: str, expected: str | None = None) -> Store:
+    """The generation served; refuses without a store or if another generation was expected."""
     now = served(spark, home)
     if now is None:
         raise Refused(f"no store in {home}")
     if expected is not None and now[0] != expected:
         raise Refused(f"the store is at generation {now[0][:16]}, not {expected[:16]}")
-    return spark.read.parquet(f"{now[1]}/nodes"), spark.read.parquet(f"{now[1]}/edges_by_src"), now[0]
+    return _opened(spark, now[1], now[0])
+
+
+def files_digest(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of all files under the paths, as Spark's file systems list them."""
+    hadoop, listed = spark._jvm.org.apache.hadoop.fs, []
+    for name in paths:
+        path = hadoop.Path(name)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while found.hasNext():
+            file = found.next()
+            listed.append(f"{file.getPath()} {file.getLen()} {file.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(listed)).encode()).hexdigest()
+
+
+def table_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of the projected tables, compiled at the first question and again once a table's files change.
+
+    It stands in the shared folder under a digest of the files, so that a stale one is never opened.
+    """
+    digest = files_digest(spark, [f"{sf_dir}/{name}.parquet" for name in projection.TABLES])
+    folder = f"{shared_folder(spark)}/stores/{digest[:32]}"
+    if _read(spark, f"{folder}/done") is None:
+        fresh = f"{folder}-{uuid.uuid4().hex}"
+        _write(projection.nodes(spark, sf_dir), projection.edges(spark, sf_dir), mesh.fold_vocabulary(projection.vocabulary(spark)), fresh)
+        spark.createDataFrame([(fresh,)], "folder string").coalesce(1).write.mode("append").parquet(f"{folder}/done")
+    folder = spark.read.parquet(f"{folder}/done").orderBy("folder").head(1)[0]["folder"]  # of two compiles at once, one is served
+    return _opened(spark, folder, digest)
 
 
 def cached_walk(spark: SparkSession, home: str, generation: str, door: str, seed: str, depth: int, walk) -> DataFrame:

@@ -27,10 +27,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the context was given.
+
+    A local one is set only in a session that is local itself, where neither is set; a cluster's is refused.
+    """
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.nonEmpty() else None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
+    if held.isEmpty():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` and cut its lineage in the checkpoint folder that executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -45,6 +45,15 @@ EDGES = (
 )
 
 
+#: The tables that nodes and edges are projected from.
+TABLES = tuple(sorted({t for _, _, t, _ in NODES} | {t for _, t, _, _ in EDGES}))
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """What the projection declares of its edge types: lane, edge_type, classes."""
+    return spark.createDataFrame([("tables", t, list(c)) for t, c in C.CLASSES.items()], "lane string, edge_type string, classes array<string>")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, node_type, corpus, dotted and name of every node, one row each."""
     out = None

@@ -9,7 +9,7 @@ def test_source_to_store_to_answers(spark, tmp_path, capsys):
     (tmp_path / "src/pkg/core.py").write_text("def run():\n    return help_out()\ndef help_out():\n    pass\n")
     home = ["--home", str(tmp_path / "home")]
     assert main(["eat", str(tmp_path / "src/pkg"), "pkg", *home], spark) == 0
-    assert main(["blast", "help_out", "--relations", "calls", *home], spark) == 0
+    assert main(["blast", "help_out", *home], spark) == 0
     assert "pkg://func/pkg.core.run" in capsys.readouterr().out
     assert main(["walk", "pkg.core", "help_out", *home], spark) == 0
     assert main(["hunt", "nothing_like_it", *home], spark) == 1

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
-from graphloom.operators import journal, lookup, mesh, text, traverse
+from graphloom.operators import journal, lookup, mesh, records, text, traverse
 from graphloom.sources import shards
 
 
@@ -73,10 +73,74 @@ def test_neighbour_seen_both_ways(spark):
 
 
 def test_verdicts(spark):
-    owners = spark.createDataFrame([("a://f/x", "a")], "id string, corpus string")
-    schemes = spark.createDataFrame([("a",)], "scheme string")
-    e = edges_of(spark, [("a://f/x", "a://f/y", "r"), ("a://f/x", "std://f/y", "r"), ("a://f/x", "b://f/y", "r"), ("a://f/x", "plain", "r"), ("a://f/x", None, "r")])
-    assert [r["verdict"] for r in mesh.verdicts(e, owners, schemes).orderBy(F.col("dst").asc_nulls_first()).collect()] == ["malformed", "unresolved", "ok", "ok", "ok"]
+    """Own schemes are ok, held or not; those of others if a lane that is or owns them holds the id; nobody's never are."""
+    held = spark.createDataFrame([("b://f/x", "b"), ("own://f/x", "b"), ("lit://f/x", "a"), ("lit://f/y", "b")], "id string, lane string")
+    schemes = spark.createDataFrame([("own", "b"), ("mine", "a")], "scheme string, lane string")
+    want = {
+        None: "malformed", "plain": "ok", "a://f/none": "ok", "mine://f/none": "ok", "b://f/x": "ok", "b://f/none": "unresolved", "own://f/x": "ok", "own://f/none": "unresolved",
+        "nobody://f/x": "unresolved", "scrape://p": "ok", "fetch://p": "ok", "std://os": "ok", "builtin://len": "unresolved", "lit://f/x": "ok", "lit://f/y": "unresolved",
+    }
+    e = spark.createDataFrame([("a://f/s", d, "r", "a") for d in want], "src string, dst string, edge_type string, lane string")
+    assert {r["dst"]: r["verdict"] for r in mesh.verdicts(e, held, schemes, standard=("std",), literal=("lit",)).collect()} == want
+    assert {r["dst"] for r in mesh.admitted(e, held, schemes, ("std",), ("lit",)).collect()} == {d for d, v in want.items() if v == "ok"}
+
+
+def test_relation_classes_come_from_the_vocabulary(spark):
+    e = edges_of(spark, [("a", "b", "calls"), ("b", "c", "wires"), ("c", "d", "near"), ("x", "a", "imports"), ("y", "a", "wires")])
+    words = spark.createDataFrame([("wires", ["depends", "reaches"]), ("near", ["lexical"])], "edge_type string, classes array<string>")
+    names = lambda found: {r["node"] for r in found.filter("hop > 0").collect()}
+    assert names(traverse.descend(seeds_of(spark, "b"), e, vocabulary=words)) == {"c"} and names(traverse.blast(seeds_of(spark, "a"), e, vocabulary=words)) == {"y"}
+    for nothing in (None, words.limit(0), words.filter("edge_type = 'near'")):  # what declares no class leaves the defaults
+        assert names(traverse.descend(seeds_of(spark, "a"), e, vocabulary=nothing)) == {"b"} and names(traverse.blast(seeds_of(spark, "b"), e, vocabulary=nothing)) == {"a", "x"}
+
+
+def test_first_discoverer_counts(spark):
+    """In a level nodes are found in the order of their parents, then outgoing before incoming, then by name."""
+    e = edges_of(spark, [("s", "b", "r"), ("c", "s", "r"), ("s", "a", "r"), ("a", "z", "r"), ("b", "z", "r"), ("c", "y", "r"), ("b", "y", "q")])
+    got = {r["node"]: (r["via"], r["relation"]) for r in traverse.reach(seeds_of(spark, "s"), traverse.steps(e), 2).collect()}
+    assert got["z"] == ("a", "r") and got["y"] == ("b", "q")
+
+
+def test_exchanges_join_runs_and_keep_a_leading_answer(spark):
+    turns = spark.createDataFrame([(1, 0, "assistant", "hello"), (1, 1, "user", "a"), (1, 2, "user", "b"), (1, 3, "system", "x"), (1, 4, "assistant", "c"), (1, 5, "assistant", "d"), (1, 6, "user", "e")], "conv_id int, turn int, role string, text string")
+    got = [(r["n"], r["user"], r["assistant"]) for r in text.exchanges(turns).orderBy("n").collect()]
+    assert got == [(1, "", "hello"), (2, "a\n\nb", "c\n\nd"), (3, "e", "")]
+
+
+def test_liveness_and_source_kinds(spark):
+    rows = [("l", "live"), ("l", "doc"), ("p", "prose"), ("q", "prose"), ("q", "test"), ("d", "doc"), ("s", "slop"), ("o", "none")]
+    got = {r["k"]: r["verdict"] for r in text.liveness(spark.createDataFrame(rows, "k string, kind string"), "k").collect()}
+    assert got == {"l": "LIVE", "p": "MENTION-ONLY", "q": "FALSE LIVENESS", "d": "FALSE LIVENESS", "s": "FALSE LIVENESS", "o": "DARK"}
+    paths = {"a/tests/x.md": "test", "logs/test_a.py": "test", "a/b_test.py": "test", "a/b.spec.ts": "test", "logs/a.py": "slop", "Archive/readme.md": "slop", "a/b.YML": "doc", "handoffs/x.py": "doc", "src/a.py": "live", "dist/a.py": "live"}
+    found = spark.createDataFrame([(p,) for p in paths], "p string").select("p", C.source_kind(F.col("p")).alias("k")).collect()
+    assert {r["p"]: r["k"] for r in found} == paths
+    cursors = {"abcdef0123": "abcdef01", "a" * 40: "a" * 8, "a" * 41: "a" * 41, "xyz": "xyz"}
+    assert {r["c"]: r["k"] for r in spark.createDataFrame([(c,) for c in cursors], "c string").select("c", C.cursor(F.col("c")).alias("k")).collect()} == cursors
+
+
+def test_ranking_keeps_seeds_and_tells_what_was_cut(spark):
+    rows = [("s", 1.0, None), ("a", 0.5, 2.0), ("b", 0.5, 3.0), ("c", 0.5, 3.0), ("d", 0.9, 0.5)]
+    kept, n, cut = mesh.ranked(spark.createDataFrame(rows, "node string, energy double, salience double"), 2, 1.0)
+    assert {r["node"] for r in kept.collect()} == {"s", "b", "c"} and (n, cut) == (3, True)
+
+
+def test_records(spark):
+    nodes = spark.createDataFrame([("a", "func"), ("b", "odd"), (None, "func"), ("d", None)], "id string, node_type string")
+    edges = edges_of(spark, [("a", "b", "calls"), ("a", None, "calls"), (None, "b", "odd")])
+    got = {(r["record"], r["why"]) for r in records.violations(nodes, edges, ["func"], ["calls"]).collect()}
+    assert got == {("node", "unknown type"), ("node", "no id"), ("node", "no type"), ("edge", "no target"), ("edge", "unknown type"), ("edge", "no source")}
+    assert records.validate(nodes.limit(1), edges.limit(1), ["func"], ["calls"]) == 2
+    for n, e in ((nodes, edges), (nodes.limit(0), edges.limit(0))):
+        with pytest.raises(lookup.Refused):
+            records.validate(n, e, ["func"], ["calls"])
+    files = spark.createDataFrame([("m.py", "x\ndef f():\n    pass\ny")], "path string, text string")
+    held = spark.createDataFrame([("f", "func", "m.py", 2, 2), ("m", "module", "m.py", 1, 4), ("g", "func", "gone.py", 1, 1), ("h", "func", None, 1, 1)], "id string, node_type string, file string, line int, loc int")
+    found = {r["id"]: (r["text"], r["truncated"], r["error"]) for r in records.hydrate(held, files, 12).collect()}
+    assert found["f"] == ("def f():\n   ", True, None) and found["m"] == ("x\ndef f():\n ", True, None) and found["g"][2] == "the file is not held" and found["h"][2] == "the record names no file"
+    leaves = spark.createDataFrame([(1, '{"a": 1, "b": {"c": 2.5, "d": {"e": 3}, "f": "4"}, "hot": {"x": 9}, "g": [1], "h": true}'), (2, "not json"), (3, None)], "k int, t string")
+    assert {(r["k"], r["name"], r["value"]) for r in records.numeric_leaves(leaves, "k", "t").collect()} == {(1, "a", 1.0), (1, "b.c", 2.5), (1, "b.d.e", 3.0)}
+    cut = spark.createDataFrame([("x" * 50 + " The\n\nTerm here " + "y" * 50,), ("none",)], "t string").select(records.snippet(F.col("t"), "term", 20).alias("s")).collect()
+    assert [r["s"] for r in cut] == ["xxxx The Term here", "none"]
 
 
 def test_digest_is_order_free_and_sees_changes(spark):
@@ -127,11 +191,6 @@ def test_outline_and_readers(spark, tmp_path):
     assert [tuple(r) for r in shards.access_log(log).collect()] == [("GET", "/u/{}/x", 200, 12.0)]
 
 
-def test_pointer_roots(spark):
-    parents = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a")], "child string, parent string")
-    assert {r["child"]: r["top"] for r in mesh.pointer_roots(parents, 8).collect()} == {"d": "a", "c": "a", "b": "a"}
-
-
 def test_journal_stream_drops_repeats(spark, tmp_path):
     from graphloom.streaming.logs import journal_stream
 
