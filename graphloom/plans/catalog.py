@@ -143,7 +143,7 @@ def endpoint_verdicts(spark, sf_dir):
 @query(_CITED + " SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT src, dst, edge_type FROM judged WHERE verdict = 'ok') GROUP BY edge_type")
 def edge_admission(spark, sf_dir):
     held, own = _held(spark, sf_dir)
-    return mesh.admitted(_lined(spark, sf_dir, store.table_store(spark, sf_dir).edges), held, own, ("std",)).groupBy("edge_type").agg(F.count("*").alias("n"))
+    return mesh.admitted(_lined(spark, sf_dir, store.table_store(spark, sf_dir).edges), held, own, ("std",), unique=True).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
 @query(_HELD + " SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM held) GROUP BY id")
@@ -328,12 +328,14 @@ _UNITS = ", units AS (SELECT split_part(regexp_replace(src, '^.*/', ''), '.', 1)
 
 @query(_UNITS + " SELECT * FROM units WHERE from_unit <> to_unit")
 def unit_graph(spark, sf_dir):
-    return mesh.unit_graph(P.nodes(spark, sf_dir), P.edges(spark, sf_dir), 2, BLAST)
+    held = store.table_store(spark, sf_dir)
+    return mesh.unit_graph(held.nodes, held.edges, 2, BLAST)
 
 
 @query(_UNITS + " SELECT unit, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out, CAST(count_if(i > 0) AS BIGINT) AS consumers, CAST(count_if(o > 0) AS BIGINT) AS suppliers FROM (SELECT from_unit AS unit, 0 AS i, weight AS o FROM units WHERE from_unit <> to_unit UNION ALL SELECT to_unit, weight, 0 FROM units WHERE from_unit <> to_unit) GROUP BY unit")
 def fan_in_out(spark, sf_dir):
-    return mesh.fans(mesh.unit_graph(P.nodes(spark, sf_dir), P.edges(spark, sf_dir), 2, BLAST))
+    held = store.table_store(spark, sf_dir)
+    return mesh.fans(mesh.unit_graph(held.nodes, held.edges, 2, BLAST))
 
 
 @query(" , per AS (SELECT b.corpus, e.dst AS id, count(*) AS fan_in FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.corpus <> b.corpus GROUP BY ALL) SELECT corpus, id, fan_in FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY fan_in DESC, id) AS r FROM per) WHERE r = 1")
@@ -344,7 +346,7 @@ def crown(spark, sf_dir):
 @query(" SELECT CASE WHEN regexp_matches(id, 'party\\.customer\\.1(\\..*)?$') THEN 'one' WHEN contains(id, '/party.customer.') THEN 'customers' WHEN corpus = 'party' THEN 'party' WHEN corpus = 'geo' THEN 'geo' ELSE 'rest' END AS \"group\", count(*) AS n FROM nodes GROUP BY 1")
 def cut_longest_prefix(spark, sf_dir):
     cut = spark.createDataFrame([("party", "party"), ("customers", "party.customer"), ("one", "party.customer.1"), ("geo", "geo")], "group string, prefix string")
-    return mesh.cut_members(P.nodes(spark, sf_dir), cut).groupBy("group").agg(F.count("*").alias("n"))
+    return mesh.cut_members(store.table_store(spark, sf_dir).nodes, cut).groupBy("group").agg(F.count("*").alias("n"))
 
 
 # ---- text ------------------------------------------------------------------------------------------------------------

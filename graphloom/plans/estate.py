@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
-from graphloom.sources import projection
+from graphloom.plans import store
 
 
 def open_estate(spark: SparkSession, sf_dir: str) -> None:
-    """Views ``nodes`` and ``adj``; ``adj`` has the corpora of both ends, from the ids alone."""
-    projection.nodes(spark, sf_dir).createOrReplaceTempView("nodes")
-    found = projection.edges(spark, sf_dir)
-    found.select("*", C.scheme(F.col("src")).alias("corpus"), C.scheme(F.col("dst")).alias("dst_corpus")).createOrReplaceTempView("adj")
+    """Views ``nodes`` and ``adj`` over the compiled store, an edge as often as it stands in the tables; ``adj`` has the corpora of both ends, from the ids alone."""
+    held = store.table_store(spark, sf_dir)
+    held.nodes.drop("scheme").createOrReplaceTempView("nodes")
+    each = held.edges.select("src", "dst", "edge_type", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).drop("i")
+    each.select("*", C.scheme(F.col("src")).alias("corpus"), C.scheme(F.col("dst")).alias("dst_corpus")).createOrReplaceTempView("adj")
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

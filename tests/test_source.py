@@ -71,3 +71,35 @@ def test_ring_closes_over_imports(spark):
     found, skipped = S.ring(site, "a")
     assert {r["package"] for r in found.collect()} == {"a", "b", "c"}
     assert {(r["scheme"], r["reason"]) for r in skipped.collect()} == {("os", "standard"), ("nowhere", "not held")}
+
+
+def test_transcripts_of_three_shapes(spark, tmp_path):
+    import json
+
+    from graphloom.sources import shards
+
+    rows = [
+        {"type": "user", "message": {"content": "first <system-reminder>x</system-reminder>"}},
+        {"type": "user", "isMeta": True, "message": {"content": "meta"}},
+        {"type": "assistant", "message": {"content": [{"type": "text", "text": "one"}, {"type": "tool_use"}, {"type": "text", "text": "two"}]}},
+        {"type": "user", "message": {"content": [{"type": "tool_result"}, {"type": "text", "text": "result"}]}},
+        {"type": "user", "toolUseResult": {}, "message": {"content": "tool"}},
+        {"type": "queue-operation", "operation": "enqueue", "content": "later"},
+        {"type": "assistant", "message": {"content": "three"}},
+        {"type": "user", "message": {"content": "later"}},
+        {"type": "queue-operation", "operation": "enqueue", "content": "/command"},
+        {"type": "user", "message": {"content": "<command-name>x</command-name>"}},
+        {"type": "progress", "message": {"content": "noise"}},
+        {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "<user_instructions> no"}]}},
+        {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "asked"}]}},
+        {"type": "response_item", "payload": {"type": "message", "role": "developer", "content": [{"type": "input_text", "text": "no"}]}},
+        {"type": "session_meta", "payload": {"type": "message", "role": "user"}},
+        {"role": "user", "content": "plain"},
+        {"role": "assistant", "content": [{"type": "text", "text": "answer"}]},
+        {"role": "assistant", "content": [{"type": "tool_use"}, {"type": "text", "text": "no"}]},
+        [1],
+    ]
+    (tmp_path / "t.jsonl").write_text("\n".join([*map(json.dumps, rows), '{"torn']))
+    got = [(r["line"], r["role"], r["text"]) for r in shards.transcript(spark, str(tmp_path / "t.jsonl")).orderBy("line").collect()]
+    want = [(0, "user", "first"), (2, "assistant", "one\ntwo"), (5, "user", "later"), (6, "assistant", "three"), (12, "user", "asked"), (15, "user", "plain"), (16, "assistant", "answer")]
+    assert got == want
