@@ -10,7 +10,8 @@ weighted Jaccard similarity. Bands of ``ROWS`` coordinates are joined; candidate
 Copies: texts with the same words are one node from the start. A band bucket is cut into blocks of bounded size. First
 every block is compared within itself and with two leaders of the bucket, on whole 64-bit elements, by products of the
 element matrices; so a member is sent once a band, however many near copies it has. What the links so far join needs no
-further comparison, and neither do buckets of the same members in several bands: only members outside the largest component of their bucket are then compared with the members of
+further comparison, and neither do buckets of the same members in several bands, or buckets of later bands whose members
+earlier ones have joined: only members outside the largest component of their bucket are then compared with the members of
 the other blocks. A task returns a spanning forest of the similar pairs that it finds, at most a row per member.
 No link between components is lost: every two members of a bucket have been compared or were joined by checked links.
 
@@ -39,6 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
+#: Bands whose buckets are compared first.
+FIRST_BANDS = 4
 SLICE_BYTES = 1 << 20
 #: Most members or elements, about, of a block of a band bucket, and columns of an element matrix at a time.
 BLOCK = 512
@@ -252,23 +255,34 @@ def _numbers(n):
     return F.sequence(F.lit(0), F.col(n) - 1)
 
 
-def links(entries: DataFrame, read: DataFrame, threshold: float) -> DataFrame:
-    """(key, root) of all that is linked, from ``entries(key, rep, weight, band, h)``: the two rounds over the buckets."""
+def _round(keys: DataFrame, bands, read: DataFrame, threshold: float, roots: DataFrame | None) -> DataFrame | None:
+    """``roots`` and what the buckets of some bands add to them; buckets whose members are joined already add nothing."""
+    if roots is not None:
+        keys = keys.join(hint_small(roots, roots.count()), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    else:
+        keys = keys.withColumn("root", F.col("key"))
+    entries = keys.select("key", "rep", "weight", "root", F.posexplode("bands").alias("band", "h")).filter(bands)
     cuts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / BLOCK_ELEMENTS)).cast("int")
-    found = entries.groupBy("band", "h").agg(F.count("*").alias("members"), cuts.alias("blocks"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    sums = [F.count("*").alias("members"), cuts.alias("blocks"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1")]
+    found = entries.groupBy("band", "h").agg(*sums, F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     # buckets of one set of members have the same pairs, so one of them, of whatever band, does for all
-    buckets = found.filter("members > 1").groupBy("members", "low", "high", "x", "y").agg(F.min_by(F.struct("band", "h", "blocks"), F.struct("band", "h")).alias("b")).select("b.*", "low", "high")
-    large = cut(buckets.filter("blocks > 1").select("band", "h", "blocks", F.array("low", "high").alias("leaders")))
+    buckets = found.filter("members > 1 AND r0 <> r1").groupBy("members", "low", "high", "x", "y").agg(F.min_by(F.struct("band", "h", "blocks"), F.struct("band", "h")).alias("b")).select("b.*", "low", "high")
+    buckets = cut(buckets)
+    n = buckets.count()
+    if not n:
+        return roots
+    large = buckets.filter("blocks > 1").select("band", "h", "blocks", F.array("low", "high").alias("leaders"))
     member = F.struct("band", "h", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    members = entries.join(buckets.select("band", "h", "blocks"), ["band", "h"]).groupBy("key").agg(F.first("rep").alias("rep"), F.collect_list(member).alias("held"))
+    members = entries.join(hint_small(buckets.select("band", "h", "blocks"), n), ["band", "h"]).groupBy("key").agg(F.first("rep").alias("rep"), F.collect_list(member).alias("held"))
     members = cut(members)
     at_block = lambda m: F.named_struct(F.lit("band"), m["band"], F.lit("h"), m["h"], F.lit("part"), F.lit(0), F.lit("block"), m["block"])
     dealt = members.select("key", F.transform("held", at_block).alias("places"))
     if not large.isEmpty():
         led = large.select(F.explode("leaders").alias("key"), F.transform(_numbers("blocks"), lambda j: _place(F.lit(0), j)).alias("places"))
         dealt = dealt.unionByName(led)
-    roots = cut(components(_compared(dealt, element_sets(read, members, members.count()), threshold)))
-    # members of large buckets that the first round left outside the largest component of their bucket
+    known = lambda found: found if roots is None else found.unionByName(roots.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    roots = cut(components(known(_compared(dealt, element_sets(read, members, members.count()), threshold))))
+    # members of large buckets that this left outside the largest component of their bucket
     placed = members.select("key", "rep", F.explode(F.filter("held", lambda m: m["blocks"] > 1)).alias("m")).select("key", "rep", "m.*")
     rooted = placed.join(hint_small(roots, roots.count()), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = rooted.groupBy("band", "h", "root").agg(F.count("*").alias("n"))
@@ -281,8 +295,16 @@ def links(entries: DataFrame, read: DataFrame, threshold: float) -> DataFrame:
     asked = rooted.filter("root <> most").select("key", F.transform(_numbers("blocks"), lambda j: _place(part, j)).alias("places"))
     others = rooted.select("key", F.transform(_numbers("parts"), lambda i: _place(i, F.col("block"))).alias("places"))
     wanted = cut(rooted.groupBy("key").agg(F.first("rep").alias("rep")))
-    found = _compared(asked.unionByName(others), element_sets(read, wanted, wanted.count()), threshold)
-    return cut(components(found.unionByName(roots.select(F.col("key").alias("a"), F.col("root").alias("b")))))
+    return cut(components(known(_compared(asked.unionByName(others), element_sets(read, wanted, wanted.count()), threshold))))
+
+
+def links(keys: DataFrame, read: DataFrame, threshold: float) -> DataFrame:
+    """(key, root) of all that is linked, from ``keys(key, rep, weight, bands)``: a few bands first, which join most near
+    copies, then, of the others, only buckets whose members aren't all joined yet."""
+    roots = None
+    for bands in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+        roots = _round(keys, bands, read, threshold, roots)
+    return keys.select("key", F.col("key").alias("root")).limit(0) if roots is None else roots
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,8 +315,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     made = cut(nodes(read, bands=bands, rows=rows))
     distinct = made.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    entries = distinct.select("key", "rep", "weight", F.posexplode("bands").alias("band", "h"))
-    roots = links(entries, read, threshold)
+    roots = links(cut(distinct), read, threshold)
     named = made.select("doc_id", "key").join(roots.withColumnRenamed("root", "found"), "key", "left").withColumn("root", F.coalesce("found", "key"))
     sizes = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_doc"), F.count("*").alias("class_rows")).filter("class_rows > 1")
     sizes = cut(sizes)
