@@ -54,6 +54,27 @@ def admitted(edges: DataFrame, held: DataFrame, schemes: DataFrame, standard: tu
     return found if unique else found.distinct()
 
 
+def admitted_by_lane(edges: DataFrame, held: DataFrame, schemes: DataFrame, standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct lane, src, dst and edge_type of edges whose ends are both ok: what ``readmitted`` goes on from."""
+    sources = verdicts(edges.select("lane", "src", "dst", "edge_type"), held, schemes, "src", standard, literal).filter("verdict = 'ok'").drop("verdict")
+    return verdicts(sources, held, schemes, "dst", standard, literal).filter("verdict = 'ok'").drop("verdict").distinct()
+
+
+def readmitted(before: DataFrame, edges: DataFrame, held: DataFrame, schemes: DataFrame, moved: tuple[str, ...], standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> DataFrame:
+    """``admitted_by_lane`` after the lanes ``moved`` changed, equal to judging all edges again.
+
+    ``before`` is what was admitted then; ``edges`` and ``held`` have all lanes as they are now, ``schemes`` hasn't changed
+    (else all is judged again). Judged are the edges of a moved lane, and those of other lanes with an end whose scheme is a
+    moved lane or is owned by one, whether they were admitted or not; no other verdict can turn. The schemes that moved
+    lanes own reach the driver, a row each.
+    """
+    through = sorted({*moved, *(r[0] for r in schemes.filter(F.col("lane").isin(*moved)).select("scheme").distinct().collect())})
+    ends = [F.coalesce(C.scheme(F.col(e)).isin(*through), F.lit(False)) for e in ("src", "dst")]
+    turns = F.col("lane").isin(*moved) | ends[0] | ends[1]
+    again = admitted_by_lane(edges.filter(turns), held, schemes, standard, literal)
+    return before.filter(~turns).select(*again.columns).unionByName(again)
+
+
 def dangling(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """Ends that no owner holds, with how many edge instances point there."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))

@@ -44,20 +44,27 @@ def steps(edges: DataFrame | Walkable, relations: Sequence[str] | None = None, d
     return reduce(DataFrame.unionByName, ways)
 
 
-def reach(seeds: DataFrame, adj: DataFrame, depth: int, first_adj: DataFrame | None = None, target: str | None = None, max_nodes: int | None = None) -> DataFrame:
+def reach(seeds: DataFrame, adj: DataFrame, depth: int, first_adj: DataFrame | None = None, target: str | DataFrame | None = None, max_nodes: int | None = None, begun: DataFrame | None = None) -> DataFrame:
     """seed, node, hop, via, relation and trail of all nodes within ``depth`` hops; the seed has hop 0.
 
     Of several discoverers in one level the first counts: by its own order, then outgoing before incoming edges, then by
     neighbour and relation. ``trail`` is that order: a step (against, node, relation) for each hop, so no level is
     numbered in one task. ``first_adj`` holds edges that are only walked from the seed. The loop ends when a level adds
-    nothing, once ``target`` has been reached from every seed, or once more than ``max_nodes`` are held.
+    nothing, once ``target`` (a node, or one of a column ``node``) has been reached from every seed, or once more than
+    ``max_nodes`` are held. ``begun`` is what an earlier walk of the same seeds returned: it is gone on with from its last
+    level, which is whole, since a walk only stops between levels.
     """
     none = F.lit(None).cast("string")
-    start = F.array().cast("array<struct<against:boolean,node:string,relation:string>>")
-    frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), none.alias("via"), none.alias("relation"), start.alias("trail")))
-    visited, size, n_seeds = frontier, frontier.count(), None
-    held = size
-    for hop in range(1, depth + 1):
+    goals = seeds.sparkSession.createDataFrame([(target,)], "node string") if isinstance(target, str) else target
+    if begun is None:
+        start = F.array().cast("array<struct<against:boolean,node:string,relation:string>>")
+        visited = frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), none.alias("via"), none.alias("relation"), start.alias("trail")))
+        held, last = frontier.count(), 0
+    else:
+        held, last = begun.agg(F.count("*"), F.max("hop")).first()
+        visited, frontier = begun, begun.filter(F.col("hop") == last)
+    size, n_seeds = frontier.count(), None
+    for hop in range((last or 0) + 1, depth + 1):
         walked = adj if hop > 1 or first_adj is None else adj.unionByName(first_adj)
         left = frontier.select("seed", F.col("node").alias("via"), F.col("trail").alias("before"))
         left = F.broadcast(left) if size <= FRONTIER_BROADCAST else left
@@ -73,9 +80,9 @@ def reach(seeds: DataFrame, adj: DataFrame, depth: int, first_adj: DataFrame | N
         visited, held = visited.unionByName(frontier), held + size
         if max_nodes is not None and held > max_nodes:
             break
-        if target is not None:
+        if goals is not None:
             n_seeds = n_seeds or seeds.select("seed").distinct().count()
-            if visited.filter(F.col("node") == target).select("seed").distinct().count() == n_seeds:
+            if visited.join(goals, "node", "left_semi").select("seed").distinct().count() == n_seeds:
                 break
     return visited
 
@@ -121,16 +128,22 @@ def path_to(edges: DataFrame | Walkable, source: str, target: str, max_depth: in
         return [], "seed-absent" if source not in present else "target-absent"
     seeds = spark.createDataFrame([(source,)], "seed string")
     found = cut(reach(seeds, steps(edges, relations), max_depth, target=target, max_nodes=max_nodes))
-    node, out = target, []
-    while True:
-        row = found.filter(F.col("node") == node).select("via", "relation").head(1)
-        if not row:
-            n = found.count()
-            return [], "max_nodes" if n > max_nodes else "max_depth" if found.agg(F.max("hop")).first()[0] == max_depth else None
-        if row[0]["via"] is None:
-            return [(source, ""), *reversed(out)], None
-        out.append((node, row[0]["relation"]))
-        node = row[0]["via"]
+    return outcome(found, source, target, max_depth, max_nodes)
+
+
+def frame(found: DataFrame, source: str, node: str) -> list[tuple[str, str]] | None:
+    """(node, relation) steps from the source to a node that a walk of one seed visited, or None."""
+    row = found.filter((F.col("seed") == source) & (F.col("node") == node)).select("trail").head(1)
+    return [(source, ""), *((s["node"], s["relation"]) for s in row[0]["trail"])] if row else None
+
+
+def outcome(found: DataFrame, source: str, target: str, max_depth: int, max_nodes: int) -> tuple[list[tuple[str, str]], str | None]:
+    """What ``path_to`` returns, of a walk that has ended."""
+    path = frame(found, source, target)
+    if path is not None:
+        return path, None
+    n, last = found.agg(F.count("*"), F.max("hop")).first()
+    return [], "max_nodes" if n > max_nodes else "max_depth" if last is not None and last >= max_depth else None
 
 
 def doc_endpoints(seeds: DataFrame, edges: DataFrame | Walkable, doc_relations: Sequence[str], depth: int) -> DataFrame:

@@ -146,6 +146,16 @@ def edge_admission(spark, sf_dir):
     return mesh.admitted(_lined(spark, sf_dir, store.table_store(spark, sf_dir).edges), held, own, ("std",), unique=True).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
+@query(_CITED.replace(_HELD, " , held AS (SELECT * FROM nodes)") + " SELECT lane, edge_type, count(*) AS n FROM (SELECT DISTINCT lane, src, dst, edge_type FROM judged WHERE verdict = 'ok') GROUP BY ALL")
+def lane_readmission(spark, sf_dir):
+    """The nations of odd key come back: of what was admitted without them, only edges that reach their lane are judged again."""
+    every = store.table_store(spark, sf_dir)
+    (held, own), edges = _held(spark, sf_dir), _lined(spark, sf_dir, every.edges)
+    before = mesh.admitted_by_lane(edges, held, own, ("std",))
+    after = mesh.readmitted(before, edges, every.nodes.select("id", F.col("corpus").alias("lane")), own, ("geo",), ("std",))
+    return after.groupBy("lane", "edge_type").agg(F.count("*").alias("n"))
+
+
 @query(_HELD + " SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM held) GROUP BY id")
 def dangling_endpoints(spark, sf_dir):
     return mesh.dangling(P.edges(spark, sf_dir), _broken(spark, sf_dir))

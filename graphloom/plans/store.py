@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from graphloom.functions import columns as C
-from graphloom.operators import mesh
+from graphloom.operators import mesh, traverse
 from graphloom.operators.lookup import Refused, triples
 from graphloom.operators.traverse import Walkable
 from graphloom.session import shared_folder
@@ -172,6 +172,71 @@ def cached_walk(spark: SparkSession, home: str, generation: str, door: str, seed
     return fresh
 
 
+def recall(spark: SparkSession, home: str, generation: str, seed: str | None = None, target: str | None = None) -> DataFrame | None:
+    """The stored rows of a generation whose walk began at ``seed``, or that arrive at ``target``; None with no walk stored."""
+    if (seed is None) == (target is None):
+        raise Refused("recall takes a seed or a target, and not both")
+    found = _read(spark, f"{home}/walks")
+    if found is None:
+        return None
+    asked = F.col("walk_seed") == seed if seed is not None else F.col("node") == target
+    return found.filter((F.col("generation") == generation) & asked).select("door", F.col("walk_seed").alias("seed"), "depth", "hop", "node", "via", "relation", "trail")
+
+
+def spliced_path(spark: SparkSession, held: Store, home: str, source: str, target: str, max_depth: int = 6, max_nodes: int = traverse.MAX_NODES) -> tuple[list[tuple[str, str]], str | None, str]:
+    """(steps, reason, how): as ``traverse.path_to``, through the undirected walks stored under the door ``walk``.
+
+    ``store``: the walk of the source holds the target, and no edge is read. ``spliced``: the walk met the seed of a stored
+    one that holds it, and its steps follow; of several, the one whose whole path is shortest, then the smallest id. Else
+    ``live``. A spliced path is a true one, but may be longer than the shortest.
+    """
+    kept = recall(spark, home, held.generation, target=target)
+    if kept is not None:
+        kept = kept.filter("door = 'walk'").groupBy(F.col("seed").alias("node")).agg(F.min_by("trail", "hop").alias("rest"))
+        own = kept.filter(F.col("node") == source).head(1)
+        if own:
+            return [(source, ""), *((s["node"], s["relation"]) for s in own[0]["rest"])], None, "store"
+    seeds, goals = spark.createDataFrame([(source,)], "seed string"), spark.createDataFrame([(target,)], "node string")
+    goals = goals if kept is None else goals.unionByName(kept.select("node"))
+    found = traverse.cut(traverse.reach(seeds, traverse.steps(held.walk), max_depth, target=goals, max_nodes=max_nodes))
+    live = traverse.outcome(found, source, target, max_depth, max_nodes)
+    if live[0] or kept is None:
+        return *live, "live"
+    met = found.join(kept, "node").orderBy(F.size("trail") + F.size("rest"), "node").head(1)
+    if not met:
+        return *live, "live"
+    return [(source, ""), *((s["node"], s["relation"]) for s in [*met[0]["trail"], *met[0]["rest"]])], None, "spliced"
+
+
+def save_cursor(home: str, generation: str, found: DataFrame) -> str:
+    """Write a walk that was stopped, with its generation; returns the cursor that ``resume`` takes."""
+    cursor = uuid.uuid4().hex
+    found.withColumn("generation", F.lit(generation)).write.parquet(f"{home}/cursors/{cursor}")
+    return cursor
+
+
+def open_cursor(spark: SparkSession, held: Store, home: str, cursor: str) -> DataFrame:
+    """The walk behind a cursor; refuses one that isn't there or that walked another generation."""
+    found = _read(spark, f"{home}/cursors/{cursor}")
+    row = found.select("generation").head(1) if found is not None else []
+    if not row:
+        raise Refused(f"no walk is kept under {cursor!r}")
+    if row[0][0] != held.generation:
+        raise Refused(f"the cursor walked generation {row[0][0][:16]}, the store is at {held.generation[:16]}")
+    return found.drop("generation")
+
+
+def resume(spark: SparkSession, held: Store, home: str, cursor: str, target: str, max_depth: int = 6, max_nodes: int = traverse.MAX_NODES) -> tuple[list[tuple[str, str]], str | None, str]:
+    """(steps, reason, cursor): a path walk gone on with from where it was stopped, and a cursor of where it is now."""
+    begun = open_cursor(spark, held, home, cursor)
+    source = begun.select("seed").head(1)[0][0]
+    seeds = spark.createDataFrame([(source,)], "seed string")
+    found = begun
+    if traverse.frame(begun, source, target) is None:
+        found = traverse.cut(traverse.reach(seeds, traverse.steps(held.walk), max_depth, target=target, max_nodes=max_nodes, begun=begun))
+    return *traverse.outcome(found, source, target, max_depth, max_nodes), save_cursor(home, held.generation, found)
+
+
 def replay(walk: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps of a stored walk that no longer hold: ``node died`` or ``edge died``."""
     ids = nodes.select(F.col("id").alias("node"))
