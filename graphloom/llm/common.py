@@ -21,6 +21,19 @@ SALTS = 64
 #: A word of whole-text counts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: CTEs for DuckDB's SQL, which has no crc32: the table of the usual polynomial, made by its rule.
+CRC_TABLE_SQL = """crc_step(b, k, v) AS (
+  SELECT b::UBIGINT, 0, b::UBIGINT FROM range(256) x(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM crc_step WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY b) AS t FROM crc_step WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB's SQL for the crc32 of an expression's UTF-8 bytes, with ``t`` of ``CRC_TABLE_SQL`` in scope."""
+    data = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || hex(encode({text})[i:i]))::UBIGINT)"
+    step = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {data}), {step}), 4294967295::UBIGINT)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
