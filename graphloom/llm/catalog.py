@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express one, its DuckDB oracle."""
 
-from graphloom.llm import decontaminate, host_rules, html_text, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity
+from graphloom.llm import decontaminate, host_rules, html_text, importance, language_model, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, turn_repair
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_line_dedup": line_dedup.query,
     "op10_host_rules": host_rules.query,
+    "op11_turn_repair": turn_repair.query,
+    "op12_language_model": language_model.query,
+    "op13_importance": importance.query,
 }
 
 ORACLES = {
@@ -21,4 +24,6 @@ ORACLES = {
     "op5_mix_sources": mixing.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_host_rules": host_rules.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
+    "op13_importance": importance.ORACLE,
 }
