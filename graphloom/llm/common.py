@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Let the shuffle files of a query go as soon as it ends, where Spark knows the setting; for what is written at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if before is None:
+        yield
+        return
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Return what freed arrays and batches still hold to the system. Python workers live on into later stages, beside
     others of their executor, so a task calls this after each batch."""
