@@ -42,14 +42,24 @@ def windows(captures: DataFrame, key: str, at: str) -> DataFrame:
 def in_window(points: DataFrame, captures: DataFrame, key: str, at: str) -> DataFrame:
     """Each point with the end of the first window of its key that holds it, by one ordered pass instead of a range join.
 
-    Points and captures are put in one order; the next capture at or after a point ends its window, and the window is
-    open below unless a capture came before.
+    Points and captures are put in one order, from the last backwards, so that the next capture at or after a point, which
+    ends its window, is the last one seen: a running value. The window is open below unless a capture came before.
     """
     marks = points.select(key, F.col("point_id"), F.col(at).alias("t"), F.lit(0).alias("is_capture")).unionByName(captures.select(key, F.lit(None).cast("long").alias("point_id"), F.col(at).alias("t"), F.lit(1).alias("is_capture")))
-    order = Window.partitionBy(key).orderBy("t", "is_capture")
-    high = F.first(F.when(F.col("is_capture") == 1, F.col("t")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    earlier = F.min(F.when(F.col("is_capture") == 1, F.col("t"))).over(Window.partitionBy(key))
-    return marks.withColumn("high", high).withColumn("earlier", earlier).filter("is_capture = 0 AND high IS NOT NULL AND earlier < t").select(key, "point_id", "high")
+    order = Window.partitionBy(key).orderBy(F.col("t").desc(), F.col("is_capture").desc())
+    high = F.last(F.when(F.col("is_capture") == 1, F.col("t")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = captures.groupBy(key).agg(F.min(at).alias("earlier"))
+    timed = marks.withColumn("high", high).filter("is_capture = 0 AND high IS NOT NULL")
+    return timed.join(first, key).filter("earlier < t").select(key, "point_id", "high")
+
+
+def as_of(points: DataFrame, marks: DataFrame, key: str, at: str) -> DataFrame:
+    """Each point with ``since``, the time of the last mark of its key at or before it (null before the first), by one sort of
+    both: a running value instead of a range join. ``points`` have the key, the time and ``row``."""
+    both = points.select(key, "row", F.col(at).alias("t"), F.lit(1).alias("is_point")).unionByName(marks.select(key, F.lit(None).cast(points.schema["row"].dataType).alias("row"), F.col(at).alias("t"), F.lit(0).alias("is_point")))
+    order = Window.partitionBy(key).orderBy("t", "is_point").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("since", F.last(F.when(F.col("is_point") == 0, F.col("t")), ignorenulls=True).over(order))
+    return seen.filter("is_point = 1").select(key, "row", F.col("t").alias(at), "since")
 
 
 def moves(receipts: DataFrame, series: str, at: str, top: int = 4) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
@@ -119,6 +119,18 @@ def release_collisions(pins: DataFrame) -> DataFrame:
     return pins.groupBy("scheme").agg(F.count_distinct("version").alias("n"), F.array_sort(F.collect_set("version")).alias("versions")).filter("n > 1")
 
 
+def _limb_sums(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Each row's sha256 in eight limbs of 32 bits, and the sums of their halves, which stay within a long."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(n).cast("string") for n in sorted(rows.columns))]
+    hashed = rows.withColumn("graphloom_hash", F.sha2(F.concat(*parts), 256))
+    limb = lambda i: F.conv(F.substring("graphloom_hash", LIMB * i + 1, LIMB), 16, 10).cast("long")
+    return hashed, [x for i in range(8) for x in (F.sum(F.shiftright(limb(i), 16)).alias(f"h{i}"), F.sum(limb(i).bitwiseAND(F.lit(0xFFFF))).alias(f"b{i}"))]
+
+
+def _carried(found) -> int:
+    return sum((int(found[f"h{i}"] or 0) * 2**16 + int(found[f"b{i}"] or 0)) << (32 * (7 - i)) for i in range(8)) % 2**256
+
+
 def rows_digest(rows: DataFrame) -> str:
     """An order-free digest: the sum mod 2**256 of each row's sha256.
 
@@ -126,12 +138,14 @@ def rows_digest(rows: DataFrame) -> str:
     sum is taken by halves of 32-bit limbs, as longs, in one aggregation; only sixteen numbers reach the driver, where
     carries are made. It can be updated by adding and subtracting rows.
     """
-    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(n).cast("string") for n in sorted(rows.columns))]
-    hashed = rows.select(F.sha2(F.concat(*parts), 256).alias("h"))
-    limbs = hashed.select(*[F.conv(F.substring("h", LIMB * i + 1, LIMB), 16, 10).cast("long").alias(f"l{i}") for i in range(8)])
-    halves = [x for i in range(8) for x in (F.sum(F.shiftright(f"l{i}", 16)).alias(f"h{i}"), F.sum(F.col(f"l{i}").bitwiseAND(F.lit(0xFFFF))).alias(f"b{i}"))]
-    found = limbs.agg(*halves).first()
-    return f"{sum((int(found[f'h{i}'] or 0) * 2**16 + int(found[f'b{i}'] or 0)) << (32 * (7 - i)) for i in range(8)) % 2**256:064x}"
+    hashed, sums = _limb_sums(rows)
+    return f"{_carried(hashed.agg(*sums).first()):064x}"
+
+
+def rows_digests(rows: DataFrame, by: str) -> dict[str, int]:
+    """``rows_digest`` of the rows of each value of a column, as numbers; a row per value reaches the driver."""
+    hashed, sums = _limb_sums(rows)
+    return {r[by]: _carried(r) for r in hashed.groupBy(by).agg(*sums).collect()}
 
 
 def generation(nodes: DataFrame, edges: DataFrame, roster: list[str]) -> str:
@@ -144,6 +158,26 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: tuple[str, ...] = ("
     return right.join(left, list(key), "left_anti").withColumn("change", F.lit("born")).unionByName(left.join(right, list(key), "left_anti").withColumn("change", F.lit("died")))
 
 
+def changes(before: DataFrame, after: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """Births and deaths of ids between two node tables, and of the edges that went and came: kind, change, id, src, dst,
+    edge_type."""
+    none = F.lit(None).cast("string")
+    ids = snapshot_diff(before, after).select(F.lit("node").alias("kind"), "change", "id", none.alias("src"), none.alias("dst"), none.alias("edge_type"))
+    ends = [rows.select(F.lit("edge").alias("kind"), F.lit(change).alias("change"), none.alias("id"), "src", "dst", "edge_type") for rows, change in ((come, "born"), (gone, "died"))]
+    return ids.unionByName(ends[0]).unionByName(ends[1])
+
+
+def snapshot_counts(before: DataFrame, after: DataFrame, key: tuple[str, ...] = ("src", "edge_type", "dst"), by: str = "lane") -> DataFrame:
+    """Per value of ``by``: keys born, died and kept between two snapshots, in one full outer pass over the keys.
+
+    ``before`` and ``after`` have the keys (nulls are keys, too) and ``by``; keys that repeat count once.
+    """
+    left, right = (rows.select(by, *key).distinct().withColumn(side, F.lit(True)) for rows, side in ((before, "was"), (after, "is")))
+    on = [by, *key]
+    both = left.unionByName(right, allowMissingColumns=True).groupBy(*on).agg(F.max("was").alias("was"), F.max("is").alias("is"))
+    return both.groupBy(by).agg(F.count_if(F.col("was").isNull()).alias("born"), F.count_if(F.col("is").isNull()).alias("died"), F.count_if(F.col("was").isNotNull() & F.col("is").isNotNull()).alias("kept"))
+
+
 def update(owners: DataFrame, kept_lanes: DataFrame, new_lane: DataFrame, lane: str) -> DataFrame:
     """Ownership after one lane is replaced: only ids held there before or after are decided again.
 

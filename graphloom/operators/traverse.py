@@ -161,14 +161,16 @@ def activate(seeds: DataFrame, weighted: DataFrame, depth: int, decay: float = 0
     the first to hand a node a positive energy claims it, and each node is claimed once.
     """
     positive = F.greatest(F.col("salience"), F.lit(0.0))
-    total = F.sum(positive).over(Window.partitionBy("node"))
-    shared = cut(weighted.withColumn("share", positive / F.when(total > 0, total).otherwise(1.0)))  # once, not for each hop
     frontier = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), F.lit(1.0).alias("energy"), F.lit(None).cast("double").alias("salience")))
     visited, size = frontier, frontier.count()
     for hop in range(1, depth + 1):
-        left = frontier.select("seed", F.col("node").alias("parent"), F.col("energy").alias("given"))
-        left = F.broadcast(left) if size <= FRONTIER_BROADCAST else left
-        met = shared.join(left, shared["node"] == left["parent"]).select("seed", "parent", "given", F.col("other").alias("node"), "salience", (F.col("given") * F.lit(decay) * F.col("share")).alias("energy"))
+        small = (lambda df: F.broadcast(df)) if size <= FRONTIER_BROADCAST else (lambda df: df)
+        # only the frontier's edges are read, and their totals are summed before they meet
+        at = cut(weighted.join(small(frontier.select("node").distinct()), "node", "left_semi"))
+        total = at.groupBy("node").agg(F.sum(positive).alias("total"))
+        left = small(frontier.select("seed", F.col("node").alias("parent"), F.col("energy").alias("given")))
+        share = positive / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0)
+        met = at.join(small(total), "node").withColumn("share", share).join(left, F.col("node") == F.col("parent")).select("seed", "parent", "given", F.col("other").alias("node"), "salience", (F.col("given") * F.lit(decay) * F.col("share")).alias("energy"))
         claim = F.min(F.struct((-F.col("given")).alias("a"), F.col("parent").alias("b"), (-F.col("salience")).alias("c"), F.col("energy").alias("energy")))
         fresh = met.filter("energy > 0").groupBy("seed", "node").agg(claim.alias("f")).join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
         frontier = cut(fresh.select("seed", "node", F.lit(hop).alias("hop"), F.col("f.energy").alias("energy"), (-F.col("f.c")).alias("salience")))

@@ -781,3 +781,6 @@ _same("sql_having_distinct", "SELECT src, count(DISTINCT dst) AS n FROM adj WHER
 _same("sql_correlated", "SELECT n.id FROM nodes n WHERE n.corpus = 'geo' AND EXISTS (SELECT 1 FROM adj a WHERE a.dst = n.id AND a.corpus = 'party') AND n.id NOT IN (SELECT dst FROM adj WHERE edge_type = 'within')")
 _same("sql_top", "SELECT dst, count(*) AS n FROM adj GROUP BY dst ORDER BY n DESC, dst LIMIT 10")
 _free("sql_json_attributes", "SELECT node_type, sum(get_json_object(to_json(named_struct('k', length(id))), '$.k')) AS total FROM nodes GROUP BY node_type", "SELECT node_type, CAST(sum(CAST(json_extract_string(json_object('k', length(id)), '$.k') AS DOUBLE)) AS DOUBLE) AS total FROM nodes GROUP BY node_type")
+
+
+from graphloom.plans import upkeep_queries  # noqa: E402, F401  registers its queries, with what stands above

@@ -27,6 +27,8 @@ from graphloom.sources import projection
 
 MAX_IDS = 5_000
 ROW_GROUP = 4 << 20
+#: Changes when the layout of a store's files does.
+LAYOUT = 2
 NO_VOCABULARY = "edge_type string, classes array<string>"
 
 
@@ -70,9 +72,12 @@ class Store(NamedTuple):
 
 
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The rows under a path; None where nothing stands. What stands there and can't be read is an error."""
     try:
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
@@ -140,12 +145,19 @@ def files_digest(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(listed)).encode()).hexdigest()
 
 
+def format_digest() -> str:
+    """A digest of what decides a store's rows besides its tables: layout, projection and declared classes."""
+    return hashlib.sha256(repr((LAYOUT, projection.NODES, projection.EDGES, sorted(C.CLASSES.items()))).encode()).hexdigest()
+
+
 def table_store(spark: SparkSession, sf_dir: str) -> Store:
-    """The store of the projected tables, compiled at the first question and again once a table's files change.
+    """The store of the projected tables, compiled at the first question and again once a table's files, the projection or
+    the layout change.
 
-    It stands in the shared folder under a digest of the files, so that a stale one is never opened.
+    It stands in the shared folder under a digest of these, so that a stale one is never opened.
     """
-    digest = files_digest(spark, [f"{sf_dir}/{name}.parquet" for name in projection.TABLES])
+    files = files_digest(spark, [f"{sf_dir}/{name}.parquet" for name in projection.TABLES])
+    digest = hashlib.sha256(f"{format_digest()} {files}".encode()).hexdigest()
     folder = f"{shared_folder(spark)}/stores/{digest[:32]}"
     if _read(spark, f"{folder}/done") is None:
         fresh = f"{folder}-{uuid.uuid4().hex}"

@@ -1,9 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import lookup, mesh, traverse
 from graphloom.operators.lookup import Refused
 from graphloom.plans import store
+from graphloom.sources import projection as P
 
 
 def tables(spark, nodes, edges):
@@ -74,12 +77,32 @@ def test_store_answers_as_the_operators_over_raw_edges_do(spark, tmp_path):
 
 
 def test_table_store_is_compiled_again_when_a_file_changes(spark, tmp_path):
-    import shutil
-
-    shutil.copytree("/root/testdata/sf0.001", tmp_path / "t")
+    (tmp_path / "t").mkdir()
+    for name in P.TABLES:  # the bytes alone: the folder they come from can't be written to
+        (tmp_path / f"t/{name}.parquet").write_bytes(Path(f"/root/testdata/sf0.001/{name}.parquet").read_bytes())
     first = store.table_store(spark, str(tmp_path / "t"))
     assert store.table_store(spark, str(tmp_path / "t")).generation == first.generation
     (tmp_path / "t/region.parquet").unlink()
     spark.read.parquet("/root/testdata/sf0.001/region.parquet").limit(2).write.parquet(str(tmp_path / "t/region.parquet"))
     second = store.table_store(spark, str(tmp_path / "t"))
     assert second.generation != first.generation and first.nodes.count() - second.nodes.count() == 3
+
+
+def test_table_store_of_another_projection_is_compiled_anew(spark, tmp_path, monkeypatch):
+    for name in P.TABLES:
+        (tmp_path / f"{name}.parquet").write_bytes(Path(f"/root/testdata/sf0.001/{name}.parquet").read_bytes())
+    first = store.table_store(spark, str(tmp_path))
+    monkeypatch.setattr(P, "EDGES", P.EDGES[1:])
+    second = store.table_store(spark, str(tmp_path))
+    assert second.generation != first.generation
+    assert first.edges.filter("edge_type = 'placed_by'").head(1) and not second.edges.filter("edge_type = 'placed_by'").head(1)
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "LAYOUT", -1)
+    assert store.table_store(spark, str(tmp_path)).generation not in (first.generation, second.generation)
+
+
+def test_a_damaged_pointer_is_an_error_and_not_an_empty_home(spark, tmp_path):
+    assert store.served(spark, str(tmp_path)) is None
+    spark.range(3).write.parquet(str(tmp_path / "pointer"))
+    with pytest.raises(Exception, match="at"):
+        store.served(spark, str(tmp_path))
