@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,10 @@ BLOCK_TAGS = frozenset(
     "html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: What these hold is never article text.
-AWAY_TAGS = frozenset("nav footer aside form button select option dialog menu head title search fieldset".split())
+AWAY_TAGS = frozenset("nav footer aside button select option dialog menu head title search".split())
+#: What these hold isn't either, unless it is most of the page's text.
+DOUBTFUL_TAGS = frozenset(["form", "fieldset"])
+MOST = 0.5
 MAIN_TAGS = frozenset(["article", "main"])
 #: An open one of the key ends where one of its values begins, as HTML parsers do.
 ENDED_BY = {
@@ -65,8 +69,13 @@ AWAY_WORDS = frozenset(
     "footer foot header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog comment comments reply replies disqus discussion respond "
     "share sharing social follow subscribe subscription newsletter signup login search related recommended recommendations widget widgets toolbar skip complementary contentinfo form".split()
 )
-MAIN_WORDS = frozenset("article content main post story entry body text".split())
+#: Of those, words of readers' own texts, which may be longer than the article.
+READERS_WORDS = frozenset("comment comments reply replies disqus discussion respond".split())
 SOFT_WORDS = frozenset("article content post story entry".split())
+#: By tag, the open elements that its beginning may end.
+ENDS = {tag: [t for t, by in ENDED_BY.items() if tag in by] for tag in BLOCK_TAGS}
+#: Doubtful elements around a block that are looked at, outermost first; deeper ones are inside those.
+DEEPEST = 8
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose blocks belong to the element around them.
 LEAVES = HEADINGS | frozenset("p li dt dd td th pre caption figcaption blockquote summary".split())
@@ -81,8 +90,8 @@ _PIECE = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _LAST = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.IGNORECASE) for tag in UNSHOWN}
@@ -95,6 +104,7 @@ class Block:
     link_chars: int
     away: bool  # held by something that is never article text
     main: bool  # held by an article
+    doubts: tuple[int, ...] = ()  # the elements around it that are away unless they hold most of the page's text
     soft: bool = False  # held by something named as content
     heading: bool = False
     parent: int = 0  # the element that it shares with its siblings
@@ -113,15 +123,24 @@ class _Open:
     main: bool
     soft: bool = False
     number: int = 0
+    doubts: tuple[int, ...] = ()
 
 
-def _named_words(attrs: str) -> frozenset[str]:
-    if not attrs or attrs.isspace():
-        return frozenset()
-    out: set[str] = set()
-    for found in _NAMED.findall(attrs):
-        out.update(_SPLIT.split(_CAMEL.sub(" ", "".join(found)).lower()))
-    return frozenset(out)
+def _attributes(attrs: str) -> dict[str, str]:
+    """Names in lower case with their values; of a name that comes twice, the first."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(attrs):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _named_words(attributes: dict[str, str]) -> frozenset[str]:
+    values = [attributes[n] for n in ("class", "id", "role") if attributes.get(n)]
+    return frozenset(w for v in values for w in _SPLIT.split(_CAMEL.sub(" ", v).lower()))
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -131,6 +150,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     unclosed: set[str] = set()
+    standing: Counter[str] = Counter()  # open elements by tag
     link_depth, opened = -1, 0  # elements open where the open link began, -1 without one
 
     def flush() -> None:
@@ -141,12 +161,13 @@ def blocks_of(page: str) -> list[Block]:
                 linked = len(" ".join(entities.unescape(" ".join(links)).split()))
                 top = stack[-1] if stack else _Open("", False, False)
                 around = stack[-2] if top.tag in LEAVES and len(stack) > 1 else top
-                out.append(Block(text, linked, top.away, top.main, top.soft, top.tag in HEADINGS, around.number))
+                out.append(Block(text, linked, top.away, top.main, top.doubts, top.soft, top.tag in HEADINGS, around.number))
             parts.clear()
             links = []
 
     def close(k: int) -> None:
         nonlocal link_depth
+        standing.subtract(o.tag for o in stack[k:])
         del stack[k:]
         if link_depth > k:
             link_depth = -1
@@ -183,12 +204,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if standing[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
             continue
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, -1, -1) if any(standing[t] for t in ENDS.get(tag, ())) else ():
             if tag in ENDED_BY.get(stack[k].tag, ()):
                 close(k)
                 break
@@ -197,19 +218,34 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         top = stack[-1] if stack else _Open("", False, False)
-        words = _named_words(attrs)
-        main = top.main or tag in MAIN_TAGS or "main" in words and "role" in attrs.lower()
-        away = top.away or tag in AWAY_TAGS or tag == "header" and not main or bool(_HIDDEN.search(attrs))
-        if tag not in ("html", "body", "article", "main"):
-            away = away or bool(words & AWAY_WORDS) and not (words & MAIN_WORDS and not words & {"comment", "comments", "sidebar", "ad", "ads", "related"})
+        attributes = _attributes(attrs) if attrs and not attrs.isspace() else {}
+        words = _named_words(attributes)
+        main = top.main or tag in MAIN_TAGS or attributes.get("role", "").strip().lower() == "main"
+        away = top.away or tag in AWAY_TAGS or tag == "header" and not main or _hidden(attributes)
+        named = tag not in ("html", "body", "article", "main") and bool(words & AWAY_WORDS)
+        away = away or named and bool(words & READERS_WORDS)
         opened += 1
-        stack.append(_Open(tag, away, main, top.soft or tag != "body" and bool(words & SOFT_WORDS), opened))
+        doubts = (*top.doubts, opened) if tag in DOUBTFUL_TAGS or named else top.doubts
+        stack.append(_Open(tag, away, main, top.soft or tag != "body" and not named and bool(words & SOFT_WORDS), opened, doubts[:DEEPEST]))
+        standing[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
+    settle_doubts(out)
     return out
 
 
+def settle_doubts(blocks: list[Block]) -> None:
+    """Forms and elements with a name that speaks against them go, unless one holds most of the text that may be shown."""
+    sizes: Counter[int] = Counter()
+    for b in blocks:
+        if not b.away:
+            sizes.update(dict.fromkeys(b.doubts, len(b.text)))
+    whole = sum(len(b.text) for b in blocks if not b.away)
+    for b in blocks:
+        b.away = b.away or any(sizes[d] <= MOST * whole for d in b.doubts)
+
+
 def stop_density(text: str) -> float:
     words = text.split()
     return sum(w.strip(_EDGES).lower() in STOP_WORDS for w in words) / len(words)
@@ -217,7 +253,9 @@ def stop_density(text: str) -> float:
 
 def decide(blocks: list[Block]) -> None:
     """First pass: what the block alone tells. A holder only rules out; what it lets in is measured."""
-    has_main = any(b.main and not b.away for b in blocks)
+    # an article counts as one only if it isn't outweighed by what reads like paragraphs elsewhere: a teaser is
+    inside = sum(len(b.text) for b in blocks if b.main and not b.away)
+    has_main = inside > 0 and inside >= sum(len(b.text) for b in blocks if not b.main and not b.away and len(b.text) >= SHORT and b.link_chars < LOW_LINKS * len(b.text))
     for i, b in enumerate(blocks):
         if b.away or has_main and not b.main:
             b.label = False
@@ -281,7 +319,7 @@ def inherit(blocks: list[Block]) -> None:
     in_main = {i: tuple(None if k is None else inner[k] for k in pair) for i, pair in zip(inner, near, strict=True)}
     labels = []
     for i, (b, pair) in enumerate(zip(blocks, _neighbours(blocks), strict=True)):
-        choices = [siblings[i], in_main[i]] if b.main else [siblings[i], pair]
+        choices = [siblings[i], in_main[i]] if i in in_main else [siblings[i], pair]
         found = next((c for c in choices if c != (None, None)), None)
         labels.append(b.label if b.label is not None else found is None or _taken(blocks, i, *found))
     for b, label in zip(blocks, labels, strict=True):

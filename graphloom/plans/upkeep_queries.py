@@ -126,7 +126,7 @@ def journal_marks(spark, sf_dir):
 
 # ---- many terms --------------------------------------------------------------------------------------------------------
 
-_TOP = _TERMS + ", top AS (SELECT term FROM postings GROUP BY term ORDER BY count(*) DESC, term LIMIT {0}), held AS (SELECT * FROM postings SEMI JOIN top USING (term)), boxes AS (SELECT conv_id, turn, count(*) AS k FROM held GROUP BY ALL), whole AS (SELECT * FROM boxes WHERE k = {0})"
+_TOP = _TERMS + ", top AS (SELECT term FROM postings GROUP BY term ORDER BY count(*) DESC, term LIMIT #), held AS (SELECT * FROM postings SEMI JOIN top USING (term)), boxes AS (SELECT conv_id, turn, count(*) AS k FROM held GROUP BY ALL), whole AS (SELECT * FROM boxes WHERE k = #)"
 
 
 def _frequent(index, n):
@@ -134,7 +134,7 @@ def _frequent(index, n):
     return [r["term"] for r in index.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(n).collect()]
 
 
-@query(_TOP.format(3) + " SELECT 'sets' AS how, (SELECT count(*) FROM whole) AS joint, (SELECT count(*) FROM boxes) AS any, (SELECT count(DISTINCT conv_id) FROM whole) AS joint_sessions, (SELECT count(DISTINCT conv_id) FROM boxes) AS any_sessions UNION ALL SELECT 'bitmaps', (SELECT count(*) FROM whole), (SELECT count(*) FROM boxes), NULL, NULL", graph=False)
+@query(_TOP.replace("#", "3") + " SELECT 'sets' AS how, (SELECT count(*) FROM whole) AS joint, (SELECT count(*) FROM boxes) AS any, (SELECT count(DISTINCT conv_id) FROM whole) AS joint_sessions, (SELECT count(DISTINCT conv_id) FROM boxes) AS any_sessions UNION ALL SELECT 'bitmaps', (SELECT count(*) FROM whole), (SELECT count(*) FROM boxes), NULL, NULL", graph=False)
 def joint_search(spark, sf_dir):
     """Turns that hold all or any of the three most frequent terms, by sets and by bitmaps over numbered turns."""
     key, index = ["conv_id", "turn"], _index(spark, sf_dir)
@@ -145,14 +145,14 @@ def joint_search(spark, sf_dir):
     return sets.unionByName(bits)
 
 
-@query(_TOP.format(100) + ", own AS (SELECT term, count(*) AS own FROM held GROUP BY term), pairs AS (SELECT a.term, b.term AS other, count(*) AS shared FROM held a JOIN held b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.term <> b.term GROUP BY ALL) SELECT p.term, other, shared, a.own, round(shared / a.own, 6) AS share, shared >= 0.999 * a.own AND shared < 0.999 * b.own AS contained FROM pairs p JOIN own a ON a.term = p.term JOIN own b ON b.term = p.other", graph=False)
+@query(_TOP.replace("#", "100") + ", own AS (SELECT term, count(*) AS own FROM held GROUP BY term), pairs AS (SELECT a.term, b.term AS other, count(*) AS shared FROM held a JOIN held b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.term <> b.term GROUP BY ALL) SELECT p.term, other, shared, a.own, round(shared / a.own, 6) AS share, shared >= 0.999 * a.own AND shared < 0.999 * b.own AS contained FROM pairs p JOIN own a ON a.term = p.term JOIN own b ON b.term = p.other", graph=False)
 def term_overlap(spark, sf_dir):
     """How far each of the hundred most frequent terms stands in the turns of each other one."""
     index = _index(spark, sf_dir)
     return overlap.overlap(index.drop("n"), ["conv_id", "turn"], _frequent(index, 100))
 
 
-@query(_TOP.format(2) + ", one AS (SELECT min(term) AS a, max(term) AS b FROM top), met AS (SELECT p.term, conv_id, turn FROM postings p SEMI JOIN boxes USING (conv_id, turn) WHERE term NOT IN (SELECT term FROM top)), flagged AS (SELECT m.*, EXISTS (SELECT 1 FROM held h WHERE h.conv_id = m.conv_id AND h.turn = m.turn AND h.term = one.a) AS ha, EXISTS (SELECT 1 FROM held h WHERE h.conv_id = m.conv_id AND h.turn = m.turn AND h.term = one.b) AS hb FROM met m, one) SELECT term, count(*) AS overlap, round(100.0::DOUBLE * count(*) FILTER (WHERE ha) / (SELECT count(*) FROM held, one WHERE term = a), 6) AS first_percent, round(100.0::DOUBLE * count(*) FILTER (WHERE hb) / (SELECT count(*) FROM held, one WHERE term = b), 6) AS second_percent, round(100.0::DOUBLE * count(*) FILTER (WHERE ha AND hb) / greatest((SELECT count(*) FROM whole), 1), 6) AS joint_percent FROM flagged GROUP BY term", graph=False)
+@query(_TOP.replace("#", "2") + ", one AS (SELECT min(term) AS a, max(term) AS b FROM top), met AS (SELECT p.term, conv_id, turn FROM postings p SEMI JOIN boxes USING (conv_id, turn) WHERE term NOT IN (SELECT term FROM top)), flagged AS (SELECT m.*, EXISTS (SELECT 1 FROM held h WHERE h.conv_id = m.conv_id AND h.turn = m.turn AND h.term = one.a) AS ha, EXISTS (SELECT 1 FROM held h WHERE h.conv_id = m.conv_id AND h.turn = m.turn AND h.term = one.b) AS hb FROM met m, one) SELECT term, count(*) AS overlap, round(100.0::DOUBLE * count(*) FILTER (WHERE ha) / (SELECT count(*) FROM held, one WHERE term = a), 6) AS first_percent, round(100.0::DOUBLE * count(*) FILTER (WHERE hb) / (SELECT count(*) FROM held, one WHERE term = b), 6) AS second_percent, round(100.0::DOUBLE * count(*) FILTER (WHERE ha AND hb) / greatest((SELECT count(*) FROM whole), 1), 6) AS joint_percent FROM flagged GROUP BY term", graph=False)
 def fan_out(spark, sf_dir):
     """The terms that ride with the two most frequent ones, and how much of their turns each takes."""
     index = _index(spark, sf_dir)
