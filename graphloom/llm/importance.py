@@ -41,11 +41,12 @@ def grams_of(words: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` words, joined by one space, repeats kept."""
     if (low, high) == (1, 1):
         return words
-    runs = []
-    for n in range(low, high + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*runs)
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
 def bucketed(texts: DataFrame, carry: list[Column], text: str = "text", lengths: tuple[int, int] = LENGTHS, buckets: int = BUCKETS) -> DataFrame:
