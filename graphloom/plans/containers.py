@@ -72,12 +72,10 @@ def emit(spark: SparkSession, home: str, inputs: DataFrame, nodes: DataFrame, ed
 
 def emit_missing(spark: SparkSession, home: str, inputs: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[list[str], int]:
     """Write all that isn't fresh and has inputs; the lanes written, and how many stood fresh."""
-    held = states(spark, home, inputs).cache()
-    try:
-        written = _write(spark, home, held.filter("state <> 'fresh' AND digest IS NOT NULL"), nodes, edges)
-        return written, held.filter("state = 'fresh'").count()
-    finally:
-        held.unpersist()
+    held = states(spark, home, inputs).collect()  # a row per lane
+    todo = [(r["lane"], r["digest"]) for r in held if r["state"] != "fresh" and r["digest"] is not None]
+    written = _write(spark, home, spark.createDataFrame(todo, "lane string, digest string"), nodes, edges)
+    return written, sum(r["state"] == "fresh" for r in held)
 
 
 def rows(spark: SparkSession, home: str, lane: str, part: str) -> DataFrame:

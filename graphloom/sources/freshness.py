@@ -19,13 +19,15 @@ def lane_digests(spark: SparkSession, lanes: Mapping[str, str], required: Sequen
     The digest is null for a lane that lacks a required file. Files are read and hashed by the tasks, one file a row.
     """
     names = [*required, *([sidecar] if sidecar else [])]
-    roster = spark.createDataFrame([(lane, folder.rstrip("/"), name) for lane, folder in lanes.items() for name in names], "lane string, folder string, name string")
-    present = [f"{folder.rstrip('/')}/{name}" for folder in lanes.values() for name in names if claims.stands(spark, f"{folder.rstrip('/')}/{name}")]
+    files = [(lane, f"{folder.rstrip('/')}/{name}", name) for lane, folder in lanes.items() for name in names]
+    files = [(*f, claims.stands(spark, f[1])) for f in files]
+    roster, present = spark.createDataFrame(files, "lane string, at string, name string, there boolean"), [f[1] for f in files if f[3]]
     read = spark.read.format("binaryFile").load(present) if present else spark.createDataFrame([], "path string, content binary")
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z0-9+.-]+:/*", "/"), "//+", "/")  # noqa: E731  schemes of paths vary
     own = read.select(plain(F.col("path")).alias("path"), F.substring(F.sha2("content", 256), 1, 16).alias("digest"))
-    joined = roster.withColumn("path", plain(F.concat("folder", F.lit("/"), "name"))).join(own, "path", "left")
-    filled = joined.withColumn("digest", F.when(F.col("name") == F.lit(sidecar), F.coalesce("digest", F.lit(MISSING))).otherwise(F.col("digest")))
+    joined = roster.withColumn("path", plain(F.col("at"))).join(own, "path", "left")
+    empty = F.substring(F.sha2(F.lit(""), 256), 1, 16)  # files without a byte give no row
+    filled = joined.withColumn("digest", F.coalesce("digest", F.when(F.col("there"), empty).when(F.col("name") == F.lit(sidecar), MISSING)))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda x: F.concat(x["name"], F.lit(":"), x["digest"])), "\n")
     whole = F.when(F.count("digest") == F.count("*"), F.substring(F.sha2(parts, 256), 1, 16))
     return filled.groupBy("lane").agg(whole.alias("digest"))
@@ -33,9 +35,9 @@ def lane_digests(spark: SparkSession, lanes: Mapping[str, str], required: Sequen
 
 def moved(served: DataFrame, live: DataFrame) -> DataFrame:
     """check, subject and level: lanes of ``served(lane, digest)`` whose inputs are others now (RED), or can't be told (lost)."""
-    both = served.select("lane", F.col("digest").alias("was")).join(live.select("lane", F.col("digest").alias("now")), "lane", "full")
+    both = served.select("lane", F.col("digest").alias("was"), F.lit(True).alias("known")).join(live.select("lane", F.col("digest").alias("now")), "lane", "full")
     level = F.when(F.col("now").isNull(), "COULD-NOT-TELL").when(~F.col("was").eqNullSafe(F.col("now")), "RED")
-    subject = F.concat("lane", F.when(F.col("was").isNull(), ": not in the store").when(F.col("now").isNull(), ": no shard").otherwise(": its shard moved"))
+    subject = F.concat("lane", F.when(F.col("now").isNull(), ": no shard").when(F.col("known").isNull(), ": not in the store").otherwise(": its shard moved"))
     return both.select(F.lit("store freshness").alias("check"), subject.alias("subject"), level.alias("level")).filter("level IS NOT NULL")
 
 
@@ -54,7 +56,7 @@ def staleness(built: DataFrame, heads: DataFrame, at: str = "ts") -> DataFrame:
     ``heads(lane, ts)``; a lane without a head is not stale, and behind is null."""
     newest = heads.groupBy("lane").agg(F.max(at).alias("head"))
     joined = built.select("lane", F.col(at).alias("built")).join(newest, "lane", "left")
-    behind = F.greatest(F.col("head").cast("long") - F.col("built").cast("long"), F.lit(0))
+    behind = F.when(F.col("head").isNotNull(), F.greatest(F.col("head").cast("long") - F.col("built").cast("long"), F.lit(0)))
     return joined.withColumn("behind", behind).withColumn("stale", F.coalesce(F.col("behind") > 0, F.lit(False)))
 
 
