@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators.lookup import Refused
+from graphloom.session import cut
 
 #: Schemes that are never looked up in a shard; fixed values.
 RESERVED = ("fetch", "artifact", "impl", "doctrine", "scrape")
 LIMB = 8
+#: Schemes up to which their owners are broadcast.
+FEW = 200_000
 
 
 def ownership(lane_nodes: DataFrame) -> DataFrame:
@@ -22,42 +25,71 @@ def ownership(lane_nodes: DataFrame) -> DataFrame:
     return lane_nodes.groupBy("id").agg(best).select("id", "best.*")
 
 
+def _tagged(edges: DataFrame, schemes: DataFrame, ends: tuple[str, ...], standard: tuple[str, ...]) -> DataFrame:
+    """``edges`` with each end's scheme, its owners, and the verdict where the scheme settles it (else null).
+
+    Owners of a scheme are as many as the lanes that declare it; they are broadcast if the schemes were counted and are few.
+    """
+    owners = cut(schemes.groupBy(F.col("scheme").alias("owned_scheme")).agg(F.collect_set("lane").alias("owned_by")))
+    small = F.broadcast if owners.count() <= FEW else (lambda df: df)
+    out = edges
+    for end in ends:
+        scheme, owned = f"{end}_scheme", f"{end}_owned"
+        of = small(owners.select(F.col("owned_scheme").alias(f"{end}_of"), F.col("owned_by").alias(owned)))
+        out = out.withColumn(scheme, C.scheme(F.col(end))).join(of, F.col(scheme) == F.col(f"{end}_of"), "left").drop(f"{end}_of")
+        own = (F.col(scheme) == F.col("lane")) | F.coalesce(F.array_contains(owned, F.col("lane")), F.lit(False))
+        out = out.withColumn(f"{end}_plain", F.when(F.col(end).isNull(), "malformed").when(F.col(scheme).isNull() | F.col(scheme).isin(*RESERVED, *standard) | own, "ok"))
+    return out
+
+
+def _resolves(rows: DataFrame, held: DataFrame, end: str, literal: tuple[str, ...], how: str) -> DataFrame:
+    """``rows`` joined with the lanes that hold their end and may answer for it."""
+    of = held.select(F.col("id").alias("held_id"), F.col("lane").alias("held_lane"))
+    scheme = F.col(f"{end}_scheme")
+    fits = (F.col("held_lane") == scheme) | F.coalesce(F.array_contains(f"{end}_owned", F.col("held_lane")), F.lit(False)) | (scheme.isin(*literal) & (F.col("held_lane") == F.col("lane")))
+    return rows.join(of, (F.col(end) == F.col("held_id")) & fits, how)
+
+
 def verdicts(edges: DataFrame, held: DataFrame, schemes: DataFrame, end: str = "dst", standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> DataFrame:
     """``edges`` (with the ``lane`` that carries each) and ok, unresolved or malformed for one end.
 
     A null end is malformed. Ok is one without a scheme, of a reserved or standard scheme, or of a scheme that the
     carrying lane is or owns, held or not; one that the lane of its scheme, or a lane that owns the scheme, holds; and one
     of a ``literal`` scheme that the carrying lane holds. All else, so a scheme that nobody owns too, is unresolved.
-    ``held(id, lane)`` has the nodes of every lane, ``schemes(scheme, lane)`` who owns what; the latter is broadcast.
+    ``held(id, lane)`` has the nodes of every lane, ``schemes(scheme, lane)`` who owns what.
     """
-    owners = schemes.groupBy(F.col("scheme").alias("owned_scheme")).agg(F.collect_set("lane").alias("owned_by"))
-    tagged = edges.withColumn("end_scheme", C.scheme(F.col(end))).join(F.broadcast(owners), F.col("end_scheme") == F.col("owned_scheme"), "left")
-    own = (F.col("end_scheme") == F.col("lane")) | F.coalesce(F.array_contains("owned_by", F.col("lane")), F.lit(False))
-    plain = F.when(F.col(end).isNull(), "malformed").when(F.col("end_scheme").isNull() | F.col("end_scheme").isin(*RESERVED, *standard) | own, "ok")
-    tagged = tagged.withColumn("verdict", plain)
-    # only ends that their scheme doesn't settle are looked up
-    asked = tagged.filter("verdict IS NULL")
-    if asked.isEmpty():  # as for the sources of edges that their own lanes carry
-        return tagged.select(*edges.columns, "verdict")
-    lanes = held.groupBy(F.col("id").alias("held_id")).agg(F.collect_set("lane").alias("held_by"))
-    found = asked.join(lanes, F.col(end) == F.col("held_id"), "left")
-    is_held = F.array_contains("held_by", F.col("end_scheme")) | F.coalesce(F.arrays_overlap("held_by", "owned_by"), F.lit(False)) | (F.col("end_scheme").isin(*literal) & F.array_contains("held_by", F.col("lane")))
-    found = found.withColumn("verdict", F.when(F.coalesce(is_held, F.lit(False)), "ok").otherwise("unresolved"))
+    plain = f"{end}_plain"
+    tagged = _tagged(edges, schemes, (end,), standard)
     kept = [*edges.columns, "verdict"]
-    return tagged.filter("verdict IS NOT NULL").select(*kept).unionByName(found.select(*kept))
+    asked = tagged.filter(F.col(plain).isNull())
+    held = held.select("id", "lane").distinct()
+    out = tagged.filter(F.col(plain).isNotNull()).withColumn("verdict", F.col(plain)).select(*kept)
+    for how, verdict in (("left_semi", "ok"), ("left_anti", "unresolved")):
+        out = out.unionByName(_resolves(asked, held, end, literal, how).withColumn("verdict", F.lit(verdict)).select(*kept))
+    return out
+
+
+def _passed(edges: DataFrame, held: DataFrame, schemes: DataFrame, standard: tuple[str, ...], literal: tuple[str, ...]) -> DataFrame:
+    """The rows of ``edges`` whose ends are both ok. Ends that their schemes settle are looked up nowhere, and where that holds
+    for all of one end, as for the sources of edges that their own lanes carry, so is that end."""
+    rows = _tagged(edges, schemes, ("src", "dst"), standard).filter("NOT (src_plain <=> 'malformed' OR dst_plain <=> 'malformed')")
+    asked = rows.agg(*[F.count_if(F.col(f"{end}_plain").isNull()).alias(end) for end in ("src", "dst")]).first()
+    for end in ("src", "dst"):
+        if asked[end]:
+            plain = F.col(f"{end}_plain")
+            rows = rows.filter(plain.isNotNull()).unionByName(_resolves(rows.filter(plain.isNull()), held, end, literal, "left_semi"))
+    return rows.select(*edges.columns)
 
 
 def admitted(edges: DataFrame, held: DataFrame, schemes: DataFrame, standard: tuple[str, ...] = (), literal: tuple[str, ...] = (), unique: bool = False) -> DataFrame:
     """Distinct triples whose ends are both ok; ``unique`` says that the edges are distinct already, as a store's are."""
-    sources = verdicts(edges, held, schemes, "src", standard, literal).filter("verdict = 'ok'").drop("verdict")
-    found = verdicts(sources, held, schemes, "dst", standard, literal).filter("verdict = 'ok'").select("src", "dst", "edge_type")
+    found = _passed(edges, held, schemes, standard, literal).select("src", "dst", "edge_type")
     return found if unique else found.distinct()
 
 
 def admitted_by_lane(edges: DataFrame, held: DataFrame, schemes: DataFrame, standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> DataFrame:
     """Distinct lane, src, dst and edge_type of edges whose ends are both ok: what ``readmitted`` goes on from."""
-    sources = verdicts(edges.select("lane", "src", "dst", "edge_type"), held, schemes, "src", standard, literal).filter("verdict = 'ok'").drop("verdict")
-    return verdicts(sources, held, schemes, "dst", standard, literal).filter("verdict = 'ok'").drop("verdict").distinct()
+    return _passed(edges.select("lane", "src", "dst", "edge_type"), held, schemes, standard, literal).distinct()
 
 
 def readmitted(before: DataFrame, edges: DataFrame, held: DataFrame, schemes: DataFrame, moved: tuple[str, ...], standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> DataFrame:

@@ -89,17 +89,17 @@ def corpus_inventory(spark, sf_dir):
 
 def _lanes(spark, sf_dir):
     """Nodes in two lanes: all, with stubs for customers, and customers of even key again."""
-    found = P.nodes(spark, sf_dir).filter("node_type IN ('customer', 'supplier')")
+    found = P.nodes(spark, sf_dir)
     first = found.select("id", F.lit("a").alias("lane"), F.lit(1).alias("lane_rank"), F.lit(0).alias("seq"), (F.col("node_type") == "customer").alias("stub"))
     return first.unionByName(found.filter("node_type = 'customer' AND CAST(name AS INT) % 2 = 0").select("id", F.lit("b").alias("lane"), F.lit(2).alias("lane_rank"), F.lit(0).alias("seq"), F.lit(False).alias("stub")))
 
 
-@query(" SELECT id, CASE WHEN node_type = 'customer' AND CAST(list_last(string_split(id, '.')) AS INT) % 2 = 0 THEN 'b' ELSE 'a' END AS lane FROM nodes WHERE node_type IN ('customer', 'supplier')")
+@query(" SELECT id, CASE WHEN node_type = 'customer' AND TRY_CAST(list_last(string_split(id, '.')) AS INT) % 2 = 0 THEN 'b' ELSE 'a' END AS lane FROM nodes")
 def ownership_dedup(spark, sf_dir):
     return mesh.ownership(_lanes(spark, sf_dir)).select("id", "lane")
 
 
-@query(" SELECT id, CASE WHEN node_type = 'customer' AND CAST(list_last(string_split(id, '.')) AS INT) % 2 = 0 THEN 'b' ELSE 'a' END AS lane FROM nodes WHERE node_type IN ('customer', 'supplier')")
+@query(" SELECT id, CASE WHEN node_type = 'customer' AND TRY_CAST(list_last(string_split(id, '.')) AS INT) % 2 = 0 THEN 'b' ELSE 'a' END AS lane FROM nodes")
 def ownership_update(spark, sf_dir):
     rows = _lanes(spark, sf_dir)
     kept, new = rows.filter("lane = 'a'"), rows.filter("lane = 'b'")
@@ -161,9 +161,9 @@ def dangling_endpoints(spark, sf_dir):
     return mesh.dangling(P.edges(spark, sf_dir), _broken(spark, sf_dir))
 
 
-@query("SELECT p_brand AS scheme, count(DISTINCT p_size) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT p_size) > 1", graph=False)
+@query("SELECT p_brand AS scheme, count(DISTINCT p_size) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1", graph=False)
 def release_collision(spark, sf_dir):
-    pins = P.read(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("scheme"), F.col("p_type").alias("lane"), F.col("p_size").cast("string").alias("version"))
+    pins = P.read(spark, sf_dir, "part").select(F.col("p_brand").alias("scheme"), F.col("p_type").alias("lane"), F.col("p_size").cast("string").alias("version"))
     return mesh.release_collisions(pins).select("scheme", F.col("n").cast("long").alias("n"))
 
 
