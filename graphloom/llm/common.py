@@ -72,12 +72,24 @@ def cut(df: DataFrame) -> DataFrame:
 @contextlib.contextmanager
 def passing_shuffles(spark: SparkSession) -> Iterator[None]:
     """Let the shuffle files of a query go as soon as it ends, where Spark knows the setting; for what is written at once."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand so many rows at once to Python, at most; for what is written at once."""
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
     if before is None:
         yield
         return
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
