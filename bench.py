@@ -14,7 +14,7 @@ from graphloom.session import local_session
 #: The estate query, lookups, traversals and text operators that users ask most.
 HEADLINE = (
     "estate_cross_corpus", "census_edges", "seam_matrix", "edge_admission", "find_tail", "neighbours", "blast_radius", "descend_reach", "activation", "unit_graph",
-    "cut_longest_prefix", "postings", "search_all", "token_clusters", "exchange_pairs", "snapshot_diff", "session_window_join", "generation_digest",
+    "cut_longest_prefix", "postings", "search_all", "token_clusters", "exchange_pairs", "snapshot_diff", "snapshot_edges", "session_window_join", "generation_digest", "joint_search", "term_overlap",
 )
 
 
@@ -23,13 +23,13 @@ def main() -> None:
     spark = local_session(cpus, 16, spark__checkpoint__dir=tempfile.mkdtemp(prefix="graphloom-bench-"))  # no store of an earlier run
     spark.range(1000).groupBy("id").count().count()  # start-up isn't measured
     began = time.perf_counter()
-    store.table_store(spark, folder)  # what the queries share is compiled once; its time is stated apart
+    store.table_store(spark, folder)  # what the queries share is compiled once; its time counts, and is stated apart
     build, took = round(time.perf_counter() - began, 3), {}
     for name in HEADLINE:
         began = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "store_build": build, "sf": folder.rsplit("sf", 1)[-1]}))
+    print(json.dumps({"metric": "headline queries and the store they share, total", "value": round(build + sum(took.values()), 3), "unit": "sec", "queries": took, "store_build": build, "sf": folder.rsplit("sf", 1)[-1]}))
     spark.stop()
 
 

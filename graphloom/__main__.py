@@ -87,7 +87,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         held = 0
         for title, found in lookup.explain(nodes, edges, a.symbol, vocabulary=graph.vocabulary).items():
             print(f"# {title}")
-            held |= _show(found, a.limit) == 0
+            if isinstance(found, DataFrame):
+                held |= _show(found, a.limit) == 0
+            else:
+                print(found or "")
         return 0 if held else 1
     if a.verb == "walk":
         path, why = traverse.path_to(edges, lookup.resolve(nodes, a.symbol), lookup.resolve(nodes, a.target), a.depth)

@@ -96,10 +96,17 @@ def tokens(c: Column) -> Column:
 
 
 def route(c: Column) -> Column:
-    """A URL path whose numeric, uuid and e-mail segments are replaced by ``{}``; host, query and fragment go."""
+    """A URL path whose numeric and uuid segments, and those with an at sign, plain or escaped, are replaced by ``{}``; host,
+    query and fragment go, and nothing left is ``/``."""
     path = F.regexp_replace(F.regexp_replace(c, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
-    varies = r"^([0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[^@/]+@[^@/]+)$"
-    return F.array_join(F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(varies), F.lit("{}")).otherwise(s)), "/")
+    varies = r"^([0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$|@|%40"
+    joined = F.array_join(F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(varies), F.lit("{}")).otherwise(s)), "/")
+    return F.when(joined == "", "/").otherwise(joined)
+
+
+def route_pattern(route: str) -> str:
+    """A Java pattern that finds a normalised route, each ``{}`` standing for one segment, where no longer one goes on."""
+    return r'[^/\s"?]+'.join(re.escape(p) for p in route.split("{}")) + r"(?![\w./-])"
 
 
 def change_kind(c: Column) -> Column:

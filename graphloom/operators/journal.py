@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +64,20 @@ def as_of(points: DataFrame, marks: DataFrame, key: str, at: str) -> DataFrame:
     return seen.filter("is_point = 1").select(key, "row", F.col("t").alias(at), "since")
 
 
-def moves(receipts: DataFrame, series: str, at: str, top: int = 4) -> DataFrame:
-    """Of ``receipts(series, at, metric, value)``: the metrics that moved most, relatively, since the receipt before."""
+#: Metrics that are always told, if they moved at all; fixed values.
+KEPT = ("floor.seconds", "floor.passed", "wheel.wheel_bytes", "gate.seconds", "floor.rss_kb")
+
+
+def moves(receipts: DataFrame, series: str, at: str, top: int = 4, kept: Sequence[str] = KEPT) -> DataFrame:
+    """Of ``receipts(series, at, metric, value)``: metrics that moved since the receipt before, the ``kept`` first, then those
+    that moved most, relatively (from nought: wholly). Return codes and, unless kept, memory are never told."""
     order = Window.partitionBy(series, "metric").orderBy(at)
-    moved = receipts.withColumn("before", F.lag("value").over(order)).filter("before IS NOT NULL AND before <> 0")
-    moved = moved.withColumn("move", F.round(F.abs((F.col("value") - F.col("before")) / F.col("before")), 9))
-    ranked = moved.withColumn("rank", F.row_number().over(Window.partitionBy(series, at).orderBy(F.col("move").desc(), "metric")))
+    metric, keep = F.col("metric"), F.col("metric").isin(*kept)
+    moved = receipts.withColumn("before", F.lag("value").over(order)).filter("before IS NOT NULL AND before <> value")
+    moved = moved.filter(~metric.endswith(".rc") & (keep | ~metric.contains("rss")))
+    share = F.abs((F.col("value") - F.col("before")) / F.nullif(F.col("before"), F.lit(0.0)))
+    moved = moved.withColumn("move", F.coalesce(F.round(share, 9), F.lit(1.0)))
+    ranked = moved.withColumn("rank", F.row_number().over(Window.partitionBy(series, at).orderBy(keep.desc(), F.col("move").desc(), "metric")))
     return ranked.filter(F.col("rank") <= top)
 
 

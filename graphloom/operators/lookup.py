@@ -66,16 +66,32 @@ def hunt(nodes: DataFrame, symbol: str) -> DataFrame:
     return tail if tail.head(1) else grep(nodes, symbol)
 
 
-def explain(nodes: DataFrame, edges: DataFrame, symbol: str, doc_relations: tuple[str, ...] = ("documents", "mentions"), depth: int = 3, vocabulary: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What is known of a symbol: its record, the documents near it, the tests that depend on it and its first neighbours."""
-    from graphloom.operators import traverse
+def first_page(found: DataFrame | None, journal: str) -> tuple[dict | None, str]:
+    """The first page of a journal and a note of how many there are; or None and why there is none."""
+    if found is None:
+        return None, "no journal is declared"
+    of = found.filter(F.col("journal") == journal)
+    page, n = of.orderBy("seq").head(1), of.count()
+    return (page[0].asDict(recursive=True), f"{n} page(s)") if page else (None, f"no journal page for {journal}")
+
+
+def explain(nodes: DataFrame, edges: DataFrame, symbol: str, doc_relations: tuple[str, ...] = ("documents", "mentions"), depth: int = 3, vocabulary: DataFrame | None = None, pages: DataFrame | None = None) -> dict:
+    """What is known of a symbol: its record, the documents near it, the tests that depend on it and its first neighbours, as
+    frames; the first page of its corpus' journal among ``pages`` and a note of that, and a note where no test reaches it."""
+    from graphloom.operators import mesh, traverse
 
     node = resolve(nodes, symbol)
     seed = nodes.sparkSession.createDataFrame([(node,)], "seed string")
     tests = nodes.filter("role = 'test'").select(F.col("id").alias("node")) if "role" in nodes.columns else nodes.limit(0).select(F.col("id").alias("node"))
+    page, note = first_page(pages, node.split("://")[0])
+    reaching = traverse.blast(seed, edges, depth, vocabulary=vocabulary).filter("hop > 0").join(tests, "node", "left_semi")
+    walked = ", ".join(mesh.relations_in(vocabulary, "depends")) or "no relation"
     return {
         "record": record(nodes, node),
         "docs": traverse.doc_endpoints(seed, edges, doc_relations, depth),
-        "tests": traverse.blast(seed, edges, depth, vocabulary=vocabulary).join(tests, "node", "left_semi"),
+        "tests": reaching,
         "neighbours": neighbours(edges, node),
+        "page": page,
+        "note": note,
+        "tests_note": None if reaching.head(1) else f"none reach it within depth {depth} against {walked}",
     }

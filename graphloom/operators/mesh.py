@@ -62,7 +62,6 @@ def verdicts(edges: DataFrame, held: DataFrame, schemes: DataFrame, end: str = "
     tagged = _tagged(edges, schemes, (end,), standard)
     kept = [*edges.columns, "verdict"]
     asked = tagged.filter(F.col(plain).isNull())
-    held = held.select("id", "lane").distinct()
     out = tagged.filter(F.col(plain).isNotNull()).withColumn("verdict", F.col(plain)).select(*kept)
     for how, verdict in (("left_semi", "ok"), ("left_anti", "unresolved")):
         out = out.unionByName(_resolves(asked, held, end, literal, how).withColumn("verdict", F.lit(verdict)).select(*kept))
@@ -121,6 +120,36 @@ def mesh_stats(edges: DataFrame, owners: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("instances"), F.count_if(same).alias("intra"), F.count_if(~same).alias("cross"), F.count_if(F.col("src_corpus").isNull() | F.col("dst_corpus").isNull()).alias("unresolved"))
 
 
+def admission_stats(edges: DataFrame, held: DataFrame, schemes: DataFrame, owners: DataFrame, standard: tuple[str, ...] = (), literal: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """One row of edge instances by what the admission made of them, and the crossing ones by unordered pair of owners.
+
+    Malformed is an edge with a malformed end, unresolved another with one that doesn't resolve; of the rest, cross is one
+    whose ends have two owners in the roster of ``owners(id, owner)``, an end that nobody holds counting as the carrying
+    lane's, and intra all else. Instances are counted before they are made distinct.
+    """
+    given = edges.select("lane", "src", "dst", "edge_type")
+    both = verdicts(verdicts(given, held, schemes, "src", standard, literal).withColumnRenamed("verdict", "from_verdict"), held, schemes, "dst", standard, literal)
+    counted = both.groupBy("lane", "src", "dst", F.when(F.col("from_verdict").eqNullSafe("malformed") | (F.col("verdict") == "malformed"), "malformed").when((F.col("from_verdict") == "unresolved") | (F.col("verdict") == "unresolved"), "unresolved").alias("out")).agg(F.count("*").alias("n"))
+    of = owners.select("id", "owner")
+    placed = counted.join(of.toDF("src", "src_owner"), "src", "left").join(of.toDF("dst", "dst_owner"), "dst", "left")
+    a, b = F.coalesce("src_owner", "lane"), F.coalesce("dst_owner", "lane")
+    judged = cut(placed.select("n", F.coalesce("out", F.when(a == b, "intra").otherwise("cross")).alias("out"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).groupBy("out", "low", "high").agg(F.sum("n").alias("n")))
+    total = lambda name: F.coalesce(F.sum(F.when(F.col("out") == name, F.col("n"))), F.lit(0)).alias(name)
+    whole = judged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("instances"), *[total(n) for n in ("malformed", "unresolved", "intra", "cross")])
+    return whole, judged.filter("out = 'cross'").select("low", "high", "n")
+
+
+def seams_by_lane(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """Per lane that carries edges, other owner and edge type: ends that land on the other's nodes, sources and targets both;
+    and in ``targets`` how many distinct nodes of that owner the lane's edges of all types land on."""
+    ends = edges.select("lane", "edge_type", F.explode(F.array("src", "dst")).alias("id")).filter("id IS NOT NULL")
+    counted = ends.groupBy("lane", "edge_type", "id").agg(F.count("*").alias("n"))
+    met = counted.join(owners.select("id", "owner"), "id").filter("owner <> lane")
+    hits = met.groupBy("lane", "owner", "edge_type").agg(F.sum("n").alias("hits"))
+    targets = met.groupBy("lane", "owner").agg(F.count_distinct("id").alias("targets"))
+    return hits.join(targets, ["lane", "owner"])
+
+
 def seam_matrix(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """Per ordered pair of corpora and edge type: edges that cross, and distinct nodes they arrive at."""
     held = owners.select("id", "corpus")

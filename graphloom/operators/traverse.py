@@ -147,10 +147,12 @@ def outcome(found: DataFrame, source: str, target: str, max_depth: int, max_node
 
 
 def doc_endpoints(seeds: DataFrame, edges: DataFrame | Walkable, doc_relations: Sequence[str], depth: int) -> DataFrame:
-    """Nearest documenting edges: from nodes at fewer than ``depth`` hops, the least hop per node and relation."""
+    """Nearest documenting edges: from nodes at fewer than ``depth`` hops, the least hop per node and relation. Mentions count
+    at the seed alone."""
     found = reach(seeds, steps(edges), depth - 1)
     docs = steps(edges, doc_relations)
     met = docs.join(found.select("seed", F.col("node").alias("at"), "hop"), docs["node"] == F.col("at")).select("seed", F.col("other").alias("node"), "relation", (F.col("hop") + 1).alias("hop"))
+    met = met.filter((F.col("relation") != "mentions") | (F.col("hop") == 1))
     return met.filter(F.col("node") != F.col("seed")).groupBy("seed", "node", "relation").agg(F.min("hop").alias("hop"))
 
 

@@ -443,7 +443,7 @@ def follows_chain(spark, sf_dir):
     return journal.follows(P.read(spark, sf_dir, "conversations"), "conv_id", "turn", "turn")
 
 
-@query("WITH h AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS p FROM pages) SELECT page_id, array_to_string(list_transform(string_split(p, '/'), lambda s: CASE WHEN regexp_matches(s, '^([0-9]+|[^@/]+@[^@/]+)$') THEN '{}' ELSE s END), '/') AS route FROM h", graph=False)
+@query("WITH h AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS p FROM pages) SELECT page_id, array_to_string(list_transform(string_split(p, '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$|@|%40') THEN '{}' ELSE s END), '/') AS route FROM (SELECT page_id, CASE p WHEN '' THEN '/' ELSE p END AS p FROM h)", graph=False)
 def route_normalise(spark, sf_dir):
     return P.read(spark, sf_dir, "pages").select("page_id", C.route(F.col("url")).alias("route"))
 
@@ -491,7 +491,7 @@ def session_window_join(spark, sf_dir):
     return journal.in_window(points, captures, "user_id", "ts").select(F.col("point_id").alias("event_id"), "high")
 
 
-@query("WITH d AS (SELECT event_type AS metric, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL), m AS (SELECT *, lag(v) OVER (PARTITION BY metric ORDER BY day) AS before FROM d), x AS (SELECT day, metric, round(abs((v - before) / before), 9) AS move FROM m WHERE before IS NOT NULL AND before <> 0) SELECT CAST(day AS VARCHAR) AS day, metric, move FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY move DESC, metric) AS r FROM x) WHERE r <= 4", graph=False)
+@query("WITH d AS (SELECT event_type AS metric, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL), m AS (SELECT *, lag(v) OVER (PARTITION BY metric ORDER BY day) AS before FROM d), x AS (SELECT day, metric, round(abs((v - before) / before), 9) AS move FROM m WHERE before IS NOT NULL AND before <> v) SELECT CAST(day AS VARCHAR) AS day, metric, move FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY move DESC, metric) AS r FROM x) WHERE r <= 4", graph=False)
 def receipt_moves(spark, sf_dir):
     daily = P.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("value"))
     return journal.moves(daily.withColumn("series", F.lit("events")), "series", "day").select(F.col("day").cast("string").alias("day"), "metric", "move")
@@ -631,20 +631,18 @@ def match_stats(spark, sf_dir):
 
 
 def _files(spark, sf_dir):
-    """Python source written from the tables: a module of regions, one of nations that call them, and one for each nation
-    with suppliers, which call their nation."""
-
-    def source(rows, path, key, line, head):
-        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("t")))), lambda s: s["t"]), "")
-        return rows.groupBy(path.alias("path")).agg(F.concat(F.first(head), lines).alias("text"))
-
-    def function(kind, key, call):
-        return F.concat(F.lit(f"def {kind}"), F.col(key), F.lit("():\n    return "), *call, F.lit("()\n"))
-
-    regions = source(P.read(spark, sf_dir, "region"), F.lit("pkg/regions.py"), "r_regionkey", function("r", "r_regionkey", [F.lit("dict")]), F.lit(""))
-    nations = source(P.read(spark, sf_dir, "nation"), F.lit("pkg/nations.py"), "n_nationkey", function("n", "n_nationkey", [F.lit("regions.r"), F.col("n_regionkey")]), F.lit("from pkg import regions\n"))
-    head = F.concat(F.lit("from pkg.nations import n"), "s_nationkey", F.lit("\n"))
-    suppliers = source(P.read(spark, sf_dir, "supplier"), F.concat(F.lit("pkg/s"), "s_nationkey", F.lit(".py")), "s_suppkey", function("s", "s_suppkey", [F.lit("n"), F.col("s_nationkey")]), head)
+    """Python source written from the tables, a small file a row: a module of each region, one of each nation that calls its
+    region, and one of each supplier that calls its nation. No file grows with a table."""
+
+    def module(rows, kind, key, head, call):
+        name = F.concat(F.lit(kind), F.col(key))
+        body = F.concat(*head, F.lit("def "), name, F.lit("():\n    return "), *call, F.lit("()\n"))
+        return rows.select(F.concat(F.lit("pkg/m"), name, F.lit(".py")).alias("path"), body.alias("text"))
+
+    regions = module(P.read(spark, sf_dir, "region"), "r", "r_regionkey", [], [F.lit("dict")])
+    nations = module(P.read(spark, sf_dir, "nation"), "n", "n_nationkey", [F.lit("from pkg import mr"), F.col("n_regionkey"), F.lit("\n")], [F.lit("mr"), F.col("n_regionkey"), F.lit(".r"), F.col("n_regionkey")])
+    head = [F.lit("from pkg.mn"), F.col("s_nationkey"), F.lit(" import n"), F.col("s_nationkey"), F.lit("\n")]
+    suppliers = module(P.read(spark, sf_dir, "supplier"), "s", "s_suppkey", head, [F.lit("n"), F.col("s_nationkey")])
     return regions.unionByName(nations).unionByName(suppliers).unionByName(spark.createDataFrame([("pkg/__init__.py", "")], "path string, text string"))
 
 
@@ -652,42 +650,42 @@ def _code(spark, sf_dir):
     """Calls of that source, the edges of the tables, and an undeclared type that ties suppliers to their functions; with
     what the code's lane and the tables' declare."""
     calls = resolve.resolve(python_source.records(_files(spark, sf_dir), "pkg")).filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "edge_type")
-    ties = P.read(spark, sf_dir, "supplier").select(P.node_id("party", "supplier", "s_suppkey").alias("src"), F.concat(F.lit("pkg://func/pkg.s"), "s_nationkey", F.lit(".s"), "s_suppkey").alias("dst"), F.lit("ties").alias("edge_type"))
+    ties = P.read(spark, sf_dir, "supplier").select(P.node_id("party", "supplier", "s_suppkey").alias("src"), F.concat(F.lit("pkg://func/pkg.ms"), "s_suppkey", F.lit(".s"), "s_suppkey").alias("dst"), F.lit("ties").alias("edge_type"))
     code_lane = spark.createDataFrame([("pkg", t, list(c)) for t, c in C.CODE_CLASSES.items()], "lane string, edge_type string, classes array<string>")
     edges = calls.unionByName(ties).unionByName(store.table_store(spark, sf_dir).edges.select("src", "dst", "edge_type"))
     shared = P.vocabulary(spark).filter("edge_type <> 'contains'").unionByName(code_lane)  # both declare contains alike
     return edges, mesh.fold_vocabulary(shared)
 
 
-_CALLS = "WITH calls AS (SELECT 'pkg://func/pkg.nations.n' || n_nationkey AS src, 'pkg://func/pkg.regions.r' || n_regionkey AS dst FROM nation UNION ALL SELECT 'pkg://func/pkg.s' || s_nationkey || '.s' || s_suppkey, 'pkg://func/pkg.nations.n' || s_nationkey FROM supplier)"
+_CALLS = "WITH calls AS (SELECT 'pkg://func/pkg.mn' || n_nationkey || '.n' || n_nationkey AS src, 'pkg://func/pkg.mr' || n_regionkey || '.r' || n_regionkey AS dst FROM nation UNION ALL SELECT 'pkg://func/pkg.ms' || s_suppkey || '.s' || s_suppkey, 'pkg://func/pkg.mn' || s_nationkey || '.n' || s_nationkey FROM supplier)"
 
 
-@query(_CALLS + " SELECT 'pkg://func/pkg.regions.r1' AS node, 0 AS hop UNION ALL SELECT src, 1 FROM calls WHERE dst = 'pkg://func/pkg.regions.r1' UNION ALL SELECT b.src, 2 FROM calls a JOIN calls b ON b.dst = a.src WHERE a.dst = 'pkg://func/pkg.regions.r1'", graph=False)
+@query(_CALLS + " SELECT 'pkg://func/pkg.mr1.r1' AS node, 0 AS hop UNION ALL SELECT src, 1 FROM calls WHERE dst = 'pkg://func/pkg.mr1.r1' UNION ALL SELECT b.src, 2 FROM calls a JOIN calls b ON b.dst = a.src WHERE a.dst = 'pkg://func/pkg.mr1.r1'", graph=False)
 def code_blast(spark, sf_dir):
     """Over code and tables together; ``ties`` is declared by nobody, so it is lexical and not walked."""
     edges, words = _code(spark, sf_dir)
-    return traverse.blast(_seeds(spark, "pkg://func/pkg.regions.r1"), edges, vocabulary=words).select("node", "hop")
+    return traverse.blast(_seeds(spark, "pkg://func/pkg.mr1.r1"), edges, vocabulary=words).select("node", "hop")
 
 
-@query(_CALLS + " SELECT 'pkg://func/pkg.nations.n3' AS node, 0 AS hop UNION ALL SELECT dst, 1 FROM calls WHERE src = 'pkg://func/pkg.nations.n3'", graph=False)
+@query(_CALLS + " SELECT 'pkg://func/pkg.mn3.n3' AS node, 0 AS hop UNION ALL SELECT dst, 1 FROM calls WHERE src = 'pkg://func/pkg.mn3.n3'", graph=False)
 def code_descend_by_default(spark, sf_dir):
     """A vocabulary that puts nothing in the class asked for leaves the walk to its defaults."""
     edges, words = _code(spark, sf_dir)
-    return traverse.descend(_seeds(spark, "pkg://func/pkg.nations.n3"), edges, vocabulary=words.filter("NOT array_contains(classes, 'reaches')")).select("node", "hop")
+    return traverse.descend(_seeds(spark, "pkg://func/pkg.mn3.n3"), edges, vocabulary=words.filter("NOT array_contains(classes, 'reaches')")).select("node", "hop")
 
 
-@query("WITH f AS (SELECT count(*) AS n FROM (SELECT r_regionkey FROM region UNION ALL SELECT n_nationkey FROM nation UNION ALL SELECT s_suppkey FROM supplier)), m AS (SELECT count(DISTINCT s_nationkey) AS n FROM supplier) SELECT 'func' AS type, n FROM f UNION ALL SELECT 'contains', n FROM f UNION ALL SELECT 'calls', n FROM f UNION ALL SELECT 'module', n + 3 FROM m UNION ALL SELECT 'imports', n + 1 FROM m", graph=False)
+@query("WITH f AS (SELECT count(*) AS n FROM (SELECT r_regionkey FROM region UNION ALL SELECT n_nationkey FROM nation UNION ALL SELECT s_suppkey FROM supplier)) SELECT 'func' AS type, n FROM f UNION ALL SELECT 'contains', n FROM f UNION ALL SELECT 'calls', n FROM f UNION ALL SELECT 'module', n + 1 FROM f UNION ALL SELECT 'imports', (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)", graph=False)
 def python_records(spark, sf_dir):
     return python_source.records(_files(spark, sf_dir), "pkg").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'dict' AS label, NULL AS dst, NULL AS via, 'builtin' AS why, count(*) AS n FROM region UNION ALL SELECT 'regions.r' || n_regionkey, 'pkg://func/pkg.regions.r' || n_regionkey, 'import', NULL, count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 'n' || s_nationkey, 'pkg://func/pkg.nations.n' || s_nationkey, 'import', NULL, count(*) FROM supplier GROUP BY s_nationkey", graph=False)
+@query("SELECT 'dict' AS label, NULL AS dst, NULL AS via, 'builtin' AS why, count(*) AS n FROM region UNION ALL SELECT 'mr' || n_regionkey || '.r' || n_regionkey, 'pkg://func/pkg.mr' || n_regionkey || '.r' || n_regionkey, 'import', NULL, count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 'n' || s_nationkey, 'pkg://func/pkg.mn' || s_nationkey || '.n' || s_nationkey, 'import', NULL, count(*) FROM supplier GROUP BY s_nationkey", graph=False)
 def label_resolution(spark, sf_dir):
     found = resolve.resolve(python_source.records(_files(spark, sf_dir), "pkg")).filter("edge_type = 'calls'")
     return found.groupBy("label", "dst", "via", "why").agg(F.count("*").alias("n"))
 
 
-@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier), n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) SELECT 'pkg/s' || s_nationkey || '.py' AS path, CAST(1 + 2 * i AS INTEGER) AS line, 's' || s_suppkey AS block, 'code' AS kind FROM k UNION ALL SELECT DISTINCT 'pkg/s' || s_nationkey || '.py', 1, NULL, 'code' FROM supplier UNION ALL SELECT 'pkg/nations.py', CAST(2 * i AS INTEGER), 'n' || n_nationkey, 'code' FROM n", graph=False)
+@query("SELECT 'pkg/ms' || s_suppkey || '.py' AS path, 3 AS line, 's' || s_suppkey AS block, 'code' AS kind FROM supplier UNION ALL SELECT 'pkg/ms' || s_suppkey || '.py', 1, NULL, 'code' FROM supplier UNION ALL SELECT 'pkg/mn' || n_nationkey || '.py', 2, 'n' || n_nationkey, 'code' FROM nation", graph=False)
 def code_matches(spark, sf_dir):
     return code.matches(_files(spark, sf_dir), r"\bn[0-9]+\b").select("path", F.col("line").cast("int").alias("line"), "block", "kind")
 
@@ -711,10 +709,10 @@ def schema_violations(spark, sf_dir):
     return found.groupBy("record", "why").agg(F.count("*").alias("n"))
 
 
-@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier) SELECT 'pkg://func/pkg.s' || s_nationkey || '.s' || s_suppkey AS id, 'def s' || s_suppkey || '():' || chr(10) || '    return n' || s_nationkey || '()' AS text FROM k", graph=False)
+@query("SELECT 'pkg://func/pkg.ms' || s_suppkey || '.s' || s_suppkey AS id, 'def s' || s_suppkey || '():' || chr(10) || '    return n' || s_nationkey || '()' AS text FROM supplier", graph=False)
 def hydrated_sources(spark, sf_dir):
     files = _files(spark, sf_dir)
-    held = python_source.records(files, "pkg").filter("kind = 'node' AND type = 'func' AND path LIKE 'pkg/s%'").select("id", F.col("type").alias("node_type"), F.col("path").alias("file"), "line", F.lit(2).alias("loc"))
+    held = python_source.records(files, "pkg").filter("kind = 'node' AND type = 'func' AND path LIKE 'pkg/ms%'").select("id", F.col("type").alias("node_type"), F.col("path").alias("file"), "line", F.lit(2).alias("loc"))
     return records.hydrate(held, files).select("id", "text")
 
 
@@ -734,18 +732,19 @@ def activation_ranked(spark, sf_dir):
     return kept.select("node", F.round("energy", 9).alias("energy"))
 
 
-@query("SELECT CASE WHEN m = 'pkg.regions' THEN 'base' WHEN m = 'pkg.nations' THEN 'middle' ELSE 'rest' END AS arm, m AS module, 'func' AS kind, m || '.' || f AS dotted, CAST(0 AS BIGINT) AS methods FROM (SELECT 'pkg.regions' AS m, 'r' || r_regionkey AS f FROM region UNION ALL SELECT 'pkg.nations', 'n' || n_nationkey FROM nation UNION ALL SELECT 'pkg.s' || s_nationkey, 's' || s_suppkey FROM supplier)", graph=False)
+@query("SELECT arm, m AS module, 'func' AS kind, m || '.' || f AS dotted, CAST(0 AS BIGINT) AS methods FROM (SELECT 'base' AS arm, 'pkg.mr' || r_regionkey AS m, 'r' || r_regionkey AS f FROM region UNION ALL SELECT 'middle', 'pkg.mn' || n_nationkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'rest', 'pkg.ms' || s_suppkey, 's' || s_suppkey FROM supplier)", graph=False)
 def arm_inventory(spark, sf_dir):
     held = python_source.records(_files(spark, sf_dir), "pkg").filter("kind = 'node'")
     dotted = C.body(F.col("id"))
     nodes = held.select("id", F.col("type").alias("node_type"), dotted.alias("dotted"), F.expr("substring(regexp_replace(id, '^[^:]*://[^/]*/', ''), 1, length(regexp_replace(id, '^[^:]*://[^/]*/', '')) - length(substring_index(id, '.', -1)) - 1)").alias("module"))
-    return records.arm_inventory(nodes, spark.createDataFrame([("base", "pkg.regions"), ("middle", "pkg.nations")], "group string, prefix string"))
+    arms = [P.read(spark, sf_dir, name).select(F.lit(arm).alias("group"), F.concat(F.lit(prefix), key).alias("prefix")) for arm, name, prefix, key in (("base", "region", "pkg.mr", "r_regionkey"), ("middle", "nation", "pkg.mn", "n_nationkey"))]
+    return records.arm_inventory(nodes, arms[0].unionByName(arms[1]))
 
 
-@query(_CALLS + " SELECT r_name AS arm, 'pkg://func/pkg.regions.r' || r_regionkey AS crown, (SELECT count(*) FROM calls a WHERE a.dst = 'pkg://func/pkg.regions.r' || r_regionkey) + (SELECT count(*) FROM calls a JOIN calls b ON b.dst = a.src WHERE a.dst = 'pkg://func/pkg.regions.r' || r_regionkey) AS dependents FROM region", graph=False)
+@query(_CALLS + " SELECT r_name AS arm, 'pkg://func/pkg.mr' || r_regionkey || '.r' || r_regionkey AS crown, (SELECT count(*) FROM calls a WHERE a.dst = 'pkg://func/pkg.mr' || r_regionkey || '.r' || r_regionkey) + (SELECT count(*) FROM calls a JOIN calls b ON b.dst = a.src WHERE a.dst = 'pkg://func/pkg.mr' || r_regionkey || '.r' || r_regionkey) AS dependents FROM region", graph=False)
 def arm_dependents(spark, sf_dir):
     edges, words = _code(spark, sf_dir)
-    crowns = P.read(spark, sf_dir, "region").select(F.col("r_name").alias("arm"), F.concat(F.lit("pkg://func/pkg.regions.r"), "r_regionkey").alias("id"))
+    crowns = P.read(spark, sf_dir, "region").select(F.col("r_name").alias("arm"), F.concat(F.lit("pkg://func/pkg.mr"), "r_regionkey", F.lit(".r"), "r_regionkey").alias("id"))
     return records.arm_dependents(crowns, edges, "pkg", vocabulary=words)
 
 

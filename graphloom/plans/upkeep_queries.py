@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import columns as C
 from graphloom.operators import bridges, journal, mesh, overlap
 from graphloom.plans import containers, doors, laned, refresh
-from graphloom.plans.catalog import _TERMS, BLAST, _free, _index, _list, _same, query
+from graphloom.plans.catalog import _CITED, _TERMS, BLAST, _free, _held, _index, _lined, _list, _same, query
 from graphloom.session import cut, shared_folder
-from graphloom.sources import freshness
+from graphloom.sources import freshness, shards
 from graphloom.sources import projection as P
 from graphloom.streaming import running
 
@@ -305,3 +305,40 @@ def sql_as_of(spark, sf_dir):
     points = events.filter("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("row"), "ts")
     marks = events.filter("event_type = 'purchase'").select("user_id", "ts").distinct()
     return journal.as_of(points, marks, "user_id", "ts").filter("since IS NOT NULL").select(F.col("row").alias("event_id"), "since")
+
+
+@query(r"SELECT conv_id::VARCHAR AS file, CASE WHEN role = 'user' AND turn % 4 = 0 THEN 2 * turn ELSE 2 * turn + 1 END AS line, role, text FROM (SELECT conv_id, turn, role, regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS text FROM conversations) WHERE role IN ('user', 'assistant') AND text <> ''", graph=False)
+def transcript_turns(spark, sf_dir):
+    """The turns of transcripts written from conversations in three shapes, in part queued before they are delivered."""
+    rows = P.read(spark, sf_dir, "conversations")
+    role, text, turn = F.col("role"), F.col("text"), F.col("turn")
+    block = lambda kind: F.array(F.struct(F.lit(kind).alias("type"), text.alias("text")))
+    message = F.struct(role.alias("type"), F.struct(text.alias("content")).alias("message"))
+    payload = F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), role.alias("role"), block("input_text").alias("content")).alias("payload"))
+    plain = F.struct(role.alias("role"), block("text").alias("content"))
+    value = F.when(turn % 3 == 0, F.to_json(message)).when(turn % 3 == 1, F.to_json(payload)).otherwise(F.to_json(plain))
+    file = F.col("conv_id").cast("string").alias("file")
+    told = rows.select(file, (2 * turn + 1).alias("line"), value.alias("value"))
+    queued = F.struct(F.lit("queue-operation").alias("type"), F.lit("enqueue").alias("operation"), text.alias("content"))
+    asked = rows.filter("role = 'user' AND turn % 4 = 0").select(file, (2 * turn).alias("line"), F.to_json(queued).alias("value"))
+    return shards.transcript_turns(told.unionByName(asked))
+
+
+_LANED = _CITED + ", verdicts AS (SELECT *, src IS NULL AS bad FROM judged), ended AS (SELECT *, CASE WHEN bad OR verdict = 'malformed' THEN 'malformed' WHEN verdict = 'unresolved' THEN 'unresolved' END AS out, coalesce((SELECT corpus FROM held WHERE id = src), lane) AS a, coalesce((SELECT corpus FROM held WHERE id = dst), lane) AS b FROM verdicts)"
+
+
+@query(_LANED + " SELECT coalesce(out, CASE WHEN a = b THEN 'intra' ELSE 'cross' END) AS what, '' AS pair, count(*) AS n FROM ended GROUP BY ALL UNION ALL SELECT 'pair', least(a, b) || ' ' || greatest(a, b), count(*) FROM ended WHERE out IS NULL AND a <> b GROUP BY ALL")
+def admission_stats(spark, sf_dir):
+    """Edge instances by what admission makes of them, and the crossing ones by pair of owners."""
+    held, own = _held(spark, sf_dir)
+    whole, pairs = mesh.admission_stats(_lined(spark, sf_dir, P.edges(spark, sf_dir)), held, own, held.withColumnRenamed("lane", "owner"), ("std",))
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).alias("n")) for n in ("malformed", "unresolved", "intra", "cross")])).alias("k")
+    told = whole.select(kinds).select("k.what", F.lit("").alias("pair"), "k.n").filter("n > 0")
+    return told.unionByName(pairs.select(F.lit("pair").alias("what"), F.concat_ws(" ", "low", "high").alias("pair"), "n"))
+
+
+@query(" , ends AS (SELECT split_part(src, '://', 1) AS lane, edge_type, unnest([src, dst]) AS id FROM edges), met AS (SELECT e.*, n.corpus AS owner FROM ends e JOIN nodes n USING (id) WHERE n.corpus <> e.lane) SELECT lane, owner, edge_type, count(*) AS hits, (SELECT count(DISTINCT id) FROM met x WHERE x.lane = m.lane AND x.owner = m.owner) AS targets FROM met m GROUP BY ALL")
+def seams_by_lane(spark, sf_dir):
+    """Where the edges of each lane land on nodes of others, both ends counted."""
+    edges = P.edges(spark, sf_dir).withColumn("lane", C.scheme(F.col("src")))
+    return mesh.seams_by_lane(edges, P.nodes(spark, sf_dir).select("id", F.col("corpus").alias("owner")))

@@ -1,3 +1,4 @@
+import json
 import pytest
 
 from graphloom.operators import resolve
@@ -103,3 +104,14 @@ def test_transcripts_of_three_shapes(spark, tmp_path):
     got = [(r["line"], r["role"], r["text"]) for r in shards.transcript(spark, str(tmp_path / "t.jsonl")).orderBy("line").collect()]
     want = [(0, "user", "first"), (2, "assistant", "one\ntwo"), (5, "user", "later"), (6, "assistant", "three"), (12, "user", "asked"), (15, "user", "plain"), (16, "assistant", "answer")]
     assert got == want
+
+
+def test_queued_prompts_are_taken_once(spark):
+    from graphloom.sources import shards
+
+    ask = lambda op, text: {"type": "queue-operation", "operation": op, "content": text}
+    say = lambda text: {"type": "user", "message": {"content": text}}
+    rows = [say("a"), ask("enqueue", "a"), ask("enqueue", "a"), say("a"), ask("remove", "a"), say("a"), ask("remove", "b"), ask("enqueue", "b"), say("b"), say("b"), {"type": "assistant", "message": {"content": "a"}}, ask("enqueue", "<command-name>"), {"type": "user", "isSidechain": False, "toolUseResult": None, "message": {"content": "c"}}]
+    lines = spark.createDataFrame([("f", i, json.dumps(r)) for i, r in enumerate(rows)] + [("g", 0, json.dumps(say("a")))], "file string, line long, value string")
+    got = sorted((r["file"], r["line"], r["role"], r["text"]) for r in shards.transcript_turns(lines).collect())
+    assert got == [("f", 0, "user", "a"), ("f", 1, "user", "a"), ("f", 2, "user", "a"), ("f", 5, "user", "a"), ("f", 7, "user", "b"), ("f", 9, "user", "b"), ("f", 10, "assistant", "a"), ("f", 12, "user", "c"), ("g", 0, "user", "a")]

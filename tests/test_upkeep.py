@@ -323,3 +323,67 @@ def test_drift_staleness_and_bare_windows(spark):
     commits = spark.createDataFrame([("j", 1), ("j", 25)], "journal string, ts long")
     windows = spark.createDataFrame([("j", 1, 10), ("j", 2, 20), ("j", 3, 30)], "journal string, seq long, high long")
     assert [tuple(r) for r in freshness.history_gaps(commits, windows).collect()] == [("history", "j#2", "COULD-NOT-TELL")]
+
+
+# ---- weak spots of earlier operators -----------------------------------------------------------------------------------
+
+
+def test_routes_and_their_patterns(spark):
+    import re
+
+    from graphloom.functions import columns as C
+
+    urls = ["/a/12/b?q=1", "/u/x%40y.z/1f0e2d3c-0000-1111-2222-333344445555", "https://h.x/me@there/", "https://h.x", "", "/a//b#c"]
+    got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(C.route(F.col("u"))).collect()]
+    assert got == ["/a/{}/b", "/u/{}/{}", "/{}/", "/", "/", "/a//b"]
+    pattern = re.compile(C.route_pattern("/a/{}/b"))
+    assert pattern.search('GET "/a/77/b" 200') and not pattern.search("/a/77/bc") and not pattern.search("/a/7/7/b")
+
+
+def test_access_lines_with_a_time_in_front(spark):
+    from graphloom.sources import shards
+
+    lines = ['2024-05-06 07:08:09,250 x "GET /a/1 HTTP/1.1" 200 3 12.5 ms', '"POST /b HTTP/1.1" 500', "noise"]
+    rows = shards.access_log(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(str(r["timestamp"]), r["method"], r["route"], r["status"], r["latency_ms"]) for r in rows] == [("2024-05-06 07:08:09.250000", "GET", "/a/{}", 200, 12.5), ("None", "POST", "/b", 500, None)]
+
+
+def test_residuals_say_why_and_edges_may_stand_in_an_object(spark):
+    from graphloom.sources import shards
+
+    text = spark.createDataFrame([(json.dumps({"k1": {"src": "a", "dst": "b", "edge_type": "t"}, "k2": {"src": "a", "edge_type": "t"}, "k3": {"from": "a", "to": "b"}, "k4": {"dst": "b", "relation": "t"}}),)], "value string")
+    assert sorted(str(r["reason"]) for r in shards.edges_in(text).collect()) == ["None", "no source", "no target", "no type"]
+    nodes = shards.nodes_in(spark.createDataFrame([(json.dumps([{"id": "a"}, {"node_type": "t"}, {"id": "a", "node_type": "t"}]),)], "value string"))
+    assert sorted(str(r["reason"]) for r in nodes.collect()) == ["None", "no id", "no type"]
+    log = spark.createDataFrame([("a", "b", "t", False), ("a", "c", "t", False), (None, "c", "t", True)], "from string, to string, relation string, malformed boolean")
+    assert [r["to"] for r in shards.orphans(log, spark.createDataFrame([("a", "b", "t")], "src string, dst string, edge_type string")).collect()] == ["c"]
+
+
+def test_moves_tell_kept_metrics_first_and_nothing_that_stood(spark):
+    rows = [("s", d, m, v) for m, (a, b) in {"floor.seconds": (10.0, 10.1), "x.big": (1.0, 9.0), "x.zero": (0.0, 3.0), "x.same": (2.0, 2.0), "job.rc": (0.0, 1.0), "x.rss": (1.0, 5.0), "floor.rss_kb": (5.0, 6.0), "x.a": (4.0, 5.0), "x.b": (4.0, 4.5)}.items() for d, v in ((1, a), (2, b))]
+    found = journal.moves(spark.createDataFrame(rows, "series string, at int, metric string, value double"), "series", "at")
+    assert [r["metric"] for r in found.orderBy("rank").collect()] == ["floor.rss_kb", "floor.seconds", "x.big", "x.zero"]
+
+
+def test_admission_stats_and_seams_of_lanes(spark):
+    from graphloom.operators import mesh
+
+    edges = spark.createDataFrame([("a", "a://k/x", "b://k/y", "t"), ("a", "a://k/x", "b://k/y", "t"), ("a", "a://k/x", None, "t"), ("a", "a://k/x", "b://k/gone", "t"), ("b", "b://k/y", "b://k/y2", "t"), ("b", "a://k/x", "a://k/x2", "u")], EDGES)
+    held = spark.createDataFrame([("a://k/x", "a"), ("b://k/y", "b"), ("b://k/y2", "b"), ("a://k/x2", "a")], "id string, lane string")
+    owners, schemes = held.withColumnRenamed("lane", "owner"), spark.createDataFrame([("a", "a"), ("b", "b")], "scheme string, lane string")
+    whole, pairs = mesh.admission_stats(edges, held, schemes, owners)
+    assert tuple(whole.first()) == (6, 1, 1, 2, 2) and [tuple(r) for r in pairs.collect()] == [("a", "b", 2)]
+    assert {tuple(r[c] for c in ("lane", "owner", "edge_type", "hits", "targets")) for r in mesh.seams_by_lane(edges, owners).collect()} == {("a", "b", "t", 2, 1), ("b", "a", "u", 2, 2)}
+
+
+def test_explain_has_the_first_page_and_notes(spark, tmp_path):
+    from graphloom.operators import lookup
+
+    pages.append(spark, str(tmp_path), "a", moved(spark, ["a://k/x"]), "c1", None, bootstrap=True)
+    nodes = spark.createDataFrame([("a://k/x", "func", "code"), ("a://k/t", "func", "test"), ("a://k/z", "func", "code")], "id string, node_type string, role string")
+    edges = spark.createDataFrame([("a://k/t", "a://k/x", "calls"), ("d://k/doc", "a://k/x", "mentions"), ("d://k/far", "a://k/t", "mentions")], "src string, dst string, edge_type string")
+    found = lookup.explain(nodes, edges, "a://k/x", pages=pages.read(spark, str(tmp_path)))
+    assert found["page"]["cursor"] == "c1" and found["note"] == "1 page(s)" and found["tests_note"] is None and [r["node"] for r in found["tests"].collect()] == ["a://k/t"]
+    assert {r["node"] for r in found["docs"].collect()} == {"d://k/doc"}
+    bare = lookup.explain(nodes, edges, "a://k/z")
+    assert bare["page"] is None and bare["note"] == "no journal is declared" and bare["tests_note"].startswith("none reach it within depth 3 against")
