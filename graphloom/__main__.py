@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.functions import layering
-from graphloom.operators import code, federation, lookup, mesh, shape, traverse
+from graphloom.operators import bridges, code, federation, journal, lookup, mesh, shape, traverse
 from graphloom.operators.lookup import Refused
-from graphloom.plans import estate, store
+from graphloom.plans import containers, estate, laned, pages, refresh, store
 from graphloom.session import local_session
 from graphloom.sources import projection, python_source
 
@@ -44,6 +44,28 @@ def _seed(spark: SparkSession, nodes: DataFrame, symbol: str) -> DataFrame:
     return spark.createDataFrame([(lookup.resolve(nodes, symbol),)], "seed string")
 
 
+def _journal(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Pages, what is torn, gaps, deaths, or the pages that bear or kill a symbol."""
+    if a.what == "torn":
+        return _show(pages.torn(spark, a.home or "").orderBy("journal", "seq"), a.limit)
+    held = pages.read(spark, a.home or "", a.name, a.allow_torn)
+    if a.symbol:
+        held = journal.events(held, a.symbol, a.contains)
+    found = {"log": lambda: held, "gaps": lambda: journal.gaps(held), "deaths": lambda: journal.deaths(held)}[a.what]()
+    shown = [c for c in ("journal", "seq", "ts", "cursor", "prev_cursor", "n_born", "n_died", "n_eborn", "n_edied", "before") if c in found.columns]
+    return _show(found.select(*shown).orderBy("journal", "seq"), a.limit)
+
+
+def _bridge(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A walk from a symbol of one store into another, over the schemes named, if their releases agree or skew is allowed."""
+    left, right = store.open_store(spark, a.home or ""), store.open_store(spark, a.other)
+    rows = [(side, *pin.split("=", 1)) for side, given in (("left", a.pins), ("right", a.other_pins)) for pin in (given or "").split(",") if "=" in pin]
+    pins = spark.createDataFrame(rows, "side string, scheme string, version string")
+    seeds = spark.createDataFrame([("left|" + lookup.resolve(left.nodes, a.symbol),)], "seed string")
+    found = bridges.cross({"left": (left.nodes, left.edges), "right": (right.nodes, right.edges)}, pins, [s for s in (a.join or "").split(",") if s], seeds, a.depth, a.allow_release_skew)
+    return _show(found.filter("node LIKE 'right|%'").select("hop", "node", "relation", "skew").orderBy("hop", "node"), a.limit)
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.verb == "code":
         files = spark.read.text(a.folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -68,6 +90,34 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
             edges.select("*", C.scheme(F.col("src")).alias("corpus"), C.scheme(F.col("dst")).alias("dst_corpus")).createOrReplaceTempView("adj")
             return _show(spark.sql(a.sql), a.limit)
         return _show(estate.sql(spark, a.tables, a.sql), a.limit)
+    if a.verb == "journal":
+        return _journal(spark, a)
+    if a.verb == "container":
+        held = laned.open_laned(spark, a.home or "")
+        inputs = containers.inputs_of(held)
+        if a.defer:
+            containers.defer(spark, a.to, a.defer.split(","))
+        if a.emit:
+            containers.emit_missing(spark, a.to, inputs, held.table("lane_nodes"), held.table("lane_edges"))
+        return _show(containers.states(spark, a.to, inputs).select("lane", "state").orderBy("lane"), a.limit)
+    if a.verb == "generation":
+        home = refresh.serving(spark, a.home or "")
+        if home is None:
+            raise Refused(f"nothing is served in {a.home}")
+        print(f"{laned.open_laned(spark, home).generation}\t{home}")
+        return 0
+    if a.verb == "promote":
+        print(refresh.promote(spark, a.home or "", a.release)["generation"])
+        return 0
+    if a.verb == "traversals":
+        held = store.open_store(spark, a.home or "")
+        found = store.recall(spark, a.home, held.generation, a.seed, a.target)
+        return 1 if found is None else _show(found.drop("trail").orderBy("door", "seed", "hop", "node"), a.limit)
+    if a.verb == "bridge":
+        return _bridge(spark, a)
+    if a.verb in ("catalogue", "pull"):
+        found = federation.catalogue(spark, a.index) if a.verb == "catalogue" else federation.pull(spark, a.index, a.name)
+        return 1 if found is None else _show(found, a.limit)
     if a.verb == "verify":
         found = federation.verify(spark, a.index).cache()
         _show(found, a.limit)
@@ -144,6 +194,26 @@ def parser() -> argparse.ArgumentParser:
     verb("fanout", depth=2).add_argument("--to", required=True)
     verb("draw", "symbol", depth=2).add_argument("--svg", action="store_true")
     verb("verify", "index")
+    verb("catalogue", "index")
+    verb("pull", "index", "name")
+    told = verb("journal", "what")
+    told.add_argument("--name")
+    told.add_argument("--symbol")
+    told.add_argument("--contains", action="store_true")
+    told.add_argument("--allow-torn", action="store_true")
+    box = verb("container")
+    box.add_argument("--to", required=True)
+    box.add_argument("--defer")
+    box.add_argument("--emit", action="store_true")
+    verb("generation")
+    verb("promote", "release")
+    kept = verb("traversals")
+    kept.add_argument("--seed")
+    kept.add_argument("--target")
+    over = verb("bridge", "symbol", "other", depth=8)
+    for flag in ("--join", "--pins", "--other-pins"):
+        over.add_argument(flag)
+    over.add_argument("--allow-release-skew", action="store_true")
     search = verb("code", "folder", "symbol")
     search.add_argument("--glob")
     search.add_argument("--loose", action="store_true")

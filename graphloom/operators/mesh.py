@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
@@ -30,7 +30,7 @@ def _tagged(edges: DataFrame, schemes: DataFrame, ends: tuple[str, ...], standar
 
     Owners of a scheme are as many as the lanes that declare it; they are broadcast if the schemes were counted and are few.
     """
-    owners = cut(schemes.groupBy(F.col("scheme").alias("owned_scheme")).agg(F.collect_set("lane").alias("owned_by")))
+    owners = schemes.groupBy(F.col("scheme").alias("owned_scheme")).agg(F.collect_set("lane").alias("owned_by"))
     small = F.broadcast if owners.count() <= FEW else (lambda df: df)
     out = edges
     for end in ends:
@@ -180,12 +180,13 @@ def release_collisions(pins: DataFrame) -> DataFrame:
     return pins.groupBy("scheme").agg(F.count_distinct("version").alias("n"), F.array_sort(F.collect_set("version")).alias("versions")).filter("n > 1")
 
 
-def _limb_sums(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """Each row's sha256 in eight limbs of 32 bits, and the sums of their halves, which stay within a long."""
+def _limbs(rows: DataFrame, *kept: str) -> tuple[DataFrame, list[Column]]:
+    """Each row's sha256 in eight limbs of 32 bits, beside the columns ``kept``, and the sums of their halves, which stay within
+    a long."""
     parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(n).cast("string") for n in sorted(rows.columns))]
-    hashed = rows.withColumn("graphloom_hash", F.sha2(F.concat(*parts), 256))
-    limb = lambda i: F.conv(F.substring("graphloom_hash", LIMB * i + 1, LIMB), 16, 10).cast("long")
-    return hashed, [x for i in range(8) for x in (F.sum(F.shiftright(limb(i), 16)).alias(f"h{i}"), F.sum(limb(i).bitwiseAND(F.lit(0xFFFF))).alias(f"b{i}"))]
+    hashed = rows.select(*kept, F.sha2(F.concat(*parts), 256).alias("graphloom_hash"))
+    limbs = hashed.select(*kept, *[F.conv(F.substring("graphloom_hash", LIMB * i + 1, LIMB), 16, 10).cast("long").alias(f"l{i}") for i in range(8)])
+    return limbs, [x for i in range(8) for x in (F.sum(F.shiftright(f"l{i}", 16)).alias(f"h{i}"), F.sum(F.col(f"l{i}").bitwiseAND(F.lit(0xFFFF))).alias(f"b{i}"))]
 
 
 def _carried(found) -> int:
@@ -199,14 +200,14 @@ def rows_digest(rows: DataFrame) -> str:
     sum is taken by halves of 32-bit limbs, as longs, in one aggregation; only sixteen numbers reach the driver, where
     carries are made. It can be updated by adding and subtracting rows.
     """
-    hashed, sums = _limb_sums(rows)
-    return f"{_carried(hashed.agg(*sums).first()):064x}"
+    limbs, sums = _limbs(rows)
+    return f"{_carried(limbs.agg(*sums).first()):064x}"
 
 
 def rows_digests(rows: DataFrame, by: str) -> dict[str, int]:
     """``rows_digest`` of the rows of each value of a column, as numbers; a row per value reaches the driver."""
-    hashed, sums = _limb_sums(rows)
-    return {r[by]: _carried(r) for r in hashed.groupBy(by).agg(*sums).collect()}
+    limbs, sums = _limbs(rows, by)
+    return {r[by]: _carried(r) for r in limbs.groupBy(by).agg(*sums).collect()}
 
 
 def generation(nodes: DataFrame, edges: DataFrame, roster: list[str]) -> str:
@@ -286,7 +287,3 @@ def ranked(found: DataFrame, top: int, least: float = 0.0) -> tuple[DataFrame, i
     n = others.count()
     kept = others.orderBy(F.col("energy").desc(), F.col("salience").desc(), "node").limit(top)
     return found.filter("salience IS NULL").unionByName(kept), n, n > top
-
-
-def ranked_top(found: DataFrame, by: list, partition: list[str], k: int) -> DataFrame:
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*by))).filter(F.col("rank") <= k)

@@ -244,11 +244,12 @@ def arm_crowns(nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...]) -
 
 
 def neighbourhood(edges: DataFrame, centre: str, radius: int = 2, max_nodes: int = 60) -> DataFrame:
-    """node and hop of an undirected walk around a centre; it stops once ``max_nodes`` are held, least ids first."""
+    """node and hop of an undirected walk around a centre, ``max_nodes`` of them, in order of discovery; no level begins once
+    so many are held."""
     from graphloom.operators import traverse
 
     seeds = edges.sparkSession.createDataFrame([(centre,)], "seed string")
-    found = traverse.reach(seeds, traverse.steps(edges), radius)
+    found = traverse.reach(seeds, traverse.steps(edges), radius, max_nodes=max_nodes)
     return found.orderBy("hop", "trail").limit(max_nodes).select("node", "hop")
 
 
