@@ -46,6 +46,7 @@ def test_journals_containers_generations_and_bridges(spark, tmp_path, capsys):
     pages.append(spark, base, "a", born.limit(0), "c2", "c0")
     assert main(["journal", "log", *home], spark) == 0 and "c2" in capsys.readouterr().out
     assert main(["journal", "gaps", *home], spark) == 0 and main(["journal", "torn", *home], spark) == 1
+    capsys.readouterr()
     assert main(["journal", "log", "--symbol", "k/x", *home], spark) == 0 and "c2" not in capsys.readouterr().out
     for side, rows in (("l", [("a://k/x", "lib://k/f", "calls")]), ("r", [("lib://k/f", "b://k/y", "calls")])):
         ids = sorted({i for r in rows for i in r[:2]})
