@@ -188,7 +188,7 @@ def test_outline_and_readers(spark, tmp_path):
     assert [(r["src"], r["dst"], r["edge_type"], r["residual"]) for r in shards.shard_edges(spark, str(tmp_path / "edges.json")).orderBy("residual").collect()] == [("a", "b", "calls", False), ("a", None, None, True)]
     assert sorted(r["malformed"] for r in shards.cochange(spark, str(tmp_path / "co.jsonl")).collect()) == [False, True]
     log = spark.createDataFrame([('1.1.1.1 - - "GET /u/123/x?q=1 HTTP/1.1" 200 12 ms',), ("noise",)], "value string")
-    assert [tuple(r) for r in shards.access_log(log).collect()] == [("GET", "/u/{}/x", 200, 12.0)]
+    assert [tuple(r) for r in shards.access_log(log).collect()] == [(None, "GET", "/u/{}/x", 200, 12.0)]
 
 
 def test_journal_stream_drops_repeats(spark, tmp_path):
