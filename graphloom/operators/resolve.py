@@ -113,7 +113,10 @@ def resolve(records: DataFrame, standard: tuple[str, ...] = STANDARD) -> DataFra
     annotation names), the module's own definitions, its imports with re-exports, builtins. ``via`` names the scope; where
     nothing binds, ``why`` says what the label is: unresolved, builtin, unbound-attribute, unbound-super, stdlib, missing
     (a minted scheme without that node) or unminted. Bases are resolved first, since super needs them.
+
+    The records are read many times, so they are kept first: files are parsed once.
     """
+    records = cut(records)
     scopes = Scopes(records)
     texts = records.filter("kind = 'edge' AND (dst IS NULL AND dst_repr IS NOT NULL OR src IS NULL AND src_repr IS NOT NULL)")
     side = F.when(F.col("dst").isNull() & F.col("dst_repr").isNotNull(), "dst").otherwise("src")

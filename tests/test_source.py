@@ -115,3 +115,30 @@ def test_queued_prompts_are_taken_once(spark):
     lines = spark.createDataFrame([("f", i, json.dumps(r)) for i, r in enumerate(rows)] + [("g", 0, json.dumps(say("a")))], "file string, line long, value string")
     got = sorted((r["file"], r["line"], r["role"], r["text"]) for r in shards.transcript_turns(lines).collect())
     assert got == [("f", 0, "user", "a"), ("f", 1, "user", "a"), ("f", 2, "user", "a"), ("f", 5, "user", "a"), ("f", 7, "user", "b"), ("f", 9, "user", "b"), ("f", 10, "assistant", "a"), ("f", 12, "user", "c"), ("g", 0, "user", "a")]
+
+
+def test_records_of_small_files_are_handed_over_together_and_parsed_on_all_cores(spark, monkeypatch):
+    made, plain = [], S.pd.DataFrame
+
+    def counted(rows, **more):
+        made.append(len(rows))
+        return plain(rows, **more)
+
+    class Files:
+        """Stands in for a frame, to run what it is given for Spark's workers here."""
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return list(run([plain({"path": [f"pkg/m{i}.py" for i in range(100)], "text": ["def f():\n    return g()\n"] * 100})] * 2))
+
+    monkeypatch.setattr(S, "HANDED", 250)
+    monkeypatch.setattr(S, "dealt", lambda files: files)
+    monkeypatch.setattr(S.pd, "DataFrame", counted)
+    frames = S.records(Files(), "pkg")
+    assert sum(map(len, frames)) == 200 * 4 and max(made) < 254 and len(made) == 4
+    monkeypatch.undo()
+    files = spark.range(200).selectExpr("concat('pkg/m', id, '.py') AS path", "'def f(): pass' AS text").coalesce(1)
+    assert S.dealt(files).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    assert S.records(files, "pkg").count() == 200 * 3
