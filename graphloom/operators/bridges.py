@@ -57,13 +57,14 @@ def verified(sides: Mapping[str, DataFrame], pins: DataFrame, schemes: Sequence[
     return pins.sparkSession.createDataFrame([tuple(r) for r in found], "scheme string, side string, nodes long, release string, skew boolean")
 
 
-def cross(sides: Mapping[str, tuple[DataFrame, DataFrame]], pins: DataFrame, schemes: Sequence[str], seeds: DataFrame, depth: int = 8, allow_skew: bool = False) -> DataFrame:
-    """The walk of ``traverse.bridge`` over ``sides`` (name to nodes and edges), only on schemes that are verified.
+def cross(sides: Mapping[str, tuple[DataFrame, DataFrame]], pins: DataFrame, schemes: Sequence[str], seeds: DataFrame, depth: int = 8, allow_skew: bool = False, toward: str | None = None) -> DataFrame:
+    """The walk of ``traverse.bridge`` over ``sides`` (name to nodes and edges), only on schemes that are verified; with
+    ``toward``, to one side.
 
     ``skew`` marks the hops that cross on a scheme whose releases differ, and what was reached through one.
     """
     told = verified({side: nodes for side, (nodes, _) in sides.items()}, pins, schemes, allow_skew)
     skewed = [r[0] for r in told.filter("skew").select("scheme").distinct().orderBy("scheme").collect()]  # of the schemes named
-    found = traverse.bridge({side: edges for side, (_, edges) in sides.items()}, seeds, schemes, depth)
+    found = traverse.bridge({side: edges for side, (_, edges) in sides.items()}, seeds, schemes, depth, toward)
     crossed = lambda s: (s["relation"] == "join") & C.scheme(F.substring_index(s["node"], "|", -1)).isin(*skewed)
     return found.withColumn("skew", F.exists("trail", crossed) if skewed else F.lit(False))

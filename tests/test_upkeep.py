@@ -251,6 +251,21 @@ def test_bridges_cross_only_where_releases_agree_or_skew_is_allowed(spark):
 # ---- overlap -----------------------------------------------------------------------------------------------------------
 
 
+def test_a_walk_toward_a_side_finds_all_of_it_and_leaves_neighbours_at_home_alone(spark):
+    from graphloom.operators import traverse
+
+    home = [(f"a://p/{i}", f"geo://n/{i % 2}", "in") for i in range(40)]
+    far = [("geo://n/0", "geo://r/0", "within"), ("geo://n/1", "geo://r/0", "within"), ("geo://r/0", "geo://w/0", "within")]
+    sides = {x: spark.createDataFrame(e, "src string, dst string, edge_type string") for x, e in (("home", home), ("far", far))}
+    seeds = spark.createDataFrame([(f"home|a://p/{i}",) for i in range(0, 40, 3)], "seed string")
+    for depth in (2, 3, 5):
+        whole = traverse.bridge(sides, seeds, ["geo"], depth).collect()
+        found = traverse.bridge(sides, seeds, ["geo"], depth, toward="far").collect()
+        there = lambda rows: sorted((r for r in rows if r["node"].startswith("far|")), key=str)
+        assert there(found) == there(whole) and there(found)
+    assert len([r for r in traverse.bridge(sides, seeds, ["geo"], 3, toward="far").collect() if r["node"].startswith("home|")]) == 2 * seeds.count()
+
+
 def test_overlap_of_many_terms_against_plain_sets(spark):
     import random
 
