@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import text as T
+from graphloom.session import cut
 
 MARK = r"(?m)^---[^\S\n]*\[(\d+)\][^\S\n]*(USER|ASSISTANT)[^\S\n]*$"
 #: What counts as a literal of an exchange: dotted identifiers and paths with a slash; fixed values.
@@ -193,17 +194,30 @@ def mint(sessions: DataFrame, files: DataFrame, commits: DataFrame, sections: Da
     return nodes.dropDuplicates(["id"]), out.distinct()
 
 
+def live_terms(counted: DataFrame, session: str, min_boxes: int = 3, max_share: float = 0.5) -> DataFrame:
+    """term and boxes of the terms that have enough boxes and stand in few enough sessions, of ``text.counted_terms``."""
+    counted = cut(counted)  # a row for each term of a session
+    total = counted.agg(F.count_distinct(session)).first()[0]
+    live = counted.groupBy("term").agg(F.sum("n").alias("boxes"), F.count_distinct(session).alias("sessions"))
+    return live.filter((F.col("boxes") >= min_boxes) & (F.col("sessions") <= max_share * max(1, total))).select("term", "boxes")
+
+
 def topic_forest(index: DataFrame, session: str, box: list[str], min_boxes: int = 3, max_share: float = 0.5, min_family: int = 2) -> DataFrame:
-    """term, boxes, kind (anchor or symbol) and parent of the topics of a posting index.
+    """``forest`` of the live terms of a posting index."""
+    total = index.agg(F.count_distinct(session)).first()[0]
+    live = index.groupBy("term").agg(F.count_distinct(*box).alias("boxes"), F.count_distinct(session).alias("sessions"))
+    return forest(live.filter((F.col("boxes") >= min_boxes) & (F.col("sessions") <= max_share * max(1, total))).select("term", "boxes"), min_family)
 
-    Live terms have enough boxes and stand in few enough sessions. Symbols are live terms with segments at dots,
-    underscores and hyphens; anchors are plain live terms that enough symbols have as a segment. A symbol's parent is the
+
+def forest(live: DataFrame, min_family: int = 2) -> DataFrame:
+    """term, boxes, kind (anchor or symbol) and parent of the topics among live terms.
+
+    Symbols are live terms with segments at dots, underscores and hyphens; anchors are plain live terms that enough symbols have as a segment. A symbol's parent is the
     symbol whose segments are its longest proper contiguous part, else the anchor among its segments with most boxes; the
-    least of equal ones. Every symbol lists its own parts and joins by equality; no pairs of symbols are compared.
+    least of equal ones. Every symbol lists its own parts and joins by equality; no pairs of symbols are compared. The live
+    terms are kept, as six steps read them.
     """
-    total = index.agg(F.count_distinct(session)).first()[0]
-    live = index.groupBy("term").agg(F.count_distinct(*box).alias("boxes"), F.count_distinct(session).alias("sessions"))
-    live = live.filter((F.col("boxes") >= min_boxes) & (F.col("sessions") <= max_share * max(1, total))).select("term", "boxes")
+    live = cut(live)
     segments = F.filter(F.split("term", r"[._\-]"), lambda s: (F.length(s) >= 3) & ~s.rlike(r"^\d+$") & ~s.isin(*T.STOP))
     symbols = live.filter(F.col("term").rlike(r"[._\-]")).withColumn("segments", segments).filter(F.size("segments") > 0)
     family = symbols.select("term", F.explode(F.array_distinct("segments")).alias("segment")).groupBy("segment").agg(F.count("*").alias("family"))

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
+from graphloom.session import cut
 
+#: Boxes of several rows that are broadcast; more are joined by shuffle.
+FEW = 200_000
 TERM = r"([A-Za-z][A-Za-z0-9_.-]{2,})"
 #: Terms that are not indexed; fixed values.
 STOP = (
@@ -35,6 +38,35 @@ def terms(c: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP))
 
 
+def distinct_terms(c: Column) -> Column:
+    """The distinct ones of ``terms``, among them empty and short strings and stop words: no step goes term by term, so that
+    these are left to a filter of what is exploded."""
+    found = F.array_join(F.array_distinct(F.regexp_extract_all(c, F.lit(TERM), 1)), " ")
+    return F.array_distinct(F.split(F.regexp_replace(F.lower(found), r"(?<![.-])[.-]++(?= |$)", ""), " "))
+
+
+def counted_terms(boxes: DataFrame, session: str, box: Sequence[str], text: str = "text", few: int = FEW) -> DataFrame:
+    """term, session and n: over a term's sessions, ``n`` adds up to the boxes that hold it.
+
+    Boxes of one row are counted where they are read, so that no postings are shuffled; only those of boxes that several
+    rows share are made distinct.
+    """
+    key, named = list(box), F.lit(True)
+    for c in key:
+        named = named & F.col(c).isNotNull()
+    shared = cut(boxes.filter(named).groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1").select(*key))
+    n = shared.count()
+    held = lambda rows: rows.select(session, *[c for c in key if c != session], F.explode(distinct_terms(F.col(text))).alias("term")).filter((F.length("term") >= 3) & ~F.col("term").isin(*STOP))
+    if not n:
+        return held(boxes).groupBy("term", session).agg(F.count_if(named).alias("n"))
+    shared = F.broadcast(shared) if n <= few else shared
+    once = held(boxes.join(shared, key, "left_anti")).groupBy("term", session).agg(F.count_if(named).alias("n"))
+    often = held(boxes.join(shared, key, "left_semi")).distinct()
+    where = often.select("term", session).distinct().withColumn("n", F.lit(0).cast("long"))
+    parts = often.select("term", *key).distinct().groupBy("term").agg(F.count("*").alias("n")).select("term", F.lit(None).cast(boxes.schema[session].dataType).alias(session), "n")
+    return once.unionByName(where).unionByName(parts)
+
+
 def postings(boxes: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """term, the box's key and how often the box holds the term."""
     return boxes.select(*key, F.explode(terms(F.col(text))).alias("term")).groupBy("term", *key).agg(F.count("*").alias("n"))

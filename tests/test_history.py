@@ -1,6 +1,9 @@
 import datetime
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import history as H
+from graphloom.operators import text as T
 
 NODES = "id string, node_type string, dotted string, file string"
 
@@ -65,6 +68,21 @@ def test_topic_forest(spark):
     assert got == {"store": ("anchor", None, 4), "federated.store": ("symbol", "store", 3), "federated.store.walk": ("symbol", "federated.store", 3), "store_page": ("symbol", "store", 3)}
 
 
+def test_terms_of_texts_are_counted_without_postings(spark):
+    rows = [("s", 1, "Store.walk store.walk-- the .. a-b"), ("s", 2, "store.walk. Zed-.- zed"), ("t", 2, "STORE.WALK only"), ("t", 3, "x---------- zed_q"), ("t", None, "zed"), (None, 4, "zed"), ("u", 5, None), ("u", 6, "")]
+    texts = spark.createDataFrame(rows, "session string, box int, text string")
+    index = T.postings(texts, ["session", "box"])
+    want = {r["term"]: (r["boxes"], r["sessions"]) for r in index.groupBy("term").agg(F.count_distinct("box").alias("boxes"), F.count_distinct("session").alias("sessions")).collect()}
+    for few in (10, 0):  # the shared box by broadcast and by shuffle
+        found = T.counted_terms(texts, "session", ["box"], few=few)
+        assert {r["term"]: (r["boxes"], r["sessions"]) for r in found.groupBy("term").agg(F.sum("n").alias("boxes"), F.count_distinct("session").alias("sessions")).collect()} == want
+    assert want["store.walk"] == (2, 2) and want["zed"] == (2, 2)
+    plan = T.counted_terms(texts.filter("box <> 2"), "session", ["box"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any("box" in line for line in plan.split("\n") if "Exchange" in line)
+    forest = lambda live: sorted(map(str, H.forest(live, 1).collect()))
+    assert forest(H.live_terms(T.counted_terms(texts, "session", ["box"]), "session", 1, 0.7)) == sorted(map(str, H.topic_forest(index, "session", ["box"], 1, 0.7, 1).collect()))
+
+
 def test_history_is_minted(spark):
     at = lambda d: datetime.datetime(2024, 1, d)
     sessions = spark.createDataFrame([("aaaa1111", at(1), "f1"), ("bbbb2222", at(3), "f2")], "session string, at timestamp, file string")
