@@ -1,9 +1,11 @@
 """Journals, their streams, containers, rebuilds, bridges, overlap and freshness, each on small cases worked out by hand."""
 
 import json
+import random
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,32 @@ def test_stream_marks_equal_those_of_the_table_whatever_the_order(spark, tmp_pat
     assert ("a", 2, "death", 3) in got and ("b", 5, "death", 5) in got and ("a", 3, "gap", None) in got and len([g for g in got if g[0] == "b" and g[2] == "death"]) == 1
 
 
+def test_pages_taken_up_together_leave_what_pages_one_by_one_do():
+    rng, at, want, found, waits = random.Random(7), None, [], [], None
+    for size in (1, 40, 3, 200):
+        low = at[0] if at else 0
+        rows = [(low + 1 + i, 10**15, rng.choice(["a", "b", None]), rng.choice(["a", "b", None]), rng.random() < 0.1, rng.randrange(3), rng.randrange(3)) for i in range(size)]
+        pages = pd.DataFrame(rows, columns=[*running.WAITS])
+        after, marks = running._taken("j", pages, at)
+        _, expected, alive, least = at or (None, None, None, 0)
+        for seq, _, cursor, previous, bootstrap, born, died in rows:
+            if expected is not None and previous != expected:
+                want.append((seq, "gap", None, expected, previous))
+            now, before = (born - died if bootstrap or alive is None else alive + born - died), alive
+            least = now if bootstrap or alive is None else min(least, now)
+            if not bootstrap and before is not None and now == 0 and before > 0 and least >= 0:
+                want.append((seq, "death", before, None, None))
+            alive, expected = now, cursor
+        assert after == (rows[-1][0], expected, alive, least)
+        found += [(r.seq, r.mark, None if pd.isna(r.before) else int(r.before), r.expected, r.prev_cursor) for r in marks.itertuples()]
+        at, waits = after, pages
+    assert sorted(map(str, found)) == sorted(map(str, want)) and {"gap", "death"} == {w[1] for w in want}
+    packed = running._packed(pd.concat([waits] * 200))
+    assert len(packed) == 2  # 40,000 pages in two rows of state
+    back = running.pa.ipc.open_stream(packed[0][0]).read_pandas()
+    assert [tuple(None if pd.isna(x) else x for x in r) for r in back[:200].itertuples(index=False)] == rows
+
+
 def test_a_page_that_never_comes_holds_up_the_rest_no_longer_than_lateness(spark, tmp_path):
     files = [[page("a", 1, 2, 0, "x", None, True)], [page("a", 3, 0, 2, "z", "y")], [page("b", 1, 1, 0, "x", None, True, minute=50)], [page("b", 2, 1, 0, "y", "x", minute=55)]]
     got = stream(spark, tmp_path, files, late="5 minutes")
