@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import journal, lookup, mesh, records, text, traverse
+from graphloom.operators.lookup import Refused
+from graphloom.session import cut
 from graphloom.sources import shards
 
 
@@ -200,3 +202,13 @@ def test_journal_stream_drops_repeats(spark, tmp_path):
     running = journal_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("pages").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     running.awaitTermination(60)
     assert spark.table("pages").count() == 2
+
+
+def test_a_search_that_was_stopped_is_no_answer(spark):
+    """More nodes than a walk once held, and a path that leads on from one of them; a cap of the caller's is refused, not -1 or none."""
+    hub = spark.range(260_000).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), F.col("id")).alias("dst"), F.lit("x").alias("edge_type"))
+    e = cut(hub.unionByName(spark.createDataFrame([("n7", "far", "x"), ("far", "t", "x"), ("a", "hub", "x"), ("p", "q", "x")], "src string, dst string, edge_type string")))
+    assert traverse.path_to(e, "a", "t", max_depth=4) == ([(n, "x" if n != "a" else "") for n in ("a", "hub", "n7", "far", "t")], None)
+    assert traverse.path_to(e, "a", "q", max_depth=3) == ([], "max_depth")
+    with pytest.raises(Refused, match="isn't known"):
+        traverse.path_to(e, "a", "t", max_depth=4, max_nodes=1000)
